@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # Tasks receive the functions of this module by value, so workers need no copy of the package.
@@ -71,7 +72,7 @@ def best_positions(entries, authors, cut: float) -> list[int]:
     return best
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def jaro_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     seen: dict[tuple[str, str], float] = {}
     out = []
@@ -85,7 +86,7 @@ def jaro_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def best_author(entries: Column, authors: Column, cut: float = MIN_SIMILARITY) -> Column:
     """array<array<token>> of entries and of authors -> array of author positions, one per entry (-1: none)."""
 
-    @pandas_udf("array<int>")
+    @pandas_udf(T.ArrayType(T.IntegerType()))
     def run(e: pd.Series, a: pd.Series) -> pd.Series:
         return pd.Series([best_positions(x, y, cut) for x, y in zip(e, a)])
 
