@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from functools import lru_cache
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -46,7 +47,7 @@ def can_reach(len_a: int, len_b: int, cut: float) -> bool:
     return lo > 0 and (1.0 + lo / hi + 1.0) / 3.0 >= cut - 1e-9
 
 
-def best_positions(entries, authors, cut: float) -> list[int]:
+def best_positions(entries, authors, cut: float, similar=jaro) -> list[int]:
     """For every entry (a list of tokens) the author position with the highest sum of similarities >= cut, or -1.
 
     Tokens of the authors are indexed by length, so a token meets only those it can reach the cut with.
@@ -63,7 +64,7 @@ def best_positions(entries, authors, cut: float) -> list[int]:
                 if not can_reach(len(token), length, cut):
                     continue
                 for other, positions in tokens.items():
-                    similarity = jaro(token, other)
+                    similarity = similar(token, other)
                     if similarity >= cut:
                         for pos in positions:
                             score[pos] = score.get(pos, 0.0) + similarity
@@ -88,7 +89,8 @@ def best_author(entries: Column, authors: Column, cut: float = MIN_SIMILARITY) -
 
     @pandas_udf(T.ArrayType(T.IntegerType()))
     def run(e: pd.Series, a: pd.Series) -> pd.Series:
-        return pd.Series([best_positions(x, y, cut) for x, y in zip(e, a)])
+        similar = lru_cache(maxsize=1 << 18)(jaro)  # name words repeat across records
+        return pd.Series([best_positions(x, y, cut, similar) for x, y in zip(e, a)])
 
     return run(entries, authors)
 
