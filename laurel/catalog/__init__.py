@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from laurel.catalog import authors, factors, payloads, scalars, search  # noqa: F401
+from laurel.catalog import authors, factors, payloads, scalars, search, streams  # noqa: F401
 from laurel.catalog.registry import ENTRIES  # noqa: F401
