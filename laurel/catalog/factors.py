@@ -9,10 +9,9 @@ from laurel.catalog.registry import (AUTHOR_PAPER, IMPACT, INSTITUTIONS, PROJECT
 from laurel.functions import text as X
 from laurel.functions.vectors import cosine
 from laurel.operators import factors as A
-from laurel.operators.numbering import number_rows
 from laurel.operators.relevance import usable, with_relevance
 from laurel.plans import driver_tables as D
-from laurel.plans.scoring import ungated_factors
+from laurel.plans.scoring import scored, ungated_factors
 
 AS_OF = 2001
 LIST_SIZE = 1000
@@ -60,13 +59,8 @@ select key_id, a_id, cast((rn - 1) // {LIST_SIZE} as bigint) as part, count(*) a
  string_agg(cast(paper_id as varchar), ';' order by paper_id) as papers
 from listed group by 1, 2, 3""")
 def a01(spark, d):
-    """Lists come in parts of a fixed size, so no author's list has to fit into one row."""
-    numbered = number_rows(D.author_paper(spark, d).select("key_id", "a_id", "paper_id"), ["key_id", "a_id"],
-                           [F.col("paper_id")])
-    part = F.floor((F.col("rn") - 1) / LIST_SIZE).alias("part")
-    ids = F.array_sort(F.collect_list("paper_id")).cast("array<string>")
-    return numbered.groupBy("key_id", "a_id", part).agg(
-        F.count("*").alias("n_papers"), F.array_join(ids, ";").alias("papers"))
+    lists = A.paper_lists(D.author_paper(spark, d), LIST_SIZE)
+    return lists.withColumn("papers", F.array_join(F.col("papers").cast("array<string>"), ";"))
 
 
 @query("a02_productivity", with_views(AUTHOR_PAPER) + """
@@ -218,8 +212,8 @@ select key_id, source as a_id, round(max(relevance), 6) as acc
 from scored join documents on doc_id = paper_id group by 1, 2""")
 def a15(spark, d):
     docs = D.table(spark, d, "documents").withColumnRenamed("lang", "key_id")
-    scored = with_relevance(docs, query_table(spark, DOC_QUERIES), ["text"])
-    return scored.groupBy("key_id", F.col("source").alias("a_id")).agg(
+    rated = with_relevance(docs, query_table(spark, DOC_QUERIES), ["text"])
+    return rated.groupBy("key_id", F.col("source").alias("a_id")).agg(
         r6(F.max("relevance")).alias("acc"))
 
 
@@ -228,8 +222,8 @@ def a15(spark, d):
                                         QUERY_TEXT) + """
 select key_id, paper_id, round(relevance, 6) as relevance from scored""")
 def a15_records(spark, d):
-    scored = with_relevance(D.records(spark, d), query_table(spark, QUERY_TEXT), ["title", "paper_keyword"])
-    return scored.select("key_id", "paper_id", r6("relevance").alias("relevance"))
+    rated = with_relevance(D.records(spark, d), query_table(spark, QUERY_TEXT), ["title", "paper_keyword"])
+    return rated.select("key_id", "paper_id", r6("relevance").alias("relevance"))
 
 
 @query("f13_usable_texts", """
@@ -319,8 +313,7 @@ NORMALISED = """key_id, a_id, round(productivity * bit / max_productivity, 6) as
 
 
 def normalised_papers(spark, d, usage=False):
-    raw = paper_factors(spark, d, usage)
-    return A.normalised(A.gated(raw), A.maxima(raw))
+    return scored(paper_factors(spark, d, usage))
 
 
 @query("a18_w02_expert_scores", factor_sql() + f"select {NORMALISED} from ungated join tops using (key_id)")
@@ -357,7 +350,7 @@ select key_id, a_id, round(productivity * bit / mp, 6) as productivity,
 from ungated join tops using (key_id)""")
 def a14(spark, d):
     raw = A.raw_factors(project_yearly(spark, d), AS_OF, by_manager=True)
-    return rounded(A.normalised(A.gated(raw), A.maxima(raw), with_coop=False))
+    return rounded(scored(raw, with_coop=False))
 
 
 @query("a19_query_counts", with_views(AUTHOR_PAPER, RAWDATA) + """
@@ -372,8 +365,8 @@ with ends as (select s_nationkey, min(s_acctbal) as lo, max(s_acctbal) as hi fro
 select s_suppkey, round(case when s_acctbal = lo then 0.02 else (s_acctbal - lo) / (hi - lo) end, 6) as scaled
 from supplier join ends using (s_nationkey)""")
 def a20(spark, d):
-    scaled = A.min_max_scaled(D.table(spark, d, "supplier"), ["s_nationkey"], "s_acctbal", "scaled")
-    return scaled.select("s_suppkey", r6("scaled").alias("scaled"))
+    rows = A.min_max_scaled(D.table(spark, d, "supplier"), ["s_nationkey"], "s_acctbal", "scaled")
+    return rows.select("s_suppkey", r6("scaled").alias("scaled"))
 
 
 # ---- lookups behind the factors ---------------------------------------------------------------------------------------

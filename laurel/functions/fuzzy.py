@@ -41,33 +41,39 @@ def jaro(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - swapped) / m) / 3.0
 
 
-def can_reach(len_a: int, len_b: int, cut: float) -> bool:
-    """False when the lengths alone keep the similarity under `cut`: at most min(len) characters match."""
-    lo, hi = min(len_a, len_b), max(len_a, len_b)
-    return lo > 0 and (1.0 + lo / hi + 1.0) / 3.0 >= cut - 1e-9
+def can_reach(a: str, b: str, letters_a: frozenset, letters_b: frozenset, cut: float) -> bool:
+    """False when lengths and letters alone keep the similarity under `cut`.
+
+    With m matching characters the similarity is at most (m/|a| + m/|b| + 1) / 3, and a character that the other
+    string does not hold cannot match.
+    """
+    needed = (3 * cut - 1) * len(a) * len(b) / (len(a) + len(b)) - 1e-9
+    return (min(len(a), len(b)) >= needed and len(a) - len(letters_a - letters_b) >= needed
+            and len(b) - len(letters_b - letters_a) >= needed)
 
 
 def best_positions(entries, authors, cut: float, similar=jaro) -> list[int]:
     """For every entry (a list of tokens) the author position with the highest sum of similarities >= cut, or -1.
 
-    Tokens of the authors are indexed by length, so a token meets only those it can reach the cut with.
+    Every distinct token of the authors is met once per entry token; ties go to the first author.
     """
-    by_length: dict[int, dict[str, list[int]]] = {}
+    places: dict[str, list[int]] = {}
     for pos, tokens in enumerate(authors):
         for token in tokens:
-            by_length.setdefault(len(token), {}).setdefault(token, []).append(pos)
+            places.setdefault(token, []).append(pos)
+    known = [(token, frozenset(token), positions) for token, positions in places.items()]
     best = []
     for entry in entries:
         score: dict[int, float] = {}
         for token in entry:
-            for length, tokens in by_length.items():
-                if not can_reach(len(token), length, cut):
+            letters = frozenset(token)
+            for other, other_letters, positions in known:
+                if not can_reach(token, other, letters, other_letters, cut):
                     continue
-                for other, positions in tokens.items():
-                    similarity = similar(token, other)
-                    if similarity >= cut:
-                        for pos in positions:
-                            score[pos] = score.get(pos, 0.0) + similarity
+                similarity = similar(token, other)
+                if similarity >= cut:
+                    for pos in positions:
+                        score[pos] = score.get(pos, 0.0) + similarity
         top = max(score.values(), default=0.0)
         best.append(min((p for p, s in score.items() if s >= top - 1e-12), default=-1))
     return best

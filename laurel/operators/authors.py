@@ -1,7 +1,8 @@
 """Author resolution: provider ids or (name, institution) to stable author ids.
 
-Lookups are equi-joins on the distinct references, so repeated mentions are combined before the shuffle. New ids are
-derived from (name, institution), so no counter and no order of arrival is needed.
+Lookups are equi-joins against one row per author or (name, institution): broadcast where that side is small by its
+statistics, else a sort-merge join, in which AQE splits the partition of an author with very many mentions. New ids
+are derived from (name, institution), so no counter and no order of arrival is needed.
 """
 
 from __future__ import annotations

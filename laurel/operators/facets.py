@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laurel.operators.numbering import number_rows, running_sum
+from laurel.session import stored
 
 
 def facet_counts(df: DataFrame, facets: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -33,6 +34,7 @@ def packed(counts: DataFrame, value: str, limit: int) -> DataFrame:
     that places batches runs over the distinct counts, at most `limit` numbers; every value then finds its batch
     from its place among the values with the same count.
     """
+    counts = stored(counts, "facet")  # read by two branches
     small = counts.where(F.col("n") <= limit)
     sizes = small.groupBy(F.col("n").cast("long").alias("n")).agg(F.count("*").alias("many"))
     ordered = F.array_sort(F.collect_list(F.struct("n", "many")))

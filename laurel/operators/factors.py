@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laurel.functions import text as X
+from laurel.operators.numbering import number_rows
 
 KEY = ["key_id", "a_id"]
 DEFAULT_SCORE = 0.02  # fixed value: relevance of an author none of whose texts matches
@@ -257,6 +258,14 @@ def min_max_scaled(df: DataFrame, keys: list[str], column: str, name: str) -> Da
     )
 
 
+def paper_lists(author_paper: DataFrame, size: int = 1000) -> DataFrame:
+    """Paper ids per author in order of paper_id, in parts of at most `size`: no author's list has to fit one row."""
+    numbered = number_rows(author_paper.select(*KEY, "paper_id"), KEY, [F.col("paper_id")], "_rn")
+    part = F.floor((F.col("_rn") - 1) / size).alias("part")
+    return numbered.groupBy(*KEY, part).agg(
+        F.count("*").alias("n_papers"), F.array_sort(F.collect_list("paper_id")).alias("papers"))
+
+
 def query_counts(records: DataFrame, author_paper: DataFrame) -> DataFrame:
     """Raw records and experts per query."""
     data = records.groupBy("key_id").agg(F.count("*").alias("data"))

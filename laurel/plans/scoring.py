@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from laurel.operators import factors as A
 from laurel.operators.relevance import with_relevance
+from laurel.session import stored
 
 PAPER_TEXTS = ["title", "english_title", "paper_keyword", "abstract", "english_abstract"]
 PROJECT_TEXTS = ["koTitle", "enTitle", "koKeyword", "enKeyword"]
@@ -31,10 +32,17 @@ def ungated_factors(
     return A.raw_factors(yearly, as_of, profile.by_manager)
 
 
-def expert_factors(author_paper, records, profile, as_of, impact=None, queries=None, strict=False) -> DataFrame:
-    """Normalised factor rows, one per (key_id, a_id).
+def scored(raw: DataFrame, with_coop: bool = True) -> DataFrame:
+    """Gated and normalised factor rows.
 
-    The maxima read the same yearly sums as the rows, so the join and its exchanges run once and are reused.
+    The ungated rows are stored first: the maxima and the rows both read them, and a second evaluation would repeat
+    the join of all author listings.
     """
+    kept = stored(raw, "factors")
+    return A.normalised(A.gated(kept), A.maxima(kept), with_coop)
+
+
+def expert_factors(author_paper, records, profile, as_of, impact=None, queries=None, strict=False) -> DataFrame:
+    """Normalised factor rows, one per (key_id, a_id)."""
     raw = ungated_factors(author_paper, records, profile, as_of, impact, queries, strict)
-    return A.normalised(A.gated(raw), A.maxima(raw), with_coop=not profile.by_manager)
+    return scored(raw, with_coop=not profile.by_manager)

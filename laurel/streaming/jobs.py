@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from laurel.operators import authors as J
-from laurel.operators import dedup
 from laurel.streaming import progress as P
 from laurel.streaming import records as S
 
-RAW = """key_id string, id string, seq long, author string, author_id string, author_inst string"""
+RAW = "key_id string, id string, seq long, author string, author_id string, author_inst string"
 LISTING = "key_id string, paper_id string, a_id string, pos int, n_authors int"
 AUTHORS = "a_id string, name string, inst string"
 
@@ -62,17 +61,12 @@ class Collection:
         ddl = {"raw": RAW, "author_paper": LISTING, "author": AUTHORS}[name]
         return _open(self.spark, self.path(name), ddl, before)
 
-    def add(self, messages: DataFrame, batch: int) -> None:
-        """One micro-batch: new records only, authors resolved, everything appended."""
-        columns = RAW.replace("\n", " ").split(",")
-        rows = S.data_rows(messages).select(*[c.split()[0] for c in columns])
-        first = dedup.first_per_key(rows, dedup.RECORD, ["seq"])
-        seen = self.table("raw", batch).select(*dedup.RECORD)
-        fresh = first.join(seen, dedup.RECORD, "left_anti").persist()
+    def add(self, records: DataFrame, batch: int) -> None:
+        """One micro-batch of new records: authors resolved, everything appended."""
+        fresh = records.persist()
         known = self.table("author", batch)
         listing, grown = J.resolve_papers(fresh, known)
-        n_authors = F.size(F.split("author", ";"))
-        sizes = fresh.select("key_id", "id", n_authors.alias("n_authors"))
+        sizes = fresh.select("key_id", "id", F.size(F.split("author", ";")).alias("n_authors"))
         _put(fresh, self.path("raw"), batch)
         _put(listing.join(sizes, ["key_id", "id"]).select(
             "key_id", F.col("id").alias("paper_id"), "a_id", "pos", "n_authors"), self.path("author_paper"), batch)
@@ -81,7 +75,10 @@ class Collection:
 
 
 def collect(stream: DataFrame, collection: Collection, checkpoint: str) -> StreamingQuery:
-    return in_batches(S.routed(stream), lambda df, batch: collection.add(df, batch), checkpoint)
+    """Records once each. Seen keys are kept as stream state, so no batch reads the stored records again."""
+    columns = [c.split()[0] for c in RAW.split(",")]
+    new = S.deduplicated(S.data_rows(S.routed(stream)).select(*columns))
+    return in_batches(new, collection.add, checkpoint)
 
 
 def track(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
