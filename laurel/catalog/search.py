@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from laurel.catalog.factors import NORMALISED, factor_sql, normalised_papers, r6
-from laurel.catalog.registry import AUTHOR_PAPER, INSTITUTIONS, query, with_views
+from laurel.catalog.registry import AUTHOR_PAPER, INSTITUTIONS, RAWDATA, query, with_views
 from laurel.operators import dedup, facets, ranking, search
 from laurel.plans import driver_tables as D
 
@@ -78,9 +78,15 @@ def f06(spark, d):
 @query("f07_year_range", """select o_orderkey, year(o_orderdate) as issue_year from orders
 where year(o_orderdate) between 1997 and 1999""")
 def f07(spark, d):
-    year = F.year("o_orderdate")
-    return D.table(spark, d, "orders").where(search.year_range(year, 1997, 1999)).select(
-        "o_orderkey", year.alias("issue_year"))
+    dated = D.table(spark, d, "orders").where(search.dated_within(F.col("o_orderdate"), 1997, 1999))
+    return dated.select("o_orderkey", F.year("o_orderdate").alias("issue_year"))
+
+
+@query("f07_year_range_of_records", with_views(RAWDATA) + """
+select key_id, paper_id, issue_year from rawdata where issue_year between 1996 and 1998""")
+def f07_records(spark, d):
+    return D.records(spark, d).where(search.year_range(F.col("issue_year"), 1996, 1998)).select(
+        "key_id", "paper_id", "issue_year")
 
 
 @query("f08_country", with_views(AUTHOR_PAPER, INSTITUTIONS) + """
@@ -98,7 +104,7 @@ select key_id, id, is_partial from r where rn <= 1500""")
 def f09(spark, d):
     rows = D.table(spark, d, "orders").select(
         F.col("o_orderpriority").alias("key_id"), F.col("o_orderkey").alias("id"), "o_orderdate")
-    return search.capped(rows, ["key_id"], [F.col("o_orderdate").desc(), F.col("id")], 1500, F.col("id")).select(
+    return search.capped(rows, ["key_id"], [("o_orderdate", True), ("id", False)], 1500).select(
         "key_id", "id", "is_partial")
 
 
@@ -171,7 +177,7 @@ where contains(lower(title), 'the') or contains(lower(paper_keyword), 'src7') or
 def d03(spark, d):
     hits = [search.holds(F.col("title"), "the"), search.holds(F.col("paper_keyword"), "src7"),
             search.holds(F.col("abstract"), "which")]
-    return dedup.union_of_searches(docs(spark, d), hits, dedup.RECORD).select("key_id", "id", "title")
+    return dedup.union_of_searches(docs(spark, d), hits, dedup.RECORD, ["title"])
 
 
 @query("d04_union_of_sets", """

@@ -63,7 +63,7 @@ def run(query_):
         raise query_.exception()
 
 
-@query("s01_t01_t02_routed_messages", with_views(EVENTS) + """
+@query("s01_t01_t02_t04_routed_messages", with_views(EVENTS) + """
 select site, kind, count(*) as n from (select site, kind from msg union all
  select site, 'end' from msg where kind = 'data' and progress = 1) group by 1, 2""")
 def t02(spark, d):

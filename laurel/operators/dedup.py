@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +27,12 @@ def duplicate_counts(df: DataFrame, group: Sequence[str], keys: Sequence[str]) -
         (F.sum("_n") - F.count("*")).alias("n_duplicates"))
 
 
-def union_of_searches(df: DataFrame, hits: Sequence[Column], keys: Sequence[str]) -> DataFrame:
-    """Records found by any of several searches, once each."""
-    found = [df.where(h) for h in hits]
-    merged = found[0]
-    for f in found[1:]:
-        merged = merged.unionByName(f)
-    return first_per_key(merged, keys, [])
+def union_of_searches(df: DataFrame, hits: Sequence[Column], keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Keys and columns of the records found by any of several searches of one table, once each.
+
+    One scan, not one per search, and only the wanted columns are moved.
+    """
+    return first_per_key(df.where(reduce(lambda a, b: a | b, hits)).select(*keys, *columns), keys, [])
 
 
 def union_of_sets(sets: Sequence[DataFrame]) -> DataFrame:

@@ -75,6 +75,11 @@ def year_range(c: Column, first: int, last: int) -> Column:
     return c.between(first, last)
 
 
+def dated_within(c: Column, first: int, last: int) -> Column:
+    """Year range on a date column, as a range of dates, so that it reaches the file scan."""
+    return (c >= F.lit(f"{first}-01-01").cast("timestamp")) & (c < F.lit(f"{last + 1}-01-01").cast("timestamp"))
+
+
 def in_country(inst: Column, country: str) -> Column:
     return F.coalesce(inst.contains(country), F.lit(False))
 
@@ -97,30 +102,51 @@ def real_name(name: Column) -> Column:
     return fold_null(name).isNotNull() & ~name.contains("...")
 
 
-def capped(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cap: int, salt: Column) -> DataFrame:
+def _up_to(order: Sequence[tuple[str, bool]]) -> Column:
+    """Whether a row comes before or at the cut `_cut_<column>` in the given order."""
+    test = F.lit(True)
+    for name, descending in reversed(order):
+        mine, cut = F.col(name), F.col(f"_cut_{name}")
+        test = (mine > cut if descending else mine < cut) | ((mine == cut) & test)
+    return test
+
+
+def capped(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], cap: int) -> DataFrame:
     """The first `cap` rows per key and `is_partial`, which tells whether the key had more.
 
-    Two steps, so a big key never meets in one task: each of 64 salted parts keeps its own first `cap` rows, the
-    final step sees at most 64 * cap of them. Counts come from a map-side combined aggregation.
+    `order` is a total order as (column, descending) over columns without NULL. Only these columns are ranked, in two
+    steps: each of 64 salted parts of a key finds its own first `cap` rows, then at most 64 * cap narrow rows give
+    the key's last row to keep. The records themselves are filtered against that cut and never shuffled.
     """
-    part = df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(CAP_SALTS)))
-    local = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    final = Window.partitionBy(*keys).orderBy(*order)
-    kept = (
-        part.withColumn("_rn", F.row_number().over(local)).where(F.col("_rn") <= cap)
-        .withColumn("_rn", F.row_number().over(final)).where(F.col("_rn") <= cap)
-        .drop("_rn", "_salt")
+    names = [n for n, _ in order]
+    sort = [F.col(n).desc() if descending else F.col(n).asc() for n, descending in order]
+    narrow = df.select(*keys, *names).withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(CAP_SALTS)))
+    local = Window.partitionBy(*keys, "_salt").orderBy(*sort)
+    final = Window.partitionBy(*keys).orderBy(*sort)
+    cuts = (
+        narrow.withColumn("_rn", F.row_number().over(local)).where(F.col("_rn") <= cap)
+        .withColumn("_rn", F.row_number().over(final)).where(F.col("_rn") == cap)
+        .select(*keys, *[F.col(n).alias(f"_cut_{n}") for n in names])
     )
     sizes = df.groupBy(*keys).agg((F.count("*") > cap).alias("is_partial"))
-    return kept.join(sizes, list(keys))
+    limits = sizes.join(cuts, list(keys), "left")
+    return (
+        df.join(limits, list(keys)).where(~F.col("is_partial") | _up_to(order))
+        .drop(*[f"_cut_{n}" for n in names])
+    )
 
 
 def rarest_term(df: DataFrame, keys: Sequence[str], fields: Sequence[str], terms: Sequence[str]) -> DataFrame:
     """Per key the hits of every term summed over the fields, and the term with the fewest (ties: listed first)."""
-    sums = [reduce(lambda a, b: a + b, [holds(F.col(f), t).cast("long") for f in fields]) for t in terms]
-    hits = df.groupBy(*keys).agg(*[F.sum(s).alias(f"_t{i}") for i, s in enumerate(sums)])
-    ranked = F.array_sort(F.array(*[
+    lowered = df.select(*keys, *fields, *[F.lower(f).alias(f"_low_{f}") for f in fields])
+
+    def found(field: str, term: str) -> Column:
+        text, word = (field, term) if has_hangul(term) else (f"_low_{field}", term.lower())
+        return F.coalesce(F.col(text).contains(word), F.lit(False)).cast("long")
+
+    sums = [reduce(lambda a, b: a + b, [found(f, t) for f in fields]) for t in terms]
+    hits = lowered.groupBy(*keys).agg(*[F.sum(s).alias(f"_t{i}") for i, s in enumerate(sums)])
+    least = F.array_min(F.array(*[
         F.struct(F.col(f"_t{i}").alias("hits"), F.lit(i).alias("pos"), F.lit(t).alias("term"))
         for i, t in enumerate(terms)]))
-    return hits.select(*keys, F.get(ranked, F.lit(0))["term"].alias("term"), F.get(ranked, F.lit(0))["hits"].alias("hits"))
-
+    return hits.select(*keys, least["term"].alias("term"), least["hits"].alias("hits"))

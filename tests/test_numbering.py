@@ -47,11 +47,11 @@ def test_cap_keeps_the_first_rows(skewed):
     data, df = skewed
     named = df.where("k is not null")
     got = {}
-    for r in search.capped(named, ["k"], [F.col("v"), F.col("id")], 100, F.col("id")).collect():
+    for r in search.capped(named, ["k"], [("v", True), ("id", False)], 100).collect():
         got.setdefault(r.k, (set(), r.is_partial))[0].add(r.id)
     for k, members in groups(data).items():
         if k is not None:
-            assert got[k] == ({i for _, i in sorted(members)[:100]}, len(members) > 100)
+            assert got[k] == ({i for _, i in sorted(members, key=lambda m: (-m[0], m[1]))[:100]}, len(members) > 100)
 
 
 @pytest.mark.parametrize("limit", [7, 50, 2000])
