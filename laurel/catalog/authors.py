@@ -123,6 +123,36 @@ def j07(spark, d):
     return J.project_researchers(project_messages(spark, d), labs(suppliers(spark, d)))
 
 
+PROJECT_PEOPLE = """lead as (select paper_id, 'Lab' || inst as lead from people where pos = 0),
+listing as (
+ select key_id, p.paper_id as id, -1 as pos, case when p.paper_id % 3 = 1 then cast(p.a_id as varchar) else coalesce(k.a_id,
+  's' || substr(md5(p.name || chr(1) || 'Lab' || p.inst), 1, 16)) end as a_id, p.name, 'Lab' || p.inst as inst
+ from people p left join known k on k.name = p.name and k.inst = p.inst where pos = 0 and p.paper_id % 4 <> 0
+ union all
+ select key_id, p.paper_id, pos, cast(p.a_id as varchar), p.name, case when k.a_id is not null then 'Lab' || k.inst else lead end
+ from people p join lead using (paper_id) left join known k on k.a_id = cast(p.a_id as varchar)
+ where p.paper_id % 4 <> 0 and p.a_id % 5 <> 0)"""
+
+
+@query("j05_j06_j07_authors_after_projects", with_views(AUTHOR_PAPER, PEOPLE, SUPPLIERS, PROJECT_PEOPLE) + """,
+firsts as (select a_id, name, inst, row_number() over (partition by a_id order by id, name, inst) as rn from listing),
+moved as (select a_id, inst, row_number() over (partition by a_id order by id desc, inst desc) as rn from listing where pos = -1)
+select k.a_id, k.name, coalesce(m.inst, 'Lab' || k.inst) as inst from known k left join moved m on m.a_id = k.a_id and m.rn = 1
+union all select a_id, name, inst from firsts where rn = 1 and a_id not in (select a_id from known)""")
+def j07_authors(spark, d):
+    projects = project_messages(spark, d).withColumn("seq", F.col("id"))
+    return J.resolve_projects(projects, labs(suppliers(spark, d)))[1]
+
+
+@query("j06_j07_projects_with_author_ids", with_views(AUTHOR_PAPER, PEOPLE, SUPPLIERS, PROJECT_PEOPLE) + """
+select key_id, id, min(name) filter (where pos = -1) as mng, min(a_id) filter (where pos = -1) as "mngId",
+ coalesce(string_agg(name, ';' order by pos) filter (where pos >= 0), '') as rsc,
+ coalesce(string_agg(a_id, ';' order by pos) filter (where pos >= 0), '') as "rscId" from listing group by 1, 2""")
+def j07_written_back(spark, d):
+    projects = project_messages(spark, d).withColumn("seq", F.col("id"))
+    return J.listed_people(J.resolve_projects(projects, labs(suppliers(spark, d)))[0])
+
+
 def paper_messages(spark, d, with_ids=False):
     base = D.author_institutions(spark, d).withColumnRenamed("paper_id", "id")
     return base if with_ids else base.withColumn("author_id", F.lit(None).cast("string"))

@@ -333,9 +333,8 @@ def s02(spark, d):
     """Records to JSON and back, as they pass a topic."""
     rows = D.author_institutions(spark, d).select(
         F.lit("SITE").alias("site"), "key_id", F.col("paper_id").cast("string").alias("id"), "author", "author_id", "author_inst")
-    sent = messages.as_messages(rows)
-    return sent.select(F.from_json("value", messages.MESSAGE).alias("m")).select(
-        "m.site", "m.key_id", "m.id", "m.author", "m.author_id", "m.author_inst")
+    sent = messages.as_messages(rows).select("topic", F.col("value").cast("binary"), F.lit(0).cast("long").alias("offset"))
+    return messages.topic_rows(sent).select("site", "key_id", "id", "author", "author_id", "author_inst")
 
 
 @query("s11_s13_stored_records", VIEWS + """

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from laurel.catalog.factors import r6
+from laurel.catalog.factors import AS_OF, NORMALISED, PARTNERS, QUERY_TEXT, factor_sql, query_table, r6, rounded
 from laurel.catalog.payloads import SRC, wos_folder
-from laurel.catalog.registry import AUTHOR_PAPER, INSTITUTIONS, query, with_views
+from laurel.catalog.registry import query, with_views
 from laurel.operators import factors as A
 from laurel.operators.numbering import number_rows
 from laurel.plans import driver_tables as D
+from laurel.plans.scoring import expert_factors, paper_records
 from laurel.session import scratch_path
 from laurel.sources import files, messages, providers, tables
 from laurel.streaming import jobs
@@ -128,45 +129,44 @@ def t12(spark, d):
 
 def record_messages(spark, d):
     """Records with authors as messages: one query per order priority, every eighth record sent twice."""
-    rows = D.author_institutions(spark, d)
+    rows = D.author_institutions(spark, d).drop("author_id").join(D.records(spark, d), ["key_id", "paper_id"])
     totals = rows.groupBy("key_id").agg(F.count("*").alias("total"))
     numbered = number_rows(rows, ["key_id"], [F.col("paper_id")], "rn").join(totals, "key_id")
     copies = F.when(F.col("paper_id") % 8 == 0, 2).otherwise(1)
     return numbered.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select(
         F.lit("SITE").alias("site"), "key_id", F.col("paper_id").cast("string").alias("id"),
         (F.col("rn") * 2 + F.col("copy")).alias("seq"), (F.col("rn") / F.col("total")).alias("progress"),
-        "author", "author_inst", (F.col("rn") * SENDS / (F.col("total") + 1)).cast("int").alias("send"))
+        "author", "author_inst", "title", "paper_keyword", "issue_inst", "issue_lang",
+        F.col("issue_year").cast("string").alias("issue_year"), F.col("citation").cast("int").alias("citation"),
+        (F.col("rn") * SENDS / (F.col("total") + 1)).cast("int").alias("send"))
 
 
-@query("t08_t09_t10_collect_and_score", with_views(AUTHOR_PAPER, INSTITUTIONS) + """
-, named as (select p.key_id, p.paper_id, p.pos, p.n_authors,
-  's' || substr(md5(s_name || chr(1) || n_name), 1, 16) as a_id from author_paper p
-  join supplier on s_suppkey = p.a_id join nation on n_nationkey = s_nationkey)
-select key_id, a_id, count(*) as productivity, round(sum(case when pos = 0 then 1.0 when pos = n_authors - 1 then 3.0
- else (pos + 1) / n_authors end), 6) as contrib, 2 as state from named group by 1, 2""")
+@query("t08_t09_t10_collect_and_score", factor_sql() + f""", normalised as (select {NORMALISED} from ungated join tops using (key_id))
+select n.* replace ('s' || substr(md5(s_name || chr(1) || n_name), 1, 16) as a_id), 2 as state, 100.0 as progress
+from normalised n join supplier on s_suppkey = a_id join nation on n_nationkey = s_nationkey""")
 def t09(spark, d):
     """Messages to facts, facts to factor rows of the finished queries; equal to the batch result."""
     landed = landed_messages(spark, d, record_messages)
     empty = spark.createDataFrame([], jobs.AUTHORS)
     facts = jobs.Collection(spark, scratch_path(spark, "facts"), empty)
     run(jobs.collect(messages.stream(spark, landed, per_trigger=8), facts, scratch_path(spark, "ck")))
-    updates, scored, status = (scratch_path(spark, n) for n in ("updates", "scored", "status"))
+    updates, factors, status = (scratch_path(spark, n) for n in ("updates", "scored", "status"))
     run(jobs.track(messages.stream(spark, landed, per_trigger=8), updates, scratch_path(spark, "ck")))
 
     def score(finished):
         mine = facts.table("author_paper").join(finished, "key_id", "left_semi")
-        return mine.groupBy("key_id", "a_id").agg(
-            F.count("*").alias("productivity"), F.sum(A.position_points()).alias("contrib"))
+        raw = paper_records(facts.table("raw").join(finished, "key_id", "left_semi"))
+        return expert_factors(mine, raw, A.paper_profile(PARTNERS), AS_OF, D.impact(spark, d),
+                              query_table(spark, QUERY_TEXT))
 
     def store(rows):
         watched, _ = S.observed(rows, "analysis")
-        tables.store_factors(watched, scored)
+        tables.store_factors(watched, factors)
 
     stream = spark.readStream.schema(P.UPDATE).parquet(updates)
     run(jobs.score_finished(stream, score, store, status, scratch_path(spark, "ck")))
-    done = spark.read.parquet(status).select("key_id", "state")
-    return tables.load(spark, scored).join(done, "key_id").select(
-        "key_id", "a_id", "productivity", r6("contrib").alias("contrib"), "state")
+    done = spark.read.parquet(status).select("key_id", "state", "progress")
+    return rounded(tables.load(spark, factors).join(done, "key_id"))
 
 
 @query("s03_t13_landed_exports", SRC + """

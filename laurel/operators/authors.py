@@ -145,3 +145,28 @@ def project_researchers(projects: DataFrame, authors: DataFrame) -> DataFrame:
         "key_id", "id", "pos", "a_id",
         F.coalesce("known_name", "listed_name").alias("name"),
         F.when(F.col("known_name").isNotNull(), F.col("known_inst")).otherwise(F.col("lead")).alias("inst"))
+
+
+def resolve_projects(projects: DataFrame, authors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(listing, authors): manager (pos -1) and researchers of every project, and the author table afterwards.
+
+    A person who is both is listed twice. A known manager takes the lead agency as institution, unknown people are
+    added. `projects` needs `seq`, the order of arrival.
+    """
+    managers = project_managers(projects, authors).withColumn("pos", F.lit(-1))
+    columns = ["key_id", "id", "pos", "a_id", "name", "inst"]
+    listing = managers.select(*columns).unionByName(project_researchers(projects, authors).select(*columns))
+    arrival = projects.select("key_id", "id", "seq")
+    refs = listing.join(arrival, ["key_id", "id"])
+    moved = with_latest_inst(authors.select("a_id", "name", "inst"), refs.where(F.col("pos") == -1))
+    return listing, moved.unionByName(missing_authors(refs, authors))
+
+
+def listed_people(listing: DataFrame) -> DataFrame:
+    """Manager and researchers written back to the project, in listed order. One group is one project's list."""
+    people = F.array_sort(F.collect_list(F.struct("pos", "a_id", "name")))
+    grouped = listing.groupBy("key_id", "id").agg(people.alias("p"))
+    lead = F.get("p", F.lit(0))
+    rest = F.filter("p", lambda x: x["pos"] >= 0)
+    return grouped.select("key_id", "id", lead["name"].alias("mng"), lead["a_id"].alias("mngId"),
+                          R.emit(rest["name"]).alias("rsc"), R.emit(rest["a_id"]).alias("rscId"))

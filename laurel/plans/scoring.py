@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from laurel.functions import text as X
 from laurel.operators import factors as A
 from laurel.operators.relevance import with_relevance
 from laurel.session import stored
@@ -12,6 +14,19 @@ PAPER_TEXTS = ["title", "english_title", "paper_keyword", "abstract", "english_a
 PROJECT_TEXTS = ["koTitle", "enTitle", "koKeyword", "enKeyword"]
 
 
+def paper_records(raw: DataFrame) -> DataFrame:
+    """Stored paper records as the scoring reads them: year and citation as numbers."""
+    return raw.withColumnRenamed("id", "paper_id").withColumn("issue_year", X.year_of(F.col("issue_year"))).withColumn(
+        "citation", X.whole_number(F.col("citation").cast("string")))
+
+
+def project_records(raw: DataFrame) -> DataFrame:
+    """Stored project records: year of the end, else of the start, else 2000; manager and fund."""
+    return raw.select(
+        "key_id", F.col("id").alias("paper_id"), F.col("mngId").alias("manager_id"), F.col("totalFund").alias("total_fund"),
+        X.year_of(X.fold_null(F.col("prdEnd")), X.fold_null(F.col("prdStart"))).alias("issue_year"), *PROJECT_TEXTS)
+
+
 def ungated_factors(
     author_paper: DataFrame,
     records: DataFrame,

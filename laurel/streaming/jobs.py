@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from laurel.operators import authors as J
+from laurel.schemas import PAPER, names
 from laurel.streaming import progress as P
 from laurel.streaming import records as S
 
-RAW = "key_id string, id string, seq long, author string, author_id string, author_inst string"
+RAW = f"{PAPER}, seq long"
 LISTING = "key_id string, paper_id string, a_id string, pos int, n_authors int"
 AUTHORS = "a_id string, name string, inst string"
 
@@ -76,8 +77,7 @@ class Collection:
 
 def collect(stream: DataFrame, collection: Collection, checkpoint: str) -> StreamingQuery:
     """Records once each. Seen keys are kept as stream state, so no batch reads the stored records again."""
-    columns = [c.split()[0] for c in RAW.split(",")]
-    new = S.deduplicated(S.data_rows(S.routed(stream)).select(*columns))
+    new = S.deduplicated(S.data_rows(S.routed(stream)).select(*names(RAW)))
     return in_batches(new, collection.add, checkpoint)
 
 
