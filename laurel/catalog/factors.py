@@ -171,7 +171,7 @@ COOP_SQL = " or ".join(f"contains(author_inst, '{p}')" for p in PARTNERS)
 select a.key_id, a.a_id, cast(sum(case when {COOP_SQL} then 1 else 0 end) as bigint) as coop
 from author_paper a join institutions using (key_id, paper_id) group by 1, 2""")
 def a13(spark, d):
-    hits = D.author_institutions(spark, d).select(
+    hits = D.author_institutions(spark, d, ["author_inst"]).select(
         "key_id", "paper_id", A.partner_hit(F.col("author_inst"), PARTNERS).alias("hit"))
     return D.author_paper(spark, d).join(hits, ["key_id", "paper_id"]).groupBy("key_id", "a_id").agg(
         F.sum("hit").alias("coop"))
@@ -278,8 +278,7 @@ tops as (select key_id, max(quality) as max_quality, max(productivity) as max_pr
 
 def paper_factors(spark, d, usage=False):
     profile = A.usage_profile(PARTNERS) if usage else A.paper_profile(PARTNERS)
-    insts = D.author_institutions(spark, d).select("key_id", "paper_id", "author_inst")
-    records = D.records(spark, d).join(insts, ["key_id", "paper_id"], "left")
+    records = D.records(spark, d, ["author_inst"])
     return ungated_factors(D.author_paper(spark, d), records, profile, AS_OF, D.impact(spark, d),
                            query_table(spark, QUERY_TEXT))
 

@@ -39,7 +39,7 @@ def text(c):
 def pages(rows, item, separator=""):
     """Items in pages of 100 by record number."""
     page = F.floor(F.col("n") / PAGE).alias("page")
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]), separator)
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]), separator)
     return rows.select("key_id", "n", item.alias("item")).groupBy(page).agg(listed.alias("items"))
 
 

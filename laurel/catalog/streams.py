@@ -129,7 +129,7 @@ def t12(spark, d):
 
 def record_messages(spark, d):
     """Records with authors as messages: one query per order priority, every eighth record sent twice."""
-    rows = D.author_institutions(spark, d).drop("author_id").join(D.records(spark, d), ["key_id", "paper_id"])
+    rows = D.records(spark, d, ["author", "author_inst"]).where("author is not null")
     totals = rows.groupBy("key_id").agg(F.count("*").alias("total"))
     numbered = number_rows(rows, ["key_id"], [F.col("paper_id")], "rn").join(totals, "key_id")
     copies = F.when(F.col("paper_id") % 8 == 0, 2).otherwise(1)

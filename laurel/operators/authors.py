@@ -102,7 +102,7 @@ def resolve_papers(papers: DataFrame, authors: DataFrame) -> tuple[DataFrame, Da
 
 def listed_ids(resolved: DataFrame) -> DataFrame:
     """Author ids and names written back to the paper in listed order, as `;` lists. One group is one author list."""
-    people = F.array_sort(F.collect_list(F.struct("pos", "a_id", "name", "inst")))
+    people = F.sort_array(F.collect_list(F.struct("pos", "a_id", "name", "inst")))
     return resolved.groupBy("key_id", "id").agg(people.alias("p")).select(
         "key_id", "id",
         R.emit(F.col("p")["a_id"]).alias("author_id"),
@@ -164,7 +164,7 @@ def resolve_projects(projects: DataFrame, authors: DataFrame) -> tuple[DataFrame
 
 def listed_people(listing: DataFrame) -> DataFrame:
     """Manager and researchers written back to the project, in listed order. One group is one project's list."""
-    people = F.array_sort(F.collect_list(F.struct("pos", "a_id", "name")))
+    people = F.sort_array(F.collect_list(F.struct("pos", "a_id", "name")))
     grouped = listing.groupBy("key_id", "id").agg(people.alias("p"))
     lead = F.get("p", F.lit(0))
     rest = F.filter("p", lambda x: x["pos"] >= 0)

@@ -37,7 +37,7 @@ def packed(counts: DataFrame, value: str, limit: int) -> DataFrame:
     counts = stored(counts, "facet")  # read by two branches
     small = counts.where(F.col("n") <= limit)
     sizes = small.groupBy(F.col("n").cast("long").alias("n")).agg(F.count("*").alias("many"))
-    ordered = F.array_sort(F.collect_list(F.struct("n", "many")))
+    ordered = F.sort_array(F.collect_list(F.struct("n", "many")))
     state = F.struct(
         F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("load"),
         F.array().cast("array<struct<n:bigint,batch:bigint,room:bigint,per:bigint>>").alias("runs"))

@@ -263,7 +263,7 @@ def paper_lists(author_paper: DataFrame, size: int = 1000) -> DataFrame:
     numbered = number_rows(author_paper.select(*KEY, "paper_id"), KEY, [F.col("paper_id")], "_rn")
     part = F.floor((F.col("_rn") - 1) / size).alias("part")
     return numbered.groupBy(*KEY, part).agg(
-        F.count("*").alias("n_papers"), F.array_sort(F.collect_list("paper_id")).alias("papers"))
+        F.count("*").alias("n_papers"), F.sort_array(F.collect_list("paper_id")).alias("papers"))
 
 
 def query_counts(records: DataFrame, author_paper: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A text becomes the vector of its counts of the query's words; its score is the cosine with the all-ones vector of the
 query's length, i.e. (sum tf / sqrt(sum tf^2)) / sqrt(n). A record takes its text with the best direction, an author
-the best record. The score needs only the row itself, so it is an expression: one regular-expression scan per text
-that keeps nothing but the query's words, no explode, no shuffle, no UDF.
+the best record. The score needs only the row itself, so it is an expression: one regular-expression scan per text,
+of which only the query's words are kept; no explode, no shuffle, no UDF.
 """
 
 from __future__ import annotations
@@ -15,24 +15,23 @@ from pyspark.sql import functions as F
 
 from laurel.functions import text as X
 
-WORD = r"[\p{L}\p{N}_]"
+WORD = r"[\p{L}\p{N}_]{2,}"
+
+
+def words_of(c: Column) -> Column:
+    """Lower-cased words of two or more word characters. One constant pattern, so it is compiled once per task."""
+    return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
 def query_plan(queries: DataFrame) -> DataFrame:
-    """(key_id, query) -> (key_id, words, n_words, pattern).
+    """(key_id, query) -> (key_id, words, n_words).
 
-    `words` is the vocabulary (distinct lower-cased words of two or more word characters), `n_words` the number of
-    blank-separated words of two or more characters. The group marks are removed, so NOT words score, too.
+    `words` is the vocabulary (distinct words), `n_words` the number of blank-separated pieces of two or more
+    characters. The group marks are removed, so NOT words score, too.
     """
     query = X.clean_query(F.col("query"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit(WORD + "{2,}"), F.lit(0)))
     pieces = F.filter(F.regexp_extract_all(query, F.lit(r"\S+"), F.lit(0)), lambda w: F.length(w) >= 2)
-    return queries.select(
-        "key_id",
-        words.alias("words"),
-        F.size(pieces).alias("n_words"),
-        F.concat(F.lit(f"(?<!{WORD})(?:"), F.array_join(words, "|"), F.lit(f")(?!{WORD})")).alias("pattern"),
-    )
+    return queries.select("key_id", F.array_distinct(words_of(query)).alias("words"), F.size(pieces).alias("n_words"))
 
 
 def usable(c: Column) -> Column:
@@ -42,7 +41,8 @@ def usable(c: Column) -> Column:
 
 def direction(texts: Column) -> Column:
     """Best sum tf / sqrt(sum tf^2) over an array of texts; 0 when nothing matches."""
-    hits = F.transform(F.filter(texts, usable), lambda t: F.regexp_extract_all(F.lower(t), F.col("pattern"), F.lit(0)))
+    hits = F.transform(F.filter(texts, usable), lambda t: F.filter(
+        words_of(t), lambda w: F.array_contains(F.col("words"), w)))
 
     def one(hit: Column) -> Column:
         counts = F.transform(F.col("words"), lambda w: F.size(F.filter(hit, lambda h: h == w)).cast("double"))
@@ -75,5 +75,5 @@ def with_relevance(records: DataFrame, queries: DataFrame, columns: list[str], s
         records.join(query_plan(queries), "key_id", "left")
         .withColumn("_best", F.when(F.size("words") > 0, direction(texts)).otherwise(0.0))
         .withColumn("relevance", F.when(F.col("words").isNotNull(), score))
-        .drop("words", "n_words", "pattern", "_best")
+        .drop("words", "n_words", "_best")
     )

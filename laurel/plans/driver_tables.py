@@ -18,14 +18,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
-def author_paper(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record and author. The window sees the distinct authors of one record: one author list."""
+def _listed(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct authors per record with the line they come first in."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
-    keys = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
+    keys = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderpriority").alias("key_id"))
     listed = lines.groupBy("l_orderkey", "l_suppkey").agg(F.min("l_linenumber").alias("line"))
+    return listed.join(keys, listed.l_orderkey == keys.o_orderkey)
+
+
+def author_paper(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per record and author. The window sees the distinct authors of one record: one author list."""
     in_record = Window.partitionBy("l_orderkey")
-    return listed.join(keys, listed.l_orderkey == keys.o_orderkey).select(
-        F.col("o_orderpriority").alias("key_id"),
+    return _listed(spark, folder).select(
+        "key_id",
         F.col("l_suppkey").alias("a_id"),
         F.col("l_orderkey").alias("paper_id"),
         (F.row_number().over(in_record.orderBy("line", "l_suppkey")) - 1).alias("pos"),
@@ -33,9 +38,42 @@ def author_paper(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders as paper records; journal and texts come from the order's first part."""
-    first = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("partkey"))
+def _people(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers as (l_suppkey, author, author_inst)."""
+    return table(spark, folder, "supplier").join(
+        table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
+    ).select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("author"), F.col("n_name").alias("author_inst"))
+
+
+def _author_lists(listed: DataFrame, people: DataFrame, keys, columns, *others) -> DataFrame:
+    """`;` lists in author order. One group is one author list, rebuilt as the cell of a record it stands for."""
+    named = listed.join(people, "l_suppkey", "left").withColumn("author_id", F.col("l_suppkey").cast("string"))
+    entry = F.when(F.col("author_inst").isNotNull(), F.struct("line", "l_suppkey", *columns))
+    rebuilt = named.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("people"), *others)
+    return rebuilt.select(
+        *[c for c in rebuilt.columns if c != "people"],
+        *[F.when(F.size("people") > 0, F.array_join(F.col("people")[c], ";")).alias(c) for c in columns])
+
+
+def author_institutions(spark: SparkSession, folder: str, columns=("author_id", "author", "author_inst")) -> DataFrame:
+    """Records that have authors, with `;` lists of supplier keys, supplier names and nations."""
+    listed = _listed(spark, folder).withColumnRenamed("l_orderkey", "paper_id")
+    return _author_lists(listed, _people(spark, folder), ["key_id", "paper_id"], columns).where(
+        F.col(columns[0]).isNotNull())
+
+
+def records(spark: SparkSession, folder: str, lists=()) -> DataFrame:
+    """Orders as paper records; journal and texts come from the order's first part.
+
+    `lists` names author lists to add; they are built in the same pass over the lines.
+    """
+    lines = table(spark, folder, "lineitem")
+    if lists:
+        listed = lines.groupBy("l_orderkey", "l_suppkey").agg(
+            F.min("l_linenumber").alias("line"), F.min("l_partkey").alias("partkey"))
+        first = _author_lists(listed, _people(spark, folder), ["l_orderkey"], lists, F.min("partkey").alias("partkey"))
+    else:
+        first = lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("partkey"))
     part = table(spark, folder, "part")
     price = F.floor("o_totalprice")
     return (
@@ -52,6 +90,7 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
             F.col("p_brand").alias("issue_inst"),
             F.col("p_name").alias("title"),
             F.col("p_type").alias("paper_keyword"),
+            *lists,
         )
     )
 
@@ -66,24 +105,6 @@ def impact(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def author_institutions(spark: SparkSession, folder: str) -> DataFrame:
-    """Institution string of every record: nations of its suppliers in author order, joined by `;`."""
-    people = table(spark, folder, "supplier").join(
-        table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
-    ).select(F.col("s_suppkey").alias("a_id"), F.col("s_name").alias("name"), F.col("n_name").alias("inst"))
-    return (
-        author_paper(spark, folder).join(people, "a_id")
-        .groupBy("key_id", "paper_id")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "a_id", "name", "inst"))).alias("people"))
-        .select(
-            "key_id", "paper_id",
-            F.array_join(F.col("people")["a_id"].cast("array<string>"), ";").alias("author_id"),
-            F.array_join(F.col("people")["name"], ";").alias("author"),
-            F.array_join(F.col("people")["inst"], ";").alias("author_inst"),
-        )
-    )
-
-
 def projects(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as projects: manager is the first supplier, fund the price; every tenth has no end date."""
     lead = author_paper(spark, folder).where("pos = 0").select(
