@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from laurel.functions import multivalue as R
 from laurel.functions import text as X
+from laurel.operators.dedup import first_per_key
 from laurel.operators.search import performed_by, real_name
 
 
@@ -147,15 +148,17 @@ def project_researchers(projects: DataFrame, authors: DataFrame) -> DataFrame:
         F.when(F.col("known_name").isNotNull(), F.col("known_inst")).otherwise(F.col("lead")).alias("inst"))
 
 
-def resolve_projects(projects: DataFrame, authors: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolve_projects(projects: DataFrame, authors: DataFrame, distinct: bool = False) -> tuple[DataFrame, DataFrame]:
     """(listing, authors): manager (pos -1) and researchers of every project, and the author table afterwards.
 
-    A person who is both is listed twice. A known manager takes the lead agency as institution, unknown people are
+    A person who is both is listed twice, unless `distinct`, which keeps the first listing. A known manager takes the lead agency as institution, unknown people are
     added. `projects` needs `seq`, the order of arrival.
     """
     managers = project_managers(projects, authors).withColumn("pos", F.lit(-1))
     columns = ["key_id", "id", "pos", "a_id", "name", "inst"]
     listing = managers.select(*columns).unionByName(project_researchers(projects, authors).select(*columns))
+    if distinct:
+        listing = first_per_key(listing, ["key_id", "id", "a_id"], ["pos"])
     arrival = projects.select("key_id", "id", "seq")
     refs = listing.join(arrival, ["key_id", "id"])
     moved = with_latest_inst(authors.select("a_id", "name", "inst"), refs.where(F.col("pos") == -1))

@@ -32,15 +32,16 @@ PARTNERS = [
 
 # ---- record-level values ------------------------------------------------------------------------------------------
 
-def with_impact(records: DataFrame, impact: DataFrame) -> DataFrame:
+def with_impact(records: DataFrame, impact: DataFrame, journal: str = "issue_inst") -> DataFrame:
     """Adds `jif`: Korean records look in the `kor` table, all others in the `eng` one; missing gives 0.
 
-    A journal listed twice counts once (its largest value), so a record never multiplies.
+    `journal` names the column to look up. A journal listed twice counts once (its largest value), so a record never
+    multiplies.
     """
     lookup = impact.groupBy(F.col("lang").alias("_lang"), F.col("name").alias("_name")).agg(F.max("jif").alias("_jif"))
     lang = F.when(F.col("issue_lang") == "kor", "kor").otherwise("eng")
     return (
-        records.join(lookup, (lang == F.col("_lang")) & (F.col("issue_inst") == F.col("_name")), "left")
+        records.join(lookup, (lang == F.col("_lang")) & (F.col(journal) == F.col("_name")), "left")
         .withColumn("jif", F.coalesce("_jif", F.lit(0.0)))
         .drop("_lang", "_name", "_jif")
     )

@@ -45,7 +45,10 @@ def _with_offsets(sliced: DataFrame, totals: DataFrame, keys: Sequence[str]) ->
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rn") -> DataFrame:
-    """Exact row_number() over (partition by keys order by order). `order` must be total within a key."""
+    """Exact row_number() over (partition by keys order by order). `order` must be total within a key.
+
+    The rows are sorted and stored once as they are, so pass only the columns the result needs.
+    """
     sliced = _sliced(df, keys, order)
     totals = sliced.groupBy("_slice", *keys).agg(F.count("*").alias("_total"), F.min("_at").alias("_first"))
     placed = _with_offsets(sliced, totals, keys)

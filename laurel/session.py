@@ -36,8 +36,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for a scratch table in the shared folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path for a scratch table in the shared folder, under one folder per application."""
+    application = spark.sparkContext.applicationId
+    return f"{checkpoint_dir(spark)}/laurel-{application}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
