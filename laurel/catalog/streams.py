@@ -27,8 +27,7 @@ def event_messages(spark, d):
     record of all others has progress 1.
     """
     events = D.table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    totals = events.groupBy("user_id").agg(F.count("*").alias("total"))
-    rows = number_rows(events, ["user_id"], [F.col("ts"), F.col("event_id")], "rn").join(totals, "user_id")
+    rows = number_rows(events, ["user_id"], [F.col("ts"), F.col("event_id")], "rn", "total")
     group, last, first = F.col("user_id") % 10, F.col("rn") == F.col("total"), F.col("rn") == 1
     fails, limits = last & (group == 7), (last & (group == 9)) | (first & (group == 8))
     return rows.select(
@@ -130,8 +129,7 @@ def t12(spark, d):
 def record_messages(spark, d):
     """Records with authors as messages: one query per order priority, every eighth record sent twice."""
     rows = D.records(spark, d, ["author", "author_inst"]).where("author is not null")
-    totals = rows.groupBy("key_id").agg(F.count("*").alias("total"))
-    numbered = number_rows(rows, ["key_id"], [F.col("paper_id")], "rn").join(totals, "key_id")
+    numbered = number_rows(rows, ["key_id"], [F.col("paper_id")], "rn", "total")
     copies = F.when(F.col("paper_id") % 8 == 0, 2).otherwise(1)
     return numbered.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select(
         F.lit("SITE").alias("site"), "key_id", F.col("paper_id").cast("string").alias("id"),

@@ -70,10 +70,9 @@ def packed(counts: DataFrame, value: str, limit: int) -> DataFrame:
 
 def largest_excluded(counts: DataFrame, keys: Sequence[str], value: str, limit: int) -> DataFrame:
     """Adds `excluded`: the largest values, as many as needed until the rest holds at most `limit` records."""
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_all"))
     order = [F.col("n").desc(), F.col(value)]
     return (
-        running_sum(counts, keys, order, "n", "_running").join(totals, list(keys))
+        running_sum(counts, keys, order, "n", "_running", "_all")
         .withColumn("excluded", F.col("_all") - (F.col("_running") - F.col("n")) > limit)
         .drop("_running", "_all")
     )

@@ -115,11 +115,10 @@ def tagged(df: DataFrame, key_id, keyword: str, at: Column) -> DataFrame:
 
 def with_progress(df: DataFrame, keys: Sequence[str], order: Sequence[Column], top: float = 0.99) -> DataFrame:
     """Adds `progress`: the record's place / total of the query, at most `top` once it reaches 1."""
-    totals = df.groupBy(*keys).agg(F.count("*").alias("_total"))
-    share = F.col("_rn") / F.col("_total")
+    share = F.col("_rn") / F.col("_of")
     return (
-        number_rows(df, keys, order, "_rn").join(totals, list(keys))
-        .withColumn("progress", F.when(share >= 1, top).otherwise(share)).drop("_rn", "_total")
+        number_rows(df, keys, order, "_rn", "_of")
+        .withColumn("progress", F.when(share >= 1, top).otherwise(share)).drop("_rn", "_of")
     )
 
 
@@ -127,12 +126,10 @@ def with_yearly_progress(df: DataFrame, keys: Sequence[str], year: str, order: S
                          last: int, top: float = 0.99) -> DataFrame:
     """Progress over a search year by year: years done / years + place in the year / total of the year / years."""
     span = last - first + 1
-    by_year = [*keys, year]
-    totals = df.groupBy(*by_year).agg(F.count("*").alias("_total"))
-    share = (F.col(year) - first) / span + F.col("_rn") / F.col("_total") / span
+    share = (F.col(year) - first) / span + F.col("_rn") / F.col("_of") / span
     return (
-        number_rows(df, by_year, order, "_rn").join(totals, by_year)
-        .withColumn("progress", F.when(share >= 1, top).otherwise(share)).drop("_rn", "_total")
+        number_rows(df, [*keys, year], order, "_rn", "_of")
+        .withColumn("progress", F.when(share >= 1, top).otherwise(share)).drop("_rn", "_of")
     )
 
 
