@@ -152,8 +152,8 @@ def t09(spark, d):
     run(jobs.track(messages.stream(spark, landed, per_trigger=8), updates, scratch_path(spark, "ck")))
 
     def score(finished):
-        mine = facts.table("author_paper").join(finished, "key_id", "left_semi")
-        raw = paper_records(facts.table("raw").join(finished, "key_id", "left_semi"))
+        mine = tables.of_queries(facts.table("author_paper"), finished)
+        raw = paper_records(tables.of_queries(facts.table("raw"), finished))
         return expert_factors(mine, raw, A.paper_profile(PARTNERS), AS_OF, D.impact(spark, d),
                               query_table(spark, QUERY_TEXT))
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from laurel.operators import authors as J
 from laurel.schemas import PAPER, names
+from laurel.sources.tables import by_query
 from laurel.streaming import progress as P
 from laurel.streaming import records as S
 
@@ -46,13 +47,16 @@ def _put(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
+def _put_by_query(df: DataFrame, path: str, batch: int) -> None:
+    """In folders per query: scoring a query then reads its own files only."""
+    by_query(df).write.mode("overwrite").partitionBy("key_id").parquet(f"{path}/batch={batch}")
+
+
 class Collection:
     """Facts of the record stream: raw records, author listings and authors, in `folder`."""
 
     def __init__(self, spark: SparkSession, folder: str, authors: DataFrame):
         self.spark, self.folder = spark, folder
-        _put(spark.createDataFrame([], RAW), self.path("raw"), -1)
-        _put(spark.createDataFrame([], LISTING), self.path("author_paper"), -1)
         _put(authors.select("a_id", "name", "inst"), self.path("author"), -1)
 
     def path(self, name: str) -> str:
@@ -68,8 +72,8 @@ class Collection:
         known = self.table("author", batch)
         listing, grown = J.resolve_papers(fresh, known)
         sizes = fresh.select("key_id", "id", F.size(F.split("author", ";")).alias("n_authors"))
-        _put(fresh, self.path("raw"), batch)
-        _put(listing.join(sizes, ["key_id", "id"]).select(
+        _put_by_query(fresh, self.path("raw"), batch)
+        _put_by_query(listing.join(sizes, ["key_id", "id"]).select(
             "key_id", F.col("id").alias("paper_id"), "a_id", "pos", "n_authors"), self.path("author_paper"), batch)
         _put(grown.join(known, "a_id", "left_anti").select("a_id", "name", "inst"), self.path("author"), batch)
         fresh.unpersist()
