@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from laurel.catalog.registry import AUTHOR_PAPER, INSTITUTIONS, query, with_views
+from laurel.catalog.registry import AUTHOR_PAPER, query, with_views
 from laurel.catalog.scalars import PEOPLE
-from laurel.functions import fuzzy
 from laurel.operators import authors as J
 from laurel.operators.identifiers import with_aligned_ids, with_best_author
 from laurel.plans import driver_tables as D
