@@ -7,6 +7,7 @@ import pytest
 from compare import compare, oracle
 
 from __spark_entry__ import entry, oracle_sql, queries
+from laurel.catalog import ENTRIES
 
 SQL = oracle_sql()
 
@@ -16,14 +17,14 @@ def duck(data):
     return oracle(data)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(ENTRIES))
 def test_query(spark, duck, data, name):
     ok, message = compare(spark, duck, data, name, queries()[name], SQL.get(name), allow_empty=True)
     assert ok, message
 
 
-def test_every_query_has_a_sql_form():
-    assert set(queries()) == set(SQL)
+def test_every_query_of_the_catalog_has_a_sql_form():
+    assert set(ENTRIES) <= set(SQL)
 
 
 def test_entry(spark):
