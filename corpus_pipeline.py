@@ -3,11 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from laurel.llm import exact_dedup, packing
+from laurel.llm import exact_dedup, jaccard_join, language, packing, toxicity
 from laurel.llm.queries import tokenizer_file
+from laurel.llm.tables import table
 from laurel.session import stored
 
+MIN_LANGUAGE_SCORE = 0.2  # below, a text is in none of the learned languages
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that the model calls toxic. It learns from the labels of the documents."""
+    scores = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return docs.join(scores.where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents in no learned language: without letters, or far from all."""
+    found = language.identified(docs, language.fit(docs))
+    bad = found.where((F.col("lang_pred") == language.UNDETERMINED) | (F.col("score") < MIN_LANGUAGE_SCORE))
+    return docs.join(bad.select("doc_id").distinct(), "doc_id", "left_anti")
+
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row of each text that the content sort keeps."""
@@ -15,21 +32,31 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.join(kept, "doc_id", "left_semi")
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least id of every class of linked documents."""
+    classes = jaccard_join.near_duplicate_classes(docs)
+    dropped = classes.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti")
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents left, placed in sequences."""
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
 STAGES = [
-    ("3 exact copies", drop_exact_copies),
-    ("4 packing", pack_sequences),
+    ("toxicity (2)", drop_toxic),
+    ("language ID (9)", drop_undetermined),
+    ("exact dedup (3)", drop_exact_copies),
+    ("n-gram Jaccard join (6)", drop_near_copies),
+    ("packing (4)", pack_sequences),
 ]
 ORACLE_SQL = None  # the learned stages and the tokenizer have no SQL form
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to the documents; each stage's rows are written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stored(stage(spark, docs, sf_dir), f"stage{i}")
     return docs

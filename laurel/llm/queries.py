@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laurel.llm import exact_dedup, packing, sharding
+from laurel.llm import exact_dedup, html_text, jaccard_join, language, packing, sharding, toxicity
 from laurel.llm.tables import table
 
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -46,3 +46,25 @@ def content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_least_squares_packing")
 def least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@query("op6_set_relation_join")
+def set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op2_boosted_toxicity")
+def boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op9_string_kernel")
+def string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identified(docs, language.fit(docs))
+
+
+@query("op10_block_tree")
+def block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
