@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from laurel.llm import exact_dedup, jaccard_join, language, packing, toxicity
 from laurel.llm.queries import tokenizer_file
-from laurel.llm.tables import table
+from laurel.llm.tables import split_by_ids, table, without_ids
 from laurel.session import stored
 
 MIN_LANGUAGE_SCORE = 0.2  # below, a text is in none of the learned languages
@@ -16,27 +16,30 @@ MIN_LANGUAGE_SCORE = 0.2  # below, a text is in none of the learned languages
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the model calls toxic. It learns from the labels of the documents."""
     scores = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return docs.join(scores.where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti")
+    return without_ids(docs, stored(scores.where("predicted = 1").select("doc_id"), "toxic"))
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no learned language: without letters, or far from all."""
     found = language.identified(docs, language.fit(docs))
     bad = found.where((F.col("lang_pred") == language.UNDETERMINED) | (F.col("score") < MIN_LANGUAGE_SCORE))
-    return docs.join(bad.select("doc_id").distinct(), "doc_id", "left_anti")
+    return without_ids(docs, stored(bad.select("doc_id"), "undetermined"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row of each text that the content sort keeps."""
-    kept = exact_dedup.content_sort(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Keeps the row of each text that the content sort keeps; of rows with the same id and text, one."""
+    found = stored(exact_dedup.content_sort(docs).select("doc_id", "text_sha256", "kept"), "copies")
+    may, rest = split_by_ids(docs, found.where("not kept").select("doc_id"))
+    kept = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    may = may.withColumn("_text", F.sha2(exact_dedup.normalised("text"), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sha"))
+    return may.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text").union(rest)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of every class of linked documents."""
     classes = jaccard_join.near_duplicate_classes(docs)
-    dropped = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    return without_ids(docs, stored(classes.where("component_id <> doc_id").select("doc_id"), "near_copies"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

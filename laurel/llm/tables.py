@@ -17,11 +17,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of `docs` whose id may be in `ids`: all that are, and few others.
+def split_by_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The rows of `docs` whose id may be in the first column of `ids` (all that are, and few others), and the rest.
 
     A bitmap of hashed ids is built on the executors and broadcast; its size is fixed (ID_FILTER_BITS). It spares the
-    shuffle of texts that a join would drop anyway, and never drops a row of `ids`; the join itself comes after it.
+    shuffle of texts that a join would drop or keep anyway; the exact join comes after it, on the first part.
     """
     spot = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(ID_FILTER_BITS))
     bitmaps = (ids.select(F.col(ids.columns[0]).alias(doc_id)).select(spot.alias("_spot"))
@@ -29,6 +29,18 @@ def with_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFra
                .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_bits")))
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_spot) div 8 + 1 as int), 1)")), 16, 10)
     is_set = F.expr("shiftright(cast(_byte as int), cast(bitmap_bit_position(_spot) % 8 as int)) & 1 = 1")
-    return (docs.withColumn("_spot", spot).withColumn("_bucket", F.bitmap_bucket_number("_spot"))
-            .join(F.broadcast(bitmaps), "_bucket").withColumn("_byte", byte).where(is_set)
-            .select(*docs.columns))
+    marked = (docs.withColumn("_spot", spot).withColumn("_bucket", F.bitmap_bucket_number("_spot"))
+              .join(F.broadcast(bitmaps), "_bucket", "left").withColumn("_byte", byte))
+    may = F.coalesce(is_set, F.lit(False))
+    return marked.where(may).select(*docs.columns), marked.where(~may).select(*docs.columns)
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of `docs` whose id may be in `ids`: all that are, and few others."""
+    return split_by_ids(docs, ids, doc_id)[0]
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of `docs` whose id is not in the first column of `ids`; rows without id stay."""
+    may, rest = split_by_ids(docs, ids, doc_id)
+    return may.join(ids.select(F.col(ids.columns[0]).alias(doc_id)), doc_id, "left_anti").select(*docs.columns).union(rest)
