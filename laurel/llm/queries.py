@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laurel.llm import exact_dedup, html_text, jaccard_join, language, packing, sharding, toxicity
+from laurel.llm import exact_dedup, fingerprints, html_text, jaccard_join, language, packing, sharding, toxicity
 from laurel.llm.tables import table
 
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -68,3 +68,9 @@ def string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_block_tree")
 def block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
+@query("op5_improbable_features")
+def improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return fingerprints.fingerprints(docs, fingerprints.rarity(docs))
