@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from laurel.llm import exact_dedup, fingerprints, html_text, jaccard_join, language, packing, sharding, toxicity
+from laurel.llm import exact_dedup, fingerprints, html_text, jaccard_join, language, packing, sharding, toxicity, url_lists
 from laurel.llm.tables import table
 
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -18,6 +19,31 @@ select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc
   sha256(t) as text_sha256
 from n window g as (partition by t)"""
 
+URL_SQL = r"""
+with captures as (
+  select page_id, date '2024-01-01' + cast(page_id % 366 as integer) as fetched,
+    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') as host
+  from pages),
+changes as (
+  select case when page_id % 2 = 0 then host else array_to_string(string_split(host, '.')[-2:], '.') end as entry,
+    date '2024-01-01' + cast((page_id * 7 + 3) % 366 as integer) as day, page_id as seq,
+    case page_id % 5 when 0 then 'block' when 1 then 'block' when 2 then 'allow' else 'remove' end as action
+  from captures where host is not null),
+daily as (select entry, day, arg_max(action, seq) as action from changes group by all),
+periods as (
+  select entry, day as since, lead(day) over (partition by entry order by day) as until, action from daily),
+named as (
+  select page_id, fetched, unnest(list_transform(range(1, len(string_split(host, '.')) + 1),
+    lambda i: array_to_string(string_split(host, '.')[i:], '.'))) as entry
+  from captures where host is not null),
+best as (
+  select n.page_id, p.entry, p.since, p.action
+  from named n join periods p on p.entry = n.entry and n.fetched >= p.since and (p.until is null or n.fetched < p.until)
+  where p.action <> 'remove'
+  qualify row_number() over (partition by n.page_id order by length(p.entry) desc) = 1)
+select c.page_id, c.host, c.fetched, b.entry, b.since, coalesce(b.action, 'none') as verdict
+from captures c left join best b using (page_id)"""
+
 
 def query(name: str, sql: str | None = None):
     def add(fn):
@@ -74,3 +100,19 @@ def block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return fingerprints.fingerprints(docs, fingerprints.rarity(docs))
+
+
+@query("op8_temporal_lists", URL_SQL)
+def temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a capture, every page also as a dated change of its host's or domain's list entry."""
+    start = F.lit("2024-01-01").cast("date")
+    captures = (table(spark, sf_dir, "pages").select("page_id", "url")
+                .withColumn("fetched", F.date_add(start, (F.col("page_id") % 366).cast("int"))))
+    hosts = captures.withColumn("host", url_lists.host_of("url"))
+    action = F.element_at(F.array(*map(F.lit, ("block", "block", "allow", "remove", "remove"))),
+                          (F.col("page_id") % 5 + 1).cast("int"))
+    changes = hosts.select(
+        F.when(F.col("page_id") % 2 == 0, F.col("host")).otherwise(url_lists.registered_domain("host")).alias("entry"),
+        F.date_add(start, ((F.col("page_id") * 7 + 3) % 366).cast("int")).alias("day"),
+        F.col("page_id").alias("seq"), action.alias("action"))
+    return url_lists.verdicts(captures, changes)
