@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laurel.llm import exact_dedup, fingerprints, html_text, jaccard_join, language, packing, sharding, toxicity, url_lists
+from laurel.llm import exact_dedup, fingerprints, html_text, jaccard_join, language, packing, pieces, sharding, toxicity, url_lists
 from laurel.llm.tables import table
 
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -116,3 +116,12 @@ def temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_add(start, ((F.col("page_id") * 7 + 3) % 366).cast("int")).alias("day"),
         F.col("page_id").alias("seq"), action.alias("action"))
     return url_lists.verdicts(captures, changes)
+
+
+@query("op7_piece_lattice")
+def piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = pieces.PieceTable.load(tokenizer_file("piece_bpe_32k.model"))
+    found = pieces.encode(docs, model)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
