@@ -30,10 +30,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keeps the row of each text that the content sort keeps; of rows with the same id and text, one."""
     found = stored(exact_dedup.content_sort(docs).select("doc_id", "text_sha256", "kept"), "copies")
     may, rest = split_by_ids(docs, found.where("not kept").select("doc_id"))
-    kept = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    may = may.withColumn("_text", F.sha2(exact_dedup.normalised("text"), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sha"))
-    return may.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text").union(rest)
+    kept = found.where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    rows = may.select(F.struct(*[may[c] for c in may.columns]).alias("row"), F.col("doc_id").alias("own_id"),
+                      F.sha2(exact_dedup.normalised("text"), 256).alias("own_sha"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_sha") == F.col("sha"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["own_id", "own_sha"]).select("row.*").union(rest)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -217,53 +217,67 @@ def _list_pairs(doc, n, pos, root, old: int, percent: int) -> Iterator[pa.Record
         yield _batch(["a", "b", "n_a", "n_b"], *np.concatenate(out).T.copy())
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
-    """(doc, elements) of the documents that `ids` names, and of few others."""
+def _sets_of(docs: DataFrame, pairs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
+    """(doc, n, elements): the whole sets of the documents in `pairs` (a, b), and of few others."""
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _batch(["doc", "elements"], batch.column(0),
-                         pa.array([own.tobytes() for own in shingle_sets(batch.column(1), width)], pa.binary()))
+            sets = list(shingle_sets(batch.column(1), width))
+            yield _batch(["doc", "n", "elements"], batch.column(0), pa.array([len(own) for own in sets], pa.int64()),
+                         pa.array([own.tobytes() for own in sets], pa.binary()))
 
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text))
-    return with_ids(plain, ids).mapInArrow(elements, "doc long, elements binary")
+    return with_ids(plain, _ends(pairs)).mapInArrow(elements, "doc long, n long, elements binary")
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, both): the exact overlap of every distinct pair (a, b).
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+
+
+def bounds(pairs: DataFrame, sets: DataFrame, item: int) -> DataFrame:
+    """(a, b, n_a, n_b, least, most): bounds of the overlap of every distinct pair (a, b).
+
+    `sets` has (doc, n, elements): of a set of n, its first elements in the common order, `item` bytes each. Of the two
+    sets, the one whose known elements end first has all its known common elements among the other's, so the overlap is
+    at most the common known elements and that set's unknown ones. With whole sets both bounds are the overlap.
 
     The pairs of one first set are compared in groups of about MEMBERS, each with its own copy of that set, so a set
     with very many pairs spreads over tasks; a task holds one first set and a batch of others.
     """
+    def unpacked(raw: bytes) -> np.ndarray:
+        wide = np.zeros((len(raw) // item, 8), np.uint8)
+        wide[:, :item] = np.frombuffer(raw, np.uint8).reshape(-1, item)
+        return np.sort(wide.view("<u8").ravel())
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, firsts = None, []
         for batch in batches:
             out = []
-            for a, salt, b, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(raw, "<u8")
+            for a, salt, b, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = unpacked(raw)
                 if (a, salt) != group:
                     group, firsts = (a, salt), []
                 if b is None:
-                    firsts.append(own)
+                    firsts.append((n, own))
                     continue
-                for first in firsts:  # more than one only where rows share an id
+                for m, first in firsts:  # more than one only where rows share an id
                     small, large = (first, own) if len(first) < len(own) else (own, first)
                     at = np.searchsorted(large, small)
                     at[at == len(large)] = 0
                     both = int((large[at] == small).sum()) if len(large) else 0
-                    out.append((a, b, len(first), len(own), both))
+                    out.append((a, b, m, n, both, min(both + max(m - len(first), n - len(own)), m, n)))
             if out:
-                yield _batch(["a", "b", "n_a", "n_b", "both"],
+                yield _batch(["a", "b", "n_a", "n_b", "least", "most"],
                              *[pa.array(c, pa.int64()) for c in zip(*out, strict=True)])
 
     groups = (pairs.groupBy("a").agg(F.count("*").alias("_pairs"))
               .select("a", F.ceil(F.col("_pairs") / MEMBERS).alias("groups")))
     others = (pairs.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups")))
-              .join(sets.withColumnRenamed("doc", "b"), "b").select("a", "salt", "b", "elements"))
+              .join(sets.withColumnRenamed("doc", "b"), "b").select("a", "salt", "b", "n", "elements"))
     firsts = (groups.join(sets.withColumnRenamed("doc", "a"), "a")
               .select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"),
-                      F.lit(None).cast("long").alias("b"), "elements"))
+                      F.lit(None).cast("long").alias("b"), "n", "elements"))
     return (firsts.union(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-            .mapInArrow(compare, "a long, b long, n_a long, n_b long, both long"))
+            .mapInArrow(compare, "a long, b long, n_a long, n_b long, least long, most long"))
 
 
 def _linked(both: Column, n: Column, m: Column, percent: int) -> Column:
@@ -284,23 +298,33 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", doc_id: str = "d
     give no rows.
     """
     described = stored(described_sets(docs, text, doc_id, width, percent), "sets")
-    reps = (described.where("n > 0 and doc_id is not null").groupBy("sig")
-            .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix")))
+    reps = stored(described.where("n > 0 and doc_id is not null").groupBy("sig")
+                  .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix")),
+                  "reps")
     lists = stored(_lists(_postings(reps), percent), "lists")
-    sets = stored(_sets_of(docs, lists.where("kind = 0").select(F.col("y").alias("doc_id")), text, doc_id, width),
-                  "elements")
+    prefixes = reps.select(F.col("rep").alias("doc"), "n", F.col("prefix").alias("elements"))
+
+    def compared(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The bounds of all pairs by their prefixes, and the overlaps of those that may be linked."""
+        rough = stored(bounds(pairs, with_ids(prefixes, _ends(pairs), "doc"), 6), "bounds")
+        may = rough.where(_linked(F.col("most"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+        return rough, stored(bounds(may, _sets_of(docs, may, text, doc_id, width), 8), "overlaps")
+
+    def links_of(exact: DataFrame) -> DataFrame:
+        return exact.where(_linked(F.col("least"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
-    near = lists.where("kind = 1").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    first = stored(overlaps(near, sets), "overlaps")
-    links = first.where(_linked(F.col("both"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-    roots = stored(components(links), "roots")
+    near = stored(lists.where("kind = 1").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(),
+                  "near")
+    rough, exact = compared(near)
+    roots = stored(components(links_of(exact)), "roots")
 
     crossing = stored(_crossing_pairs(lists, roots, percent)
                       .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                      .join(first.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
-    more = _derived_links(crossing, first, sets, percent)
+                      .join(near, ["a", "b"], "left_anti"), "crossing")
+    decided = _derived(crossing, rough.join(exact.select("a", "b"), ["a", "b"], "left_anti").union(exact), prefixes, percent)
+    _, late = compared(decided.where("not yes and not no").select("a", "b"))
     stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    final = components(stars.union(more))
+    final = components(stars.union(decided.where("yes").select("a", "b")).union(links_of(late)))
 
     of_set = reps.select("sig", "rep")
     return (described.select("doc_id", "n", "sig").join(of_set, "sig", "left")
@@ -309,40 +333,34 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", doc_id: str = "d
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id")))
 
 
-def _derived_links(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among `pairs`, most of them decided by overlaps of similar sets instead of their own.
+def _derived(pairs: DataFrame, known: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, yes, no) for `pairs`: what the known bounds of similar sets tell of their own overlap.
 
-    Every set has a lead: the set of the largest known overlap (or itself). With d = elements of a set that its lead
-    lacks and e = elements of the lead that the set lacks, the overlap of a and b is at most that of their leads plus
-    both d, and at least that less both e.
+    Every set has a lead: the set of the largest known overlap with it, or itself. With d = elements of a set that its
+    lead may lack and e = elements of the lead that the set may lack, the overlap of a and b is at most that of their
+    leads plus both d, and at least that less both e. The bounds of two leads are computed once for all their followers.
     """
-    ends = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    best = (known.select(F.col("b").alias("doc"), F.struct("both", (-F.col("a")).alias("minus"), F.col("n_b").alias("n"),
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    sizes = stored(ends.join(prefixes.groupBy("doc").agg(F.max("n").alias("size")), "doc"), "sizes")
+    best = (known.select(F.col("b").alias("doc"), F.struct("least", (-F.col("a")).alias("minus"), F.col("n_b").alias("n"),
                                                            F.col("n_a").alias("lead_n")).alias("best"))
             .join(ends, "doc", "left_semi").groupBy("doc").agg(F.max("best").alias("best")))
-    lead = stored(ends.join(best, "doc", "left").select(
-        "doc", F.coalesce(-F.col("best.minus"), F.col("doc")).alias("lead"),
-        F.coalesce(F.col("best.n") - F.col("best.both"), F.lit(0)).alias("d"),
-        F.coalesce(F.col("best.lead_n") - F.col("best.both"), F.lit(0)).alias("e")), "leads")
-    side = [lead.select(F.col("doc").alias(x), F.col("lead").alias(f"l_{x}"), F.col("d").alias(f"d_{x}"),
-                        F.col("e").alias(f"e_{x}")) for x in ("a", "b")]
+    lead = stored(sizes.join(best, "doc", "left").select(
+        "doc", "size", F.coalesce(-F.col("best.minus"), F.col("doc")).alias("lead"),
+        F.coalesce(F.col("best.n") - F.col("best.least"), F.lit(0)).alias("d"),
+        F.coalesce(F.col("best.lead_n") - F.col("best.least"), F.lit(0)).alias("e")), "leads")
+    side = [lead.select(F.col("doc").alias(x), F.col("size").alias(f"n_{x}"), F.col("lead").alias(f"l_{x}"),
+                        F.col("d").alias(f"d_{x}"), F.col("e").alias(f"e_{x}")) for x in ("a", "b")]
     placed = stored(pairs.join(side[0], "a").join(side[1], "b").withColumn("p", F.least("l_a", "l_b"))
                     .withColumn("q", F.greatest("l_a", "l_b")), "placed")
-    wanted = placed.where("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
-    have = known.select("a", "b", "both")
-    computed = stored(overlaps(wanted.join(have, ["a", "b"], "left_anti"), sets), "leads_overlaps")
-    leads = (have.join(wanted, ["a", "b"], "left_semi").union(computed.select("a", "b", "both"))
-             .select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("both").alias("lead_both")))
-    sizes = sets.select("doc", F.expr("octet_length(elements) div 8").alias("size")).dropDuplicates(["doc"])
-    bounded = (placed.join(leads, ["p", "q"], "left")
-               .join(sizes.withColumnRenamed("doc", "a").withColumnRenamed("size", "n_a"), "a")
-               .join(sizes.withColumnRenamed("doc", "b").withColumnRenamed("size", "n_b"), "b"))
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    most = F.least(F.col("lead_both") + F.col("d_a") + F.col("d_b"), n_a, n_b)
-    least = F.col("lead_both") - F.col("e_a") - F.col("e_b")
-    decided = stored(bounded.select(
-        "a", "b", F.coalesce(_linked(least, n_a, n_b, percent), F.lit(False)).alias("yes"),
-        F.coalesce(~_linked(most, n_a, n_b, percent), F.lit(False)).alias("no")), "decided")
-    rest = stored(overlaps(decided.where("not yes and not no").select("a", "b"), sets), "rest_overlaps")
-    return (decided.where("yes").select("a", "b")
-            .union(rest.where(_linked(F.col("both"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")))
+    wanted = stored(placed.where("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct(), "wanted")
+    have = known.select("a", "b", "least", "most").join(wanted, ["a", "b"], "left_semi")
+    new = wanted.join(known, ["a", "b"], "left_anti")
+    found = bounds(new, with_ids(prefixes, _ends(new), "doc"), 6).select("a", "b", "least", "most")
+    leads = have.union(found).select(F.col("a").alias("p"), F.col("b").alias("q"), "least", "most")
+    bounded = placed.join(leads, ["p", "q"], "left")
+    most = F.least(F.col("most") + F.col("d_a") + F.col("d_b"), F.col("n_a"), F.col("n_b"))
+    least = F.col("least") - F.col("e_a") - F.col("e_b")
+    return stored(bounded.select(
+        "a", "b", F.coalesce(_linked(least, F.col("n_a"), F.col("n_b"), percent), F.lit(False)).alias("yes"),
+        F.coalesce(~_linked(most, F.col("n_a"), F.col("n_b"), percent), F.lit(False)).alias("no")), "decided")

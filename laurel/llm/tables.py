@@ -23,16 +23,18 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> tup
     A bitmap of hashed ids is built on the executors and broadcast; its size is fixed (ID_FILTER_BITS). It spares the
     shuffle of texts that a join would drop or keep anyway; the exact join comes after it, on the first part.
     """
-    spot = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(ID_FILTER_BITS))
-    bitmaps = (ids.select(F.col(ids.columns[0]).alias(doc_id)).select(spot.alias("_spot"))
-               .groupBy(F.bitmap_bucket_number("_spot").alias("_bucket"))
-               .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_bits")))
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_spot) div 8 + 1 as int), 1)")), 16, 10)
-    is_set = F.expr("shiftright(cast(_byte as int), cast(bitmap_bit_position(_spot) % 8 as int)) & 1 = 1")
-    marked = (docs.withColumn("_spot", spot).withColumn("_bucket", F.bitmap_bucket_number("_spot"))
-              .join(F.broadcast(bitmaps), "_bucket", "left").withColumn("_byte", byte))
-    may = F.coalesce(is_set, F.lit(False))
-    return marked.where(may).select(*docs.columns), marked.where(~may).select(*docs.columns)
+    def spot(column: str):
+        return F.pmod(F.xxhash64(F.col(column)), F.lit(ID_FILTER_BITS))
+
+    bitmaps = (ids.select(F.col(ids.columns[0]).alias("id")).select(spot("id").alias("spot"))
+               .groupBy(F.bitmap_bucket_number("spot").alias("bucket"))
+               .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), spot(doc_id).alias("spot"))
+    marked = rows.withColumn("bucket", F.bitmap_bucket_number("spot")).join(F.broadcast(bitmaps), "bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(spot) div 8 + 1 as int), 1)")), 16, 10)
+    marked = marked.withColumn("byte", byte.cast("int"))
+    may = F.coalesce(F.expr("shiftright(byte, cast(bitmap_bit_position(spot) % 8 as int)) & 1 = 1"), F.lit(False))
+    return marked.where(may).select("row.*"), marked.where(~may).select("row.*")
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
