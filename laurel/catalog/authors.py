@@ -169,6 +169,17 @@ def j08(spark, d):
     return J.listed_ids(listing)
 
 
+@query("j08_blank_provider_ids", with_views(AUTHOR_PAPER, PEOPLE, SUPPLIERS, RESOLVED) + """
+select key_id, paper_id as id, string_agg(case when a_id % 3 = 0 then cast(a_id as varchar) else rid end, ';' order by pos) as author_id,
+ count(*) as n_authors from resolved group by 1, 2""")
+def j08_blank(spark, d):
+    """Two thirds of the provider ids are blank: these authors are found by name and institution."""
+    some = F.transform(F.split("author_id", ";"), lambda a: F.when(a.cast("long") % 3 == 0, a).otherwise(F.lit(" ")))
+    papers = paper_messages(spark, d, with_ids=True).withColumn("author_id", F.array_join(some, ";"))
+    listing, _ = J.resolve_papers(papers, suppliers(spark, d))
+    return J.listed_ids(listing).select("key_id", "id", "author_id", "n_authors")
+
+
 @query("j08_authors_after_papers", with_views(AUTHOR_PAPER, PEOPLE, SUPPLIERS, RESOLVED) + """
 select a_id, name, inst from known union select distinct rid, name, inst from resolved""")
 def j08_authors(spark, d):
@@ -242,15 +253,18 @@ def j14(spark, d):
     return with_aligned_ids(id_records(spark, d), "author", "entries", "r_id").select("paper_id", "r_id")
 
 
-@query("j14_conflicts", """
-select o_orderkey, case when o_orderkey % 3 = 0 then 'none;none' when o_orderkey % 3 = 1 then 'A0;none' else 'A2;none' end as r_id
-from orders""")
+@query("j14_conflicts", with_views(AUTHOR_PAPER) + """
+select paper_id, string_agg(case (paper_id + a_id) % 4 when 1 then 'A' || a_id when 3 then 'C' || a_id else 'none' end,
+ ';' order by pos) as r_id from author_paper group by 1""")
 def j14_conflicts(spark, d):
-    """One, two and three entries for the same author: the second voids the first, a third takes the author."""
-    n = F.col("o_orderkey") % 3
-    entries = F.when(n == 0, "Kim, Min Ho/A0; Kim, Min Ho/A1").when(n == 1, "Kim, Min Ho/A0").otherwise(
-        "Kim, Min Ho/A0; Kim, Min Ho/A1; Kim, Min Ho/A2")
-    rows = D.table(spark, d, "orders").select("o_orderkey", F.lit("Kim, Min Ho; Lee, So Ra").alias("author"),
-                                              entries.alias("entries"))
+    """None to three entries for each author of a record: the second voids the first, a third takes the author."""
+    rows = D.author_institutions(spark, d, ("author_id",))
+    name = lambda a: F.concat(F.lit("Person "), F.lower(F.translate(a, "0123456789", "KWZQXVBJYP")), a)
+    listed = F.transform(F.split("author_id", ";"), lambda a: a)
+    of_one = lambda a: F.transform(
+        F.slice(F.array(F.lit("A"), F.lit("B"), F.lit("C")), F.lit(1), ((F.col("paper_id") + a.cast("long")) % 4).cast("int")),
+        lambda mark: F.concat(name(a), F.lit("/"), mark, a))
+    rows = rows.select("paper_id", F.array_join(F.transform(listed, name), "; ").alias("author"),
+                       F.array_join(F.flatten(F.transform(listed, of_one)), "; ").alias("entries"))
     ids = F.transform(F.split("r_id", ";"), lambda x: F.when(x == "", "none").otherwise(x))
-    return with_aligned_ids(rows, "author", "entries", "r_id").select("o_orderkey", F.array_join(ids, ";").alias("r_id"))
+    return with_aligned_ids(rows, "author", "entries", "r_id").select("paper_id", F.array_join(ids, ";").alias("r_id"))

@@ -14,7 +14,7 @@ from laurel.plans import driver_tables as D
 from laurel.plans.scoring import scored, ungated_factors
 
 AS_OF = 2001
-LIST_SIZE = 1000
+LIST_SIZE = 50
 PARTNERS = ["NATION_1", "NATION_7"]
 QUERY_TEXT = {"1-URGENT": "red widget", "2-HIGH": "small|ring !gizmo", "3-MEDIUM": "anvil",
               "4-NOT SPECIFIED": "hot hot rod", "5-LOW": "zeppelin"}
@@ -54,12 +54,15 @@ def customer_papers(spark, d):
 
 
 @query("a01_author_paper_list", with_views(AUTHOR_PAPER) + f"""
-, listed as (select *, row_number() over (partition by key_id, a_id order by paper_id) as rn from author_paper)
+, listed as (select *, row_number() over (partition by key_id, a_id order by o_orderdate, paper_id) as rn
+ from author_paper join orders on o_orderkey = paper_id)
 select key_id, a_id, cast((rn - 1) // {LIST_SIZE} as bigint) as part, count(*) as n_papers,
- string_agg(cast(paper_id as varchar), ';' order by paper_id) as papers
+ string_agg(cast(paper_id as varchar), ';' order by rn) as papers
 from listed group by 1, 2, 3""")
 def a01(spark, d):
-    lists = A.paper_lists(D.author_paper(spark, d), LIST_SIZE)
+    """Records arrive by order date."""
+    arrival = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("paper_id"), F.col("o_orderdate").alias("seq"))
+    lists = A.paper_lists(D.author_paper(spark, d).join(arrival, "paper_id"), LIST_SIZE)
     return lists.withColumn("papers", F.array_join(F.col("papers").cast("array<string>"), ";"))
 
 
@@ -325,7 +328,7 @@ def u01(spark, d):
     return rounded(normalised_papers(spark, d, usage=True))
 
 
-@query("a14_a18_project_scores", with_views(AUTHOR_PAPER, PROJECTS) + f""",
+PROJECT_SCORES = f"""
 joined as (select p.key_id, a.a_id, manager_id, ln(cast(total_fund as bigint) + 1) as q,
   coalesce(try_cast(nullif(left(prd_end, 4), 'null') as integer),
     try_cast(nullif(left(prd_start, 4), 'null') as integer), 2000) as issue_year
@@ -346,7 +349,10 @@ select key_id, a_id, round(productivity * bit / mp, 6) as productivity,
  round(coalesce(contrib / nullif(mc, 0), 0), 6) as contrib, round(durability * bit, 6) as durability,
  round(recentness * bit, 6) as recentness, 0 as coop, round(quality * bit / mq, 6) as quality,
  case when bit = 0 then 0 else 0.02 end as acc, productivity as numpaper
-from ungated join tops using (key_id)""")
+from ungated join tops using (key_id)"""
+
+
+@query("a14_a18_project_scores", with_views(AUTHOR_PAPER, PROJECTS) + "," + PROJECT_SCORES)
 def a14(spark, d):
     raw = A.raw_factors(project_yearly(spark, d), AS_OF, by_manager=True)
     return rounded(scored(raw, with_coop=False))

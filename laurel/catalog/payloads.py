@@ -87,8 +87,8 @@ def dbpia_pages(spark, d):
     rows = source_rows(spark, d)
     n = F.col("n")
     who = F.arrays_zip(F.split("author", ";").alias("name"), F.split("author_id", ";").alias("a"))
-    authors = F.array_join(F.transform(who, lambda w: xml("author", xml("name", w["name"]), xml(
-        "url", F.lit("https://example.org/author/"), w["a"]))), "")
+    authors = F.array_join(F.transform(who, lambda w, i: xml("author", xml("name", w["name"]), F.when(
+        (n % 11 == 0) & (i == 0), F.lit("")).otherwise(xml("url", F.lit("https://example.org/author/"), w["a"])))), "")
     title = F.when(n % 2 == 0, F.concat(F.lit("&lt;i&gt;연료&lt;/i&gt; "), text(n))).otherwise(F.concat(F.lit("Cell "), text(n)))
     item = xml(
         "item", xml("title", title), xml("authors", authors),
@@ -105,12 +105,12 @@ def dbpia_pages(spark, d):
 @query("p02_s09_dbpia_papers", SRC + """
 select 'NODE' || n as id, case when n % 2 = 0 then '연료 ' || n else 'Cell ' || n end as title, author, author_id,
  case when n % 3 = 0 then 'Society ' else 'Journal ' end || o_orderstatus as journal, 'Society ' || o_orderstatus as issue_inst,
- case when n % 5 = 0 then 0 else cast(n as integer) end as start_page, case when n % 5 = 0 then 0 else cast(n + 9 as integer) end as end_page,
+ case when n % 5 = 0 then 0 else cast(n as bigint) end as start_page, case when n % 5 = 0 then 0 else cast(n + 9 as bigint) end as end_page,
  case when n % 2 = 0 then 'KCI' else 'SCI' end as dreg_name, strftime(o_orderdate, '%Y%m') as issue_year,
  case when n % 2 = 0 then 'kor' else 'eng' end as issue_lang, 0 as citation
-from src where n % 7 <> 0 or n % 5 = 0""")
+from src where (n % 7 <> 0 or n % 5 = 0) and n % 11 <> 0""")
 def p02(spark, d):
-    """Every seventh record has one page number only and is rejected."""
+    """Every seventh record has one page number only, every eleventh an author without an id: rejected."""
     done = providers.accepted(providers.dbpia_papers(dbpia_pages(spark, d)))
     return done.drop("page")
 
@@ -145,7 +145,7 @@ NDSL_KEPT = "n % 10 <> 0 and n // 100 % 17 <> 0"
 @query("s08_p03_ndsl_papers", SRC + f"""
 select 'ART' || n as id, '논문 ' || n as title, 'Paper' || n as english_title, 'Abstract of ' || n as abstract, author, author_inst,
  o_orderstatus as journal, 'Publisher' as issue_inst, strftime(o_orderdate, '%Y') as issue_year, 'kor' as issue_lang,
- cast(n as integer) as start_page, cast(n + 1 as integer) as end_page, o_orderstatus as paper_keyword from src where {NDSL_KEPT}""")
+ cast(n as bigint) as start_page, cast(n + 1 as bigint) as end_page, o_orderstatus as paper_keyword from src where {NDSL_KEPT}""")
 def p03(spark, d):
     done = providers.accepted(providers.ndsl_papers(ndsl_pages(spark, d)))
     return done.drop("page", "english_abstract", "citation")
@@ -176,7 +176,9 @@ def kci_pages(spark, d):
     n = F.col("n")
     who = F.arrays_zip(F.split("author", ";").alias("name"), F.split("author_inst", ";").alias("inst"))
     authors = F.array_join(F.transform(who, lambda w: xml("author", w["name"], F.lit("("), w["inst"], F.lit(")"))), "")
-    titles = F.concat(xml("article-title", F.lit("연료전지 "), text(n), lang=F.lit("original")),
+    titles = F.concat(xml("article-title", F.lit("옛 제목"), lang=F.lit("original")),
+                      F.when(n % 2 == 0, xml("article-title", F.lit("Former Title"), lang=F.lit("english"))).otherwise(""),
+                      xml("article-title", F.lit("연료전지 "), text(n), lang=F.lit("original")),
                       F.when(n % 2 == 0, xml("article-title", F.lit("Fuel Cell "), F.col("o_orderstatus"), lang=F.lit("english"))).otherwise(""))
     abstracts = F.concat(xml("abstract", F.lit("요약 "), text(n), lang=F.lit("original")),
                          xml("abstract", F.lit("On Batteries "), text(n % 9), lang=F.lit("english")))
@@ -193,8 +195,8 @@ def kci_pages(spark, d):
 @query("p04_f02_f03_kci_papers", SRC + """
 select 'ART' || n as id, '연료전지 ' || n as title, 'Fuel Cell ' || o_orderstatus as english_title,
  '요약 ' || n as abstract, 'On Batteries ' || n % 9 as english_abstract, author, author_inst, o_orderstatus as journal,
- 'Society' as issue_inst, strftime(o_orderdate, '%Y') as issue_year, cast(n % 50 as integer) as citation,
- cast(n as integer) as start_page, cast(n + 5 as integer) as end_page
+ 'Society' as issue_inst, strftime(o_orderdate, '%Y') as issue_year, cast(n % 50 as bigint) as citation,
+ cast(n as bigint) as start_page, cast(n + 5 as bigint) as end_page
 from src where n % 2 = 0 and n % 9 <> 4""")
 def p04(spark, d):
     """AND terms `fuel cell` (folded) and `연료전지`; the NOT term `Batteries 4` drops a ninth."""
@@ -204,7 +206,7 @@ def p04(spark, d):
 
 # ---- SCOPUS -----------------------------------------------------------------------------------------------------------
 
-def scopus_folder(spark, d):
+def scopus_cells(spark, d):
     rows = source_rows(spark, d)
     n = F.col("n")
     names = F.split("author", ";")
@@ -225,8 +227,12 @@ def scopus_folder(spark, d):
         "Abbreviated Source Title": F.lit("J."), "Document Type": F.lit("Article"), "Publication Stage": F.lit("Final"),
         "Source": F.lit("Scopus"), "EID": F.concat(F.lit("2-s2.0-"), text(n)),
     }
+    return rows.select("n", *[c.alias(k) for k, c in cells.items()])
+
+
+def scopus_folder(spark, d):
     folder = scratch_path(spark, "scopus")
-    rows.select(*[c.alias(k) for k, c in cells.items()]).write.csv(folder, header=True, escape='"', emptyValue="")
+    scopus_cells(spark, d).drop("n").write.csv(folder, header=True, escape='"', emptyValue="")
     return folder
 
 
@@ -235,8 +241,8 @@ select cast(n as varchar) as id, 'A "quoted" title' || chr(10) || 'of ' || n as
  replace(author_inst, ';', '; ') as author_inst, case when n % 2 = 0 then author_inst else '' end as issue_inst,
  'Press ' || o_orderstatus as journal, strftime(o_orderdate, '%Y') as issue_year,
  case when n % 4 = 0 then 'Korean' else 'English' end as issue_lang,
- case when n % 3 = 0 then 0 else cast(n as integer) end as start_page, 0 as end_page,
- case when n % 5 = 0 then 0 else cast(n % 50 as integer) end as citation, o_orderstatus as paper_keyword,
+ case when n % 3 = 0 then 0 else cast(n as bigint) end as start_page, 0 as end_page,
+ case when n % 5 = 0 then 0 else cast(n % 50 as bigint) end as citation, o_orderstatus as paper_keyword,
  'Grant ' || n || case when n % 4 = 0 then '|More' else '|' end as funding
 from src where n % 12 <> 0""")
 def p05(spark, d):
@@ -248,6 +254,54 @@ def p05(spark, d):
 
 # ---- WOS --------------------------------------------------------------------------------------------------------------
 
+MIXED = """select cast(n as varchar) as id, n % 4 as kind, author_id, journal, issue_year, start_page, citation, paper_keyword, funding
+ from (select *, 'Press ' || o_orderstatus as journal, strftime(o_orderdate, '%Y') as issue_year,
+  case when n % 3 = 0 then 0 else n end as start_page, case when n % 5 = 0 then 0 else n % 50 end as citation,
+  o_orderstatus as paper_keyword, case n % 4 when 0 then '' when 1 then 'Grant ' || n when 2 then 'Grant ' || n || '|'
+   else 'Grant ' || n || '||Third' end as funding from src) where n % 12 <> 0"""
+
+
+def mixed_scopus_folder(spark, d):
+    """Exports without, with one, two and three funding columns in one folder."""
+    folder = scratch_path(spark, "mixed")
+    cells = scopus_cells(spark, d)
+    base = [c for c in cells.columns if c not in ("n", "Funding Text 1", "Funding Text 2")]
+    at = base.index("Funding Details") + 1
+    extra = [F.lit("Third").alias("Funding Text 3")]
+    for kind in range(4):
+        funding = [F.col("Funding Text 1"), F.lit("").alias("Funding Text 2"), *extra][:kind]
+        cells.where(F.col("n") % 4 == kind).select(*[F.col(f"`{c}`") for c in base[:at]], *funding,
+                                                 *[F.col(f"`{c}`") for c in base[at:]]).write.csv(
+            f"{folder}/export{kind}", header=True, escape='"', emptyValue="")
+    return folder
+
+
+def mixed_fields(parsed):
+    return providers.accepted(parsed).select(
+        "id", (F.col("id").cast("long") % 4).alias("kind"), "author_id", "journal", "issue_year", "start_page", "citation",
+        "paper_keyword", F.array_join("funding_text", "|").alias("funding"))
+
+
+@query("s05_mixed_headers", SRC + MIXED)
+def s05_mixed(spark, d):
+    return mixed_fields(providers.scopus_papers(files.read_export(spark, f"{mixed_scopus_folder(spark, d)}/*")))
+
+
+@query("s03_s05_landed_mixed_headers", SRC + MIXED)
+def s05_landed(spark, d):
+    """The same exports as they land, a few files at a time."""
+    out = scratch_path(spark, "landed_mixed")
+
+    def each(rows, batch):
+        mixed_fields(providers.scopus_papers(rows)).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    run = files.landed_exports(spark, mixed_scopus_folder(spark, d), each, scratch_path(spark, "ck"), per_trigger=3)
+    run.awaitTermination()
+    if run.exception():
+        raise run.exception()
+    return spark.read.parquet(out).drop("batch")
+
+
 def wos_cells(spark, d):
     rows = source_rows(spark, d)
     n = F.col("n")
@@ -259,8 +313,11 @@ def wos_cells(spark, d):
         5: F.array_join(names, "; "), 8: F.concat(F.lit("Title "), text(n)), 9: F.col("o_orderstatus"), 12: F.lit("English"),
         20: F.lit("plus"), 21: F.lit("An abstract"), 22: F.array_join(F.reverse(short), "; "),
         25: F.when(n % 2 == 0, F.concat(F.element_at(names, -1), F.lit("/R-"), text(n))).otherwise(""),
-        30: text(n % 50), 34: F.when(n % 7 == 0, "").otherwise(text(n % 7)), 35: F.lit("Venue"), 41: F.lit("Publisher"),
-        44: F.when(n % 3 == 0, year).otherwise(""),
+        26: F.when(n % 3 == 0, F.concat(F.element_at(names, 1), F.lit("/O-"), text(n))).otherwise(""),
+        30: F.concat(text(n % 50), F.when(n % 2 == 0, ".0").otherwise("")),
+        34: F.when(n % 7 == 0, "").otherwise(F.concat(text(n % 7), F.when(n % 3 == 0, ".0").otherwise(""))),
+        35: F.lit("Venue"), 41: F.lit("Publisher"),
+        44: F.when(n % 3 == 0, F.concat(year, F.when(n % 2 == 0, ".0").otherwise(""))).otherwise(""),
         51: F.when(n % 4 == 0, F.concat(text(n), F.lit(".0"))).otherwise(F.concat(F.lit("E"), text(n))), 52: F.lit(""),
         56: F.when(n % 3 == 1, year).otherwise(F.concat(F.lit("APR "), year)),
         59: F.when(n % 2 == 0, "Energy").otherwise(""), 61: F.concat(F.lit("WOS:"), F.lpad(text(n), 12, "0")),
@@ -274,22 +331,28 @@ def wos_folder(spark, d):
     return folder
 
 
-@query("s06_p06_r04_wos_papers", SRC + """
+WOS_SQL = SRC + """
 select lpad(cast(n as varchar), 12, '0') as id, 'Title ' || n as title, replace(author, ';', '; ') as author,
  case when n % 6 = 0 then '' else author_inst end as author_inst,
- strftime(o_orderdate, '%Y') as issue_year, cast(n as integer) as start_page, 0 as end_page,
- cast(n % 50 as integer) as citation, case when n % 7 = 0 then 1 else cast(n % 7 as integer) end as usage_count,
+ strftime(o_orderdate, '%Y') as issue_year, cast(n as bigint) as start_page, 0 as end_page,
+ cast(n % 50 as bigint) as citation, case when n % 7 = 0 then 1 else cast(n % 7 as bigint) end as usage_count,
  case when n % 2 = 0 then 'Energy' else 'plus' end as paper_keyword,
  repeat(';', len(string_split(author, ';')) - 1) || case when n % 2 = 0 then 'R-' || n else '' end as r_id,
- repeat(';', len(string_split(author, ';')) - 1) as o_id
-from src where n % 6 <> 0 or not contains(author, ';')""")
+ case when n % 3 = 0 then 'O-' || n else '' end || repeat(';', len(string_split(author, ';')) - 1) as o_id,
+ o_orderstatus as source_title, 'Publisher' as journal, 'Venue' as issue_inst, 'English' as issue_lang, 'An abstract' as abstract,
+ '' as english_title, '' as english_abstract, '' as author_keyword
+from src where n % 6 <> 0 or not contains(author, ';')"""
+WOS_FIELDS = ["id", "title", "author", "author_inst", "issue_year", "start_page", "end_page", "citation", "usage_count",
+              "paper_keyword", "r_id", "o_id", "source_title", "journal", "issue_inst", "issue_lang", "abstract", "english_title",
+              "english_abstract", "author_keyword"]
+
+
+@query("s06_p06_r04_wos_papers", WOS_SQL)
 def p06(spark, d):
     """Every sixth record lacks an institution: rejected, unless it has one author and no address at all. The id
     entry belongs to the last author."""
     parsed = providers.wos_papers(files.read_positional(spark, wos_folder(spark, d), providers.WOS_WIDTH))
-    return providers.accepted(parsed).select(
-        "id", "title", "author", "author_inst", "issue_year", "start_page", "end_page", "citation", "usage_count",
-        "paper_keyword", "r_id", "o_id")
+    return providers.accepted(parsed).select(*WOS_FIELDS)
 
 
 # ---- tags, progress ---------------------------------------------------------------------------------------------------

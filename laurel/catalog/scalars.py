@@ -49,7 +49,8 @@ def x04(spark, d):
  p_brand as english_title, p_type as abstract,
  case p_partkey % 3 when 0 then p_brand when 1 then p_name else '' end as english_abstract from part""")
 def x06(spark, d):
-    titles = F.expr("case when p_partkey % 2 = 0 then array(p_brand, concat('연구 ', p_name)) else array(p_brand) end")
+    titles = F.expr("""case when p_partkey % 2 = 0 then array('Former', '옛 연구', p_brand, concat('연구 ', p_name))
+        else array('Former', p_brand) end""")
     abstracts = F.expr("""array(named_struct('lang', 'original', 'text', p_type), named_struct('lang',
         case p_partkey % 3 when 0 then 'english' when 1 then 'foreign' else 'other' end, 'text',
         case p_partkey % 3 when 0 then p_brand else p_name end))""")
@@ -67,17 +68,17 @@ def x08(spark, d):
     return s.select("o_orderkey", pages["start"].alias("first_page"), pages["end"].alias("last_page"))
 
 
-@query("x09_digit_runs", """select o_orderkey, cast(o_custkey as integer) as first_page,
- case when o_orderkey % 3 = 0 then 0 else cast(o_orderkey as integer) end as last_page from orders""")
+@query("x09_digit_runs", """select o_orderkey, cast(o_custkey as bigint) as first_page,
+ case when o_orderkey % 3 = 0 then 0 else cast(o_orderkey as bigint) end as last_page from orders""")
 def x09(spark, d):
     s = order_strings(spark, d, p="concat('p.', o_custkey, case when o_orderkey % 3 = 0 then '' else concat(' ~ ', o_orderkey, ' (7)') end)")
     return s.select("o_orderkey", X.digit_run(F.col("p"), 0).alias("first_page"), X.digit_run(F.col("p"), 1).alias("last_page"))
 
 
-@query("x10_digits_only", r"""select o_orderkey, coalesce(try_cast(regexp_replace(o_orderpriority || o_custkey, '\D', '', 'g') as integer), 0) as n,
- coalesce(try_cast(regexp_replace(o_orderpriority[2:], '\D', '', 'g') as integer), 0) as none from orders""")
+@query("x10_digits_only", r"""select o_orderkey, coalesce(try_cast(regexp_replace(o_orderpriority || o_custkey || '00000012345', '\D', '', 'g') as bigint), 0) as n,
+ coalesce(try_cast(regexp_replace(o_orderpriority[2:], '\D', '', 'g') as bigint), 0) as none from orders""")
 def x10(spark, d):
-    s = order_strings(spark, d, a="concat(o_orderpriority, o_custkey)", b="substr(o_orderpriority, 2)")
+    s = order_strings(spark, d, a="concat(o_orderpriority, o_custkey, '00000012345')", b="substr(o_orderpriority, 2)")
     return s.select("o_orderkey", X.digits_only(F.col("a")).alias("n"), X.digits_only(F.col("b")).alias("none"))
 
 
@@ -113,12 +114,12 @@ def x15(spark, d):
     return D.table(spark, d, "documents").select("doc_id", F.md5(X.drop_last_symbol(F.col("text"))).alias("title"))
 
 
-@query("x16_x17_years", """select o_orderkey, cast(year(o_orderdate) as integer) as exported,
+@query("x16_x17_years", """select o_orderkey, cast(year(o_orderdate) as bigint) as exported,
  case when o_orderkey % 10 <> 0 or o_orderkey % 20 <> 0 then cast(year(o_orderdate) as integer) else 2000 end as scored from orders""")
 def x16(spark, d):
     s = order_strings(
         spark, d,
-        col44="case when o_orderkey % 3 = 0 then cast(year(o_orderdate) as string) else '' end",
+        col44="case when o_orderkey % 3 = 0 then concat(year(o_orderdate), if(o_orderkey % 2 = 0, '.0', '')) else '' end",
         col56="case when o_orderkey % 3 = 1 then cast(year(o_orderdate) as string) else concat('JAN ', year(o_orderdate)) end",
         last="case when o_orderkey % 10 = 0 then 'null' else cast(o_orderdate as string) end",
         first="case when o_orderkey % 20 = 0 then 'null' else cast(o_orderdate as string) end")
@@ -128,7 +129,7 @@ def x16(spark, d):
 
 @query("x18_whole_numbers", """select o_orderkey, case when o_orderkey % 7 = 0 then 0 else cast(floor(o_totalprice) as bigint) end as n from orders""")
 def x18(spark, d):
-    s = order_strings(spark, d, n="case when o_orderkey % 7 = 0 then '' else cast(floor(o_totalprice) as string) end")
+    s = order_strings(spark, d, n="case when o_orderkey % 7 = 0 then '' else concat(floor(o_totalprice), if(o_orderkey % 2 = 0, '.0', '')) end")
     return s.select("o_orderkey", X.whole_number(F.col("n")).alias("n"))
 
 
@@ -162,9 +163,9 @@ def x23(spark, d):
                         F.round(fuzzy.jaro_similarity("c_mktsegment", "p_type"), 6).alias("segment_type"))
 
 
-@query("x24_grouped_numbers", "select o_orderkey, cast(floor(o_totalprice) as integer) as n from orders")
+@query("x24_grouped_numbers", "select o_orderkey, cast(floor(o_totalprice) as bigint) * 100000 as n from orders")
 def x24(spark, d):
-    s = order_strings(spark, d, n="format_number(floor(o_totalprice), 0)")
+    s = order_strings(spark, d, n="format_number(floor(o_totalprice) * 100000, 0)")
     return s.select("o_orderkey", X.grouped_number(F.col("n")).alias("n"))
 
 

@@ -96,16 +96,26 @@ def f08(spark, d):
         "key_id", "paper_id")
 
 
-@query("f09_result_cap", """
-with r as (select o_orderpriority as key_id, o_orderkey as id,
-  row_number() over (partition by o_orderpriority order by o_orderdate desc, o_orderkey) as rn,
-  count(*) over (partition by o_orderpriority) > 1500 as is_partial from orders)
-select key_id, id, is_partial from r where rn <= 1500""")
-def f09(spark, d):
-    rows = D.table(spark, d, "orders").select(
-        F.col("o_orderpriority").alias("key_id"), F.col("o_orderkey").alias("id"), "o_orderdate")
-    return search.capped(rows, ["key_id"], [("o_orderdate", True), ("id", False)], 1500).select(
-        "key_id", "id", "is_partial")
+def cap_sql(cap):
+    return f"""
+with o as (select nullif(o_orderpriority, '5-LOW') as key_id, o_orderkey as id, o_orderdate from orders),
+r as (select key_id, id, row_number() over (partition by key_id order by o_orderdate desc, id) as rn,
+  count(*) over (partition by key_id) > {cap} as is_partial from o)
+select key_id, id, is_partial from r where rn <= {cap}"""
+
+
+def with_cap(cap):
+    """One query has no id; its records are capped like the others'."""
+    def run(spark, d):
+        key = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority"))
+        rows = D.table(spark, d, "orders").select(key.alias("key_id"), F.col("o_orderkey").alias("id"), "o_orderdate")
+        return search.capped(rows, ["key_id"], [("o_orderdate", True), ("id", False)], cap).select(
+            "key_id", "id", "is_partial")
+    return run
+
+
+for name, cap in (("f09_result_cap", 1500), ("f09_large_cap", 100_000)):
+    query(name, cap_sql(cap))(with_cap(cap))
 
 
 @query("f10_known_author", """select o_orderkey from orders where o_orderkey % 11 <> 0 and o_orderkey % 13 <> 0""")
@@ -247,8 +257,7 @@ select *, row_number() over (partition by l_returnflag order by n desc, value) a
 def w04(spark, d):
     counts = D.table(spark, d, "lineitem").groupBy("l_returnflag", F.col("l_suppkey").alias("value")).agg(
         F.count("*").alias("n"))
-    down = facets.sorted_facet(counts, ["l_returnflag"], "value", True, "from_largest")
-    return facets.sorted_facet(down, ["l_returnflag"], "value", False, "from_smallest")
+    return facets.sorted_facet(counts, ["l_returnflag"], "value")
 
 
 @query("w05_packed_batches", """
@@ -315,6 +324,19 @@ def w09(spark, d):
     return ranking.top_experts(scores(spark, d), WEIGHTS, 10).select("key_id", "a_id", "score", "rank")
 
 
+TIED = """with s as (select l_returnflag as key_id, l_orderkey as a_id, round(max(l_quantity) * 2, 6) as score
+ from lineitem group by 1, 2) """
+
+
+@query("w09_wide_tied_ranking", TIED + """select * from (select *, rank() over (partition by key_id order by score desc) as rank from s)
+where rank <= 1001""")
+def w09_wide(spark, d):
+    """More experts than Spark prunes for, and very many equal scores: all of one score are kept."""
+    rows = D.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("key_id"), F.col("l_orderkey").alias("a_id")).agg(
+        F.max("l_quantity").alias("quality"))
+    return ranking.top_experts(rows, {"quality": 2}, 1001).select("key_id", "a_id", "score", "rank")
+
+
 @query("w09_complete_ranking", SCORED + """select key_id, a_id, score,
  row_number() over (partition by key_id order by score desc, a_id) as place from weighted""")
 def w09_all(spark, d):

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from laurel.catalog.factors import AS_OF, NORMALISED, PARTNERS, QUERY_TEXT, factor_sql, query_table, r6, rounded
-from laurel.catalog.payloads import SRC, wos_folder
-from laurel.catalog.registry import query, with_views
+from laurel.catalog.authors import PEOPLE, PROJECT_PEOPLE, labs, project_messages
+from laurel.catalog.authors import SUPPLIERS as KNOWN
+from laurel.catalog.authors import suppliers as half_of_suppliers
+from laurel.catalog.factors import (AS_OF, NORMALISED, PARTNERS, PROJECT_SCORES, QUERY_TEXT, factor_sql, query_table, r6,
+                                    rounded)
+from laurel.catalog.payloads import WOS_FIELDS, WOS_SQL, wos_folder
+from laurel.catalog.registry import AUTHOR_PAPER, INSTITUTIONS, PROJECTS, RAWDATA, query, with_views
 from laurel.operators import factors as A
 from laurel.operators.numbering import number_rows
 from laurel.plans import driver_tables as D
-from laurel.plans.scoring import expert_factors, paper_records
+from laurel.plans.scoring import expert_factors, paper_records, project_records
 from laurel.session import scratch_path
 from laurel.sources import files, messages, providers, tables
 from laurel.streaming import jobs
 from laurel.streaming import progress as P
 from laurel.streaming import records as S
 
-SENDS = 3
+SENDS = 4
 
 
 def event_messages(spark, d):
@@ -127,54 +133,142 @@ def t12(spark, d):
 # ---- the whole job --------------------------------------------------------------------------------------------------------
 
 def record_messages(spark, d):
-    """Records with authors as messages: one query per order priority, every eighth record sent twice."""
-    rows = D.records(spark, d, ["author", "author_inst"]).where("author is not null")
+    """Records with authors as messages: one query per order priority, every eighth record sent twice.
+
+    By record number modulo 9: 1 lacks the last institution, 2 has provider ids (of other people), 3 has an id too many
+    and 4 no author (both refused). The first query ends before the others send; the second one's end is a message of
+    its own after all of theirs.
+    """
+    rows = D.records(spark, d, ["author", "author_inst", "author_id"]).where("author is not null")
     numbered = number_rows(rows, ["key_id"], [F.col("paper_id")], "rn", "total")
+    kind, first, second = F.col("paper_id") % 9, F.col("key_id") == "1-URGENT", F.col("key_id") == "2-HIGH"
     copies = F.when(F.col("paper_id") % 8 == 0, 2).otherwise(1)
-    return numbered.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select(
+    names, insts, ids = (F.split(c, ";") for c in ("author", "author_inst", "author_id"))
+    outside = F.array_join(F.transform(ids, lambda a: F.concat(F.lit("X"), a)), ";")
+    progress = F.col("rn") / F.col("total")
+    records = numbered.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select(
         F.lit("SITE").alias("site"), "key_id", F.col("paper_id").cast("string").alias("id"),
-        (F.col("rn") * 2 + F.col("copy")).alias("seq"), (F.col("rn") / F.col("total")).alias("progress"),
-        "author", "author_inst", "title", "paper_keyword", "issue_inst", "issue_lang",
-        F.col("issue_year").cast("string").alias("issue_year"), F.col("citation").cast("int").alias("citation"),
-        (F.col("rn") * SENDS / (F.col("total") + 1)).cast("int").alias("send"))
+        (F.col("rn") * 2 + F.col("copy")).alias("seq"),
+        F.when(second & (progress == 1), 0.999).otherwise(progress).alias("progress"),
+        F.when(kind == 2, F.array_join(F.transform(names, lambda a: F.concat(a, F.lit(" P"))), ";"))
+        .when(kind != 4, F.col("author")).alias("author"),
+        F.when((kind == 1) & (F.size(insts) > 1), F.array_join(F.slice(insts, F.lit(1), F.size(insts) - 1), ";"))
+        .otherwise(F.col("author_inst")).alias("author_inst"),
+        F.when(kind == 2, outside).when(kind == 3, F.concat(outside, F.lit(";X0"))).alias("author_id"),
+        "title", "paper_keyword", "issue_inst", "issue_lang", F.col("issue_year").cast("string").alias("issue_year"),
+        F.col("citation").cast("long").alias("citation"),
+        F.when(first, 0).otherwise((F.col("rn") * (SENDS - 2) / (F.col("total") + 1)).cast("int") + 1).alias("send"))
+    end = numbered.where(second & (F.col("rn") == F.col("total"))).select(
+        F.lit("SITE").alias("site"), "key_id", (F.col("rn") * 2 + 9).alias("seq"), F.lit(1.0).alias("progress"),
+        F.lit(SENDS - 1).alias("send"))
+    return records.unionByName(end, allowMissingColumns=True)
 
 
-@query("t08_t09_t10_collect_and_score", factor_sql() + f""", normalised as (select {NORMALISED} from ungated join tops using (key_id))
-select n.* replace ('s' || substr(md5(s_name || chr(1) || n_name), 1, 16) as a_id), 2 as state, 100.0 as progress
-from normalised n join supplier on s_suppkey = a_id join nation on n_nationkey = s_nationkey""")
-def t09(spark, d):
-    """Messages to facts, facts to factor rows of the finished queries; equal to the batch result."""
+SENT = """listed0 as (select key_id, paper_id, a_id as s_id, pos, n_authors, s_name as name, n_name as inst
+ from all_listed join supplier on s_suppkey = a_id join nation on n_nationkey = s_nationkey),
+author_paper as (select key_id, paper_id, pos, case when paper_id % 9 = 1 and n_authors > 1 then n_authors - 1 else n_authors end as n_authors,
+  case when paper_id % 9 = 2 then name || ' P' else name end as name, inst,
+  case when paper_id % 9 = 2 then 'X' || s_id when s_id % 2 = 0 then cast(s_id as varchar)
+   else 's' || substr(md5(name || chr(1) || inst), 1, 16) end as a_id
+ from listed0 where paper_id % 9 not in (3, 4) and not (paper_id % 9 = 1 and n_authors > 1 and pos = n_authors - 1)),
+rawdata as ("""
+
+
+STORED_LISTS = """institutions as (
+ select key_id, paper_id, string_agg(a_id, ';' order by pos) as author_id, string_agg(name, ';' order by pos) as author,
+  string_agg(inst, ';' order by pos) as author_inst from author_paper group by key_id, paper_id)"""
+
+
+def job_sql(sql):
+    """The batch SQL over the listing that the messages leave."""
+    listed = sql.replace("author_paper as (", "all_listed as (", 1).replace("rawdata as (", SENT, 1)
+    return listed.replace(INSTITUTIONS, STORED_LISTS)
+
+
+LISTED = job_sql(with_views(AUTHOR_PAPER, RAWDATA))
+
+
+def paper_job(spark, d):
+    """The job over all messages, with the scores stored in a table of their own."""
+    factors = scratch_path(spark, "scored")
+
+    def score(site, listing, raw):
+        return expert_factors(listing, paper_records(raw), replace(A.profile_of(site), coop=A.partner_hit(
+            F.col("author_inst"), PARTNERS)), AS_OF, D.impact(spark, d), query_table(spark, QUERY_TEXT))
+
+    job = jobs.Collection(spark, scratch_path(spark, "facts"), half_of_suppliers(spark, d), score,
+                          lambda rows: tables.store_factors(rows, factors))
     landed = landed_messages(spark, d, record_messages)
-    empty = spark.createDataFrame([], jobs.AUTHORS)
-    facts = jobs.Collection(spark, scratch_path(spark, "facts"), empty)
-    run(jobs.collect(messages.stream(spark, landed, per_trigger=8), facts, scratch_path(spark, "ck")))
-    updates, factors, status = (scratch_path(spark, n) for n in ("updates", "scored", "status"))
-    run(jobs.track(messages.stream(spark, landed, per_trigger=8), updates, scratch_path(spark, "ck")))
-
-    def score(finished):
-        mine = tables.of_queries(facts.table("author_paper"), finished)
-        raw = paper_records(tables.of_queries(facts.table("raw"), finished))
-        return expert_factors(mine, raw, A.paper_profile(PARTNERS), AS_OF, D.impact(spark, d),
-                              query_table(spark, QUERY_TEXT))
-
-    def store(rows):
-        watched, _ = S.observed(rows, "analysis")
-        tables.store_factors(watched, factors)
-
-    stream = spark.readStream.schema(P.UPDATE).parquet(updates)
-    run(jobs.score_finished(stream, score, store, status, scratch_path(spark, "ck")))
-    done = spark.read.parquet(status).select("key_id", "state", "progress")
-    return rounded(tables.load(spark, factors).join(done, "key_id"))
-
-
-@query("s03_t13_landed_exports", SRC + """
-select lpad(cast(n as varchar), 12, '0') as id, 'Title ' || n as title, strftime(o_orderdate, '%Y') as issue_year,
- cast(n % 50 as integer) as citation from src where n % 6 <> 0 or not contains(author, ';')""")
+    run(jobs.ingest(messages.stream(spark, landed, per_trigger=5), job, scratch_path(spark, "ck")))
+    return job, factors
+
+
+@query("t08_t09_t10_collect_and_score", job_sql(factor_sql()) + f""", normalised as (select {NORMALISED} from ungated join tops using (key_id)),
+counts as (select key_id, count(distinct paper_id) as data, count(distinct a_id) as experts from author_paper group by 1)
+select n.*, 2 as state, 100.0 as progress, data, experts, true as timed, (select count(*) from normalised) as analysed
+from normalised n join counts using (key_id)""")
+def t09(spark, d):
+    """Messages to facts, facts to factor rows of the finished queries, and their status; equal to the batch result.
+
+    `analysed` is the number of rows that the analysis reported while it stored them.
+    """
+    job, factors = paper_job(spark, d)
+    done = job.log("status", jobs.STATUS).select(
+        "key_id", "state", "progress", "data", "experts", (F.col("crawl_time") <= F.col("a_time")).alias("timed"))
+    reported = job.log("analysis", "site string, rows long").agg(F.sum("rows")).first()[0]
+    return rounded(tables.load(spark, factors).join(done, "key_id")).withColumn("analysed", F.lit(reported))
+
+
+@query("t08_f16_stored_and_refused_records", LISTED + """
+select key_id, cast(paper_id as varchar) as id, string_agg(a_id, ';' order by pos) as author_id, string_agg(name, ';' order by pos) as author,
+ string_agg(inst, ';' order by pos) as author_inst, count(*) as n_authors, null as reason from author_paper group by 1, 2
+union all select distinct key_id, cast(paper_id as varchar), null, null, null, null,
+ case when paper_id % 9 = 4 then 'no author' else 'author and id counts differ' end from all_listed where paper_id % 9 in (3, 4)""")
+def t08_stored(spark, d):
+    """Records are stored with the resolved author lists; refused ones lie apart with the reason."""
+    job, _ = paper_job(spark, d)
+    lists = ["author_id", "author", "author_inst"]
+    kept = job.table("raw").select("key_id", "id", *lists, F.col("n_authors").cast("long").alias("n_authors"))
+    refused = job.table("refused").select("key_id", "id", "reason")
+    return kept.unionByName(refused, allowMissingColumns=True)
+
+
+def sent_projects(spark, d):
+    """Projects as messages of one site; the last of a query has progress 1."""
+    rows = project_messages(spark, d).withColumn("paper_id", F.col("id"))
+    dates = D.projects(spark, d).select("key_id", "paper_id", "total_fund", "prd_start", "prd_end")
+    numbered = number_rows(rows.join(dates, ["key_id", "paper_id"]), ["key_id"], [F.col("id")], "rn", "total")
+    return numbered.select(
+        F.lit(jobs.PROJECT_SITE).alias("site"), "key_id", F.col("id").cast("string").alias("id"), F.col("rn").alias("seq"),
+        (F.col("rn") / F.col("total")).alias("progress"), "mng", "mngId", "rsc", "rscId", "ldAgency", "perfAgent",
+        F.col("total_fund").alias("totalFund"), F.col("prd_start").alias("prdStart"), F.col("prd_end").alias("prdEnd"),
+        F.lit(0).alias("send"))
+
+
+LISTED_PROJECTS = PROJECT_PEOPLE + """,
+all_projects as (select * from projects), ours as (select distinct key_id, a_id, id as paper_id from listing),
+managed as (select p.key_id, p.paper_id, l.a_id as manager_id, total_fund, prd_end, prd_start
+ from all_projects p join listing l on l.key_id = p.key_id and l.id = p.paper_id and l.pos = -1)"""
+
+
+@query("t08_project_collect_and_score", with_views(AUTHOR_PAPER, PROJECTS, PEOPLE, KNOWN, LISTED_PROJECTS) + ", "
+       + PROJECT_SCORES.replace("author_paper a join projects p", "ours a join managed p"))
+def t08_project(spark, d):
+    """Projects through the same job: the site chooses the profile."""
+    factors = scratch_path(spark, "scored")
+    job = jobs.Collection(
+        spark, scratch_path(spark, "facts"), labs(half_of_suppliers(spark, d)),
+        lambda site, listing, raw: expert_factors(listing, project_records(raw), A.profile_of(site), AS_OF),
+        lambda rows: tables.store_factors(rows, factors))
+    run(jobs.ingest(messages.stream(spark, landed_messages(spark, d, sent_projects)), job, scratch_path(spark, "ck")))
+    return rounded(tables.load(spark, factors))
+
+
+@query("s03_t13_landed_exports", WOS_SQL)
 def t13(spark, d):
     """Exports become records as their files land."""
     folder, out = wos_folder(spark, d), scratch_path(spark, "landed")
     stream = files.landed(spark, folder, files.positional_schema(providers.WOS_WIDTH), header=True, enforceSchema=True,
                           sep="\t")
-    run(jobs.to_table(providers.accepted(providers.wos_papers(stream)).select("id", "title", "issue_year", "citation"),
-                      out, scratch_path(spark, "ck")))
+    run(jobs.to_table(providers.accepted(providers.wos_papers(stream)).select(*WOS_FIELDS), out, scratch_path(spark, "ck")))
     return spark.read.parquet(out)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -94,9 +95,10 @@ def best_author(entries: Column, authors: Column, cut: float = MIN_SIMILARITY) -
     """array<array<token>> of entries and of authors -> array of author positions, one per entry (-1: none)."""
 
     @pandas_udf(T.ArrayType(T.IntegerType()))
-    def run(e: pd.Series, a: pd.Series) -> pd.Series:
-        similar = lru_cache(maxsize=1 << 18)(jaro)  # name words repeat across records
-        return pd.Series([best_positions(x, y, cut, similar) for x, y in zip(e, a)])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        similar = lru_cache(maxsize=1 << 18)(jaro)  # name words repeat across the records of a task
+        for e, a in batches:
+            yield pd.Series([best_positions(x, y, cut, similar) for x, y in zip(e, a)])
 
     return run(entries, authors)
 

@@ -43,8 +43,8 @@ def language(c: Column) -> Column:
 
 
 def title_in(c: Column, lang: str) -> Column:
-    """The first title of an array that is in `lang`, else ''."""
-    return F.coalesce(F.get(F.filter(c, lambda t: language(t) == lang), F.lit(0)), F.lit(""))
+    """The last title of an array that is in `lang`, else ''."""
+    return F.coalesce(F.try_element_at(F.filter(c, lambda t: language(t) == lang), F.lit(-1)), F.lit(""))
 
 
 def tagged_text(c: Column, *langs: str) -> Column:
@@ -53,15 +53,20 @@ def tagged_text(c: Column, *langs: str) -> Column:
     return F.coalesce(F.try_element_at(hits, F.lit(-1))["text"], F.lit(""))
 
 
+def number(c: Column) -> Column:
+    """A numeric cell as a whole number, also where an export writes it as `123.0`; NULL if it is no number."""
+    return F.coalesce(c.try_cast("long"), F.when(c.rlike(r"^\s*-?\d+\.\d*\s*$"), F.trim(F.split_part(
+        c, F.lit("."), F.lit(1))).try_cast("long")))
+
+
 def digits_only(c: Column) -> Column:
-    """The digits of a string as an int; nothing left gives 0."""
-    return F.coalesce(F.regexp_replace(c, r"\D", "").try_cast("int"), F.lit(0))
+    """The digits of a string as a number; nothing left gives 0."""
+    return F.coalesce(F.regexp_replace(c, r"\D", "").try_cast("long"), F.lit(0).cast("long"))
 
 
 def page_number(c: Column) -> Column:
-    """A page as an int. Numeric cells such as `123.0` are read as numbers first."""
-    return F.when(c.rlike(r"^\d+\.0$"), F.split_part(c, F.lit("."), F.lit(1)).try_cast("int")).otherwise(
-        digits_only(c))
+    """A page as a number: a numeric cell, else the digits of the text."""
+    return F.coalesce(number(c), digits_only(c))
 
 
 def page_range(c: Column) -> Column:
@@ -75,8 +80,9 @@ def page_range(c: Column) -> Column:
 
 
 def digit_run(c: Column, n: int) -> Column:
-    """The n-th run of digits (from 0) as an int, else 0."""
-    return F.coalesce(F.get(F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1)), F.lit(n)).try_cast("int"), F.lit(0))
+    """The n-th run of digits (from 0) as a number, else 0."""
+    run = F.get(F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1)), F.lit(n))
+    return F.coalesce(run.try_cast("long"), F.lit(0).cast("long"))
 
 
 def joined_digit_runs(c: Column) -> Column:
@@ -113,12 +119,12 @@ def year_of(*candidates: Column, default: int = 2000) -> Column:
 
 def export_year(year: Column, early_access: Column) -> Column:
     """Year column, else the early-access column as a number, else its digits."""
-    return F.coalesce(year.try_cast("int"), early_access.try_cast("int"),
-                      F.regexp_replace(early_access, r"\D", "").try_cast("int"))
+    digits = F.regexp_replace(early_access, r"\D", "")
+    return F.coalesce(number(year), number(early_access), digits.try_cast("long"))
 
 
 def whole_number(c: Column, default: int = 0) -> Column:
-    return F.coalesce(c.try_cast("long"), F.lit(default).cast("long"))
+    return F.coalesce(number(c), F.lit(default).cast("long"))
 
 
 def person_id(c: Column) -> Column:
@@ -127,8 +133,8 @@ def person_id(c: Column) -> Column:
 
 
 def grouped_number(c: Column) -> Column:
-    """`12,345` as an int."""
-    return F.replace(c, F.lit(","), F.lit("")).try_cast("int")
+    """`12,345` as a number."""
+    return number(F.replace(c, F.lit(","), F.lit("")))
 
 
 def drop_symbols(c: Column, min_length: int) -> Column:

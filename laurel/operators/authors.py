@@ -68,11 +68,18 @@ def pending_provider_authors(refs: DataFrame, authors: DataFrame) -> DataFrame:
 
 # ---- papers ---------------------------------------------------------------------------------------------------------
 
+def refusal() -> Column:
+    """Why a paper is not stored: it has no authors, or its id list differs in length from its names. Else NULL."""
+    ids, names = F.split("author_id", ";"), F.split("author", ";")
+    return F.when(F.col("author").isNull(), "no author").when(
+        F.col("author_id").isNotNull() & (F.size(ids) != F.size(names)), "author and id counts differ")
+
+
 def paper_authors(papers: DataFrame) -> DataFrame:
-    """One row per listed author of a paper: (key_id, id, pos, name, inst, provider_id).
+    """One row per listed author of a paper: (key_id, id, pos, n_authors, name, inst, provider_id).
 
-    Names and institutions pair up to the shorter list; without institutions every name has ''. A paper whose id list
-    differs in length from its names is rejected, as is one without authors.
+    Names and institutions pair up to the shorter list, whose length is `n_authors`; without institutions every name
+    has ''. Refused papers (see `refusal`) have no rows. A blank provider id is none.
     """
     names = F.split("author", ";")
     trimmed = R.items(F.col("author"))
@@ -81,10 +88,10 @@ def paper_authors(papers: DataFrame) -> DataFrame:
     no_inst = F.col("author_inst").isNull() | (F.col("author_inst") == "")
     blank = F.transform(names, lambda n: F.struct(n.alias("name"), F.lit("").alias("inst")))
     people = F.when(no_inst, blank).otherwise(R.paired(trimmed, insts))
-    ok = F.col("author").isNotNull() & (F.col("author_id").isNull() | (F.size(ids) == F.size(names)))
-    return papers.where(ok).select("key_id", "id", "author_id", F.posexplode(people).alias("pos", "person")).select(
-        "key_id", "id", "pos", "person.name", "person.inst",
-        F.get(F.split("author_id", ";"), F.col("pos")).alias("provider_id"))
+    return papers.where(refusal().isNull()).select(
+        "key_id", "id", F.size(people).alias("n_authors"), "author_id", F.posexplode(people).alias("pos", "person")).select(
+        "key_id", "id", "pos", "n_authors", "person.name", "person.inst",
+        X.fold_null(F.trim(F.get(ids, F.col("pos")))).alias("provider_id"))
 
 
 def resolve_papers(papers: DataFrame, authors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,13 +124,13 @@ def listed_ids(resolved: DataFrame) -> DataFrame:
 
 def project_managers(projects: DataFrame, authors: DataFrame) -> DataFrame:
     """Projects of agent code 03 with the manager's id: the listed one without its prefix, else by (name, lead
-    agency), else a new one. Columns: key_id, id, name, inst, a_id."""
+    agency), else a new one; without an id, a name and a lead agency are both needed. Columns: key_id, id, name, inst, a_id."""
     rows = projects.where(performed_by(F.col("perfAgent.code"))).select(
         "key_id", "id",
         F.col("mng").alias("name"),
         X.strip_highlight(F.col("ldAgency"), leading_space=True).alias("inst"),
-        X.person_id(X.fold_null(F.col("mngId"))).alias("listed_id"),
-    )
+        X.fold_null(X.person_id(X.fold_null(F.col("mngId")))).alias("listed_id"),
+    ).where(F.col("listed_id").isNotNull() | (F.col("name").isNotNull() & F.col("inst").isNotNull()))
     return by_name_inst(rows, authors).withColumn(
         "a_id", F.coalesce("listed_id", "a_id", surrogate_id(F.col("name"), F.col("inst")))).drop("listed_id")
 

@@ -21,10 +21,20 @@ def facet_counts(df: DataFrame, facets: Sequence[str], keys: Sequence[str] = ())
     return grouped.select(*keys, facet.alias("facet"), F.coalesce(*facets).alias("value"), "n")
 
 
-def sorted_facet(counts: DataFrame, keys: Sequence[str], value: str, descending: bool, name: str) -> DataFrame:
-    """Adds the place of every facet value by count (ties: by value)."""
-    n = F.col("n").desc() if descending else F.col("n").asc()
-    return number_rows(counts, keys, [n, F.col(value)], name)
+def sorted_facet(counts: DataFrame, keys: Sequence[str], value: str, largest: str = "from_largest",
+                 smallest: str = "from_smallest") -> DataFrame:
+    """Adds the place of every facet value by count from both ends (ties: by value).
+
+    One range sort gives the places from the smallest; within a count the values stand in the same order from either
+    end, so the places from the largest follow from how many values have a larger count.
+    """
+    placed = number_rows(counts, keys, [F.col("n").asc(), F.col(value)], smallest, "_all")
+    runs = placed.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("n").alias("_n")).agg(
+        F.min(smallest).alias("_first"), F.count("*").alias("_many"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "n")])
+    above = F.col("_all") - (F.col("_first") + F.col("_many") - 1)
+    return placed.join(runs, same).select(
+        *counts.columns, (above + F.col(smallest) - F.col("_first") + 1).alias(largest), smallest)
 
 
 def packed(counts: DataFrame, value: str, limit: int) -> DataFrame:

@@ -260,11 +260,20 @@ def min_max_scaled(df: DataFrame, keys: list[str], column: str, name: str) -> Da
 
 
 def paper_lists(author_paper: DataFrame, size: int = 1000) -> DataFrame:
-    """Paper ids per author in order of paper_id, in parts of at most `size`: no author's list has to fit one row."""
-    numbered = number_rows(author_paper.select(*KEY, "paper_id"), KEY, [F.col("paper_id")], "_rn")
-    part = F.floor((F.col("_rn") - 1) / size).alias("part")
-    return numbered.groupBy(*KEY, part).agg(
-        F.count("*").alias("n_papers"), F.sort_array(F.collect_list("paper_id")).alias("papers"))
+    """Paper ids per author in order of arrival (`seq`, then paper_id), in parts of at most `size`.
+
+    No author's list has to fit one row: authors of up to `size` papers are grouped at once, the papers of the others
+    are numbered by a range sort first.
+    """
+    rows = author_paper.select(*KEY, "seq", "paper_id")
+    sized = rows.join(rows.groupBy(*KEY).agg(F.count("*").alias("_all")), KEY)
+    few = sized.where(F.col("_all") <= size).select(*KEY, "seq", "paper_id", F.lit(0).cast("long").alias("part"))
+    many = number_rows(sized.where(F.col("_all") > size).select(*KEY, "seq", "paper_id"), KEY,
+                       [F.col("seq"), F.col("paper_id")], "_rn")
+    many = many.select(*KEY, "seq", "paper_id", F.floor((F.col("_rn") - 1) / size).alias("part"))
+    listed = F.sort_array(F.collect_list(F.struct("seq", "paper_id")))
+    return few.union(many).groupBy(*KEY, "part").agg(
+        F.count("*").alias("n_papers"), listed["paper_id"].alias("papers"))
 
 
 def query_counts(records: DataFrame, author_paper: DataFrame) -> DataFrame:

@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laurel.functions.text import fold_null
+from laurel.operators.numbering import number_rows
 
 # Marks the export puts in place of a missing author.
 NO_AUTHOR_ID = "No author id available"
 NO_AUTHOR_NAME = "No author name available"
-CAP_SALTS = 64
 
 
 def _all(parts: Sequence[Column]) -> Column:
@@ -46,8 +46,22 @@ def keyword_filter(c: Column, all_of: Sequence[str] = (), any_of: Sequence[str]
 
 
 def every_term(texts: Sequence[Column], terms: Sequence[str]) -> Column:
-    """Every term occurs in some text of the record."""
-    return _all([_any([holds(t, term) for t in texts]) for term in terms])
+    """Every term occurs in some text of the record. The texts are folded once for all terms."""
+    if not terms:
+        return F.lit(True)
+    return _folded_once(list(texts), lambda plain, low: _all(
+        [_any([_holds_in(p, f, term) for p, f in zip(plain, low, strict=True)]) for term in terms]))
+
+
+def _holds_in(plain: Column, low: Column, term: str) -> Column:
+    return F.coalesce(plain.contains(term) if has_hangul(term) else low.contains(term.lower()), F.lit(False))
+
+
+def _folded_once(texts: list[Column], test) -> Column:
+    """`test(texts, folded texts)` inside one lambda, whose argument is evaluated once per record."""
+    both = F.struct(*[t.alias(f"t{i}") for i, t in enumerate(texts)], *[F.lower(t).alias(f"l{i}") for i, t in enumerate(texts)])
+    n = range(len(texts))
+    return F.exists(F.array(both), lambda x: test([x[f"t{i}"] for i in n], [x[f"l{i}"] for i in n]))
 
 
 def no_term(texts: Sequence[Column], terms: Sequence[str]) -> Column:
@@ -57,11 +71,19 @@ def no_term(texts: Sequence[Column], terms: Sequence[str]) -> Column:
 
 def title_abstract_keyword(texts: Sequence[Column], all_of: Sequence[str] = (), any_of: Sequence[str] = (),
                            none_of: Sequence[str] = ()) -> Column:
-    """Search over title, abstract and keywords together. The word `and` among the AND terms is skipped."""
-    joined = F.concat_ws(" ", *texts)
+    """Search over title, abstract and keywords together. The word `and` among the AND terms is skipped.
+
+    Without a term to look for, `none_of` alone decides; a search for `and` alone finds nothing.
+    """
     wanted = [t for t in all_of if t.lower() != "and"]
-    main = _all([holds(joined, t) for t in wanted]) if all_of else _any([holds(joined, t) for t in any_of])
-    return main & ~_any([holds(joined, t) for t in none_of])
+
+    def test(plain: list[Column], low: list[Column]) -> Column:
+        found = lambda t: _holds_in(plain[0], low[0], t)
+        main = _all([found(t) for t in wanted]) if wanted else (
+            _any([found(t) for t in any_of]) if any_of else F.lit(not all_of))
+        return main & ~_any([found(t) for t in none_of])
+
+    return _folded_once([F.concat_ws(" ", *texts)], test)
 
 
 def topic_search(texts: Sequence[Column], terms: Sequence[str]) -> Column:
@@ -103,36 +125,33 @@ def real_name(name: Column) -> Column:
 
 
 def _up_to(order: Sequence[tuple[str, bool]]) -> Column:
-    """Whether a row comes before or at the cut `_cut_<column>` in the given order."""
+    """Whether a row comes before or at the cut `_cut_<column>` in the given order (NULL sorts lowest)."""
     test = F.lit(True)
     for name, descending in reversed(order):
         mine, cut = F.col(name), F.col(f"_cut_{name}")
-        test = (mine > cut if descending else mine < cut) | ((mine == cut) & test)
+        lower = F.coalesce(mine < cut, mine.isNull() & cut.isNotNull())
+        higher = F.coalesce(mine > cut, mine.isNotNull() & cut.isNull())
+        test = (higher if descending else lower) | (mine.eqNullSafe(cut) & test)
     return test
 
 
 def capped(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], cap: int) -> DataFrame:
-    """The first `cap` rows per key and `is_partial`, which tells whether the key had more.
+    """The first `cap` rows per key and `is_partial`, which tells whether the key had more. NULL is a key, too.
 
-    `order` is a total order as (column, descending) over columns without NULL. Only these columns are ranked, in two
-    steps: each of 64 salted parts of a key finds its own first `cap` rows, then at most 64 * cap narrow rows give
-    the key's last row to keep. The records themselves are filtered against that cut and never shuffled.
+    `order` is a total order as (column, descending). Only these columns are numbered, by a range sort that spreads a
+    big key over many tasks; the records themselves are filtered against the key's last row to keep and never shuffled
+    by key.
     """
     names = [n for n, _ in order]
     sort = [F.col(n).desc() if descending else F.col(n).asc() for n, descending in order]
-    narrow = df.select(*keys, *names).withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(CAP_SALTS)))
-    local = Window.partitionBy(*keys, "_salt").orderBy(*sort)
-    final = Window.partitionBy(*keys).orderBy(*sort)
-    cuts = (
-        narrow.withColumn("_rn", F.row_number().over(local)).where(F.col("_rn") <= cap)
-        .withColumn("_rn", F.row_number().over(final)).where(F.col("_rn") == cap)
-        .select(*keys, *[F.col(n).alias(f"_cut_{n}") for n in names])
-    )
-    sizes = df.groupBy(*keys).agg((F.count("*") > cap).alias("is_partial"))
-    limits = sizes.join(cuts, list(keys), "left")
+    numbered = number_rows(df.select(*keys, *names), keys, sort, "_rn", "_of")
+    cuts = numbered.where(F.col("_rn") == F.least(F.lit(cap), F.col("_of"))).select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys], (F.col("_of") > cap).alias("is_partial"),
+        *[F.col(n).alias(f"_cut_{n}") for n in names])
+    same = _all([F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
     return (
-        df.join(limits, list(keys)).where(~F.col("is_partial") | _up_to(order))
-        .drop(*[f"_cut_{n}" for n in names])
+        df.join(cuts, same).where(~F.col("is_partial") | _up_to(order))
+        .drop(*[f"_cut_{n}" for n in names], *[f"_key_{k}" for k in keys])
     )
 
 

@@ -18,11 +18,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct authors per record with the line and the part they come first with.
+
+    Listings and record lists both read this, with the same columns, so a query that needs both shares one exchange.
+    """
+    return table(spark, folder, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(
+        F.min("l_linenumber").alias("line"), F.min("l_partkey").alias("partkey"))
+
+
 def _listed(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct authors per record with the line they come first in."""
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
+    """Distinct authors per record with their query."""
     keys = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderpriority").alias("key_id"))
-    listed = lines.groupBy("l_orderkey", "l_suppkey").agg(F.min("l_linenumber").alias("line"))
+    listed = _lines(spark, folder)
     return listed.join(keys, listed.l_orderkey == keys.o_orderkey)
 
 
@@ -67,13 +75,11 @@ def records(spark: SparkSession, folder: str, lists=()) -> DataFrame:
 
     `lists` names author lists to add; they are built in the same pass over the lines.
     """
-    lines = table(spark, folder, "lineitem")
     if lists:
-        listed = lines.groupBy("l_orderkey", "l_suppkey").agg(
-            F.min("l_linenumber").alias("line"), F.min("l_partkey").alias("partkey"))
-        first = _author_lists(listed, _people(spark, folder), ["l_orderkey"], lists, F.min("partkey").alias("partkey"))
+        first = _author_lists(_lines(spark, folder), _people(spark, folder), ["l_orderkey"], lists,
+                              F.min("partkey").alias("partkey"))
     else:
-        first = lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("partkey"))
+        first = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("partkey"))
     part = table(spark, folder, "part")
     price = F.floor("o_totalprice")
     return (

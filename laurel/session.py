@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
-    """A session for tests and the benchmark. Clusters bring their own."""
+def local_session(cores: int | str = "*", partitions: int = 8, scratch: str | None = None) -> SparkSession:
+    """A session for tests and the benchmark, with a scratch folder of its own. Clusters bring their own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("laurel")
@@ -18,23 +17,30 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", scratch or f"/tmp/laurel-{uuid.uuid4().hex}")
         .getOrCreate()
     )
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only for local runs without it."""
+    """The folder named by ``spark.checkpoint.dir``, which all executors must share."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="laurel-")
+        folder = f"/tmp/laurel-{sc.applicationId}"  # one machine: its folder is shared by all its tasks
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes the scratch tables of this application. For the end of a job: results that read them are gone, too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/laurel-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for a scratch table in the shared folder, under one folder per application."""
     application = spark.sparkContext.applicationId

@@ -2,23 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import csv
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from laurel.session import stored
 
 FUNDING = "Funding Text "  # fixed value: header prefix of the funding columns
 CALLBACK = len("callback(")  # fixed value: characters before the JSON of a JSONP payload
+BINARY = "path string, modificationTime timestamp, length long, content binary"
 XML = {"attributePrefix": "_", "valueTag": "_VALUE", "mode": "PERMISSIVE"}
 
 
-def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV export with a header; quoted cells may hold line breaks. The first header is read as `Authors`.
+def _first_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(file, header): the first line of every file."""
+    whole = spark.read.text(paths, wholetext=True)
+    return whole.select(F.col("_metadata.file_path").alias("file"),
+                        F.regexp_replace(F.substring_index("value", "\n", 1), "\r$", "").alias("header"))
+
+
+def read_export(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """CSV exports with a header; quoted cells may hold line breaks. The first header is read as `Authors`.
 
-    Such a file is read by one task; exports hold at most 2,000 records, so many small files keep tasks busy.
+    Files of one folder differ in their headers (the number of funding columns varies), and a CSV read knows one. So
+    the files are read once per distinct header, each with its own, and put together by name; the funding columns of
+    a file become its array `funding_text`. An export file is read by one task; it holds at most 2,000 records, so many
+    small files keep tasks busy.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    return raw.withColumnRenamed(raw.columns[0], "Authors")
+    heads = stored(_first_lines(spark, paths), "headers")
+    parts = []
+    for row in heads.select("header").distinct().orderBy("header").collect():  # one row per kind of export
+        columns = ["Authors", *next(csv.reader([row.header]))[1:]]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        raw = spark.read.schema(schema).csv(paths, header=True, enforceSchema=True, multiLine=True, escape='"')
+        mine = heads.where(F.col("header") == row.header).select(F.col("file").alias("_file"))
+        own = raw.withColumn("_file", F.col("_metadata.file_path")).join(mine, "_file", "left_semi").drop("_file")
+        rest = [c for c in columns if not c.startswith(FUNDING)]
+        parts.append(own.select(*[F.col(f"`{c}`") for c in rest], funding_texts(columns).alias("funding_text")))
+    if not parts:
+        return spark.createDataFrame([], "Authors string, funding_text array<string>")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def funding_texts(columns: Sequence[str]) -> Column:
@@ -27,6 +55,23 @@ def funding_texts(columns: Sequence[str]) -> Column:
     return F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names]).cast("array<string>")
 
 
+def landed_exports(spark: SparkSession, folder: str, each: Callable[[DataFrame, int], None], checkpoint: str,
+                   suffix: str = "csv", per_trigger: int = 64) -> StreamingQuery:
+    """Exports with headers as they land: `each` gets the rows of the new files and the batch number.
+
+    Only the names of the new files are streamed (at most `per_trigger` of them); their contents are read like a folder.
+    """
+    names = (spark.readStream.schema(BINARY).format("binaryFile").option("pathGlobFilter", f"*.{suffix}")
+             .option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_trigger).load(folder).select("path"))
+
+    def read(batch: DataFrame, number: int) -> None:
+        paths = [r.path for r in batch.collect()]
+        if paths:
+            each(read_export(spark, paths), number)
+
+    return names.writeStream.foreachBatch(read).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def by_name(df: DataFrame, names: Mapping[str, str]) -> list[Column]:
     """Columns picked by header: {field: header}."""
     return [F.col(f"`{header}`").alias(field) for field, header in names.items() if header in df.columns]

@@ -18,7 +18,7 @@ from laurel.operators.identifiers import with_aligned_ids
 from laurel.operators.numbering import number_rows
 from laurel.operators.search import every_term, known_author, no_term
 from laurel.schemas import PAPER
-from laurel.sources.files import by_name, funding_texts, parse_jsonp, parse_xml
+from laurel.sources.files import by_name, parse_jsonp, parse_xml
 
 # ---- fixed values: field maps of the providers ------------------------------------------------------------------------
 
@@ -174,11 +174,12 @@ def dbpia_papers(pages: DataFrame, payload: str = "payload") -> DataFrame:
         F.array_join(F.transform("i.authors.author", lambda a: X.joined_digit_runs(a["url"])), ";").alias("author_id"),
         F.coalesce("i.publication.name", "i.publisher.name").alias("journal"),
         p("i.publisher.name").alias("issue_inst"),
-        F.when(has_pages, X.digit_run(p("i.pages"), 0)).otherwise(0).alias("start_page"),
-        F.when(has_pages, X.digit_run(p("i.pages"), 1)).otherwise(0).alias("end_page"),
+        F.when(has_pages, X.digit_run(p("i.pages"), 0)).otherwise(F.lit(0).cast("long")).alias("start_page"),
+        F.when(has_pages, X.digit_run(p("i.pages"), 1)).otherwise(F.lit(0).cast("long")).alias("end_page"),
         X.registry_name(p("i.dreg_name")).alias("dreg_name"), p("i.issue.yymm").alias("issue_year"),
-        X.language(plain).alias("issue_lang"), F.lit(0).alias("citation"),
+        X.language(plain).alias("issue_lang"), F.lit(0).cast("long").alias("citation"),
         reject(("malformed", p("i").isNotNull()), ("no author", F.size("i.authors.author") > 0),
+               ("no author id", ~F.exists("i.authors.author", lambda a: F.coalesce(X.joined_digit_runs(a["url"]), F.lit("")) == "")),
                ("no record id", p("i.link_url").contains("NODE")), ("no page numbers", two_pages)).alias("reject_reason"),
     )
 
@@ -208,7 +209,7 @@ def ndsl_papers(pages: DataFrame, payload: str = "payload") -> DataFrame:
         R.emit(F.col("names")).alias("author"), R.emit(F.col("insts")).alias("author_inst"),
         F.get("d.journalInfo.journalTitleInfo", F.lit(0)).alias("journal"),
         F.col("d.journalInfo.publisher").alias("issue_inst"), F.col("d.journalInfo.year").alias("issue_year"),
-        X.language(title).alias("issue_lang"), F.lit(0).alias("citation"),
+        X.language(title).alias("issue_lang"), F.lit(0).cast("long").alias("citation"),
         X.digits_only(pages_of["start"]).alias("start_page"), X.digits_only(pages_of["end"]).alias("end_page"),
         F.col(f"{a}.keyword").alias("paper_keyword"),
         reject(("malformed", F.col("d").isNotNull()),
@@ -248,8 +249,8 @@ def kci_papers(pages: DataFrame, payload: str = "payload", terms: Sequence[str]
 
 
 def scopus_papers(export: DataFrame) -> DataFrame:
-    """A named export to paper records."""
-    raw = export.select(*by_name(export, SCOPUS_COLUMNS), funding_texts(export.columns).alias("funding_text"))
+    """Named exports (see `read_export`) to paper records."""
+    raw = export.select(*by_name(export, SCOPUS_COLUMNS), "funding_text")
     filled = {c: F.coalesce(F.col(c), F.lit("")) for c in ("author", "author_inst", "author_id", "issue_inst",
                                                           "paper_keyword")}
     author = R.comma_to_semicolon(filled["author"])
@@ -279,14 +280,14 @@ def wos_papers(export: DataFrame) -> DataFrame:
     matched = with_aligned_ids(raw.withColumn("author", blank("author")), "author", "researcher_ids", "r_id")
     matched = with_aligned_ids(matched, "author", "orcids", "o_id").withColumn(
         "insts", R.bracketed_institutions(F.col("author"), blank("address")))
-    usage = X.whole_number(F.col("usage"), 1).cast("int")
+    usage = X.whole_number(F.col("usage"), 1)
     return matched.select(
         X.drop_text(F.col("id"), "WOS:").alias("id"), "title", F.lit("").alias("english_title"), "abstract",
         F.lit("").alias("english_abstract"), "author", R.emit(F.col("insts")).alias("author_inst"),
         "source_title", "journal", "issue_inst", "issue_lang",
         X.export_year(F.col("year"), F.col("early_access")).cast("string").alias("issue_year"),
         X.page_number(blank("first_page")).alias("start_page"), X.page_number(blank("last_page")).alias("end_page"),
-        X.whole_number(F.col("times_cited")).cast("int").alias("citation"),
+        X.whole_number(F.col("times_cited")).alias("citation"),
         F.when(usage == 0, 1).otherwise(usage).alias("usage_count"),
         blank("author_keyword").alias("author_keyword"),
         F.coalesce(X.fold_null(F.col("category")), F.col("keyword_plus"), F.lit("")).alias("paper_keyword"),

@@ -1,25 +1,39 @@
-"""Streaming jobs: collect records, track progress, score finished queries.
+"""The collecting job: one loop over the message stream that stores records, reports progress and scores finished queries.
 
-All sinks are folders per micro-batch that a repeated batch overwrites, so a restart neither loses nor doubles rows.
+All tables are folders per query (or author shard) and micro-batch. A repeated batch writes the same folders again, and
+reads nothing that it wrote itself, so a restart neither loses nor doubles rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from laurel.functions import text as X
 from laurel.operators import authors as J
-from laurel.schemas import PAPER, names
+from laurel.operators import factors as A
+from laurel.operators.search import performed_by
+from laurel.schemas import PAPER, PROJECT, names
+from laurel.session import stored
 from laurel.sources.tables import by_query
 from laurel.streaming import progress as P
 from laurel.streaming import records as S
 
-RAW = f"{PAPER}, seq long"
-LISTING = "key_id string, paper_id string, a_id string, pos int, n_authors int"
-AUTHORS = "a_id string, name string, inst string"
+PROJECT_SITE = "NTIS"
+SHARDS = 256  # folders of the author tables; a batch opens those of its own names and ids
+STEPS = 2  # writes of a batch that see each other: papers, then projects
+TABLES = {
+    "raw": f"{PAPER}, site string, seq long, n_authors int, crawl_time string",
+    "project": f"{PROJECT}, site string, seq long, crawl_time string",
+    "author_paper": "key_id string, paper_id string, a_id string, pos int, n_authors int, seq long",
+    "refused": "key_id string, id string, site string, seq long, reason string",
+    "state": f"key_id string, {P.STATE}",
+    "author": "a_id string, name string, inst string, shard int",
+    "author_name": "name string, a_id string, shard int",
+}
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -37,72 +51,186 @@ def in_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkp
     )
 
 
-def _open(spark: SparkSession, path: str, ddl: str, before: int | None = None) -> DataFrame:
-    """A table of batch folders, without the batches from `before` on."""
-    table = spark.read.schema(f"{ddl}, batch long").option("basePath", path).parquet(path)
-    return (table if before is None else table.where(F.col("batch") < before)).drop("batch")
+def track(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Progress alone, with the state kept by the stream."""
+    return to_table(P.tracked(S.routed(stream)), path, checkpoint)
 
 
-def _put(df: DataFrame, path: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+def _shard(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(SHARDS)).cast("int")
 
 
-def _put_by_query(df: DataFrame, path: str, batch: int) -> None:
-    """In folders per query: scoring a query then reads its own files only."""
-    by_query(df).write.mode("overwrite").partitionBy("key_id").parquet(f"{path}/batch={batch}")
+class Collection:
+    """Facts of the message stream in `folder`, and the scores of finished queries.
 
+    `score(site, listing, records)` gives the factor rows of finished queries of one site (the site chooses the profile,
+    see `factors.profile_of`); `store(rows)` must replace a query's rows.
+    """
 
-class Collection:
-    """Facts of the record stream: raw records, author listings and authors, in `folder`."""
+    def __init__(self, spark: SparkSession, folder: str, authors: DataFrame,
+                 score: Callable[[str, DataFrame, DataFrame], DataFrame] | None = None,
+                 store: Callable[[DataFrame], None] | None = None):
+        self.spark, self.folder, self.score, self.store = spark, folder, score, store
+        for name, ddl in TABLES.items():  # without rows this only makes the folders
+            self._put(spark.createDataFrame([], ddl), name, -1, "shard" if "shard" in ddl else "key_id")
+        self._add_authors(authors.select("a_id", "name", "inst"), -1)
 
-    def __init__(self, spark: SparkSession, folder: str, authors: DataFrame):
-        self.spark, self.folder = spark, folder
-        _put(authors.select("a_id", "name", "inst"), self.path("author"), -1)
+    # ---- tables ---------------------------------------------------------------------------------------------------------
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
     def table(self, name: str, before: int | None = None) -> DataFrame:
-        ddl = {"raw": RAW, "author_paper": LISTING, "author": AUTHORS}[name]
-        return _open(self.spark, self.path(name), ddl, before)
-
-    def add(self, records: DataFrame, batch: int) -> None:
-        """One micro-batch of new records: authors resolved, everything appended."""
-        fresh = records.persist()
-        known = self.table("author", batch)
-        listing, grown = J.resolve_papers(fresh, known)
-        sizes = fresh.select("key_id", "id", F.size(F.split("author", ";")).alias("n_authors"))
-        _put_by_query(fresh, self.path("raw"), batch)
-        _put_by_query(listing.join(sizes, ["key_id", "id"]).select(
-            "key_id", F.col("id").alias("paper_id"), "a_id", "pos", "n_authors"), self.path("author_paper"), batch)
-        _put(grown.join(known, "a_id", "left_anti").select("a_id", "name", "inst"), self.path("author"), batch)
-        fresh.unpersist()
-
-
-def collect(stream: DataFrame, collection: Collection, checkpoint: str) -> StreamingQuery:
-    """Records once each. Seen keys are kept as stream state, so no batch reads the stored records again."""
-    new = S.deduplicated(S.data_rows(S.routed(stream)).select(*names(RAW)))
-    return in_batches(new, collection.add, checkpoint)
-
-
-def track(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return to_table(P.tracked(S.routed(stream)), path, checkpoint)
-
-
-def score_finished(updates: DataFrame, score: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame], None],
-                   status_path: str, checkpoint: str) -> StreamingQuery:
-    """Runs `score` once for the queries that became collected (state 1), stores the rows and reports state 2.
-
-    `score` takes the finished key_ids and returns factor rows; `store` must replace a query's rows.
-    """
-
-    def each(batch_updates: DataFrame, batch: int) -> None:
-        finished = batch_updates.where(F.col("state") == 1).groupBy("key_id").agg(
-            F.max("seq").alias("seq"), F.bool_or("is_partial").alias("is_partial")).persist()
-        if not finished.isEmpty():
-            store(score(finished.select("key_id")))
-            done = finished.select("key_id", "seq", F.lit(100.0).alias("progress"), F.lit(2).alias("state"), "is_partial")
-            _put(done, status_path, batch)
-        finished.unpersist()
+        """A table, without what was written in step `before` and later."""
+        rows = self.spark.read.schema(f"{TABLES[name]}, batch long").parquet(self.path(name))
+        return rows.where(F.col("batch").isNotNull() if before is None else F.col("batch") < before)
+
+    def _put(self, df: DataFrame, name: str, step: int, level: str = "key_id") -> None:
+        """In folders per query (or shard) and step: readers open their own queries only."""
+        rows = df.select(*names(TABLES[name])).withColumn("batch", F.lit(step).cast("long"))
+        rows = by_query(rows) if level == "key_id" else rows.hint("rebalance", level)
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(level, "batch")
+         .parquet(self.path(name)))
+
+    def _log(self, df: DataFrame, name: str, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path(name)}/batch={batch}")
+
+    def log(self, name: str, ddl: str) -> DataFrame:
+        """The rows that the batches reported: `updates` and `status`."""
+        return self.spark.read.schema(ddl).parquet(self.path(name))
+
+    # ---- authors --------------------------------------------------------------------------------------------------------
+
+    def _add_authors(self, rows: DataFrame, step: int) -> None:
+        self._put(rows.withColumn("shard", _shard(F.col("a_id"))), "author", step, "shard")
+        self._put(rows.withColumn("shard", _shard(F.col("name"))), "author_name", step, "shard")
+
+    def authors(self) -> DataFrame:
+        """The author table as it stands: the latest row of every id."""
+        return _latest(self.table("author"))
+
+    def _known(self, people: DataFrame, step: int) -> DataFrame:
+        """The stored authors that `people` (name, a_id) may mean: by name or by id, from their shards only."""
+        def found(table: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+            keys = wanted.select(key).where(F.col(key).isNotNull()).distinct()
+            shards = keys.select(_shard(F.col(key)).alias("shard")).distinct()
+            return table.join(shards, "shard", "left_semi").join(keys, key, "left_semi")
+
+        by_name = found(self.table("author_name", step), "name", people).select("a_id")
+        return _latest(found(self.table("author", step), "a_id", by_name.union(people.select("a_id"))))
+
+    # ---- one micro-batch ------------------------------------------------------------------------------------------------
+
+    def add(self, messages: DataFrame, batch: int) -> None:
+        """Stores the records of a batch, then reports its progress, then scores the queries that it finished."""
+        rows = messages.persist()
+        step = batch * STEPS
+        self._log_malformed(rows, batch)
+        new = stored(self._new(S.data_rows(rows), step), "new")
+        project = F.coalesce(F.col("site") == PROJECT_SITE, F.lit(False))
+        self._add_papers(new.where(~project), step)
+        self._add_projects(new.where(project), step + 1)
+        updates = self._report(rows, batch)
+        self._score(updates.where("state = 1"), batch)
+        rows.unpersist()
+
+    def _new(self, data: DataFrame, step: int) -> DataFrame:
+        """Records that are not stored yet, once each. Only the batch's own queries are looked up."""
+        keys = data.select("key_id").distinct()
+        stored = [self.table(n, step).select("key_id", "id") for n in ("raw", "project", "refused")]
+        seen = stored[0].union(stored[1]).union(stored[2]).join(keys, "key_id", "left_semi")
+        return data.dropDuplicates(["key_id", "id"]).join(seen, ["key_id", "id"], "left_anti")
+
+    def _log_malformed(self, rows: DataFrame, batch: int) -> None:
+        """Malformed messages, which stop nothing."""
+        bad = S.malformed(rows).withColumn("reason", F.lit("malformed"))
+        self._log(bad.select(*names(TABLES["refused"])), "malformed", batch)
+
+    def _add_papers(self, papers: DataFrame, step: int) -> None:
+        """Papers with resolved authors written back; refused ones go to their own table with the reason."""
+        reasoned = papers.withColumn("reason", J.refusal())
+        self._put(reasoned.where("reason is not null"), "refused", step)
+        kept = reasoned.where("reason is null")
+        listed = J.paper_authors(kept)
+        known = stored(self._known(listed.select("name", F.col("provider_id").alias("a_id")), step), "known")
+        listing, after = J.resolve_papers(kept, known)
+        listing = stored(listing.join(kept.select("key_id", "id", "seq"), ["key_id", "id"]), "listing")
+        columns = [c for c in kept.columns if c not in ("author", "author_id", "author_inst")]
+        written = kept.select(*columns).join(J.listed_ids(listing), ["key_id", "id"])
+        self._put(written.withColumn("crawl_time", X.stamp(F.current_timestamp())), "raw", step)
+        self._put(listing.withColumnRenamed("id", "paper_id"), "author_paper", step)
+        self._add_authors(after.join(known, "a_id", "left_anti"), step)
+
+    def _add_projects(self, projects: DataFrame, step: int) -> None:
+        """Projects of the agents that are analysed, with manager and researchers resolved and written back."""
+        ours = performed_by(F.col("perfAgent.code"))
+        self._put(projects.where(~ours).withColumn("reason", F.lit("agent not analysed")), "refused", step)
+        kept = projects.where(ours)
+        listed = F.transform(F.split(F.replace("rscId", F.lit('"'), F.lit("")), ";"), X.person_id)
+        ids = F.array_append(F.coalesce(listed, F.array().cast("array<string>")), X.person_id(F.col("mngId")))
+        people = kept.select(F.col("mng").alias("name"), F.explode(ids).alias("a_id"))
+        known = stored(self._known(people, step), "known")
+        listing, after = J.resolve_projects(kept, known, distinct=True)
+        listing = stored(listing.join(kept.select("key_id", "id", "seq"), ["key_id", "id"]), "listing")
+        size = F.count("*").alias("n_authors")
+        sized = listing.join(listing.groupBy("key_id", "id").agg(size), ["key_id", "id"])
+        written = kept.drop("mng", "mngId", "rsc", "rscId").join(J.listed_people(listing), ["key_id", "id"])
+        self._put(written.withColumn("crawl_time", X.stamp(F.current_timestamp())), "project", step)
+        self._put(sized.withColumnRenamed("id", "paper_id").withColumn("n_authors", F.col("n_authors").cast("int")),
+                  "author_paper", step)
+        self._add_authors(after.join(known, ["a_id", "name", "inst"], "left_anti"), step)
+
+    def _report(self, rows: DataFrame, batch: int) -> DataFrame:
+        """The batch's status updates, stored after its records."""
+        keys = rows.select("key_id").distinct()
+        step = batch * STEPS
+        states = self.table("state", step).join(keys, "key_id", "left_semi")
+        folded = stored(P.folded(rows, _newest(states, "key_id", names(P.STATE))), "folded")
+        self._put(folded.where("seq is null"), "state", step)
+        self._log(folded.where("seq is not null").select(*names(P.UPDATE)), "updates", batch)
+        return self.spark.read.schema(P.UPDATE).parquet(f"{self.path('updates')}/batch={batch}")
+
+    def _score(self, finished: DataFrame, batch: int) -> None:
+        """Scores the queries whose records are complete, site by site, and reports them as analysed."""
+        if self.score is None or finished.isEmpty():
+            return
+        ended = finished.groupBy("key_id").agg(F.max("seq").alias("seq"), F.bool_or("is_partial").alias("is_partial"))
+        listing = self.table("author_paper").join(ended, "key_id", "left_semi")
+        papers, projects = (self.table(n).join(ended, "key_id", "left_semi") for n in ("raw", "project"))
+        both = papers.select("key_id", "site", "crawl_time").union(projects.select("key_id", "site", "crawl_time"))
+        sites = sorted(r.site or "" for r in both.select("site").distinct().collect())  # one row per provider
+        scored = []
+        for site in sites:
+            records = projects if site == PROJECT_SITE else papers
+            records = records.where(F.coalesce("site", F.lit("")) == site)
+            mine = listing.join(records.select("key_id", F.col("id").alias("paper_id")), ["key_id", "paper_id"], "left_semi")
+            watched, seen = S.observed(self.score(site, mine, records), f"analysis-{batch}-{site}")
+            self.store(watched)
+            scored.append((site, int(seen.get["rows"])))
+        counts = A.query_counts(both, listing)
+        crawled = both.groupBy("key_id").agg(F.max("crawl_time").alias("crawl_time"))
+        done = ended.join(counts, "key_id", "left").join(crawled, "key_id", "left").select(
+            "key_id", "seq", F.lit(100.0).alias("progress"), F.lit(2).alias("state"), "is_partial",
+            F.coalesce("data", F.lit(0).cast("long")).alias("data"), F.coalesce("experts", F.lit(0).cast("long")).alias("experts"),
+            "crawl_time", X.stamp(F.current_timestamp()).alias("a_time"))
+        self._log(done, "status", batch)
+        self._log(self.spark.createDataFrame(scored, "site string, rows long"), "analysis", batch)
+
+
+STATUS = f"{P.UPDATE}, data long, experts long, crawl_time string, a_time string"
+
+
+def _latest(log: DataFrame) -> DataFrame:
+    return _newest(log, "a_id", ["name", "inst"])
+
+
+def _newest(log: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The row of the last batch per key."""
+    last = F.max_by(F.struct(*columns), "batch").alias("_last")
+    return log.groupBy(key).agg(last).select(key, *[F.col(f"_last.{c}").alias(c) for c in columns])
+
+
+def ingest(stream: DataFrame, collection: Collection, checkpoint: str) -> StreamingQuery:
+    """The whole job over a message stream, one loop: store, report, score."""
+    return in_batches(S.routed(stream), collection.add, checkpoint)
 
-    return in_batches(updates, each, checkpoint)

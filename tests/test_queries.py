@@ -17,9 +17,12 @@ def duck(data):
     return oracle(data)
 
 
+EMPTY_ON_SMALL = {"f05_title_abstract_keyword"}  # no match among the few rows of the smallest tables
+
+
 @pytest.mark.parametrize("name", sorted(ENTRIES))
 def test_query(spark, duck, data, name):
-    ok, message = compare(spark, duck, data, name, queries()[name], SQL.get(name), allow_empty=True)
+    ok, message = compare(spark, duck, data, name, queries()[name], SQL.get(name), allow_empty=name in EMPTY_ON_SMALL)
     assert ok, message
 
 
