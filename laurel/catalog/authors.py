@@ -268,3 +268,30 @@ def j14_conflicts(spark, d):
                        F.array_join(F.flatten(F.transform(listed, of_one)), "; ").alias("entries"))
     ids = F.transform(F.split("r_id", ";"), lambda x: F.when(x == "", "none").otherwise(x))
     return with_aligned_ids(rows, "author", "entries", "r_id").select("paper_id", F.array_join(ids, ";").alias("r_id"))
+
+
+NAMED = """named as (select s_suppkey as a_id, n_name as inst,
+  lower((['Kim', 'Lee', 'Park', 'Choi', 'Jung'])[s_suppkey % 5 + 1]) as surname,
+  lower(case when s_suppkey % 4 = 0 then 'M' else (['Min Ho', 'So Ra', 'Mi Na'])[s_suppkey % 3 + 1] end) as given
+ from supplier join nation on s_nationkey = n_nationkey)"""
+
+
+@query("j17_same_author", with_views(AUTHOR_PAPER, NAMED) + """,
+shared as (select distinct a.key_id, a.a_id, b.a_id as co from author_paper a join author_paper b
+ on a.key_id = b.key_id and a.paper_id = b.paper_id and a.a_id <> b.a_id),
+p as (select s.key_id, s.co, n.* from shared s join named n using (a_id)),
+pairs as (select distinct l.key_id, l.a_id, r.a_id as other_id, l.surname as ls, r.surname as rs, l.given as lg, r.given as rg,
+  l.inst as li, r.inst as ri from p l join p r on l.key_id = r.key_id and l.co = r.co and l.a_id < r.a_id)
+select key_id, a_id, other_id, 'short name' as reason from pairs
+ where ls = rs and left(lg, 1) = left(rg, 1) and (length(lg) > 1) <> (length(rg) > 1)
+union all select key_id, a_id, other_id, 'moved' from pairs where ls = rs and lg = rg and li <> ri
+union all select key_id, a_id, other_id, 'new surname' from pairs where lg = rg and length(lg) > 1 and li = ri and ls <> rs""")
+def j17(spark, d):
+    """Suppliers with personal names; every fourth goes by an initial."""
+    n = F.col("s_suppkey")
+    one_of = lambda names, by: F.element_at(F.array(*map(F.lit, names)), (n % by + 1).cast("int"))
+    given = F.when(n % 4 == 0, "M.").otherwise(one_of(["Min Ho", "So Ra", "Mi Na"], 3))
+    people = D.table(spark, d, "supplier").join(D.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    people = people.select(n.alias("a_id"), F.concat(one_of(["Kim", "Lee", "Park", "Choi", "Jung"], 5), F.lit(", "), given)
+                           .alias("name"), F.col("n_name").alias("inst"))
+    return J.same_author(D.author_paper(spark, d), people)

@@ -180,3 +180,35 @@ def listed_people(listing: DataFrame) -> DataFrame:
     rest = F.filter("p", lambda x: x["pos"] >= 0)
     return grouped.select("key_id", "id", lead["name"].alias("mng"), lead["a_id"].alias("mngId"),
                           R.emit(rest["name"]).alias("rsc"), R.emit(rest["a_id"]).alias("rscId"))
+
+
+# ---- one person behind several ids ----------------------------------------------------------------------------------
+
+def same_author(author_paper: DataFrame, people: DataFrame) -> DataFrame:
+    """Ids of one query that may be one person: (key_id, a_id, other_id, reason) with a_id < other_id.
+
+    Two ids are compared only if they share a co-author and part of the name (`Surname, Given`, case folded):
+    `short name` - same surname, one given name is the other's initial; `moved` - same full name, other institution;
+    `new surname` - same given name (no initial) and institution, other surname. Blocks are (query, co-author, reason,
+    the name part that must agree), so no pairs are formed beyond them. `people` has (a_id, name, inst).
+    """
+    listed = author_paper.select("key_id", "paper_id", "a_id").distinct()
+    shared = (listed.join(listed.withColumnRenamed("a_id", "co"), ["key_id", "paper_id"]).where("a_id <> co")
+              .select("key_id", "a_id", "co").distinct())
+    name = F.lower("name")
+    given = F.rtrim(F.trim(F.split_part(name, F.lit(","), F.lit(2))), F.lit("."))
+    person = people.select("a_id", F.trim(F.split_part(name, F.lit(","), F.lit(1))).alias("surname"), given.alias("given"), "inst")
+    full = F.length("given") > 1
+    blocks = F.array(
+        F.struct(F.lit("short name").alias("reason"), F.concat_ws("|", "surname", F.left("given", F.lit(1))).alias("block")),
+        F.struct(F.lit("moved").alias("reason"), F.concat_ws("|", "surname", "given").alias("block")),
+        F.struct(F.lit("new surname").alias("reason"), F.concat_ws("|", "given", "inst").alias("block")))
+    rows = shared.join(person, "a_id").withColumn("full", full).select("*", F.inline(blocks))
+    left, right = rows.alias("l"), rows.alias("r")
+    keys = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key_id", "co", "reason", "block")]
+    differ = lambda c: F.col(f"l.{c}") != F.col(f"r.{c}")
+    test = F.when(F.col("l.reason") == "short name", differ("full")).when(
+        F.col("l.reason") == "moved", differ("inst")).otherwise(F.col("l.full") & differ("surname"))
+    return (left.join(right, [*keys, F.col("l.a_id") < F.col("r.a_id")]).where(test)
+            .select(F.col("l.key_id").alias("key_id"), F.col("l.a_id").alias("a_id"), F.col("r.a_id").alias("other_id"),
+                    F.col("l.reason").alias("reason")).distinct())

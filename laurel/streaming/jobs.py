@@ -7,6 +7,7 @@ reads nothing that it wrote itself, so a restart neither loses nor doubles rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from laurel.operators import factors as A
 from laurel.operators.search import performed_by
 from laurel.schemas import PAPER, PROJECT, names
 from laurel.session import stored
-from laurel.sources.tables import by_query
+from laurel.sources.tables import by_query, of_queries
 from laurel.streaming import progress as P
 from laurel.streaming import records as S
 
@@ -113,7 +114,7 @@ class Collection:
         """The stored authors that `people` (name, a_id) may mean: by name or by id, from their shards only."""
         def found(table: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
             keys = wanted.select(key).where(F.col(key).isNotNull()).distinct()
-            shards = keys.select(_shard(F.col(key)).alias("shard")).distinct()
+            shards = keys.select(_shard(F.col(key)).alias("shard")).where("shard >= 0").distinct()  # see tables.of_queries
             return table.join(shards, "shard", "left_semi").join(keys, key, "left_semi")
 
         by_name = found(self.table("author_name", step), "name", people).select("a_id")
@@ -136,9 +137,8 @@ class Collection:
 
     def _new(self, data: DataFrame, step: int) -> DataFrame:
         """Records that are not stored yet, once each. Only the batch's own queries are looked up."""
-        keys = data.select("key_id").distinct()
-        stored = [self.table(n, step).select("key_id", "id") for n in ("raw", "project", "refused")]
-        seen = stored[0].union(stored[1]).union(stored[2]).join(keys, "key_id", "left_semi")
+        before = [self.table(n, step).select("key_id", "id") for n in ("raw", "project", "refused")]
+        seen = reduce(DataFrame.union, [of_queries(t, data) for t in before])
         return data.dropDuplicates(["key_id", "id"]).join(seen, ["key_id", "id"], "left_anti")
 
     def _log_malformed(self, rows: DataFrame, batch: int) -> None:
@@ -182,9 +182,8 @@ class Collection:
 
     def _report(self, rows: DataFrame, batch: int) -> DataFrame:
         """The batch's status updates, stored after its records."""
-        keys = rows.select("key_id").distinct()
         step = batch * STEPS
-        states = self.table("state", step).join(keys, "key_id", "left_semi")
+        states = of_queries(self.table("state", step), rows)
         folded = stored(P.folded(rows, _newest(states, "key_id", names(P.STATE))), "folded")
         self._put(folded.where("seq is null"), "state", step)
         self._log(folded.where("seq is not null").select(*names(P.UPDATE)), "updates", batch)
@@ -195,8 +194,7 @@ class Collection:
         if self.score is None or finished.isEmpty():
             return
         ended = finished.groupBy("key_id").agg(F.max("seq").alias("seq"), F.bool_or("is_partial").alias("is_partial"))
-        listing = self.table("author_paper").join(ended, "key_id", "left_semi")
-        papers, projects = (self.table(n).join(ended, "key_id", "left_semi") for n in ("raw", "project"))
+        listing, papers, projects = (of_queries(self.table(n), ended) for n in ("author_paper", "raw", "project"))
         both = papers.select("key_id", "site", "crawl_time").union(projects.select("key_id", "site", "crawl_time"))
         sites = sorted(r.site or "" for r in both.select("site").distinct().collect())  # one row per provider
         scored = []

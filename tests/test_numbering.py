@@ -87,4 +87,4 @@ def test_pages_do_not_overlap(spark):
 
 def test_top_k_bounds():
     with pytest.raises(ValueError):
-        ranking.top_experts(None, {"quality": 1}, 5000)
+        ranking.top_experts(None, {"quality": 1}, 0)

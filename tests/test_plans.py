@@ -42,4 +42,4 @@ def test_scalar_queries_do_not_shuffle(spark, data):
 
 def test_cut_is_joined_to_the_records_not_the_records_ranked(spark, data):
     text = plan(spark, data, "f09_result_cap")
-    assert "_cut_o_orderdate" in text and text.count("_salt") > 0
+    assert "_cut_o_orderdate" in text and "Window" not in text.split("_cut_o_orderdate")[0]
