@@ -22,8 +22,10 @@ from laurel.session import stored
 
 WIDTH, PERCENT = 5, 80
 FREQUENT, FREQUENT_KEPT = 32, 1 << 17  # shingles met so often go last in the order; so many of them at most
-COUNT_BLOCK = 1 << 22  # shingles that a task counts at once
+COUNT_BLOCK = 1 << 21  # shingles that a task counts at once
 LIST_BLOCK = 64  # entries of an index list that are skipped together
+SHORT = 8  # lists up to this length are paired all at once, longer ones entry by entry
+BITS = 512  # of a set's parity map
 MEMBERS = 256  # sets that one group of a comparison compares with its first set
 
 
@@ -76,16 +78,22 @@ def frequent_shingles(docs: DataFrame, text: str, width: int) -> tuple[np.ndarra
 
 
 def described_sets(docs: DataFrame, text: str, doc_id: str, width: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), sig (digest of the set), prefix (rarest elements first, six bytes each)."""
+    """doc_id, n (set size), sig (digest of the set), prefix (rarest elements first, six bytes each), parity.
+
+    Every element flips one bit of the parity map, so the maps of two sets differ in at most as many bits as the sets
+    differ in elements.
+    """
     frequent, often = frequent_shingles(docs, text, width)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, prefixes = [], [], []
+            sizes, digests, prefixes, maps = [], [], [], []
             for own in shingle_sets(batch.column(1), width):
                 n = len(own)
                 sizes.append(n)
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                flips = np.bincount((own & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+                maps.append(np.packbits(flips.astype(np.uint8)).tobytes())
                 if n and len(frequent):
                     at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
                     common = frequent[at] == own
@@ -93,11 +101,11 @@ def described_sets(docs: DataFrame, text: str, doc_id: str, width: int, percent:
                     own = np.concatenate((own[~common], last[np.argsort(often[at[common]], kind="stable")]))
                 first = (own[:_prefix(n, percent)] >> np.uint64(16)).astype("<u8") if n else own
                 prefixes.append(first.view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-            yield _batch(["doc_id", "n", "sig", "prefix"], batch.column(0), pa.array(sizes, pa.int64()),
-                         pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary()))
+            yield _batch(["doc_id", "n", "sig", "prefix", "parity"], batch.column(0), pa.array(sizes, pa.int64()),
+                         *[pa.array(c, pa.binary()) for c in (digests, prefixes, maps)])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(
-        describe, "doc_id long, n long, sig binary, prefix binary")
+        describe, "doc_id long, n long, sig binary, prefix binary, parity binary")
 
 
 def _postings(reps: DataFrame) -> DataFrame:
@@ -163,58 +171,83 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(walk, "kind byte, x long, y long, n int, pos int"))
 
 
-def _crossing_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets in one index list, of different classes, that may reach the overlap; not distinct."""
+def _crossing_pairs(lists: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets in one index list, of different classes, that may reach the overlap; not distinct.
+
+    `marks` has (doc, root, parity) of the sets. Neighbours of a list have been compared before.
+    """
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # entries of the current list that later, larger sets may match
         for batch in batches:
-            rows = [c.to_numpy().astype(np.int64) for c in batch.columns]
-            if not len(rows[0]):
+            if not batch.num_rows:
                 continue
-            cuts = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
-            for lo, hi in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(rows[0])])), strict=True):
-                part = [c[lo:hi] for c in rows]
-                old = 0
-                if held is not None and held[0][0] == part[0][0]:
-                    fits = 100 * held[2] >= percent * part[2][0]
-                    old = int(fits.sum())
-                    part = [np.concatenate((h[fits], c)) for h, c in zip(held, part, strict=True)]
-                held = part
-                if len(part[0]) > 1 and (part[4] != part[4][0]).any():
-                    yield from _list_pairs(*part[1:], old, percent)
+            rows = [c.to_numpy().astype(np.int64) for c in batch.columns[:5]]
+            rows.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u8").reshape(-1, BITS // 64))
+            old = 0
+            if held is not None and held[0][0] == rows[0][0]:
+                fits = 100 * held[2] >= percent * rows[2][0]
+                old = int(fits.sum())
+                rows = [np.concatenate((h[fits], c)) for h, c in zip(held, rows, strict=True)]
+            shingle, doc, n, pos, root, parity = rows
+            cuts = np.concatenate(([0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1, [len(shingle)]))
+            found = [_short_pairs(rows, cuts, old, percent)]
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if hi - lo > SHORT and (root[lo:hi] != root[lo]).any():
+                    found += _long_pairs(doc[lo:hi], n[lo:hi], pos[lo:hi], root[lo:hi], parity[lo:hi],
+                                         max(0, old - lo), percent)
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield _batch(["a", "b"], pairs[:, 0].copy(), pairs[:, 1].copy())
+            held = [c[cuts[-2]:] for c in rows]
 
     joined = (lists.where("kind = 0").select(F.col("x").alias("shingle"), F.col("y").alias("doc"), "n", "pos")
-              .join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left")
-              .select("shingle", "doc", "n", "pos", F.coalesce("root", "doc").alias("root")))
+              .join(marks, "doc").select("shingle", "doc", "n", "pos", "root", "parity"))
     return (joined.repartition("shingle").sortWithinPartitions("shingle", "n", "doc")
-            .mapInArrow(cross, "a long, b long, n_a long, n_b long"))
+            .mapInArrow(cross, "a long, b long"))
+
 
+def _may_link(n, m, pos_n, pos_m, parity_n, parity_m, percent: int) -> np.ndarray:
+    """Whether sets of sizes n <= m that share the elements at these positions first may be linked."""
+    needed = _needed(n, m, percent)
+    apart = np.bitwise_count(parity_n ^ parity_m).sum(-1, dtype=np.int64)
+    return ((100 * n >= percent * m) & (pos_n < _index_prefix(n, percent)) & (np.minimum(n - pos_n, m - pos_m) >= needed)
+            & (apart <= n + m - 2 * needed))
 
-def _list_pairs(doc, n, pos, root, old: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Crossing pairs of one list (by size): each entry from `old` on with those before it."""
+
+def _short_pairs(rows: list[np.ndarray], cuts: np.ndarray, old: int, percent: int) -> np.ndarray:
+    """The pairs of all lists of up to SHORT entries, but for neighbours and those within the first `old` entries."""
+    shingle, doc, n, pos, root, parity = rows
+    sizes = np.repeat(np.diff(cuts), np.diff(cuts))
+    found = [np.zeros((0, 2), np.int64)]
+    for k in range(2, SHORT):
+        at = np.arange(max(old, k), len(doc))
+        at = at[(sizes[at] <= SHORT) & (shingle[at] == shingle[at - k]) & (root[at] != root[at - k])]
+        at = at[_may_link(n[at - k], n[at], pos[at - k], pos[at], parity[at - k], parity[at], percent)]
+        found.append(np.stack((doc[at - k], doc[at]), 1))
+    return np.concatenate(found)
+
+
+def _long_pairs(doc, n, pos, root, parity, old: int, percent: int) -> list[np.ndarray]:
+    """Crossing pairs of one long list (by size): each entry from `old` on with those before it.
+
+    The list is cut into blocks by position; a block is skipped if no entry in it can have the overlap.
+    """
     order = np.argsort(pos, kind="stable")
     starts = np.arange(0, len(order), LIST_BLOCK)
     block_pos = pos[order][starts]  # the least position of a block
     block_n = np.minimum.reduceat(n[order], starts)
     block_left = np.maximum.reduceat((n - pos)[order], starts)
-    out, held = [], 0
+    found = []
     for i in range(max(old, 1), len(doc)):
-        left = n[i] - pos[i]
-        may = (block_n <= n[i]) & (np.minimum(block_left, left) >= _needed(block_n, n[i], percent))
+        may = (block_n <= n[i]) & (np.minimum(block_left, n[i] - pos[i]) >= _needed(block_n, n[i], percent))
         may &= block_pos < _index_prefix(n[i], percent)
-        for k in np.flatnonzero(may):
-            j = order[k * LIST_BLOCK:(k + 1) * LIST_BLOCK]
-            j = j[(j < i) & (root[j] != root[i])]
-            j = j[(100 * n[j] >= percent * n[i]) & (pos[j] < _index_prefix(n[j], percent))
-                  & (np.minimum(n[j] - pos[j], left) >= _needed(n[j], n[i], percent))]
-            if len(j):
-                out.append(np.stack((doc[j], np.full(len(j), doc[i]), n[j], np.full(len(j), n[i])), 1))
-                held += len(j)
-        if held > 100_000:
-            yield _batch(["a", "b", "n_a", "n_b"], *np.concatenate(out).T.copy())
-            out, held = [], 0
-    if out:
-        yield _batch(["a", "b", "n_a", "n_b"], *np.concatenate(out).T.copy())
+        if not may.any():
+            continue
+        j = order if may.all() else np.concatenate([order[k * LIST_BLOCK:(k + 1) * LIST_BLOCK] for k in np.flatnonzero(may)])
+        j = j[(j < i) & (root[j] != root[i])]
+        j = j[_may_link(n[j], n[i], pos[j], pos[i], parity[j], parity[i], percent)]
+        if len(j):
+            found.append(np.stack((doc[j], np.full(len(j), doc[i])), 1))
+    return found
 
 
 def _sets_of(docs: DataFrame, pairs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
@@ -299,8 +332,8 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", doc_id: str = "d
     """
     described = stored(described_sets(docs, text, doc_id, width, percent), "sets")
     reps = stored(described.where("n > 0 and doc_id is not null").groupBy("sig")
-                  .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix")),
-                  "reps")
+                  .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix"),
+                       F.first("parity").alias("parity")), "reps")
     lists = stored(_lists(_postings(reps), percent), "lists")
     prefixes = reps.select(F.col("rep").alias("doc"), "n", F.col("prefix").alias("elements"))
 
@@ -318,7 +351,9 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", doc_id: str = "d
     rough, exact = compared(near)
     roots = stored(components(links_of(exact)), "roots")
 
-    crossing = stored(_crossing_pairs(lists, roots, percent)
+    marks = (reps.select(F.col("rep").alias("doc"), "parity").join(roots.withColumnRenamed("node", "doc"), "doc", "left")
+             .select("doc", F.coalesce("root", "doc").alias("root"), "parity"))
+    crossing = stored(_crossing_pairs(lists, marks, percent)
                       .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
                       .join(near, ["a", "b"], "left_anti"), "crossing")
     decided = _derived(crossing, rough.join(exact.select("a", "b"), ["a", "b"], "left_anti").union(exact), prefixes, percent)
