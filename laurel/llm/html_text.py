@@ -126,7 +126,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
         if name == "br":
             pieces.append((" ", False))
             continue
-        if name not in INLINE:
+        if name not in INLINE and name not in HIDDEN:
             close()
         if tag[1] == "/":
             scope.pop(name)
