@@ -20,8 +20,8 @@ from laurel.session import stored
 WINDOW = 2048
 STEP = 8  # lengths are planned in bins of this many tokens, so that a plan has a fixed size at any corpus size
 END = 1  # the id that ends a document
-REMEMBERED = 500_000  # parts of words in each of the two generations that a worker remembers
-SLICE_BYTES = 8 << 20  # texts are tokenized in slices of about this size
+REMEMBERED = 150_000  # parts of words in each of the two generations that a worker remembers
+SLICE_BYTES = 4 << 20  # texts are tokenized in slices of about this size
 # What the word pattern of the tokenizer file takes besides runs of letters, and what is not plain Latin.
 NOT_LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\t-\r \p{L}\p{N}]+"
 OTHER = r"[^\t-\r -~\x{a1}-\x{ff}]|<\|"

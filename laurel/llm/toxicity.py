@@ -21,8 +21,9 @@ from laurel.session import stored
 
 LEARNING_ROWS = 24_000  # labelled documents that a model learns from, at most
 KEPT_WORDS, KEPT_STEMS, STEMS = 400, 200, (4, 5, 6)  # learned lexicon entries, and the lengths of word beginnings
+HELD_ENTRIES = 200_000  # that a task counts before it hands them on
 EVIDENCE = 30.0  # log-likelihood ratio that a learned entry must reach
-TREES, DEPTH, NEAR = 30, 3, 5
+TREES, DEPTH, LEAF, NEAR = 30, 3, 10, 5
 THRESHOLD = 0.3
 # Common insults, second-person words of the corpus languages, and look-alike characters.
 INSULTS = frozenset("""idiot idiots stupid moron morons loser losers dumb scum trash garbage worthless pathetic disgusting
@@ -127,17 +128,22 @@ def learned_lexicon(labelled: DataFrame) -> Lexicon:
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+
+        def counted() -> pa.RecordBatch:
+            entries = sorted(set(seen[0]) | set(seen[1]))
+            counts = [pa.array([seen[t][e] for e in entries], pa.int64()) for t in (1, 0)]
+            seen[0].clear()
+            seen[1].clear()
+            return pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), *counts], ["entry", "bad", "good"])
+
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 cores = {_core(w) for w in (text.as_py() or "").split()}
                 cores = {c for c in cores if c.isalpha()}
                 seen[toxic].update({f"={c}" for c in cores} | {f"{c[:k]}" for c in cores for k in STEMS if len(c) > k})
-        entries = set(seen[0]) | set(seen[1])
-        if entries:
-            entries = sorted(entries)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(entries), *(pa.array([seen[t][e] for e in entries], pa.int64()) for t in (1, 0))],
-                ["entry", "bad", "good"])
+                if len(seen[0]) + len(seen[1]) > HELD_ENTRIES:
+                    yield counted()
+        yield counted()
 
     totals = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
@@ -186,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     share = rows.agg(F.avg("label")).first()[0] or 0.0
     if not {(False, 0), (False, 1)} <= seen:
         return Model(lexicon, base=float(share))
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, cacheNodeIds=False).fit(grow)
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAF, stepSize=0.3, seed=7).fit(grow)
     if not {(True, 0), (True, 1)} <= seen:
         rest = grow
     calibration = IsotonicRegression(featuresCol="margin", labelCol="label").fit(_margins(trees, rest))
