@@ -125,47 +125,64 @@ def _postings(reps: DataFrame) -> DataFrame:
 
 
 def _lists(postings: DataFrame, percent: int) -> DataFrame:
-    """Entries of index lists with two or more sets (kind 0), and first pairs to compare (kind 1: x, y).
+    """Entries of index lists with three or more sets (kind 0), and first pairs to compare (kind 1: x, y).
 
     The first pairs of a list are neighbours by size, and the first set of each size class with all others of the
     class: as many pairs as entries, enough to connect a cluster of near copies however large.
     """
     growth = np.log(100 / percent)
 
+    def entries(rows: list[np.ndarray], same: np.ndarray, lo: int, hi: int) -> list[np.ndarray]:
+        """Rows lo..hi that lie in a list of three or more; `same` has two more places at its end."""
+        at = np.arange(lo, hi)
+        before = np.where(at > 0, same[np.maximum(at - 1, 0)], False)
+        at = at[(same[at] & (before | same[at + 1])) | (same[at + 1] & same[at + 2])]
+        return [c[at] for c in rows]
+
+    def output(listed: list[np.ndarray], pairs: np.ndarray) -> pa.RecordBatch:
+        shingle, doc, n, pos = listed
+        k, p = len(doc), len(pairs)
+        return _batch(["kind", "x", "y", "n", "pos"], np.repeat(np.array([0, 1], np.int8), (k, p)),
+                      np.concatenate((shingle, pairs[:, 0])), np.concatenate((doc, pairs[:, 1])),
+                      np.concatenate((n, np.zeros(p, np.int32))), np.concatenate((pos, np.zeros(p, np.int32))))
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry, star = None, None
+        # The last four rows go along: of the last two it is not known yet how their lists go on.
+        rows, same, open_from, star = None, None, 0, None
         for batch in batches:
-            rows = [c.to_numpy() for c in batch.columns]
-            if not len(rows[0]):
+            new = [c.to_numpy() for c in batch.columns]
+            if not len(new[0]):
                 continue
-            # `carry` is the last row of the batch before, and whether it has been given out already
-            if carry is not None:
-                rows = [np.concatenate(([v], c)) for v, c in zip(carry[0], rows, strict=True)]
-            shingle, doc, n, pos = rows
-            same = np.zeros(len(shingle) + 1, bool)
-            same[1:-1] = shingle[1:] == shingle[:-1]
-            listed = same[:-1] | same[1:]
-            if carry is not None and carry[1]:
-                listed[0] = False
+            kept = 0
+            if rows is not None:
+                kept = min(4, len(rows[0]))
+                open_from -= len(rows[0]) - kept
+                new = [np.concatenate((c[-kept:], d)) for c, d in zip(rows, new, strict=True)]
+            rows = new
+            shingle, doc, n, _ = rows
+            same = np.zeros(len(doc) + 2, bool)
+            same[1:-2] = shingle[1:] == shingle[:-1]
             size_class = np.floor(np.log(np.maximum(n, 1)) / growth).astype(np.int64)
-            begins = ~same[:-1]
+            begins = ~same[:-2]
             begins[1:] |= size_class[1:] != size_class[:-1]
             first = np.maximum.accumulate(np.where(begins, np.arange(len(doc)), 0))
             hub, hub_n = doc[first], n[first]
-            if star is not None and star[0] == shingle[0] and star[1] == size_class[0]:
-                hub[first == 0], hub_n[first == 0] = star[2], star[3]
-            pairs = []
-            for a, b, na, nb in ((doc[:-1], doc[1:], n[:-1], n[1:]), (hub[1:], doc[1:], hub_n[1:], n[1:])):
-                ok = same[1:-1] & (a != b) & (np.minimum(na, nb) * 100.0 >= np.maximum(na, nb) * float(percent))
+            if star is not None:  # the class of the last row before goes on
+                last = kept - 1
+                goes_on = (first <= last) & (np.arange(len(doc)) >= last) & (shingle == shingle[last])
+                goes_on &= size_class == size_class[last]
+                hub[goes_on], hub_n[goes_on] = star
+            pairs = [np.zeros((0, 2), np.int64)]
+            here = np.arange(max(kept, 1), len(doc))
+            for a, na in ((doc[here - 1], n[here - 1]), (hub[here], hub_n[here])):
+                b, nb = doc[here], n[here]
+                ok = same[here] & (a != b) & (np.minimum(na, nb) * 100.0 >= np.maximum(na, nb) * float(percent))
                 pairs.append(np.stack((a[ok], b[ok]), 1))
-            pairs = np.unique(np.concatenate(pairs), axis=0) if len(doc) > 1 else np.zeros((0, 2), np.int64)
-            k, p = int(listed.sum()), len(pairs)
-            yield _batch(["kind", "x", "y", "n", "pos"], np.repeat(np.array([0, 1], np.int8), (k, p)),
-                         np.concatenate((shingle[listed], pairs[:, 0])), np.concatenate((doc[listed], pairs[:, 1])),
-                         np.concatenate((n[listed], np.zeros(p, np.int32))),
-                         np.concatenate((pos[listed], np.zeros(p, np.int32))))
-            carry = ([c[-1] for c in rows], bool(listed[-1]))
-            star = (shingle[-1], size_class[-1], hub[-1], hub_n[-1])
+            done = max(open_from, len(doc) - 2)
+            yield output(entries(rows, same, open_from, done), np.unique(np.concatenate(pairs), axis=0))
+            open_from, star = done, (hub[-1], hub_n[-1])
+        if rows is not None:
+            yield output(entries(rows, same, open_from, len(rows[0])), np.zeros((0, 2), np.int64))
 
     return (postings.repartition("shingle").sortWithinPartitions("shingle", "n", "doc")
             .mapInArrow(walk, "kind byte, x long, y long, n int, pos int"))
