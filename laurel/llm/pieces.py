@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -168,7 +169,7 @@ def segment(word: str, table: dict[str, tuple[int, float]], first_byte: int) ->
 
 
 def encode(docs: DataFrame, table: PieceTable, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, ids, as the model's own library gives them for the whole text.
+    """One row per document: doc_id, ids, as the model's own library gives them for the whole text, and text_sha256.
 
     Distinct words are segmented once for the whole corpus. On the way back, documents meet the ids of their words in
     blocks of about BLOCK_DOCS documents: a task holds the words of one block and streams its documents.
@@ -191,7 +192,7 @@ def encode(docs: DataFrame, table: PieceTable, text: str = "text", doc_id: str =
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, words = None, {}
         for batch in batches:
-            out_ids, out = [], []
+            out_ids, out, digests = [], [], []
             for key, doc, body, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != block:
                     block, words = key, {}
@@ -204,12 +205,13 @@ def encode(docs: DataFrame, table: PieceTable, text: str = "text", doc_id: str =
                     found += segment(word, scores, table.first_byte) if own is None else own
                 out_ids.append(doc)
                 out.append(found)
+                digests.append(hashlib.sha256(body.encode()).hexdigest())
             if out_ids:
-                yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out, pa.list_(pa.int32()))],
-                                                 ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out, pa.list_(pa.int32())),
+                                                  pa.array(digests, pa.string())], ["doc_id", "ids", "text_sha256"])
 
     return (both.repartition("block").sortWithinPartitions("block", F.col("ids").isNull())
-            .mapInArrow(assemble, "doc_id long, ids array<int>"))
+            .mapInArrow(assemble, "doc_id long, ids array<int>, text_sha256 string"))
 
 
 def _split(text: str) -> list[str]:
@@ -230,6 +232,6 @@ def _split(text: str) -> list[str]:
 
 def decoded(ids: Column, table: PieceTable) -> Column:
     """The text of an array of ids: the pieces' bytes one after another, without the leading space."""
-    texts = F.array(*[F.lit(t) for t in table.texts])
+    texts = F.split(F.lit(",".join(table.texts)), ",")
     code = F.array_join(F.transform(ids, lambda i: F.element_at(texts, i + 1)), "")
     return F.substring(F.decode(F.unhex(code), "utf-8"), 2, 2147483647)

@@ -120,8 +120,9 @@ def temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_piece_lattice")
 def piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every document."""
+    """Ids of every document, the SHA-256 of the text that they decode to, and whether that is the document's own text."""
     docs = table(spark, sf_dir, "documents")
     model = pieces.PieceTable.load(tokenizer_file("piece_bpe_32k.model"))
-    found = pieces.encode(docs, model)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
+    found = pieces.encode(docs, model).withColumn("decoded_sha256", F.sha2(pieces.decoded(F.col("ids"), model), 256))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "decoded_sha256",
+                        (F.col("decoded_sha256") == F.col("text_sha256")).alias("same_text"))

@@ -244,6 +244,20 @@ def test_pieces_equal_the_library(messy, none):
     assert rows(pieces.encode(none, table)) == []
 
 
+def test_piece_query_decodes_every_document(spark, data):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = {r.doc_id: r.text or "" for r in tables.table(spark, data, "documents").collect()}
+    name = next(n for n in queries() if n.startswith("op7_"))
+    got = queries()[name](spark, data).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        back = library.decode(r.ids)
+        assert r.decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
+        assert r.same_text == (back == texts[r.doc_id])
+
+
 def test_best_path_against_all_segmentations(spark):
     table = pieces.PieceTable([("a", 0, -3.0), ("b", 1, -3.5), ("ab", 2, -4.0), ("aba", 3, -9.0), ("ba", 4, -4.5), ("bb", 5, -5.0)],
                               10, 300, False, [])
