@@ -168,6 +168,33 @@ def segment(word: str, table: dict[str, tuple[int, float]], first_byte: int) ->
     return out
 
 
+def best_segment(word: str, table: dict[str, tuple[int, float]], first_byte: int, longest: int) -> list[int]:
+    """The best path of one word, for words too long to fold; the same ids as the fold, in time linear in the word."""
+    totals, back = [0.0], [0]
+    for end in range(1, len(word) + 1):
+        best, start = float("-inf"), 0
+        for begin in range(max(0, end - max(1, longest)), end):
+            known = table.get(word[begin:end])
+            if known is None and end - begin > 1:
+                continue
+            total = totals[begin] + (-1e6 if known is None else known[1])
+            if total >= best:  # of equal sums the shortest last piece, like the fold
+                best, start = total, begin
+        totals.append(best)
+        back.append(start)
+    parts, end = [], len(word)
+    while end > 0:
+        parts.append(word[back[end]:end])
+        end = back[end]
+    out: list[int] = []
+    for part in reversed(parts):
+        if part in table:
+            out.append(table[part][0])
+        else:
+            out += [first_byte + b for b in part.encode()]
+    return out
+
+
 def encode(docs: DataFrame, table: PieceTable, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, ids, as the model's own library gives them for the whole text, and text_sha256.
 
@@ -187,7 +214,8 @@ def encode(docs: DataFrame, table: PieceTable, text: str = "text", doc_id: str =
     answers = asked.join(dictionary, "word").select("block", F.lit(None).cast("long").alias("doc_id"),
                                                     F.col("word").alias("body"), "ids")
     both = answers.union(rows.select("block", "doc_id", "body", F.lit(None).cast("array<int>")))
-    scores = {piece: (i, score) for piece, i, score in table.pieces} if table.merges else {}
+    scores = {piece: (i, score) for piece, i, score in table.pieces}
+    merges, first_byte, longest = table.merges, table.first_byte, table.longest
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, words = None, {}
@@ -202,7 +230,10 @@ def encode(docs: DataFrame, table: PieceTable, text: str = "text", doc_id: str =
                 found: list[int] = []
                 for word in _split(body):
                     own = words.get(word)
-                    found += segment(word, scores, table.first_byte) if own is None else own
+                    if own is None:
+                        own = (segment(word, scores, first_byte) if merges
+                               else best_segment(word, scores, first_byte, longest))
+                    found += own
                 out_ids.append(doc)
                 out.append(found)
                 digests.append(hashlib.sha256(body.encode()).hexdigest())

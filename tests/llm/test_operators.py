@@ -282,6 +282,21 @@ def test_best_path_against_all_segmentations(spark):
         assert total == pytest.approx(sum(dict((i, s) for i, s in scores.values()).get(i, -1e6) for i in best(r.word)[1])), r
 
 
+def test_long_words_take_the_best_path(spark):
+    table = pieces.PieceTable([("a", 0, -3.0), ("b", 1, -3.5), ("ab", 2, -4.0), ("aba", 3, -9.0), ("ba", 4, -4.5), ("bb", 5, -5.0),
+                               ("▁a", 6, -3.0), ("▁", 7, -2.0)], 10, 300, False, [])
+    texts = ["ab" * 30, "abbaxé" * 12, "b" * 41, "aab" * 30 + " ab " + "babab" * 20]
+    words = [w for t in texts for w in pieces._split(t)]
+    assert max(map(len, words)) > pieces.LONG
+    known = spark.createDataFrame(table.pieces, "piece string, id int, score double")
+    frame = spark.createDataFrame([(w,) for w in set(words)], "word string")
+    folded = {r.word: r.ids for r in pieces.segmented(pieces.lattice(frame, known, 3), table).collect()}
+    got = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), table).collect()
+    for r in got:
+        assert r.ids == [i for w in pieces._split(texts[r.doc_id]) for i in folded[w]]
+    assert len(got) == len(texts)
+
+
 def test_url_lists_on_awkward_rows(spark):
     captures = spark.createDataFrame([(1, "https://A.b.com:80/x", "2024-01-05"), (2, "http://u@b.com", "2024-01-01"), (3, None, "2024-01-05"),
                                       (4, "nonsense", "2024-01-05"), (5, "http://a.b.com/", None), (5, "http://a.b.com/", None),
