@@ -7,23 +7,24 @@ from pyspark.sql import functions as F
 
 from laurel.llm import exact_dedup, jaccard_join, language, packing, toxicity
 from laurel.llm.queries import tokenizer_file
-from laurel.llm.tables import split_by_ids, table, without_ids
+from laurel.llm.tables import named_rows, split_by_ids, table, text_sha256, without_ids, without_rows
+from laurel.operators.numbering import number_rows
 from laurel.session import stored
 
 MIN_LANGUAGE_SCORE = 0.2  # below, a text is in none of the learned languages
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the model calls toxic. It learns from the labels of the documents."""
-    scores = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return without_ids(docs, stored(scores.where("predicted = 1").select("doc_id"), "toxic"))
+    """Rejects rows whose text the model calls toxic, not others of their id. It learns from the labels of the documents."""
+    scores = toxicity.scored(named_rows(docs), toxicity.fit(docs, table(spark, sf_dir, "labels")), doc_id="row_id")
+    return without_rows(docs, stored(scores.where("predicted = 1").select("doc_id.*"), "toxic"))
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no learned language: without letters, or far from all."""
-    found = language.identified(docs, language.fit(docs))
+    """Rejects rows whose text is in no learned language (without letters, or far from all), not others of their id."""
+    found = language.identified(named_rows(docs), language.fit(docs), doc_id="row_id")
     bad = found.where((F.col("lang_pred") == language.UNDETERMINED) | (F.col("score") < MIN_LANGUAGE_SCORE))
-    return without_ids(docs, stored(bad.select("doc_id"), "undetermined"))
+    return without_rows(docs, stored(bad.select("doc_id.*"), "undetermined"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +39,28 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of every class of linked documents."""
-    classes = jaccard_join.near_duplicate_classes(docs)
-    return without_ids(docs, stored(classes.where("component_id <> doc_id").select("doc_id"), "near_copies"))
+    """Keeps the document of least id of every class of linked documents; rows without id stay.
+
+    Different texts that share an id are documents of their own; of those in one class the least SHA-256 comes first.
+    """
+    shared = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "shared")
+    if shared.isEmpty():
+        classes = jaccard_join.near_duplicate_classes(docs)
+        return without_ids(docs, stored(classes.where("component_id <> doc_id").select("doc_id"), "near_copies"))
+    may, rest = split_by_ids(docs, shared)
+    texts = may.join(shared, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), text_sha256().alias("sha")).distinct()
+    above = docs.agg(F.max("doc_id")).first()[0]
+    numbers = stored(number_rows(texts, [], [F.col("id"), F.col("sha")], "rn")
+                     .select("id", "sha", (F.col("rn") + F.lit(above)).alias("number")), "numbers")
+    same = (F.col("doc_id") == F.col("id")) & (text_sha256() == F.col("sha"))
+    keyed = (may.join(numbers, same, "left").select(*docs.columns, F.coalesce("number", "doc_id").alias("_key"))
+             .union(rest.withColumn("_key", F.col("doc_id"))))
+    classes = jaccard_join.near_duplicate_classes(keyed, doc_id="_key").where("component_id is not null")
+    members = stored(classes.select(F.col(classes.columns[0]).alias("number"), "component_id").join(numbers, "number", "left")
+                     .select("number", "component_id", F.struct(F.coalesce("id", "number"), "sha").alias("place")), "members")
+    firsts = members.groupBy("component_id").agg(F.min("place").alias("first"))
+    gone = members.join(firsts, "component_id").where(~F.col("place").eqNullSafe(F.col("first"))).select("number").distinct()
+    return without_ids(keyed, stored(gone, "near_copies"), "_key").drop("_key")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

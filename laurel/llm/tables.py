@@ -46,3 +46,22 @@ def without_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> Data
     """The rows of `docs` whose id is not in the first column of `ids`; rows without id stay."""
     may, rest = split_by_ids(docs, ids, doc_id)
     return may.join(ids.select(F.col(ids.columns[0]).alias(doc_id)), doc_id, "left_anti").select(*docs.columns).union(rest)
+
+
+def text_sha256(text: str = "text") -> Column:
+    """With the id, what names a row: rows may share an id and differ in text. Null is empty."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
+def named_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(row_id, text): the id and the text's SHA-256 as one struct, for operators that hand the id on."""
+    return docs.select(F.struct(F.col(doc_id).alias("id"), text_sha256(text).alias("sha")).alias("row_id"), F.col(text))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of `docs` but those whose id and text are in `gone` (id, sha); rows without id match by their text."""
+    may, rest = split_by_ids(docs, gone.select("id"), doc_id)
+    rows = may.select(F.struct(*[may[c] for c in may.columns]).alias("row"), F.col(doc_id).alias("own_id"),
+                      text_sha256(text).alias("own_sha"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_sha") == F.col("sha"))
+    return rows.join(gone, same, "left_anti").select("row.*").union(rest)

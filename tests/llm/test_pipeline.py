@@ -72,6 +72,30 @@ def test_near_copies(stages):
     assert {i for i, _ in after} == {i for i, (_, root) in classes.items() if i == root} | {None}
 
 
+def test_rows_that_share_an_id_are_judged_one_by_one(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    clean = "A quiet walk along the river in the morning light"
+    more = spark.createDataFrame([(95_001, "you idiot you stupid moron", None), (95_001, clean, None), (None, "you idiot you stupid moron", None),
+                                  (95_002, "12 34", None), (95_002, clean, None), (95_002, None, None)], docs.schema)
+    docs = docs.union(more)
+    added = "doc_id > 95000 or doc_id is null"
+    left = texts(corpus_pipeline.drop_toxic(spark, docs, sf).where(added))
+    assert sorted(map(repr, left)) == sorted(map(repr, [(95_001, clean), (95_002, "12 34"), (95_002, clean), (95_002, "")]))
+    left = texts(corpus_pipeline.drop_undetermined(spark, docs, sf).where("doc_id = 95002"))
+    assert left == [(95_002, clean)]
+
+
+def test_near_copies_of_rows_that_share_an_id(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(3, base), (5, "a unique text of its own"), (5, base + " more"), (6, other), (4, other + " tail"), (4, "yet another text"),
+            (7, other + " end"), (8, "alone"), (8, "alone"), (9, base + " x"), (9, base + " y"), (None, base)]
+    got = texts(corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), ""))
+    want = [(3, base), (5, "a unique text of its own"), (4, other + " tail"), (4, "yet another text"), (8, "alone"), (8, "alone"), (None, base)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_packing_covers_what_is_left(stages):
     from tokenizers import Tokenizer
 
