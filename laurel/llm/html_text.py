@@ -20,6 +20,8 @@ ARTICLE = frozenset(("article", "main"))
 INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp
 small span strike strong sub sup time tt u var wbr""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Elements that can stand in a head; any other start tag, or text, ends a head whose end tag is left out.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 # Words in class, id and role names that tell boilerplate from the article.
 BOILERPLATE_NAMES = frozenset("""ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments
 consent contentinfo cookie cookies copyright disqus footer gdpr header masthead menu modal nav navbar navigation newsletter
@@ -88,11 +90,16 @@ class _Scope:
                 del self.open[i:]
                 return
 
+    def leave_head(self) -> None:
+        while self.open and self.open[-1][0] == "head":
+            self.pop("head")
+
 
 def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
     """The visible text blocks of a page: text, words, share of words in links, in an article, in boilerplate.
 
-    Block-level tags end a block; tags within a line, comments and hidden elements do not show. Character references
+    Block-level tags end a block; tags within a line, comments and hidden elements do not show. A head without end tag
+    ends where HTML ends it. Character references
     are decoded and white space becomes single spaces.
     """
     found: list[tuple[str, int, float, int, int]] = []
@@ -113,6 +120,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
     for match in TOKEN.finditer(page):
         if match.start() < at:  # inside an element whose content is not markup
             continue
+        if match.start() > at and not page[at:match.start()].isspace():
+            scope.leave_head()
         if match.start() > at and not scope.hidden:
             pieces.append((page[at:match.start()], scope.links > 0))
         tag = match.group()
@@ -123,6 +132,10 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
                 pieces.append(("<", scope.links > 0))
             continue
         name = name.group(1).lower()
+        if tag[1] != "/" and name not in IN_HEAD:
+            if name == "body":
+                scope.pop("head")
+            scope.leave_head()
         if name == "br":
             pieces.append((" ", False))
             continue
@@ -140,6 +153,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
                 if not scope.hidden:
                     pieces.append((page[at:end], scope.links > 0))
                 at = end
+    if at < len(page) and not page[at:].isspace():
+        scope.leave_head()
     if at < len(page) and not scope.hidden:
         pieces.append((page[at:], scope.links > 0))
     close()

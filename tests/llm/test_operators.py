@@ -353,6 +353,9 @@ PAGES = [
     ("<article><p>cut off &am", "cut off &am"), ("", ""), (None, ""), ("<nav>only menu</nav>", ""), ("<article></article>", ""),
     ("<div class=\"cookie-notice\">We use cookies</div><article>Body <!-- <p>hidden</p> -->goes on</article><div id=sidebar>Side</div>",
      "Body goes on"),
+    ("<html><head><title>x</title><body><article>After a head without end tag</article></body></html>", "After a head without end tag"),
+    ("<head><meta charset=utf-8><style>p {}</style>\n<article><p>No body tag</article>", "No body tag"),
+    ("<head><noscript><img src=x></noscript><script>var a;</script><title>x</title></head><body><main>Closed head</main>", "Closed head"),
     ("<article>" + "<p>" + "lange Wörter " * 20_000 + "</p></article>", ("lange Wörter " * 20_000).strip()),
 ]
 
