@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laurel.llm import exact_dedup, fingerprints, html_text, jaccard_join, language, packing, pieces, sharding, toxicity, url_lists
+from laurel.llm import (exact_dedup, fingerprints, html_text, jaccard_join, language, line_dedup, packing, pieces, sharding,
+                        toxicity, url_lists)
 from laurel.llm.tables import table
 
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -44,6 +45,20 @@ best as (
 select c.page_id, c.host, c.fetched, b.entry, b.since, coalesce(b.action, 'none') as verdict
 from captures c left join best b using (page_id)"""
 
+LINE_SQL = """
+with rows as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+lines as (select r, doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as pos from rows),
+keys as (
+  select *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as key
+  from lines),
+shared as (
+  select key, max(doc_id) as keeper from keys where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+marked as (select k.*, s.key is not null and k.doc_id is distinct from s.keeper as gone from keys k left join shared s using (key))
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from marked group by r, doc_id"""
+
 
 def query(name: str, sql: str | None = None):
     def add(fn):
@@ -126,3 +141,9 @@ def piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pieces.encode(docs, model).withColumn("decoded_sha256", F.sha2(pieces.decoded(F.col("ids"), model), 256))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "decoded_sha256",
                         (F.col("decoded_sha256") == F.col("text_sha256")).alias("same_text"))
+
+
+@query("op11_line_dedup", LINE_SQL)
+def shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
