@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laurel.llm import (exact_dedup, fingerprints, html_text, jaccard_join, language, line_dedup, packing, pieces, sharding,
-                        toxicity, url_lists)
+from laurel.llm import (exact_dedup, fingerprints, html_text, jaccard_join, language, line_dedup, packing, pieces,
+                        prefix_trie, sharding, toxicity, url_lists, whitening)
 from laurel.llm.tables import table
 
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -59,6 +59,45 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from marked group by r, doc_id"""
 
+TRIE_SQL = """
+with own as (
+  select conv_id, coalesce(text, '') as text,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as token,
+    row_number() over (partition by conv_id order by turn nulls first, token) as rn
+  from conversations where conv_id is not null),
+ids as (
+  select distinct conv_id, conv_id - conv_id % 100 as family,
+    xor(4294967295, list_reduce([4294967295::bigint] || list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint),
+      lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384)))) % 6 as h
+  from own),
+rebuilt as (
+  select i.conv_id, 0 as part, o.rn, o.token, o.text from ids i join own o on o.conv_id = i.family and o.rn <= i.h
+  union all
+  select i.conv_id, 1, o.rn, o.token, o.text from ids i join own o on o.conv_id = i.conv_id and o.rn > i.h),
+placed as (
+  select conv_id, length(text) as chars, row_number() over w as depth,
+    md5(string_agg(token, '') over w) as path, count(*) over (partition by conv_id) as turns
+  from rebuilt window w as (partition by conv_id order by part, rn)),
+members as (
+  select conv_id, depth, path, chars, turns = depth as ends from placed
+  union all
+  select i.conv_id, 0, '', 0, not exists (select 1 from placed p where p.conv_id = i.conv_id) from ids i),
+nodes as (
+  select depth, path, min(conv_id) as conv_id, count(*) as n_convs, max(chars) as chars,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '')) as ends_sha256
+  from members group by depth, path),
+placed_nodes as (
+  select n.*, p.path as above from nodes n left join members p on p.conv_id = n.conv_id and p.depth = n.depth - 1),
+children as (select depth - 1 as depth, above as path, count(*) as n_children from placed_nodes where depth > 0 group by all),
+full_nodes as (
+  select n.*, coalesce(c.n_children, 0) as n_children from placed_nodes n left join children c on c.depth = n.depth and c.path = n.path),
+sums as (
+  select m.depth, m.path, count(*) filter (where n_children = 0) as n_leaves, sum((n_convs - 1) * n.chars)::bigint as saved_tokens
+  from full_nodes n join members m on m.conv_id = n.conv_id and m.depth <= n.depth group by m.depth, m.path)
+select n.conv_id, n.depth, a.conv_id as parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+from full_nodes n join sums s on s.depth = n.depth and s.path = n.path
+left join nodes a on a.depth = n.depth - 1 and a.path = n.above"""
+
 
 def query(name: str, sql: str | None = None):
     def add(fn):
@@ -147,3 +186,15 @@ def piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op12_splitter_skeleton", TRIE_SQL)
+def splitter_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trie = prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+    return trie.withColumn("depth", F.col("depth").cast("long"))
+
+
+@query("op13_jacobi_davidson")
+def jacobi_davidson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.usable(table(spark, sf_dir, "embeddings"))
+    return whitening.whitened(rows, whitening.fit_whitening(rows))
