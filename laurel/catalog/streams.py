@@ -15,6 +15,7 @@ from laurel.catalog.payloads import WOS_FIELDS, WOS_SQL, wos_folder
 from laurel.catalog.registry import AUTHOR_PAPER, INSTITUTIONS, PROJECTS, RAWDATA, query, with_views
 from laurel.operators import factors as A
 from laurel.operators.numbering import number_rows
+from laurel.operators.ranking import top_experts
 from laurel.plans import driver_tables as D
 from laurel.plans.scoring import expert_factors, paper_records, project_records
 from laurel.session import scratch_path
@@ -24,6 +25,7 @@ from laurel.streaming import progress as P
 from laurel.streaming import records as S
 
 SENDS = 4
+PAPER_SITE = "SITE"
 
 
 def event_messages(spark, d):
@@ -44,6 +46,11 @@ def event_messages(spark, d):
         F.when(limits, True).alias("is_partial"), (F.col("rn") * SENDS / (F.col("total") + 1)).cast("int").alias("send"))
 
 
+def one_provider_messages(spark, d):
+    """The same messages, all sent by one provider."""
+    return event_messages(spark, d).withColumn("site", F.lit("SITE"))
+
+
 EVENTS = """rows as (select *, row_number() over (partition by user_id order by ts, event_id) as rn,
   count(*) over (partition by user_id) as total from events),
 m as (select event_type as site, 'q' || user_id as key_id, rn as seq,
@@ -107,20 +114,85 @@ fold as (select key_id, cast(0 as bigint) as seq, cast(0 as double) as last, 0 a
 @query("t05_t06_t07_t11_status_updates", "with recursive " + EVENTS + ", " + FOLD + """
 select key_id, seq, round(shown, 6) as progress, state, part as is_partial from fold where shown is not null""")
 def t05(spark, d):
-    out = scratch_path(spark, "updates")
-    run(jobs.track(messages.stream(spark, landed_messages(spark, d), per_trigger=4), out, scratch_path(spark, "ck")))
-    updates = spark.read.schema(P.UPDATE).parquet(out)
-    return updates.withColumn("progress", r6("progress"))
+    return tracked(spark, d, one_provider_messages).drop("site")
+
+
+def tracked(spark, d, source, slices=None):
+    """The updates that the messages of `source` lead to, sent in several micro-batches."""
+    folder = scratch_path(spark, "progress")
+    stream = messages.stream(spark, landed_messages(spark, d, source), per_trigger=4)
+    run(jobs.track(stream, folder, scratch_path(spark, "ck"), slices))
+    return jobs.Progress(spark, folder).log("updates", P.UPDATE).withColumn("progress", r6("progress"))
 
 
 @query("t06_query_status", "with recursive " + EVENTS + ", " + FOLD + """
 select key_id, round(shown, 6) as progress, state, part as is_partial from
  (select *, row_number() over (partition by key_id order by seq desc) as rn from fold where shown is not null) where rn = 1""")
 def t06(spark, d):
-    status = P.current_status(t05(spark, d))
+    status = P.current_status(tracked(spark, d, one_provider_messages))
     return status.select("key_id", r6("progress").alias("progress"), "state", "is_partial")
 
 
+HOT_EVENTS = """sent as (select *, 'S' || event_id % 2 as site, case when event_id % 3 = 0 then 'hot' else 'q' || user_id end as query from events),
+numbered as (select *, row_number() over (partition by site, query order by ts, event_id) as rn,
+  count(*) over (partition by site, query) as total from sent),
+msg as (select site || '|' || query as key_id, rn as seq, 'data' as kind, event_id % 500 = 0 as limits,
+  case when event_id % 97 = 0 and rn < total then rn / total - 0.03 else rn / total end as progress from numbered)"""
+
+
+def hot_messages(spark, d):
+    """Two providers; a third of all messages of each are of one query. Now and then the progress falls by 3 points."""
+    sent = D.table(spark, d, "events").select(
+        "event_id", "ts", F.concat(F.lit("S"), F.col("event_id") % 2).alias("site"),
+        F.when(F.col("event_id") % 3 == 0, "hot").otherwise(F.concat(F.lit("q"), "user_id")).alias("key_id"))
+    rows = number_rows(sent, ["site", "key_id"], [F.col("ts"), F.col("event_id")], "rn", "total")
+    share, last = F.col("rn") / F.col("total"), F.col("rn") == F.col("total")
+    return rows.select(
+        "site", "key_id", F.col("event_id").cast("string").alias("id"), F.col("rn").alias("seq"),
+        F.when((F.col("event_id") % 97 == 0) & ~last, share - 0.03).otherwise(share).alias("progress"),
+        F.when(F.col("event_id") % 500 == 0, True).alias("is_partial"),
+        (F.col("rn") * SENDS / (F.col("total") + 1)).cast("int").alias("send"))
+
+
+@query("t05_t06_hot_query", "with recursive " + HOT_EVENTS + ", " + FOLD + """
+select split_part(key_id, '|', 1) as site, split_part(key_id, '|', 2) as key_id, seq, round(shown, 6) as progress, state,
+ part as is_partial from fold where shown is not null""")
+def t05_hot(spark, d):
+    """Every batch is folded in six slices, over which the hot query spreads."""
+    return tracked(spark, d, hot_messages, slices=6)
+
+
+BOUND, COPY_SENDS, DAY = "75 minutes", 11, 86_400
+
+
+def copied_messages(spark, d):
+    """Orders sent once, some again an hour later (within the bound), some again five hours later (beyond it)."""
+    key = F.col("o_orderkey")
+    copies = F.array_compact(F.array(F.lit(0), F.when(key % 2 == 0, 1), F.when(key % 5 == 0, 5)))
+    rows = D.table(spark, d, "orders").select("o_orderpriority", key, F.explode(copies).alias("later"))
+    send = key % 6 + F.col("later")
+    return rows.select(F.col("o_orderpriority").alias("key_id"), key.cast("string").alias("id"), send.cast("int").alias("send"),
+                       F.timestamp_seconds((send * 60 + key % 50) * 60 + DAY).alias("sent"))
+
+
+@query("t03_bounded_dedup", """
+with copies as (select o_orderpriority as key_id, o_orderkey, unnest([0] || case when o_orderkey % 2 = 0 then [1] else [] end
+  || case when o_orderkey % 5 = 0 then [5] else [] end) as later from orders),
+sent as (select key_id, o_orderkey as id, (o_orderkey % 6 + later) * 60 + o_orderkey % 50 as at_minute from copies),
+gaps as (select *, at_minute - lag(at_minute) over (partition by key_id, id order by at_minute) as gap from sent)
+select key_id, cast(id as varchar) as id, at_minute from gaps where gap is null or gap > 75""")
+def t03_bounded(spark, d):
+    """One record per key within the bound, with state that forgets older ones, in RocksDB; hour after hour in batches."""
+    folder, out = scratch_path(spark, "copies"), scratch_path(spark, "bounded")
+    rows = copied_messages(spark, d)
+    for i in range(COPY_SENDS):
+        rows.where(F.col("send") == i).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    with jobs.state_on_disk(spark):
+        run(jobs.to_table(S.deduplicated(stream, "sent", BOUND), out, scratch_path(spark, "ck")))
+    return spark.read.parquet(out).select("key_id", "id", ((F.unix_timestamp("sent") - DAY) / 60).cast("long").alias("at_minute"))
+
+
 @query("t12_worker_outcomes", """
 select user_id as key_id, case when count(*) filter (where event_type in ('error', 'signup')) = count(*) then 1 end as fail,
  count(*) filter (where event_type in ('error', 'signup')) between 1 and count(*) - 1 as is_partial from events group by 1""")
@@ -147,7 +219,7 @@ def record_messages(spark, d):
     outside = F.array_join(F.transform(ids, lambda a: F.concat(F.lit("X"), a)), ";")
     progress = F.col("rn") / F.col("total")
     records = numbered.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select(
-        F.lit("SITE").alias("site"), "key_id", F.col("paper_id").cast("string").alias("id"),
+        F.lit(PAPER_SITE).alias("site"), "key_id", F.col("paper_id").cast("string").alias("id"),
         (F.col("rn") * 2 + F.col("copy")).alias("seq"),
         F.when(second & (progress == 1), 0.999).otherwise(progress).alias("progress"),
         F.when(kind == 2, F.array_join(F.transform(names, lambda a: F.concat(a, F.lit(" P"))), ";"))
@@ -159,7 +231,7 @@ def record_messages(spark, d):
         F.col("citation").cast("long").alias("citation"),
         F.when(first, 0).otherwise((F.col("rn") * (SENDS - 2) / (F.col("total") + 1)).cast("int") + 1).alias("send"))
     end = numbered.where(second & (F.col("rn") == F.col("total"))).select(
-        F.lit("SITE").alias("site"), "key_id", (F.col("rn") * 2 + 9).alias("seq"), F.lit(1.0).alias("progress"),
+        F.lit(PAPER_SITE).alias("site"), "key_id", (F.col("rn") * 2 + 9).alias("seq"), F.lit(1.0).alias("progress"),
         F.lit(SENDS - 1).alias("send"))
     return records.unionByName(end, allowMissingColumns=True)
 
@@ -188,21 +260,44 @@ def job_sql(sql):
 LISTED = job_sql(with_views(AUTHOR_PAPER, RAWDATA))
 
 
+_done: dict[tuple, tuple] = {}
+
+
+def once_per_folder(run_job):
+    """A job over the messages of a folder runs once per session; the queries over what it stored share its tables."""
+    def job(spark, d):
+        key = (run_job.__name__, spark.sparkContext.applicationId, d)
+        if key not in _done:
+            _done[key] = run_job(spark, d)
+        return _done[key]
+
+    return job
+
+
+@once_per_folder
 def paper_job(spark, d):
     """The job over all messages, with the scores stored in a table of their own."""
     factors = scratch_path(spark, "scored")
 
-    def score(site, listing, raw):
-        return expert_factors(listing, paper_records(raw), replace(A.profile_of(site), coop=A.partner_hit(
-            F.col("author_inst"), PARTNERS)), AS_OF, D.impact(spark, d), query_table(spark, QUERY_TEXT))
-
-    job = jobs.Collection(spark, scratch_path(spark, "facts"), half_of_suppliers(spark, d), score,
-                          lambda rows: tables.store_factors(rows, factors))
+    known = half_of_suppliers(spark, d).withColumn("site", F.lit(PAPER_SITE))
+    job = jobs.Collection(spark, scratch_path(spark, "facts"), known, site_scores(spark, d),
+                          lambda rows: tables.store_factors(rows, factors), query_table(spark, QUERY_TEXT))
     landed = landed_messages(spark, d, record_messages)
     run(jobs.ingest(messages.stream(spark, landed, per_trigger=5), job, scratch_path(spark, "ck")))
     return job, factors
 
 
+def site_scores(spark, d):
+    """How the job scores the finished queries of a provider: projects by their managers, papers with their partners."""
+    def score(site, listing, records, queries):
+        if site == jobs.PROJECT_SITE:
+            return expert_factors(listing, project_records(records), A.profile_of(site), AS_OF)
+        profile = replace(A.profile_of(site), coop=A.partner_hit(F.col("author_inst"), PARTNERS))
+        return expert_factors(listing, paper_records(records), profile, AS_OF, D.impact(spark, d), queries)
+
+    return score
+
+
 @query("t08_t09_t10_collect_and_score", job_sql(factor_sql()) + f""", normalised as (select {NORMALISED} from ungated join tops using (key_id)),
 counts as (select key_id, count(distinct paper_id) as data, count(distinct a_id) as experts from author_paper group by 1)
 select n.*, 2 as state, 100.0 as progress, data, experts, true as timed, (select count(*) from normalised) as analysed
@@ -215,8 +310,10 @@ def t09(spark, d):
     job, factors = paper_job(spark, d)
     done = job.log("status", jobs.STATUS).select(
         "key_id", "state", "progress", "data", "experts", (F.col("crawl_time") <= F.col("a_time")).alias("timed"))
-    reported = job.log("analysis", "site string, rows long").agg(F.sum("rows")).first()[0]
-    return rounded(tables.load(spark, factors).join(done, "key_id")).withColumn("analysed", F.lit(reported))
+    parts = job.log("analysis", jobs.ANALYSIS).groupBy("site", "key_id").agg(F.max("rows").alias("rows"))
+    reported = parts.agg(F.sum("rows")).first()[0]
+    rows = tables.load(spark, factors).drop("site", "part")
+    return rounded(rows.join(done, "key_id")).withColumn("analysed", F.lit(reported))
 
 
 @query("t08_f16_stored_and_refused_records", LISTED + """
@@ -233,6 +330,48 @@ def t08_stored(spark, d):
     return kept.unionByName(refused, allowMissingColumns=True)
 
 
+# ---- authors without institution --------------------------------------------------------------------------------------------
+
+CLAIMS = 10
+
+
+def id_messages(spark, d):
+    """Papers with provider ids. Only the later ones (two sends of four), and of these every second, list institutions."""
+    rows = D.records(spark, d, ["author", "author_inst", "author_id"]).where("author is not null")
+    numbered = number_rows(rows, ["key_id"], [F.col("paper_id")], "rn", "total")
+    send = (F.col("rn") * SENDS / (F.col("total") + 1)).cast("int")
+    brings = (send >= SENDS // 2) & (F.col("paper_id") % 40 == 0)
+    return numbered.select(
+        F.lit("DBPIA").alias("site"), "key_id", F.col("paper_id").cast("string").alias("id"), F.col("rn").alias("seq"),
+        (F.col("rn") / F.col("total")).alias("progress"), "author", "author_id",
+        F.when(brings, F.col("author_inst")).alias("author_inst"), "title", send.alias("send"))
+
+
+@query("j09_pending_in_the_job", with_views(AUTHOR_PAPER) + f""",
+placed as (select *, row_number() over (partition by key_id order by paper_id) as rn, count(*) over (partition by key_id) as total
+ from (select distinct key_id, paper_id from author_paper)),
+listed as (select cast(a_id as varchar) as a_id, s_name as name, n_name, paper_id % 40 = 0
+  and cast(floor(rn * 4 / (total + 1)) as integer) >= 2 as brings
+ from author_paper join placed using (key_id, paper_id) join supplier on s_suppkey = a_id join nation on n_nationkey = s_nationkey),
+people as (select a_id, name, coalesce(max(case when brings then n_name end), '') as inst from listed group by 1, 2),
+queued as (select *, row_number() over (order by a_id) as place from people where inst = '')
+select p.a_id, p.name, case when q.place <= {CLAIMS} and q.place % 2 = 1 then 'Found ' || p.a_id else p.inst end as inst,
+ p.inst <> '' or coalesce(q.place <= {CLAIMS} and q.place % 2 = 1, false) as has_inst,
+ case when q.place is null or (q.place <= {CLAIMS} and q.place % 2 = 1) then null when q.place <= {CLAIMS} then 'claimed'
+  else 'waiting' end as state from people p left join queued q using (a_id)""")
+def j09_job(spark, d):
+    """The job queues authors who have an id but no institution; later records settle some, a worker claims ten and
+    completes every second of them."""
+    nobody = spark.createDataFrame([], "site string, a_id string, name string, inst string")
+    job = jobs.Collection(spark, scratch_path(spark, "facts"), nobody)
+    run(jobs.ingest(messages.stream(spark, landed_messages(spark, d, id_messages), per_trigger=5), job, scratch_path(spark, "ck")))
+    claimed = job.claim(CLAIMS, "worker-1")
+    odd = number_rows(claimed, ["site"], [F.col("a_id")], "place").where(F.col("place") % 2 == 1)
+    job.complete(odd.select("site", "a_id", F.concat(F.lit("Found "), "a_id").alias("inst")))
+    waiting = job.table("pending").where(F.col("state") != jobs.DONE).select("a_id", "state")
+    return job.authors().select("a_id", "name", "inst", "has_inst").join(waiting, "a_id", "left")
+
+
 def sent_projects(spark, d):
     """Projects as messages of one site; the last of a query has progress 1."""
     rows = project_messages(spark, d).withColumn("paper_id", F.col("id"))
@@ -256,12 +395,97 @@ managed as (select p.key_id, p.paper_id, l.a_id as manager_id, total_fund, prd_e
 def t08_project(spark, d):
     """Projects through the same job: the site chooses the profile."""
     factors = scratch_path(spark, "scored")
-    job = jobs.Collection(
-        spark, scratch_path(spark, "facts"), labs(half_of_suppliers(spark, d)),
-        lambda site, listing, raw: expert_factors(listing, project_records(raw), A.profile_of(site), AS_OF),
-        lambda rows: tables.store_factors(rows, factors))
+    known = labs(half_of_suppliers(spark, d)).withColumn("site", F.lit(jobs.PROJECT_SITE))
+    job = jobs.Collection(spark, scratch_path(spark, "facts"), known, site_scores(spark, d),
+                          lambda rows: tables.store_factors(rows, factors))
     run(jobs.ingest(messages.stream(spark, landed_messages(spark, d, sent_projects)), job, scratch_path(spark, "ck")))
-    return rounded(tables.load(spark, factors))
+    rows = rounded(tables.load(spark, factors).drop("site", "part"))
+    return rows.withColumn("coop", F.col("coop").cast("long"))  # no cooperation among projects
+
+
+# ---- one query, two providers -----------------------------------------------------------------------------------------------
+
+def two_providers_messages(spark, d):
+    """Papers of one provider and projects of another under the same queries.
+
+    The projects of the first query end one batch after its papers, those of the second and third in the batch in which
+    their papers end, the others before.
+    """
+    late = F.when(F.col("key_id") == "1-URGENT", 1).when(F.col("key_id").isin("2-HIGH", "3-MEDIUM"), SENDS - 1).otherwise(0)
+    return record_messages(spark, d).unionByName(sent_projects(spark, d).withColumn("send", late), allowMissingColumns=True)
+
+
+@once_per_folder
+def two_providers_job(spark, d):
+    factors = scratch_path(spark, "scored")
+    known = half_of_suppliers(spark, d)
+    both = known.withColumn("site", F.lit(PAPER_SITE)).unionByName(labs(known).withColumn("site", F.lit(jobs.PROJECT_SITE)))
+    job = jobs.Collection(spark, scratch_path(spark, "facts"), both, site_scores(spark, d),
+                          lambda rows: tables.store_factors(rows, factors), query_table(spark, QUERY_TEXT), best_experts)
+    landed = landed_messages(spark, d, two_providers_messages)
+    run(jobs.ingest(messages.stream(spark, landed, per_trigger=5), job, scratch_path(spark, "ck")))
+    return job, factors
+
+
+def best_experts(rows):
+    """The experts whose relations are stored: a finished query's five best by quality; equal ones share a place."""
+    return top_experts(rows, {"quality": 1}, 5)
+
+
+PAPER_SCORES = job_sql(factor_sql()) + f""", normalised as (select {NORMALISED} from ungated join tops using (key_id))"""
+PROJECT_SQL = with_views(AUTHOR_PAPER, PROJECTS, PEOPLE, KNOWN, LISTED_PROJECTS)
+PROJECT_FACTORS = PROJECT_SQL + ", " + PROJECT_SCORES.replace("author_paper a join projects p", "ours a join managed p")
+PAPER_COUNTS = LISTED + "select key_id, count(distinct paper_id) as data, count(distinct a_id) as experts from author_paper group by 1"
+PROJECT_COUNTS = PROJECT_SQL + "select key_id, count(distinct id) as data, count(distinct a_id) as experts from listing group by 1"
+
+
+@query("t06_t09_two_providers", f"""
+with scores as (select '{PAPER_SITE}' as site, * from ({PAPER_SCORES} select * from normalised)
+ union all by name select '{jobs.PROJECT_SITE}' as site, * from ({PROJECT_FACTORS})),
+counts as (select '{PAPER_SITE}' as site, * from ({PAPER_COUNTS}) union all by name select '{jobs.PROJECT_SITE}' as site, * from ({PROJECT_COUNTS}))
+select s.*, 2 as state, 100.0 as progress, data, experts from scores s join counts using (site, key_id)""")
+def t09_two_providers(spark, d):
+    """Every provider's factor rows and status are those of a batch over its own records, whenever the other one ends."""
+    job, factors = two_providers_job(spark, d)
+    done = job.log("status", jobs.STATUS).select("site", "key_id", "state", "progress", "data", "experts")
+    return rounded(tables.load(spark, factors).drop("part").join(done, ["site", "key_id"]))
+
+
+@query("t06_query_roll_up", f"""
+with counts as (select * from ({PAPER_COUNTS}) union all by name select * from ({PROJECT_COUNTS}))
+select key_id, count(*) as n_sites, count(*) as n_analysed, 0 as n_failed, 100.0 as progress, 2 as state, false as is_partial,
+ sum(data)::bigint as data, sum(experts)::bigint as experts, 0 as pending from counts group by 1""")
+def t06_roll_up(spark, d):
+    """One status per query over its providers."""
+    return two_providers_job(spark, d)[0].query_status()
+
+
+@query("t10_analysis_progress", f"""
+with scores as (select '{PAPER_SITE}' as site, key_id, a_id from ({PAPER_SCORES} select key_id, a_id from normalised)
+ union all by name select '{jobs.PROJECT_SITE}' as site, key_id, a_id from ({PROJECT_FACTORS}))
+select site, key_id, count(*) as total, count(*) as last_rows, 100.0 as last_progress, true as rising, 4 as n_lines from scores group by 1, 2""")
+def t10_progress(spark, d):
+    """The lines that an analysis adds while its rows are stored: they rise, and end at the total."""
+    lines = two_providers_job(spark, d)[0].log("analysis", jobs.ANALYSIS)
+    in_order = F.sort_array(F.collect_list(F.struct("part", "rows", "progress")))
+    return lines.groupBy("site", "key_id", "total").agg(in_order.alias("lines")).select(
+        "site", "key_id", "total", F.element_at("lines", -1)["rows"].alias("last_rows"),
+        F.element_at("lines", -1)["progress"].alias("last_progress"),
+        (F.array_sort(F.col("lines")["rows"]) == F.col("lines")["rows"]).alias("rising"), F.size("lines").alias("n_lines"))
+
+
+@query("j16_t09_stored_relations", f"""
+with scores as (select '{PAPER_SITE}' as site, * from ({PAPER_SCORES} select * from normalised)
+ union all by name select '{jobs.PROJECT_SITE}' as site, * from ({PROJECT_FACTORS})),
+listings as (select '{PAPER_SITE}' as site, * from ({LISTED} select distinct key_id, paper_id, a_id from author_paper)
+ union all by name select '{jobs.PROJECT_SITE}' as site, * from ({PROJECT_SQL} select distinct key_id, id as paper_id, a_id from listing)),
+best as (select * from (select *, rank() over (partition by site, key_id order by quality desc) as place from scores) where place <= 5)
+select l.site, l.key_id, l.a_id, o.a_id as co_a_id, count(*) as n_papers
+from listings l join best b using (site, key_id, a_id) join listings o on o.site = l.site and o.key_id = l.key_id and o.paper_id = l.paper_id
+ and o.a_id <> l.a_id group by all""")
+def j16_stored(spark, d):
+    """The relations of the best experts, stored by the job with the scores."""
+    return two_providers_job(spark, d)[0].log("relations", jobs.RELATION)
 
 
 @query("s03_t13_landed_exports", WOS_SQL)

@@ -3,10 +3,15 @@
 Lookups are equi-joins against one row per author or (name, institution): broadcast where that side is small by its
 statistics, else a sort-merge join, in which AQE splits the partition of an author with very many mentions. New ids
 are derived from (name, institution), so no counter and no order of arrival is needed.
+
+`scope` names columns that come before every key, such as the provider: tables then hold the records and authors of
+several providers side by side, and nothing of one is looked up in another.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,16 +26,16 @@ def surrogate_id(name: Column, inst: Column) -> Column:
     return F.concat(F.lit("s"), F.left(F.md5(F.concat(name, F.lit("\x01"), inst)), F.lit(16)))
 
 
-def by_name_inst(refs: DataFrame, authors: DataFrame) -> DataFrame:
+def by_name_inst(refs: DataFrame, authors: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Adds `a_id` (NULL if unknown) to refs (name, inst, ...). Of several authors the smallest id wins."""
-    known = authors.groupBy("name", "inst").agg(F.min("a_id").alias("a_id"))
-    return refs.join(known, ["name", "inst"], "left")
+    known = authors.groupBy(*scope, "name", "inst").agg(F.min("a_id").alias("a_id"))
+    return refs.join(known, [*scope, "name", "inst"], "left")
 
 
-def by_id(refs: DataFrame, authors: DataFrame) -> DataFrame:
+def by_id(refs: DataFrame, authors: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Adds the stored name and institution of `a_id` as `known_name`, `known_inst`."""
-    known = authors.select("a_id", F.col("name").alias("known_name"), F.col("inst").alias("known_inst"))
-    return refs.join(known, "a_id", "left")
+    known = authors.select(*scope, "a_id", F.col("name").alias("known_name"), F.col("inst").alias("known_inst"))
+    return refs.join(known, [*scope, "a_id"], "left")
 
 
 def new_authors(refs: DataFrame, authors: DataFrame) -> DataFrame:
@@ -39,17 +44,19 @@ def new_authors(refs: DataFrame, authors: DataFrame) -> DataFrame:
     return unknown.select(surrogate_id(F.col("name"), F.col("inst")).alias("a_id"), "name", "inst")
 
 
-def missing_authors(refs: DataFrame, authors: DataFrame) -> DataFrame:
+def missing_authors(refs: DataFrame, authors: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Rows for ids not stored yet: the first (name, inst) by `seq` per id."""
-    first = refs.groupBy("a_id").agg(F.min(F.struct("seq", "name", "inst")).alias("_first"))
-    return first.join(authors.select("a_id"), "a_id", "left_anti").select("a_id", "_first.name", "_first.inst")
+    key = [*scope, "a_id"]
+    first = refs.groupBy(*key).agg(F.min(F.struct("seq", "name", "inst")).alias("_first"))
+    return first.join(authors.select(*key), key, "left_anti").select(*key, "_first.name", "_first.inst")
 
 
-def with_latest_inst(authors: DataFrame, updates: DataFrame) -> DataFrame:
+def with_latest_inst(authors: DataFrame, updates: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Stored authors with the institution of their latest update, where there is one."""
-    latest = updates.groupBy("a_id").agg(F.max(F.struct("seq", "inst")).alias("_last"))
+    key = [*scope, "a_id"]
+    latest = updates.groupBy(*key).agg(F.max(F.struct("seq", "inst")).alias("_last"))
     return (
-        authors.join(latest, "a_id", "left")
+        authors.join(latest, key, "left")
         .withColumn("inst", F.coalesce("_last.inst", "inst"))
         .drop("_last")
     )
@@ -75,7 +82,7 @@ def refusal() -> Column:
         F.col("author_id").isNotNull() & (F.size(ids) != F.size(names)), "author and id counts differ")
 
 
-def paper_authors(papers: DataFrame) -> DataFrame:
+def paper_authors(papers: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """One row per listed author of a paper: (key_id, id, pos, n_authors, name, inst, provider_id).
 
     Names and institutions pair up to the shorter list, whose length is `n_authors`; without institutions every name
@@ -89,30 +96,30 @@ def paper_authors(papers: DataFrame) -> DataFrame:
     blank = F.transform(names, lambda n: F.struct(n.alias("name"), F.lit("").alias("inst")))
     people = F.when(no_inst, blank).otherwise(R.paired(trimmed, insts))
     return papers.where(refusal().isNull()).select(
-        "key_id", "id", F.size(people).alias("n_authors"), "author_id", F.posexplode(people).alias("pos", "person")).select(
-        "key_id", "id", "pos", "n_authors", "person.name", "person.inst",
+        *scope, "key_id", "id", F.size(people).alias("n_authors"), "author_id", F.posexplode(people).alias("pos", "person")).select(
+        *scope, "key_id", "id", "pos", "n_authors", "person.name", "person.inst",
         X.fold_null(F.trim(F.get(ids, F.col("pos")))).alias("provider_id"))
 
 
-def resolve_papers(papers: DataFrame, authors: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolve_papers(papers: DataFrame, authors: DataFrame, scope: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(listing, authors): every listed author with an id, and the author table with the new rows.
 
     A provider id is the id; others are found by (name, institution) or get a new id.
     """
-    listed = paper_authors(papers)
-    resolved = by_name_inst(listed, authors).withColumn(
+    listed = paper_authors(papers, scope)
+    resolved = by_name_inst(listed, authors, scope).withColumn(
         "a_id", F.coalesce("provider_id", "a_id", surrogate_id(F.col("name"), F.col("inst")))
     ).drop("provider_id")
     refs = resolved.withColumn("seq", F.lit(0))
-    grown = authors.select("a_id", "name", "inst").unionByName(missing_authors(refs, authors))
+    grown = authors.select(*scope, "a_id", "name", "inst").unionByName(missing_authors(refs, authors, scope))
     return resolved, grown
 
 
-def listed_ids(resolved: DataFrame) -> DataFrame:
+def listed_ids(resolved: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Author ids and names written back to the paper in listed order, as `;` lists. One group is one author list."""
     people = F.sort_array(F.collect_list(F.struct("pos", "a_id", "name", "inst")))
-    return resolved.groupBy("key_id", "id").agg(people.alias("p")).select(
-        "key_id", "id",
+    return resolved.groupBy(*scope, "key_id", "id").agg(people.alias("p")).select(
+        *scope, "key_id", "id",
         R.emit(F.col("p")["a_id"]).alias("author_id"),
         R.emit(F.col("p")["name"]).alias("author"),
         R.emit(F.col("p")["inst"]).alias("author_inst"),
@@ -122,63 +129,64 @@ def listed_ids(resolved: DataFrame) -> DataFrame:
 
 # ---- projects -------------------------------------------------------------------------------------------------------
 
-def project_managers(projects: DataFrame, authors: DataFrame) -> DataFrame:
+def project_managers(projects: DataFrame, authors: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Projects of agent code 03 with the manager's id: the listed one without its prefix, else by (name, lead
     agency), else a new one; without an id, a name and a lead agency are both needed. Columns: key_id, id, name, inst, a_id."""
     rows = projects.where(performed_by(F.col("perfAgent.code"))).select(
-        "key_id", "id",
+        *scope, "key_id", "id",
         F.col("mng").alias("name"),
         X.strip_highlight(F.col("ldAgency"), leading_space=True).alias("inst"),
         X.fold_null(X.person_id(X.fold_null(F.col("mngId")))).alias("listed_id"),
     ).where(F.col("listed_id").isNotNull() | (F.col("name").isNotNull() & F.col("inst").isNotNull()))
-    return by_name_inst(rows, authors).withColumn(
+    return by_name_inst(rows, authors, scope).withColumn(
         "a_id", F.coalesce("listed_id", "a_id", surrogate_id(F.col("name"), F.col("inst")))).drop("listed_id")
 
 
-def project_researchers(projects: DataFrame, authors: DataFrame) -> DataFrame:
+def project_researchers(projects: DataFrame, authors: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Researchers of those projects with an id: a known id keeps the stored name and institution, an unknown one
     takes the listed name and the lead agency. Columns: key_id, id, pos, a_id, name, inst."""
     rows = projects.where(performed_by(F.col("perfAgent.code")) & F.col("rsc").isNotNull() & F.col("rscId").isNotNull())
     quoteless = lambda c: F.split(F.replace(c, F.lit('"'), F.lit("")), ";")
     listed = rows.select(
-        "key_id", "id", quoteless(F.col("rsc")).alias("names"),
+        *scope, "key_id", "id", quoteless(F.col("rsc")).alias("names"),
         X.strip_highlight(F.col("ldAgency"), leading_space=True).alias("lead"),
         F.posexplode(quoteless(F.col("rscId"))).alias("pos", "listed_id"),
     ).where(~F.col("listed_id").isin("없음", "null")).select(
-        "key_id", "id", "pos", "lead", X.person_id(F.col("listed_id")).alias("a_id"),
+        *scope, "key_id", "id", "pos", "lead", X.person_id(F.col("listed_id")).alias("a_id"),
         X.strip_highlight(F.get("names", F.col("pos"))).alias("listed_name"))
-    found = by_id(listed, authors)
+    found = by_id(listed, authors, scope)
     keep = F.col("known_name").isNotNull() | F.coalesce(real_name(F.col("listed_name")), F.lit(False))
     return found.where(keep).select(
-        "key_id", "id", "pos", "a_id",
+        *scope, "key_id", "id", "pos", "a_id",
         F.coalesce("known_name", "listed_name").alias("name"),
         F.when(F.col("known_name").isNotNull(), F.col("known_inst")).otherwise(F.col("lead")).alias("inst"))
 
 
-def resolve_projects(projects: DataFrame, authors: DataFrame, distinct: bool = False) -> tuple[DataFrame, DataFrame]:
+def resolve_projects(projects: DataFrame, authors: DataFrame, distinct: bool = False,
+                     scope: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(listing, authors): manager (pos -1) and researchers of every project, and the author table afterwards.
 
-    A person who is both is listed twice, unless `distinct`, which keeps the first listing. A known manager takes the lead agency as institution, unknown people are
-    added. `projects` needs `seq`, the order of arrival.
+    A person who is both is listed twice, unless `distinct`, which keeps the first listing. A known manager takes the
+    lead agency as institution, unknown people are added. `projects` needs `seq`, the order of arrival.
     """
-    managers = project_managers(projects, authors).withColumn("pos", F.lit(-1))
-    columns = ["key_id", "id", "pos", "a_id", "name", "inst"]
-    listing = managers.select(*columns).unionByName(project_researchers(projects, authors).select(*columns))
+    record = [*scope, "key_id", "id"]
+    managers = project_managers(projects, authors, scope).withColumn("pos", F.lit(-1))
+    columns = [*record, "pos", "a_id", "name", "inst"]
+    listing = managers.select(*columns).unionByName(project_researchers(projects, authors, scope).select(*columns))
     if distinct:
-        listing = first_per_key(listing, ["key_id", "id", "a_id"], ["pos"])
-    arrival = projects.select("key_id", "id", "seq")
-    refs = listing.join(arrival, ["key_id", "id"])
-    moved = with_latest_inst(authors.select("a_id", "name", "inst"), refs.where(F.col("pos") == -1))
-    return listing, moved.unionByName(missing_authors(refs, authors))
+        listing = first_per_key(listing, [*record, "a_id"], ["pos"])
+    refs = listing.join(projects.select(*record, "seq"), record)
+    moved = with_latest_inst(authors.select(*scope, "a_id", "name", "inst"), refs.where(F.col("pos") == -1), scope)
+    return listing, moved.unionByName(missing_authors(refs, authors, scope))
 
 
-def listed_people(listing: DataFrame) -> DataFrame:
+def listed_people(listing: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Manager and researchers written back to the project, in listed order. One group is one project's list."""
     people = F.sort_array(F.collect_list(F.struct("pos", "a_id", "name")))
-    grouped = listing.groupBy("key_id", "id").agg(people.alias("p"))
+    grouped = listing.groupBy(*scope, "key_id", "id").agg(people.alias("p"))
     lead = F.get("p", F.lit(0))
     rest = F.filter("p", lambda x: x["pos"] >= 0)
-    return grouped.select("key_id", "id", lead["name"].alias("mng"), lead["a_id"].alias("mngId"),
+    return grouped.select(*scope, "key_id", "id", lead["name"].alias("mng"), lead["a_id"].alias("mngId"),
                           R.emit(rest["name"]).alias("rsc"), R.emit(rest["a_id"]).alias("rscId"))
 
 

@@ -17,13 +17,16 @@ from laurel.session import stored
 _SLICE_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its lower 33 bits
 
 
-def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slices: int | None = None) -> DataFrame:
     """Globally sorted rows with `_slice` and `_at` (row number in the slice), stored.
 
-    Stored because a recomputed sort could draw other range bounds than the slice totals saw.
+    Stored because a recomputed sort could draw other range bounds than the slice totals saw. The number of slices
+    follows the size of the rows unless `slices` fixes it.
     """
+    ordered = df.sort(*keys, *order) if slices is None else df.repartitionByRange(
+        slices, *keys, *order).sortWithinPartitions(*keys, *order)
     return stored(
-        df.sort(*keys, *order)
+        ordered
         .withColumn("_row", F.monotonically_increasing_id())
         .withColumn("_slice", F.shiftright("_row", _SLICE_BITS))
         .withColumn("_at", F.col("_row").bitwiseAND(F.lit((1 << _SLICE_BITS) - 1)))
@@ -52,9 +55,9 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], nam
     `order` must be total within a key. The rows are sorted and stored once as they are, so pass only the columns the
     result needs.
     """
-    sliced = _sliced(df, keys, order)
-    sizes = sliced.groupBy("_slice", *keys).agg(F.count("*").alias("_total"), F.min("_at").alias("_first"))
-    placed = _with_offsets(sliced, sizes, keys, total)
+    rows = sliced(df, keys, order)
+    sizes = rows.groupBy("_slice", *keys).agg(F.count("*").alias("_total"), F.min("_at").alias("_first"))
+    placed = _with_offsets(rows, sizes, keys, total)
     number = F.col("_before") + F.col("_at") - F.col("_first") + 1
     return placed.withColumn(name, number).drop("_slice", "_at", "_first", "_before")
 
@@ -62,8 +65,8 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], nam
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], measure: str, name: str,
                 total: str | None = None) -> DataFrame:
     """Exact sum(measure) over (partition by keys order by order), up to the row, and that of the key as `total`."""
-    sliced = _sliced(df, keys, order)
+    rows = sliced(df, keys, order)
     local = Window.partitionBy("_slice", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sliced.groupBy("_slice", *keys).agg(F.sum(measure).alias("_total"))
-    placed = _with_offsets(sliced.withColumn("_local", F.sum(measure).over(local)), sums, keys, total)
+    sums = rows.groupBy("_slice", *keys).agg(F.sum(measure).alias("_total"))
+    placed = _with_offsets(rows.withColumn("_local", F.sum(measure).over(local)), sums, keys, total)
     return placed.withColumn(name, F.col("_before") + F.col("_local")).drop("_slice", "_at", "_local", "_before")

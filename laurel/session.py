@@ -17,6 +17,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, scratch: str | No
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", scratch or f"/tmp/laurel-{uuid.uuid4().hex}")
         .getOrCreate()
     )

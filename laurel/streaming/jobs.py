@@ -1,40 +1,54 @@
 """The collecting job: one loop over the message stream that stores records, reports progress and scores finished queries.
 
-All tables are folders per query (or author shard) and micro-batch. A repeated batch writes the same folders again, and
-reads nothing that it wrote itself, so a restart neither loses nor doubles rows.
+A query may go to several providers. Everything is kept per provider and query: records, listings, authors, progress,
+status and scores; `query_status` sums up a query. The tables are runs with a manifest per batch (`sources/runs.py`), so a
+batch opens the files of its own queries and authors only, however many batches there were, and a repeated batch
+neither loses nor doubles rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from laurel.functions import text as X
 from laurel.operators import authors as J
-from laurel.operators import factors as A
+from laurel.operators import ranking
 from laurel.operators.search import performed_by
 from laurel.schemas import PAPER, PROJECT, names
 from laurel.session import stored
-from laurel.sources.tables import by_query, of_queries
+from laurel.sources.runs import Layout, Runs
 from laurel.streaming import progress as P
 from laurel.streaming import records as S
 
 PROJECT_SITE = "NTIS"
-SHARDS = 256  # folders of the author tables; a batch opens those of its own names and ids
-STEPS = 2  # writes of a batch that see each other: papers, then projects
-TABLES = {
-    "raw": f"{PAPER}, site string, seq long, n_authors int, crawl_time string",
-    "project": f"{PROJECT}, site string, seq long, crawl_time string",
-    "author_paper": "key_id string, paper_id string, a_id string, pos int, n_authors int, seq long",
-    "refused": "key_id string, id string, site string, seq long, reason string",
-    "state": f"key_id string, {P.STATE}",
-    "author": "a_id string, name string, inst string, shard int",
-    "author_name": "name string, a_id string, shard int",
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+SCOPE = ["site"]
+QUERY = ["site", "key_id"]
+RECORD = ["site", "key_id", "id"]
+PERSON = ["site", "a_id"]
+LAYOUTS = {
+    "raw": Layout(f"{PAPER}, site string, seq long, n_authors int, crawl_time string", ("site", "key_id")),
+    "project": Layout(f"{PROJECT}, site string, seq long, crawl_time string", ("site", "key_id")),
+    "author_paper": Layout("site string, key_id string, paper_id string, a_id string, pos int, n_authors int, seq long",
+                           ("site", "key_id")),
+    "refused": Layout("site string, key_id string, id string, seq long, reason string", ("site", "key_id")),
+    "state": Layout(f"site string, key_id string, {P.STATE}", ("site", "key_id"), ("site", "key_id")),
+    "author": Layout("site string, a_id string, name string, inst string, has_inst boolean", ("site", "a_id"), ("site", "a_id")),
+    "author_name": Layout("site string, name string, a_id string", ("site", "name"), ("site", "name", "a_id")),
+    "pending": Layout("site string, a_id string, name string, state string, worker string", ("site", "a_id"), ("site", "a_id")),
+    "query": Layout("key_id string, query string", ("key_id",), ("key_id",)),
 }
+FACTORS = ["productivity", "contrib", "durability", "recentness", "coop", "quality", "acc"]  # of one type for all providers
+WAITING, CLAIMED, DONE = "waiting", "claimed", "done"
+STATUS = f"{P.UPDATE}, data long, experts long, pending long, crawl_time string, a_time string"
+ANALYSIS = "site string, key_id string, part int, rows long, total long, progress double"
+RELATION = "site string, key_id string, a_id string, co_a_id string, n_papers long"
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -52,183 +66,255 @@ def in_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkp
     )
 
 
-def track(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Progress alone, with the state kept by the stream."""
-    return to_table(P.tracked(S.routed(stream)), path, checkpoint)
+def _with_site(messages: DataFrame) -> DataFrame:
+    return messages.withColumn("site", F.coalesce("site", F.lit("")))
 
 
-def _shard(c: Column) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(SHARDS)).cast("int")
+class Progress:
+    """Progress alone: the updates of every provider and query, with the states between batches in runs.
 
+    `slices` fixes into how many slices a batch's messages are sorted; without it their size decides.
+    """
 
-class Collection:
-    """Facts of the message stream in `folder`, and the scores of finished queries.
+    slices: int | None = None
 
-    `score(site, listing, records)` gives the factor rows of finished queries of one site (the site chooses the profile,
-    see `factors.profile_of`); `store(rows)` must replace a query's rows.
-    """
+    def __init__(self, spark: SparkSession, folder: str, slices: int | None = None):
+        self.spark, self.folder, self.slices = spark, folder, slices
+        self.tables = Runs(spark, f"{folder}/tables", {"state": LAYOUTS["state"]})
+        if not self.tables.open():
+            self.tables.commit(-1)
 
-    def __init__(self, spark: SparkSession, folder: str, authors: DataFrame,
-                 score: Callable[[str, DataFrame, DataFrame], DataFrame] | None = None,
-                 store: Callable[[DataFrame], None] | None = None):
-        self.spark, self.folder, self.score, self.store = spark, folder, score, store
-        for name, ddl in TABLES.items():  # without rows this only makes the folders
-            self._put(spark.createDataFrame([], ddl), name, -1, "shard" if "shard" in ddl else "key_id")
-        self._add_authors(authors.select("a_id", "name", "inst"), -1)
+    def add(self, messages: DataFrame, batch: int) -> None:
+        self.tables.begin(batch)
+        self.report(stored(_with_site(messages), "messages"), batch)
+        self.tables.commit(batch)
+
+    def report(self, rows: DataFrame, batch: int) -> DataFrame:
+        """The batch's status updates, stored."""
+        states = self.tables.find("state", rows.where("key_id is not null"))
+        folded = stored(P.folded(rows, states, self.slices), "folded")
+        self.tables.append("state", folded.where("seq is null"))
+        self._log(folded.where("seq is not null").select(*names(P.UPDATE)), "updates", batch)
+        return self.spark.read.schema(P.UPDATE).parquet(f"{self.folder}/updates/batch={batch}/step=0")
 
-    # ---- tables ---------------------------------------------------------------------------------------------------------
+    def _log(self, df: DataFrame, name: str, batch: int, step: int = 0) -> None:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}/step={step}")
 
-    def path(self, name: str) -> str:
-        return f"{self.folder}/{name}"
+    def log(self, name: str, ddl: str) -> DataFrame:
+        """The rows that the batches reported: `updates`, `status`, `analysis`, `relations`, `malformed`."""
+        fs, where = self.tables._fs(f"{self.folder}/{name}")
+        if not fs.exists(where):
+            return self.spark.createDataFrame([], ddl)
+        return self.spark.read.schema(ddl).parquet(f"{self.folder}/{name}").drop("batch", "step")
 
-    def table(self, name: str, before: int | None = None) -> DataFrame:
-        """A table, without what was written in step `before` and later."""
-        rows = self.spark.read.schema(f"{TABLES[name]}, batch long").parquet(self.path(name))
-        return rows.where(F.col("batch").isNotNull() if before is None else F.col("batch") < before)
 
-    def _put(self, df: DataFrame, name: str, step: int, level: str = "key_id") -> None:
-        """In folders per query (or shard) and step: readers open their own queries only."""
-        rows = df.select(*names(TABLES[name])).withColumn("batch", F.lit(step).cast("long"))
-        rows = by_query(rows) if level == "key_id" else rows.hint("rebalance", level)
-        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(level, "batch")
-         .parquet(self.path(name)))
+def track(stream: DataFrame, folder: str, checkpoint: str, slices: int | None = None) -> StreamingQuery:
+    """Progress alone; the updates are in `folder`/updates."""
+    return in_batches(S.routed(stream), Progress(stream.sparkSession, folder, slices).add, checkpoint)
 
-    def _log(self, df: DataFrame, name: str, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path(name)}/batch={batch}")
 
-    def log(self, name: str, ddl: str) -> DataFrame:
-        """The rows that the batches reported: `updates` and `status`."""
-        return self.spark.read.schema(ddl).parquet(self.path(name))
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started here keep their state in RocksDB, so it need not fit in the executors' heaps."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
 
-    # ---- authors --------------------------------------------------------------------------------------------------------
 
-    def _add_authors(self, rows: DataFrame, step: int) -> None:
-        self._put(rows.withColumn("shard", _shard(F.col("a_id"))), "author", step, "shard")
-        self._put(rows.withColumn("shard", _shard(F.col("name"))), "author_name", step, "shard")
+class Collection(Progress):
+    """Facts of the message stream in `folder`, and the scores of finished queries.
 
-    def authors(self) -> DataFrame:
-        """The author table as it stands: the latest row of every id."""
-        return _latest(self.table("author"))
+    `score(site, listing, records, queries)` gives the factor rows of finished queries of one provider (it chooses the
+    profile, see `factors.profile_of`); `queries` has the stored query texts. `store(rows)` must replace the rows of the
+    providers, queries and parts in `rows` (site, key_id, part, ...): rows come in `parts` parts per provider, and every
+    part adds a line to the `analysis` log. `ranked(rows)` may name experts whose relations are stored with the scores.
+    """
 
-    def _known(self, people: DataFrame, step: int) -> DataFrame:
-        """The stored authors that `people` (name, a_id) may mean: by name or by id, from their shards only."""
-        def found(table: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-            keys = wanted.select(key).where(F.col(key).isNotNull()).distinct()
-            shards = keys.select(_shard(F.col(key)).alias("shard")).where("shard >= 0").distinct()  # see tables.of_queries
-            return table.join(shards, "shard", "left_semi").join(keys, key, "left_semi")
+    def __init__(self, spark: SparkSession, folder: str, authors: DataFrame,
+                 score: Callable[[str, DataFrame, DataFrame, DataFrame], DataFrame] | None = None,
+                 store: Callable[[DataFrame], None] | None = None, queries: DataFrame | None = None,
+                 ranked: Callable[[DataFrame], DataFrame] | None = None, parts: int = 4):
+        self.spark, self.folder, self.score, self.store, self.ranked, self.parts = spark, folder, score, store, ranked, parts
+        self.tables = Runs(spark, f"{folder}/tables", LAYOUTS)
+        if not self.tables.open():
+            self._add_authors(authors.select(*PERSON, "name", "inst"))
+            if queries is not None:
+                self.tables.append("query", queries)
+            self.tables.commit(-1)
+
+    def table(self, name: str) -> DataFrame:
+        """A table as it stands."""
+        return self.tables.read(name)
 
-        by_name = found(self.table("author_name", step), "name", people).select("a_id")
-        return _latest(found(self.table("author", step), "a_id", by_name.union(people.select("a_id"))))
+    # ---- authors --------------------------------------------------------------------------------------------------------
+
+    def _add_authors(self, rows: DataFrame) -> None:
+        rows = rows.withColumn("has_inst", F.coalesce(F.col("inst") != "", F.lit(False)))
+        self.tables.append("author", rows)
+        self.tables.append("author_name", rows.where("name is not null"))
+
+    def authors(self) -> DataFrame:
+        """The author table as it stands: the latest row of every provider and id."""
+        return self.table("author")
+
+    def _known(self, people: DataFrame) -> DataFrame:
+        """The stored authors that `people` (site, name, a_id) may mean, by name or by id."""
+        by_name = self.tables.find("author_name", people.where("name is not null")).select(*PERSON)
+        return self.tables.find("author", by_name.union(people.where("a_id is not null").select(*PERSON)))
+
+    # ---- the queue of authors without institution -------------------------------------------------------------------------
+
+    def claim(self, n: int, worker: str) -> DataFrame:
+        """Gives up to `n` waiting authors (site, a_id, name) to a worker. To be called between batches."""
+        waiting = self.table("pending").where(F.col("state") == WAITING).orderBy(*PERSON).limit(n)
+        mine = stored(waiting.withColumns({"state": F.lit(CLAIMED), "worker": F.lit(worker)}), "claimed")
+        self.tables.append("pending", mine)
+        self.tables.commit(self.tables.batch)
+        return mine.select(*PERSON, "name")
+
+    def complete(self, found: DataFrame) -> None:
+        """Institutions (site, a_id, inst) that a worker found: stored with the authors, whose entries are done."""
+        found = stored(found.where("inst <> ''").groupBy(*PERSON).agg(F.min("inst").alias("inst")), "found")
+        self._add_authors(self.tables.find("author", found).drop("inst", "has_inst").join(found, PERSON))
+        self._settle(found)
+        self.tables.commit(self.tables.batch)
+
+    def _settle(self, people: DataFrame) -> None:
+        open_ = self.tables.find("pending", people).where(F.col("state") != DONE)
+        self.tables.append("pending", open_.withColumn("state", F.lit(DONE)))
 
     # ---- one micro-batch ------------------------------------------------------------------------------------------------
 
     def add(self, messages: DataFrame, batch: int) -> None:
         """Stores the records of a batch, then reports its progress, then scores the queries that it finished."""
-        rows = messages.persist()
-        step = batch * STEPS
-        self._log_malformed(rows, batch)
-        new = stored(self._new(S.data_rows(rows), step), "new")
-        project = F.coalesce(F.col("site") == PROJECT_SITE, F.lit(False))
-        self._add_papers(new.where(~project), step)
-        self._add_projects(new.where(project), step + 1)
-        updates = self._report(rows, batch)
+        self.tables.begin(batch)
+        rows = stored(_with_site(messages), "messages")
+        self._log(S.malformed(rows).select(*RECORD, "seq", F.lit("malformed").alias("reason")), "malformed", batch)
+        new = stored(self._new(S.data_rows(rows)), "new")
+        project = F.col("site") == PROJECT_SITE
+        ours = performed_by(F.col("perfAgent.code"))
+        counts = new.agg(F.count_if(~project & J.refusal().isNull()), F.count_if(~project & J.refusal().isNotNull()),
+                         F.count_if(project & ours), F.count_if(project & ~ours)).first()
+        if counts[1] or counts[3]:
+            self.tables.append("refused", new.withColumn("reason", F.when(project, F.when(~ours, "agent not analysed")).otherwise(
+                J.refusal())).where("reason is not null"))
+        if counts[0]:
+            self._add_papers(new.where(~project & J.refusal().isNull()))
+        if counts[2]:
+            self._add_projects(new.where(project & ours))
+        updates = self.report(rows, batch)
         self._score(updates.where("state = 1"), batch)
-        rows.unpersist()
+        self.tables.commit(batch)
 
-    def _new(self, data: DataFrame, step: int) -> DataFrame:
+    def _new(self, data: DataFrame) -> DataFrame:
         """Records that are not stored yet, once each. Only the batch's own queries are looked up."""
-        before = [self.table(n, step).select("key_id", "id") for n in ("raw", "project", "refused")]
-        seen = reduce(DataFrame.union, [of_queries(t, data) for t in before])
-        return data.dropDuplicates(["key_id", "id"]).join(seen, ["key_id", "id"], "left_anti")
-
-    def _log_malformed(self, rows: DataFrame, batch: int) -> None:
-        """Malformed messages, which stop nothing."""
-        bad = S.malformed(rows).withColumn("reason", F.lit("malformed"))
-        self._log(bad.select(*names(TABLES["refused"])), "malformed", batch)
-
-    def _add_papers(self, papers: DataFrame, step: int) -> None:
-        """Papers with resolved authors written back; refused ones go to their own table with the reason."""
-        reasoned = papers.withColumn("reason", J.refusal())
-        self._put(reasoned.where("reason is not null"), "refused", step)
-        kept = reasoned.where("reason is null")
-        listed = J.paper_authors(kept)
-        known = stored(self._known(listed.select("name", F.col("provider_id").alias("a_id")), step), "known")
-        listing, after = J.resolve_papers(kept, known)
-        listing = stored(listing.join(kept.select("key_id", "id", "seq"), ["key_id", "id"]), "listing")
+        seen = reduce(DataFrame.union, [self.tables.find(n, data).select(*RECORD) for n in ("raw", "project", "refused")])
+        return data.dropDuplicates(RECORD).join(seen, RECORD, "left_anti")
+
+    def _add_papers(self, kept: DataFrame) -> None:
+        """Papers with resolved authors written back."""
+        listed = J.paper_authors(kept, SCOPE)
+        known = stored(self._known(listed.select("site", "name", F.col("provider_id").alias("a_id"))), "known")
+        listing, after = J.resolve_papers(kept, known, SCOPE)
+        listing = stored(listing.join(kept.select(*RECORD, "seq"), RECORD), "listing")
         columns = [c for c in kept.columns if c not in ("author", "author_id", "author_inst")]
-        written = kept.select(*columns).join(J.listed_ids(listing), ["key_id", "id"])
-        self._put(written.withColumn("crawl_time", X.stamp(F.current_timestamp())), "raw", step)
-        self._put(listing.withColumnRenamed("id", "paper_id"), "author_paper", step)
-        self._add_authors(after.join(known, "a_id", "left_anti"), step)
-
-    def _add_projects(self, projects: DataFrame, step: int) -> None:
+        written = kept.select(*columns).join(J.listed_ids(listing, SCOPE), RECORD)
+        self.tables.append("raw", written.withColumn("crawl_time", X.stamp(F.current_timestamp())))
+        self.tables.append("author_paper", listing.withColumnRenamed("id", "paper_id"))
+        self._add_paper_authors(after, known, listing, listed)
+
+    def _add_paper_authors(self, after: DataFrame, known: DataFrame, listing: DataFrame, listed: DataFrame) -> None:
+        """New authors, and institutions for authors who had none. Who has an id but no institution yet is queued."""
+        blank = F.coalesce("inst", F.lit("")) == ""
+        without = after.where(blank).select(*PERSON)
+        first = F.min(F.struct("seq", "id", "pos", "inst")).alias("_first")
+        brought = (listing.where(~blank).join(without, PERSON, "left_semi").groupBy(*PERSON).agg(first)
+                   .select(*PERSON, F.col("_first.inst").alias("brought")))
+        people = after.join(known.select(*PERSON, F.lit(True).alias("stored")), PERSON, "left").join(brought, PERSON, "left")
+        people = stored(people.where("stored is null or brought is not null")
+                        .withColumn("inst", F.coalesce("brought", "inst")), "people")
+        n, n_settled, n_blank = people.agg(F.count("*"), F.count("stored"), F.count_if(F.col("stored").isNull() & blank)).first()
+        if n:
+            self._add_authors(people.select(*PERSON, "name", "inst"))
+        if n_settled:
+            self._settle(people.where("stored"))
+        if n_blank:
+            given = listed.where("provider_id is not null").select("site", F.col("provider_id").alias("a_id")).distinct()
+            queued = people.where(F.col("stored").isNull() & blank).join(given, PERSON, "left_semi")
+            self.tables.append("pending", queued.select(
+                *PERSON, "name", F.lit(WAITING).alias("state"), F.lit(None).alias("worker")))
+
+    def _add_projects(self, kept: DataFrame) -> None:
         """Projects of the agents that are analysed, with manager and researchers resolved and written back."""
-        ours = performed_by(F.col("perfAgent.code"))
-        self._put(projects.where(~ours).withColumn("reason", F.lit("agent not analysed")), "refused", step)
-        kept = projects.where(ours)
         listed = F.transform(F.split(F.replace("rscId", F.lit('"'), F.lit("")), ";"), X.person_id)
         ids = F.array_append(F.coalesce(listed, F.array().cast("array<string>")), X.person_id(F.col("mngId")))
-        people = kept.select(F.col("mng").alias("name"), F.explode(ids).alias("a_id"))
-        known = stored(self._known(people, step), "known")
-        listing, after = J.resolve_projects(kept, known, distinct=True)
-        listing = stored(listing.join(kept.select("key_id", "id", "seq"), ["key_id", "id"]), "listing")
-        size = F.count("*").alias("n_authors")
-        sized = listing.join(listing.groupBy("key_id", "id").agg(size), ["key_id", "id"])
-        written = kept.drop("mng", "mngId", "rsc", "rscId").join(J.listed_people(listing), ["key_id", "id"])
-        self._put(written.withColumn("crawl_time", X.stamp(F.current_timestamp())), "project", step)
-        self._put(sized.withColumnRenamed("id", "paper_id").withColumn("n_authors", F.col("n_authors").cast("int")),
-                  "author_paper", step)
-        self._add_authors(after.join(known, ["a_id", "name", "inst"], "left_anti"), step)
-
-    def _report(self, rows: DataFrame, batch: int) -> DataFrame:
-        """The batch's status updates, stored after its records."""
-        step = batch * STEPS
-        states = of_queries(self.table("state", step), rows)
-        folded = stored(P.folded(rows, _newest(states, "key_id", names(P.STATE))), "folded")
-        self._put(folded.where("seq is null"), "state", step)
-        self._log(folded.where("seq is not null").select(*names(P.UPDATE)), "updates", batch)
-        return self.spark.read.schema(P.UPDATE).parquet(f"{self.path('updates')}/batch={batch}")
+        people = kept.select("site", F.col("mng").alias("name"), F.explode(ids).alias("a_id"))
+        known = stored(self._known(people), "known")
+        listing, after = J.resolve_projects(kept, known, distinct=True, scope=SCOPE)
+        listing = stored(listing.join(kept.select(*RECORD, "seq"), RECORD), "listing")
+        sized = listing.join(listing.groupBy(*RECORD).agg(F.count("*").alias("n_authors")), RECORD)
+        written = kept.drop("mng", "mngId", "rsc", "rscId").join(J.listed_people(listing, SCOPE), RECORD)
+        self.tables.append("project", written.withColumn("crawl_time", X.stamp(F.current_timestamp())))
+        self.tables.append("author_paper", sized.withColumnRenamed("id", "paper_id").withColumn(
+            "n_authors", F.col("n_authors").cast("int")))
+        self._add_authors(stored(after.join(known, [*PERSON, "name", "inst"], "left_anti"), "people"))
+
+    # ---- scores -----------------------------------------------------------------------------------------------------------
 
     def _score(self, finished: DataFrame, batch: int) -> None:
-        """Scores the queries whose records are complete, site by site, and reports them as analysed."""
+        """Scores the queries whose records are complete, provider by provider, and reports them as analysed."""
         if self.score is None or finished.isEmpty():
             return
-        ended = finished.groupBy("key_id").agg(F.max("seq").alias("seq"), F.bool_or("is_partial").alias("is_partial"))
-        listing, papers, projects = (of_queries(self.table(n), ended) for n in ("author_paper", "raw", "project"))
-        both = papers.select("key_id", "site", "crawl_time").union(projects.select("key_id", "site", "crawl_time"))
-        sites = sorted(r.site or "" for r in both.select("site").distinct().collect())  # one row per provider
-        scored = []
-        for site in sites:
-            records = projects if site == PROJECT_SITE else papers
-            records = records.where(F.coalesce("site", F.lit("")) == site)
-            mine = listing.join(records.select("key_id", F.col("id").alias("paper_id")), ["key_id", "paper_id"], "left_semi")
-            watched, seen = S.observed(self.score(site, mine, records), f"analysis-{batch}-{site}")
-            self.store(watched)
-            scored.append((site, int(seen.get["rows"])))
-        counts = A.query_counts(both, listing)
-        crawled = both.groupBy("key_id").agg(F.max("crawl_time").alias("crawl_time"))
-        done = ended.join(counts, "key_id", "left").join(crawled, "key_id", "left").select(
-            "key_id", "seq", F.lit(100.0).alias("progress"), F.lit(2).alias("state"), "is_partial",
-            F.coalesce("data", F.lit(0).cast("long")).alias("data"), F.coalesce("experts", F.lit(0).cast("long")).alias("experts"),
+        ended = stored(finished.groupBy(*QUERY).agg(F.max("seq").alias("seq"), F.bool_or("is_partial").alias("is_partial")), "ended")
+        sites = sorted(r.site for r in ended.select("site").distinct().collect())  # one row per provider
+        listing, papers, projects = (stored(self.tables.find(n, ended), n) for n in ("author_paper", "raw", "project"))
+        queries = self.tables.find("query", ended)
+        for step, site in enumerate(sites):
+            here = F.col("site") == site
+            records = (projects if site == PROJECT_SITE else papers).where(here)
+            mine = listing.where(here)
+            rows = self.score(site, mine, records, queries).withColumn("site", F.lit(site))
+            rows = stored(rows.withColumns({c: F.col(c).cast("double") for c in FACTORS if c in rows.columns}), "scored")
+            self._store(rows, batch, step)
+            if self.ranked is not None:
+                related = ranking.relations(self.ranked(rows), mine).withColumn("site", F.lit(site))
+                self._log(related.select(*names(RELATION)), "relations", batch, step)
+        both = papers.select(*QUERY, "crawl_time").union(projects.select(*QUERY, "crawl_time"))
+        crawled = both.groupBy(*QUERY).agg(F.count("*").alias("data"), F.max("crawl_time").alias("crawl_time"))
+        people = listing.select(*QUERY, "a_id").distinct()
+        unknown = self.tables.find("pending", people).where(F.col("state") != DONE).select(*PERSON, F.lit(1).alias("open"))
+        experts = people.join(unknown, PERSON, "left").groupBy(*QUERY).agg(
+            F.count("*").alias("experts"), F.count("open").alias("pending"))
+        none = F.lit(0).cast("long")
+        done = ended.join(crawled, QUERY, "left").join(experts, QUERY, "left").select(
+            *QUERY, "seq", F.lit(100.0).alias("progress"), F.lit(2).alias("state"), "is_partial",
+            *(F.coalesce(c, none).alias(c) for c in ("data", "experts", "pending")),
             "crawl_time", X.stamp(F.current_timestamp()).alias("a_time"))
         self._log(done, "status", batch)
-        self._log(self.spark.createDataFrame(scored, "site string, rows long"), "analysis", batch)
 
-
-STATUS = f"{P.UPDATE}, data long, experts long, crawl_time string, a_time string"
-
-
-def _latest(log: DataFrame) -> DataFrame:
-    return _newest(log, "a_id", ["name", "inst"])
-
-
-def _newest(log: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The row of the last batch per key."""
-    last = F.max_by(F.struct(*columns), "batch").alias("_last")
-    return log.groupBy(key).agg(last).select(key, *[F.col(f"_last.{c}").alias(c) for c in columns])
+    def _store(self, rows: DataFrame, batch: int, step: int) -> None:
+        """Stores factor rows part by part, and after each part the rows stored so far, of all, per query."""
+        part = F.pmod(F.xxhash64("a_id"), F.lit(self.parts)).cast("int")
+        rows = rows.withColumn("part", part)
+        counts = stored(rows.groupBy(*QUERY, "part").agg(F.count("*").alias("n")), "parts")
+        for i in range(self.parts):
+            self.store(rows.where(F.col("part") == i))
+            lines = counts.groupBy(*QUERY).agg(
+                F.lit(i).alias("part"), F.coalesce(F.sum(F.when(F.col("part") <= i, F.col("n"))), F.lit(0)).alias("rows"),
+                F.sum("n").alias("total"))
+            self._log(lines.withColumn("progress", F.col("rows") * 100.0 / F.col("total")), "analysis", batch, step * self.parts + i)
+
+    def query_status(self) -> DataFrame:
+        """One row per query over all its providers: see `progress.rolled_up`; with the providers' records and experts."""
+        updates, done = self.log("updates", P.UPDATE), self.log("status", STATUS)
+        status = P.current_status(updates.unionByName(done.select(*names(P.UPDATE))))
+        sums = done.groupBy("key_id").agg(F.sum("data").alias("data"), F.sum("experts").alias("experts"), F.sum("pending").alias("pending"))
+        return P.rolled_up(status).join(sums, "key_id", "left")
 
 
 def ingest(stream: DataFrame, collection: Collection, checkpoint: str) -> StreamingQuery:
     """The whole job over a message stream, one loop: store, report, score."""
     return in_batches(S.routed(stream), collection.add, checkpoint)
-
