@@ -375,8 +375,7 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", doc_id: str = "d
                       .join(near, ["a", "b"], "left_anti"), "crossing")
     decided = _derived(crossing, rough.join(exact.select("a", "b"), ["a", "b"], "left_anti").union(exact), prefixes, percent)
     _, late = compared(decided.where("not yes and not no").select("a", "b"))
-    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    final = components(stars.union(decided.where("yes").select("a", "b")).union(links_of(late)))
+    final = _rooted(roots, decided.where("yes").select("a", "b").union(links_of(late)))
 
     of_set = reps.select("sig", "rep")
     return (described.select("doc_id", "n", "sig").join(of_set, "sig", "left")
@@ -385,6 +384,17 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", doc_id: str = "d
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id")))
 
 
+def _rooted(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links (a, b): these join whole classes, so only the classes' roots are linked."""
+    of = roots.select("node", "root")
+    ends = (links.join(of.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left")
+            .join(of.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left"))
+    joined = stored(components(ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))), "joined")
+    upper = joined.select(F.col("node").alias("root"), F.col("root").alias("upper"))
+    moved = of.join(upper, "root", "left").select("node", F.coalesce("upper", "root").alias("root"))
+    return moved.union(joined.join(of, "node", "left_anti").select("node", "root"))
+
+
 def _derived(pairs: DataFrame, known: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """(a, b, yes, no) for `pairs`: what the known bounds of similar sets tell of their own overlap.
 
