@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -86,23 +87,65 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
     return ranks
 
 
-def digests(column: pa.Array, ranks: np.ndarray) -> list[bytes]:
-    """The chained filters of every text, BITS / 8 bytes each; an empty text has none.
+@dataclass
+class Profile:
+    """What is kept of a text while its neighbours are compared: its bytes, the entropy classes of its windows, its digest."""
+
+    body: np.ndarray
+    classes: np.ndarray
+    digest: bytes
+
+
+def profiles(column: pa.Array, ranks: np.ndarray) -> list[Profile]:
+    """The profile of every text; `digest` are its chained filters, BITS / 8 bytes each, and an empty text has none.
 
     Windows that at least POPULAR neighbourhoods prefer are features, or the one that is preferred most. A text shorter
     than a window is one feature.
     """
-    out: list[bytes] = []
+    out: list[Profile] = []
     for _, body, offsets in chunks(column):
-        out += _digests(body, offsets, ranks)
+        out += _profiles(body, offsets, entropy_classes(body, offsets) if len(body) else np.zeros(0, np.int64), ranks)
     return out
 
 
-def _digests(text: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> list[bytes]:
+def _profiles(body: np.ndarray, offsets: np.ndarray, classes: np.ndarray, ranks: np.ndarray) -> list[Profile]:
+    thin, ends = classes.astype(np.int16), offsets.tolist()
+    return [Profile(body[a:b], thin[a:b], d) for a, b, d in zip(ends, ends[1:], _digests(body, offsets, classes, ranks))]
+
+
+def digests(column: pa.Array, ranks: np.ndarray) -> list[bytes]:
+    return [p.digest for p in profiles(column, ranks)]
+
+
+def edited_profiles(heads: list[tuple[Profile, int]], tails: list[tuple[Profile, int]], ranks: np.ndarray) -> list[Profile]:
+    """Profiles of texts that are the first bytes of one text and the first bytes of another, up to the given numbers.
+
+    A window inside either part has the class that it has in its own text, so only the windows over the seam are
+    looked at; at the end there are none that fit.
+    """
+    seams, bodies, classes, places = [], [], [], []
+    for (head, cut), (tail, more) in zip(heads, tails, strict=True):
+        body = np.concatenate((head.body[:cut], tail.body[:more]))
+        own = np.concatenate((head.classes[:cut], tail.classes[:more])).astype(np.int64)
+        own[max(0, len(body) - WINDOW + 1):] = -1
+        first = max(0, cut - WINDOW + 1)
+        places.append((first, cut))
+        seams.append(body[first:cut + WINDOW - 1])
+        bodies.append(body)
+        classes.append(own)
+    lengths = [np.concatenate(([0], np.cumsum([len(b) for b in parts]))).astype(np.int64) for parts in (seams, bodies)]
+    if not lengths[1][-1]:
+        return [Profile(b, c.astype(np.int16), b"") for b, c in zip(bodies, classes, strict=True)]
+    over = entropy_classes(np.concatenate(seams), lengths[0]) if lengths[0][-1] else np.zeros(0, np.int64)
+    for own, start, (first, cut) in zip(classes, lengths[0].tolist(), places):
+        own[first:cut] = over[start:start + cut - first]
+    return _profiles(np.concatenate(bodies), lengths[1], np.concatenate(classes), ranks)
+
+
+def _digests(text: np.ndarray, offsets: np.ndarray, classes: np.ndarray, ranks: np.ndarray) -> list[bytes]:
     n, rows = len(text), len(offsets) - 1
     if n == 0:
         return [b""] * rows
-    classes = entropy_classes(text, offsets)
     row = np.repeat(np.arange(rows), np.diff(offsets))
     # Rank and place in one number: the least of a neighbourhood is its rarest, leftmost window.
     value = (np.where(classes >= 0, ranks[classes], CLASSES + 1) << 40) + np.arange(n)
@@ -173,13 +216,22 @@ _FIELDS = ("kind int, part long, doc_id long, n_chars long, edited_sha256 string
 _NAMES = [f.split()[0] for f in _FIELDS.split(", ")]
 
 
-def _compared(ids: list, texts: list[str], own: list[bytes], ranks: np.ndarray) -> list[tuple]:
-    """Result rows of all texts but the last, each with the one after it."""
-    changed = [edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
-    prints = digests(pa.array(changed, pa.large_string()), ranks)
-    return [(0, None, ids[i], len(texts[i]), hashlib.sha256(changed[i].encode("utf-8", "surrogatepass")).hexdigest(),
-             own[i], prints[i], likeness(own[i], prints[i]), likeness(own[i], own[i + 1]), None)
-            for i in range(len(changed))]
+def _compared(ids: list, texts: list[str], own: list[Profile], ranks: np.ndarray) -> list[tuple]:
+    """Result rows of all texts but the last, each with the one after it. Texts are changed in runs of CHUNK_BYTES."""
+    out, at = [], 0
+    while at < len(texts) - 1:
+        heads, tails, size = [], [], 0
+        while at + len(heads) < len(texts) - 1 and size < CHUNK_BYTES:
+            i = at + len(heads)
+            k = len(texts[i]) // 3
+            heads.append((own[i], len(texts[i][:len(texts[i]) - k].encode())))
+            tails.append((own[i + 1], len(texts[i + 1][:k].encode())))
+            size += heads[-1][1] + tails[-1][1]
+        for i, changed in enumerate(edited_profiles(heads, tails, ranks), at):
+            out.append((0, None, ids[i], len(texts[i]), hashlib.sha256(changed.body.tobytes()).hexdigest(), own[i].digest,
+                        changed.digest, likeness(own[i].digest, changed.digest), likeness(own[i].digest, own[i + 1].digest), None))
+        at += len(heads)
+    return out
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -218,40 +270,39 @@ def fingerprints(docs: DataFrame, ranks: np.ndarray, text: str = "text", doc_id:
                 while lo + len(new) < len(keys) and size < CHUNK_BYTES:
                     new.append(unpack.decompress(bodies[lo + len(new)].as_py()).decode())
                     size += len(new[-1])
-                own += digests(pa.array(new, pa.large_string()), ranks)
+                own += profiles(pa.array(new, pa.large_string()), ranks)
                 ids += keys[lo:lo + len(new)]
                 texts += new
                 lo += len(new)
                 rows = _compared(ids, texts, own, ranks)
                 if not started:
                     started = True
-                    rows.append((1, part, ids[0], None, None, own[0], None, None, None, pack.compress(texts[0].encode())))
+                    rows.append((1, part, ids[0], None, None, own[0].digest, None, None, None, pack.compress(texts[0].encode())))
                 yield _batch(rows)
                 ids, texts, own = ids[-1:], texts[-1:], own[-1:]
         if ids:
-            yield _batch([(2, part, ids[0], None, None, own[0], None, None, None, pack.compress(texts[0].encode()))])
+            yield _batch([(2, part, ids[0], None, None, own[0].digest, None, None, None, pack.compress(texts[0].encode()))])
 
     def join_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for key, own, body, next_own, next_body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, body, next_body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 texts = [unpack.decompress(b).decode() for b in (body, next_body)]
-                rows += _compared([key, None], texts, [own, next_own], ranks)
+                rows += _compared([key, None], texts, profiles(pa.array(texts, pa.large_string()), ranks), ranks)
             yield _batch(rows)
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(
         shrink, "doc_id long, body binary")
     order = F.col("doc_id").desc_nulls_last()
     walked = stored(slim.repartitionByRange(order).sortWithinPartitions(order, "body").mapInArrow(walk, _FIELDS), "walked")
-    heads = walked.where("kind = 1").select(F.col("part").alias("next"), F.col("fingerprint").alias("next_own"),
-                                            F.col("body").alias("next_body"))
+    heads = walked.where("kind = 1").select(F.col("part").alias("next"), F.col("body").alias("next_body"))
     tasks = Window.orderBy("part")  # one row per task
     first = F.min("part").over(tasks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     after = (walked.where("kind = 1")
              .select("part", F.coalesce(F.lead("part").over(tasks), first).alias("next")))
     edges = (walked.where("kind = 2").join(after, "part").join(heads, "next")
-             .select("doc_id", "fingerprint", "body", "next_own", "next_body").mapInArrow(join_ranges, _FIELDS))
+             .select("doc_id", "body", "next_body").mapInArrow(join_ranges, _FIELDS))
     return (walked.where("kind = 0").union(edges)
             .select("doc_id", "n_chars", "edited_sha256", F.base64("fingerprint").alias("fingerprint"),
                     F.base64("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next"))
