@@ -27,53 +27,83 @@ BOILERPLATE_NAMES = frozenset("""ad ads advert advertisement advertising banner
 consent contentinfo cookie cookies copyright disqus footer gdpr header masthead menu modal nav navbar navigation newsletter
 notice overlay pagination popup promo promotion related replies respond share sharing sidebar signup social sponsor
 sponsored subscribe toolbar widget""".split())
-ARTICLE_NAMES = frozenset("article body content entry main post story text".split())
+ARTICLE_NAMES = frozenset("article body content entry free main post story text".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>?|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 PARTS = re.compile(r"[a-z]+")
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_aside")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_aside", "names")
 # A small labelled table of blocks: the features, whether it is main text, and how often such a block was seen.
 LABELLED = [
-    # words links w_before l_before w_after l_after in_article in_aside main n
-    (60, 0.0, 55, 0.0, 70, 0.0, 1, 0, 1, 9), (3, 0.0, 60, 0.0, 50, 0.0, 1, 0, 1, 9), (1, 0.0, 1, 0.0, 1, 0.0, 1, 0, 1, 9),
-    (8, 0.0, 9, 0.0, 80, 0.0, 1, 0, 1, 9), (12, 1.0, 40, 0.0, 35, 0.0, 1, 0, 1, 4), (2, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1, 6),
-    (20, 0.3, 0, 0.0, 3, 0.0, 1, 0, 1, 5), (9, 0.0, 3, 1.0, 0, 0.0, 1, 0, 1, 4), (300, 0.0, 4, 0.0, 6, 1.0, 1, 0, 1, 4),
-    (5, 0.0, 40, 0.0, 4, 1.0, 1, 1, 0, 9), (60, 0.0, 50, 0.0, 30, 0.0, 1, 1, 0, 9), (1, 1.0, 1, 1.0, 1, 1.0, 1, 1, 0, 6),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 9), (6, 0.0, 90, 0.0, 0, 0.0, 0, 1, 0, 9), (40, 0.0, 2, 1.0, 30, 0.0, 0, 1, 0, 9),
-    (15, 0.0, 1, 1.0, 60, 0.0, 0, 1, 0, 9), (120, 0.0, 80, 0.0, 90, 0.0, 0, 1, 0, 6), (3, 0.2, 4, 0.0, 4, 0.0, 0, 1, 0, 6),
-    (45, 0.02, 50, 0.0, 40, 0.0, 0, 0, 1, 9), (30, 0.0, 5, 0.0, 60, 0.0, 0, 0, 1, 8), (25, 0.1, 40, 0.1, 3, 1.0, 0, 0, 1, 8),
-    (90, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 8), (11, 0.0, 50, 0.0, 60, 0.0, 0, 0, 1, 6), (6, 0.0, 45, 0.0, 70, 0.0, 0, 0, 1, 6),
-    (5, 0.0, 3, 1.0, 50, 0.0, 0, 0, 1, 5), (18, 0.0, 30, 0.0, 25, 0.1, 0, 0, 1, 6),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 9), (8, 0.9, 6, 0.8, 5, 1.0, 0, 0, 0, 8), (4, 0.5, 1, 1.0, 3, 0.7, 0, 0, 0, 8),
-    (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 7), (5, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0, 5), (7, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 3),
-    (25, 0.8, 20, 0.7, 25, 0.8, 0, 0, 0, 6), (50, 0.7, 3, 1.0, 2, 1.0, 0, 0, 0, 5), (12, 0.6, 45, 0.0, 8, 0.9, 0, 0, 0, 5),
+    # words links w_before l_before w_after l_after in_article in_aside names main n
+    # in an article: text, headings, list items with and without links, tables, captions
+    (60, 0.0, 55, 0.0, 70, 0.0, 1, 0, 0.0, 1, 9), (3, 0.0, 60, 0.0, 50, 0.0, 1, 0, 0.0, 1, 9), (1, 0.0, 1, 0.0, 1, 0.0, 1, 0, 0.0, 1, 9),
+    (8, 0.0, 9, 0.0, 80, 0.0, 1, 0, 0.0, 1, 9), (12, 1.0, 40, 0.0, 35, 0.0, 1, 0, 0.0, 1, 6), (2, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0.0, 1, 6),
+    (20, 0.3, 0, 0.0, 3, 0.0, 1, 0, 0.0, 1, 5), (9, 0.0, 3, 1.0, 0, 0.0, 1, 0, 0.0, 1, 6), (300, 0.0, 4, 0.0, 6, 1.0, 1, 0, 0.0, 1, 6),
+    (3, 1.0, 30, 0.0, 2, 0.0, 1, 0, 0.0, 1, 6), (2, 1.0, 3, 1.0, 4, 1.0, 1, 0, 0.0, 1, 6), (4, 0.5, 5, 1.0, 2, 1.0, 1, 0, 0.1, 1, 5),
+    (35, 0.0, 20, 0.0, 60, 0.0, 1, 0, 0.3, 1, 6), (6, 0.0, 40, 0.0, 30, 0.0, 1, 0, 0.3, 1, 5), (5, 0.0, 2, 1.0, 45, 0.0, 1, 0, 0.3, 1, 4),
+    # set apart inside an article: adverts, share bars, notes of readers, asides
+    (5, 0.0, 40, 0.0, 4, 1.0, 1, 1, 0.0, 0, 9), (60, 0.0, 50, 0.0, 30, 0.0, 1, 1, 0.0, 0, 9), (1, 1.0, 1, 1.0, 1, 1.0, 1, 1, 0.0, 0, 6),
+    (40, 0.0, 60, 0.0, 30, 0.0, 1, 0, 1.0, 0, 9), (7, 0.0, 50, 0.0, 60, 0.0, 1, 0, 1.0, 0, 9), (2, 1.0, 30, 0.0, 2, 1.0, 1, 0, 0.7, 0, 8),
+    (25, 0.0, 30, 0.0, 40, 0.0, 1, 0, 0.6, 0, 6), (15, 0.1, 20, 0.0, 30, 0.0, 1, 0, 0.5, 0, 5),
+    # boilerplate by element
+    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0.0, 0, 9), (6, 0.0, 90, 0.0, 0, 0.0, 0, 1, 0.0, 0, 9), (40, 0.0, 2, 1.0, 30, 0.0, 0, 1, 0.0, 0, 9),
+    (15, 0.0, 1, 1.0, 60, 0.0, 0, 1, 0.0, 0, 9), (120, 0.0, 80, 0.0, 90, 0.0, 0, 1, 0.0, 0, 6), (3, 0.2, 4, 0.0, 4, 0.0, 0, 1, 0.0, 0, 6),
+    (30, 0.0, 50, 0.0, 40, 0.0, 0, 1, 1.0, 0, 6), (4, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0.0, 0, 5),
+    # boilerplate by name: banners, notices, adverts, related links, comments
+    (8, 0.0, 1, 1.0, 12, 0.0, 0, 0, 1.0, 0, 9), (45, 0.0, 60, 0.0, 50, 0.0, 0, 0, 1.0, 0, 9), (3, 1.0, 40, 0.0, 3, 1.0, 0, 0, 0.7, 0, 9),
+    (20, 0.0, 30, 0.0, 25, 0.0, 0, 0, 0.6, 0, 6), (30, 0.1, 3, 1.0, 40, 0.0, 0, 0, 0.5, 0, 6), (4, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1.0, 0, 5),
+    # neither: running text
+    (45, 0.02, 50, 0.0, 40, 0.0, 0, 0, 0.0, 1, 9), (30, 0.0, 5, 0.0, 60, 0.0, 0, 0, 0.0, 1, 8), (25, 0.1, 40, 0.1, 3, 1.0, 0, 0, 0.0, 1, 8),
+    (90, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0.0, 1, 8), (11, 0.0, 50, 0.0, 60, 0.0, 0, 0, 0.0, 1, 6), (6, 0.0, 45, 0.0, 70, 0.0, 0, 0, 0.0, 1, 6),
+    (18, 0.0, 30, 0.0, 25, 0.1, 0, 0, 0.0, 1, 6), (40, 0.0, 2, 1.0, 35, 0.0, 0, 0, 0.3, 1, 6), (30, 0.0, 25, 0.0, 2, 1.0, 0, 0, 0.3, 1, 5),
+    (35, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0.0, 1, 6), (22, 0.0, 4, 0.9, 3, 0.0, 0, 0, 0.0, 1, 5),
+    # neither: headings before text, short pages, tables, last lines of a text
+    (5, 0.0, 3, 1.0, 50, 0.0, 0, 0, 0.0, 1, 6), (4, 0.0, 1, 1.0, 25, 0.0, 0, 0, 0.0, 1, 5), (4, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0.0, 1, 8),
+    (9, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0.0, 1, 6), (2, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0.0, 1, 8), (1, 0.0, 1, 0.0, 1, 0.0, 0, 0, 0.0, 1, 8),
+    (5, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0.0, 1, 5), (3, 0.0, 0, 0.0, 4, 0.0, 0, 0, 0.0, 1, 5), (7, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0.0, 1, 5),
+    # neither: lists of links, labels between links
+    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0.0, 0, 9), (8, 0.9, 6, 0.8, 5, 1.0, 0, 0, 0.0, 0, 8), (4, 0.5, 1, 1.0, 3, 0.7, 0, 0, 0.0, 0, 8),
+    (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0.0, 0, 8), (6, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0.0, 0, 6), (2, 0.0, 1, 1.0, 3, 0.9, 0, 0, 0.0, 0, 6),
+    (25, 0.8, 20, 0.7, 25, 0.8, 0, 0, 0.0, 0, 6), (50, 0.7, 3, 1.0, 2, 1.0, 0, 0, 0.0, 0, 5), (12, 0.6, 45, 0.0, 8, 0.9, 0, 0, 0.0, 0, 5),
+    (3, 1.0, 50, 0.0, 3, 1.0, 0, 0, 0.0, 0, 6), (4, 1.0, 0, 0.0, 4, 0.0, 0, 0, 0.0, 0, 4),
+    (5, 0.0, 60, 0.0, 3, 1.0, 0, 0, 0.3, 0, 4), (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0.3, 0, 4),
 ]
 
 
+def name_evidence(value: str) -> float:
+    """How far a class, id or role speaks for boilerplate, 0 to 1: the share of its boilerplate words, of its boilerplate
+    and article words and half the others."""
+    parts = PARTS.findall(value.lower())
+    bad, good = sum(p in BOILERPLATE_NAMES for p in parts), sum(p in ARTICLE_NAMES for p in parts)
+    return bad / (bad + good + (len(parts) - bad - good) / 2) if bad else 0.0
+
+
 class _Scope:
-    """The open elements that matter: what is hidden, boilerplate or article."""
+    """The open elements that matter: what is hidden, boilerplate or article, and what their names say."""
 
     def __init__(self):
-        self.open: list[tuple[str, int, int, int]] = []  # name, hidden, aside, article
+        self.open: list[tuple[str, int, int, int, float]] = []  # name, hidden, aside, article, names
         self.hidden = self.aside = self.article = self.links = 0
+        self.names: list[float] = [0.0]  # the strongest evidence so far, of every open element
 
     def push(self, name: str, tag: str) -> None:
-        hidden, aside, article = int(name in HIDDEN), int(name in ASIDE), int(name in ARTICLE)
+        hidden, aside, article, names = int(name in HIDDEN), int(name in ASIDE), int(name in ARTICLE), 0.0
+        if name == "header" and self.article:  # an article's own header holds its headline
+            aside = 0
         for key, value in ATTRIBUTE.findall(tag, len(name) + 1):
             key, value = key.lower(), value.strip("\"'").lower()
             if key == "hidden" or (key == "aria-hidden" and value == "true") or (
                     key == "style" and re.search(r"display\s*:\s*none", value)):
                 hidden = 1
-            elif key in ("class", "id", "role") and name not in ("html", "body"):
-                parts = set(PARTS.findall(value))
-                if parts & BOILERPLATE_NAMES and not article:
-                    aside = 1
-                elif parts & ARTICLE_NAMES:
+            elif key in ("class", "id", "role") and name not in ("html", "body") and not article:
+                names = max(names, name_evidence(value))
+                if not names and set(PARTS.findall(value)) & ARTICLE_NAMES:
                     article = 1
-        self.open.append((name, hidden, aside, article))
+        self.open.append((name, hidden, aside, article, names))
+        self.names.append(max(names, self.names[-1]))
         self._count(1, name, hidden, aside, article)
 
     def _count(self, by: int, name: str, hidden: int, aside: int, article: int) -> None:
@@ -86,8 +116,8 @@ class _Scope:
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == name:
                 for entry in self.open[i:]:
-                    self._count(-1, *entry)
-                del self.open[i:]
+                    self._count(-1, *entry[:4])
+                del self.open[i:], self.names[i + 1:]
                 return
 
     def leave_head(self) -> None:
@@ -95,14 +125,15 @@ class _Scope:
             self.pop("head")
 
 
-def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
-    """The visible text blocks of a page: text, words, share of words in links, in an article, in boilerplate.
+def blocks(page: str) -> list[tuple[str, int, float, int, int, float]]:
+    """The visible text blocks of a page: text, words, share of words in links, in an article, in boilerplate, and how far
+    the names around it speak for boilerplate.
 
     Block-level tags end a block; tags within a line, comments and hidden elements do not show. A head without end tag
     ends where HTML ends it. Character references
     are decoded and white space becomes single spaces.
     """
-    found: list[tuple[str, int, float, int, int]] = []
+    found: list[tuple[str, int, float, int, int, float]] = []
     pieces: list[tuple[str, bool]] = []
     scope = _Scope()
 
@@ -112,7 +143,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
             if text:
                 words = text.count(" ") + 1
                 linked = sum(len(html.unescape(p).split()) for p, in_link in pieces if in_link)
-                found.append((text, words, min(1.0, linked / words), int(scope.article > 0), int(scope.aside > 0)))
+                found.append((text, words, min(1.0, linked / words), int(scope.article > 0), int(scope.aside > 0), scope.names[-1]))
             pieces.clear()
 
     at = 0
@@ -162,7 +193,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
 
 
 BLOCK = ("text string, words double, links double, words_before double, links_before double, words_after double, "
-         "links_after double, in_article double, in_aside double")
+         "links_after double, in_article double, in_aside double, names double")
 
 
 def with_blocks(pages: DataFrame, page: str) -> DataFrame:
@@ -172,10 +203,10 @@ def with_blocks(pages: DataFrame, page: str) -> DataFrame:
 
     def described(text: str) -> list[dict]:
         own = blocks(text)
-        around = [(0, 0.0), *((w, ln) for _, w, ln, _, _ in own), (0, 0.0)]
+        around = [(0, 0.0), *((w, ln) for _, w, ln, *_ in own), (0, 0.0)]
         return [{"text": t, "words": w, "links": ln, "words_before": around[i][0], "links_before": around[i][1],
-                 "words_after": around[i + 2][0], "links_after": around[i + 2][1], "in_article": art, "in_aside": aside}
-                for i, (t, w, ln, art, aside) in enumerate(own)]
+                 "words_after": around[i + 2][0], "links_after": around[i + 2][1], "in_article": art, "in_aside": aside, "names": names}
+                for i, (t, w, ln, art, aside, names) in enumerate(own)]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,10 +219,10 @@ def with_blocks(pages: DataFrame, page: str) -> DataFrame:
 
 def learned_tree(spark: SparkSession):
     """A decision tree on the labelled blocks."""
-    rows = [(*map(float, r[:8]), float(r[8])) for r in LABELLED for _ in range(r[9])]
+    rows = [tuple(map(float, r[:-1])) for r in LABELLED for _ in range(r[-1])]
     table = spark.createDataFrame(rows, [*FEATURES, "label"])
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
-    return DecisionTreeClassifier(maxDepth=8, minInstancesPerNode=3, seed=3).fit(assembled)
+    return DecisionTreeClassifier(maxDepth=10, minInstancesPerNode=3, maxBins=128, seed=3).fit(assembled)
 
 
 def tree_column(model, block: Column) -> Column:

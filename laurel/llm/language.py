@@ -16,6 +16,7 @@ from laurel.llm.tables import held_out
 ORDERS = (1, 2, 3)  # n-gram lengths that the kernel blends
 BUCKETS = 1 << 14  # hashed n-grams of one order
 PER_LANGUAGE, SAMPLE, LANDMARKS, RIDGE = 400, 1600, 200, 1e-2  # bounds of the learning sample, and the model's size
+HISTOGRAM_BITS = 16  # of the hashed ids, which tell where a language's first rows end
 ROWS = 64  # texts of one matrix product
 UNDETERMINED = "und"
 _WIDTH = BUCKETS * len(ORDERS)
@@ -91,17 +92,35 @@ def learned(bits: np.ndarray, labels: list[str]) -> Model:
     return Model(languages, weights, (mean - center @ solved).astype(np.float32))
 
 
+def _first_rows(known: DataFrame) -> DataFrame:
+    """(_id, _print, _lang, _rank) of the PER_LANGUAGE rows of a language that come first by hashed id, then hashed text.
+
+    A histogram of the hashes tells below which hash so many rows lie, so only about as many rows as are wanted (and
+    their share of one in HISTOGRAM) are ranked, however large a language is.
+    """
+    rows = known.select("_id", "_lang", F.xxhash64("_id").alias("_order"), F.xxhash64("_text").alias("_print"))
+    rows = rows.withColumn("_step", F.shiftright("_order", 64 - HISTOGRAM_BITS))
+    steps = rows.groupBy("_lang", "_step").agg(F.count("*").alias("_n"))  # at most 2^HISTOGRAM_BITS rows of a language
+    before = Window.partitionBy("_lang").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = (steps.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < PER_LANGUAGE)
+            .groupBy("_lang").agg(F.max("_step").alias("_last")))
+    first = rows.join(cuts, "_lang").where("_step <= _last").dropDuplicates(["_id", "_lang", "_print"])
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_order", "_print", "_id"))
+    return (first.withColumn("_rank", place).where(F.col("_rank") <= PER_LANGUAGE).orderBy("_rank", "_order", "_print")
+            .limit(SAMPLE).select("_id", "_print", "_lang", "_rank"))
+
+
 def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> Model | None:
     """Learns from at most PER_LANGUAGE documents of a language and SAMPLE in all, none of them held out.
 
-    They are those of the least hashed ids, so the sample is the same for the same documents. Only their presence bits
-    (6 KB a document) come to the driver.
+    They are those of the least hashed ids, then hashed texts, so the sample is the same for the same documents; rows
+    that share an id are told apart by their text, and each text goes with its own row's language. Of repeated rows one
+    is learned from. Only presence bits (6 KB a document, SAMPLE of them at most) come to the driver.
     """
-    order = F.xxhash64(F.col(doc_id))
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
-    ranked = (known.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), order.alias("_order"))
-              .withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_order")))
-              .where(F.col("_rank") <= PER_LANGUAGE).orderBy("_rank", "_order").limit(SAMPLE))
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text"),
+                       held_out(doc_id).alias("_held_out"))
+    known = rows.where("_lang is not null and _text is not null and _id is not null and not _held_out")
+    ranked = _first_rows(known)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,8 +129,9 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())],
                                              ["rank", "lang", "bits"])
 
-    sample = (docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-              .join(F.broadcast(ranked), "_id").select(F.col("_rank").cast("long"), "_lang", "_text")
+    marked = known.withColumn("_print", F.xxhash64("_text")).join(F.broadcast(ranked), ["_id", "_print", "_lang"])
+    texts = marked.groupBy("_rank", "_lang").agg(F.first("_text").alias("_text"))
+    sample = (texts.select(F.col("_rank").cast("long"), "_lang", "_text")
               .mapInArrow(bits, "rank long, lang string, bits binary").toPandas())
     if not len(sample):
         return None

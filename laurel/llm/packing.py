@@ -254,18 +254,22 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, step: int = STEP
     by_bin = {b: part for b, part in places.groupby("bin")}
     ranked = number_rows(cut, ["bin"], [F.col("doc_id"), F.col("start"), F.col("ids_crc32")], "_rank")
 
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sequence, slot = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-            for b, rows in pdf.groupby("bin").indices.items():
-                part = by_bin[b]
-                rank = pdf["_rank"].to_numpy()[rows] - 1
+    kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins, ranks = batch.column("bin").to_numpy(), batch.column("_rank").to_numpy()
+            sequence, slot = np.zeros(len(bins), np.int64), np.zeros(len(bins), np.int64)
+            for b in np.unique(bins):
+                part, rows = by_bin[b], np.flatnonzero(bins == b)
+                rank = ranks[rows] - 1
                 i = np.searchsorted(part["first"].to_numpy(), rank, "right") - 1
                 sequence[rows] = part["sequence"].to_numpy()[i] + rank - part["first"].to_numpy()[i]
                 slot[rows] = part["slot"].to_numpy()[i]
-            yield pdf.drop(columns=["bin", "_rank"]).assign(sequence_id=sequence, slot=slot)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(slot)],
+                                             names=[*kept, "sequence_id", "slot"])
 
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long"
     before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    return (ranked.mapInPandas(placed, fields)
+    return (ranked.mapInArrow(placed, fields)
             .withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("slot"))

@@ -174,18 +174,21 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> Model:
     """Learns from at most LEARNING_ROWS labelled documents (of the least hashed ids), none of them held out.
 
-    Three quarters of them grow the trees, the others calibrate. With one label only, every score is its share.
+    Three quarters of them give the lexicon and grow the trees, the others calibrate. Of rows that share an id, the one
+    of the least hashed text is learned from. With one label only, every score is its share.
     """
     marks = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("toxic"))
     marks = (marks.where(F.col("toxic").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id"))
              .groupBy("_id").agg(F.max("toxic").alias("toxic"))
              .orderBy(F.xxhash64("_id"), "_id").limit(LEARNING_ROWS))
-    labelled = stored(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(marks), "_id")
-                      .select("_id", "toxic", "text"), "labelled")
-    lexicon = learned_lexicon(labelled)
+    marked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(marks), "_id")
+    one = F.min_by("text", F.xxhash64("text")).alias("text")
+    labelled = stored(marked.groupBy("_id").agg(F.first("toxic").alias("toxic"), one), "labelled")
+    calibrates = F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(4)) == 0
+    lexicon = learned_lexicon(labelled.where(~calibrates))
     rows = stored(_featured(labelled, lexicon, "_id long, toxic int")
                   .withColumn("label", F.col("toxic").cast("double")).withColumn("features", array_to_vector("features"))
-                  .withColumn("calibrates", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(4)) == 0)
+                  .withColumn("calibrates", calibrates)
                   .coalesce(4).sortWithinPartitions("_id"), "features")
     grow, rest = rows.where("not calibrates"), rows.where("calibrates")
     seen = {(r["calibrates"], r["toxic"]) for r in rows.select("calibrates", "toxic").distinct().collect()}

@@ -96,6 +96,41 @@ def test_near_copies_of_rows_that_share_an_id(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+AWKWARD = ("doc_id long, text string, lang string, id string, sha string, number int, _key string, row string, doc string, spot int, "
+           "bucket int, bits string, own_id int, own_sha int, place int, _rank int, _text string, _lang string, toxic int, size int")
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Repeated ids and rows, null and empty texts, the largest id, and columns named like those used inside."""
+    base = " ".join(f"the river w{i}" for i in range(40))
+    texts_ = [(1, base), (1, base + " more"), (2, None), (2, ""), (3, "Some words of a quiet morning"), (3, "Some words of a quiet morning"),
+              (4, "some WORDS of a quiet morning"), (2**63 - 1, base + " end"), (2**63 - 1, "another text altogether"), (None, base), (None, None),
+              (5, "you idiot you stupid moron"), (6, "12 34")]
+    return spark.createDataFrame([(i, t, "en", "i", "s", 1, "k", "r", "d", 2, 3, "b", 4, 5, 6, 7, "t", "l", 1, 9) for i, t in texts_], AWKWARD)
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_awkward_tables(spark, awkward, name, stage):
+    sf = "/root/testdata/sf0.001"
+    got = stage(spark, awkward, sf)
+    if stage is corpus_pipeline.pack_sequences:
+        assert got.select("doc_id").distinct().count() == 8
+    else:
+        assert got.columns == awkward.columns and 0 < got.count() <= awkward.count()
+        assert {r.row for r in got.collect()} == {"r"}
+    assert stage(spark, awkward.limit(0), sf).collect() == []
+
+
+def test_near_copies_on_awkward_tables(spark, awkward):
+    got = sorted((repr((r.doc_id, r.text)) for r in corpus_pipeline.drop_near_copies(spark, awkward, "").collect()))
+    base = " ".join(f"the river w{i}" for i in range(40))
+    first = min((base, base + " more"), key=lambda t: __import__("hashlib").sha256(t.encode()).hexdigest())
+    want = [(1, first), (2, None), (2, ""), (3, "Some words of a quiet morning"), (3, "Some words of a quiet morning"),
+            (2**63 - 1, "another text altogether"), (None, base), (None, None), (5, "you idiot you stupid moron"), (6, "12 34")]
+    assert got == sorted(map(repr, want))
+
+
 def test_packing_covers_what_is_left(stages):
     from tokenizers import Tokenizer
 
