@@ -276,22 +276,46 @@ NAMED = """named as (select s_suppkey as a_id, n_name as inst,
  from supplier join nation on s_nationkey = n_nationkey)"""
 
 
-@query("j17_same_author", with_views(AUTHOR_PAPER, NAMED) + """,
-shared as (select distinct a.key_id, a.a_id, b.a_id as co from author_paper a join author_paper b
+PAIRS = """shared as (select distinct a.key_id, a.a_id, b.a_id as co from author_paper a join author_paper b
  on a.key_id = b.key_id and a.paper_id = b.paper_id and a.a_id <> b.a_id),
 p as (select s.key_id, s.co, n.* from shared s join named n using (a_id)),
 pairs as (select distinct l.key_id, l.a_id, r.a_id as other_id, l.surname as ls, r.surname as rs, l.given as lg, r.given as rg,
-  l.inst as li, r.inst as ri from p l join p r on l.key_id = r.key_id and l.co = r.co and l.a_id < r.a_id)
-select key_id, a_id, other_id, 'short name' as reason from pairs
+  l.inst as li, r.inst as ri from p l join p r on l.key_id = r.key_id and l.co = r.co and l.a_id < r.a_id)"""
+REASONS = """select key_id, a_id, other_id, 'short name' as reason from pairs
  where ls = rs and left(lg, 1) = left(rg, 1) and (length(lg) > 1) <> (length(rg) > 1)
 union all select key_id, a_id, other_id, 'moved' from pairs where ls = rs and lg = rg and li <> ri
-union all select key_id, a_id, other_id, 'new surname' from pairs where lg = rg and length(lg) > 1 and li = ri and ls <> rs""")
-def j17(spark, d):
+union all select key_id, a_id, other_id, 'new surname' from pairs where lg = rg and length(lg) > 1 and li = ri and ls <> rs"""
+
+
+def named_suppliers(spark, d):
     """Suppliers with personal names; every fourth goes by an initial."""
     n = F.col("s_suppkey")
     one_of = lambda names, by: F.element_at(F.array(*map(F.lit, names)), (n % by + 1).cast("int"))
     given = F.when(n % 4 == 0, "M.").otherwise(one_of(["Min Ho", "So Ra", "Mi Na"], 3))
     people = D.table(spark, d, "supplier").join(D.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    people = people.select(n.alias("a_id"), F.concat(one_of(["Kim", "Lee", "Park", "Choi", "Jung"], 5), F.lit(", "), given)
-                           .alias("name"), F.col("n_name").alias("inst"))
-    return J.same_author(D.author_paper(spark, d), people)
+    return people.select(n.alias("a_id"), F.concat(one_of(["Kim", "Lee", "Park", "Choi", "Jung"], 5), F.lit(", "), given)
+                         .alias("name"), F.col("n_name").alias("inst"))
+
+
+@query("j17_same_author", with_views(AUTHOR_PAPER, NAMED, PAIRS) + REASONS)
+def j17(spark, d):
+    return J.same_author(D.author_paper(spark, d), named_suppliers(spark, d))
+
+
+@query("j17_persons", "with recursive " + ",\n".join([AUTHOR_PAPER, NAMED, PAIRS]) + f""",
+named_pairs as (select a_id, other_id, count(*) as n from ({REASONS}) group by 1, 2),
+ids as (select a_id from named_pairs union select other_id from named_pairs),
+links as (select * from named_pairs p where not exists (select 1 from author_paper x join author_paper y
+  on x.key_id = y.key_id and x.paper_id = y.paper_id where x.a_id = p.a_id and y.a_id = p.other_id)),
+both_ways as (select a_id, other_id, n from links union all select other_id, a_id, n from links),
+reach as (select distinct a_id, a_id as other_id from both_ways union select r.a_id, b.other_id from reach r join both_ways b on b.a_id = r.other_id),
+groups as (select a_id, min(other_id) as root from reach group by 1),
+broken as (select distinct root from (select root, key_id, paper_id, count(distinct a_id) as n from groups join author_paper using (a_id)
+  group by all) where n > 1),
+best as (select a_id, other_id from (select *, row_number() over (partition by a_id order by n desc, other_id) as rn from both_ways) where rn = 1),
+mutual as (select a.a_id, a.other_id from best a join best b on b.a_id = a.other_id and b.other_id = a.a_id)
+select a_id, case when root is null then a_id when root in (select root from broken) then least(a_id, coalesce(m.other_id, a_id))
+ else root end as person from ids left join groups using (a_id) left join mutual m using (a_id)""")
+def j17_persons(spark, d):
+    listing = D.author_paper(spark, d)
+    return J.persons(J.same_author(listing, named_suppliers(spark, d)), listing)

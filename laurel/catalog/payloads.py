@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from laurel.catalog.factors import r6
+from laurel.catalog.factors import NORMALISED, factor_sql, normalised_papers, r6, rounded
 from laurel.catalog.registry import AUTHOR_PAPER, INSTITUTIONS, query, with_views
 from laurel.plans import driver_tables as D
-from laurel.session import scratch_path
+from laurel.session import scratch_path, stored
 from laurel.sources import files, messages, providers, tables
+from laurel.streaming import jobs
 
 VIEWS = with_views(AUTHOR_PAPER, INSTITUTIONS)
 PAGE = 100  # records per provider page
@@ -56,11 +57,18 @@ def ntis_folder(spark, d):
         F.struct(F.concat(F.lit("<b>연구</b> "), text(n)).alias("Korean"), F.concat(F.lit("Study-"), text(n)).alias("English"))
         .alias("ProjectTitle"),
         F.struct(first("author").alias("Name"), F.concat(F.lit("007."), first("author_id")).alias("HumanID")).alias("Manager"),
-        F.struct(F.col("author").alias("Name"), F.col("author_id").alias("HumanID"), F.lit("3").alias("ManCount"))
-        .alias("Researchers"),
-        F.struct(F.col("o_orderstatus").alias("English")).alias("Keyword"),
+        F.struct(F.col("author").alias("Name"), F.col("author_id").alias("HumanID"), text(n % 7).alias("ManCount"),
+                 text(n % 3).alias("WomanCount")).alias("Researchers"),
+        F.struct(F.concat(F.lit("<i>Goal</i> "), text(n)).alias("Full")).alias("Goal"),
+        F.struct(F.concat(F.lit("요약 "), text(n)).alias("Full")).alias("Abstract"),
+        F.struct(F.concat(F.lit("Effect "), F.col("o_orderstatus")).alias("Full")).alias("Effect"),
+        F.struct(F.lit("전-지").alias("Korean"), F.col("o_orderstatus").alias("English")).alias("Keyword"),
+        F.struct(F.concat(F.lit("Agency"), text(n % 5)).alias("Name")).alias("OrderAgency"),
         first("author_inst").alias("LeadAgency"),
-        F.struct(day.alias("Start"), F.when(n % 10 == 0, "null").otherwise(day).alias("End")).alias("ProjectPeriod"),
+        F.struct(*[F.concat(F.lit(c[0]), text(n % k)).alias(c) for c, k in (("Large", 4), ("Medium", 6), ("Small", 8))])
+        .alias("MinistryScienceClass"),
+        F.when(n % 2 == 0, "서울").alias("Region"),
+        F.struct(F.when(n % 20 == 0, "null").otherwise(day).alias("Start"), F.when(n % 10 == 0, "null").otherwise(day).alias("End")).alias("ProjectPeriod"),
         F.struct(F.when(n % 4 == 0, "09").otherwise("03").alias("_code"), F.lit("University").alias("_VALUE"))
         .alias("PerformAgent"),
         F.floor("o_totalprice").cast("string").alias("TotalFunds"),
@@ -70,15 +78,19 @@ def ntis_folder(spark, d):
 
 @query("s07_s09_p01_ntis_projects", SRC + """
 select cast(n as varchar) as id, '연구 ' || n as "koTitle", 'Study' || n as "enTitle", split_part(author, ';', 1) as mng,
- '007.' || split_part(author_id, ';', 1) as "mngId", author as rsc, author_id as "rscId", split_part(author_inst, ';', 1) as "ldAgency",
- case when n % 10 = 0 then 'null' else strftime(o_orderdate, '%Y%m%d') end as "prdEnd",
- case when n % 4 = 0 then '09' else '03' end as agent, cast(cast(floor(o_totalprice) as bigint) as varchar) as "totalFund",
- o_orderstatus as "enKeyword", cast(null as varchar) as region from src""")
+ '007.' || split_part(author_id, ';', 1) as "mngId", author as rsc, author_id as "rscId", cast(n % 7 as varchar) as "cntRscMan",
+ cast(n % 3 as varchar) as "cntRscWom", 'Goal ' || n as "goalAbs", '요약 ' || n as "absAbs", 'Effect ' || o_orderstatus as "effAbs",
+ '전지' as "koKeyword", o_orderstatus as "enKeyword", 'Agency' || n % 5 as "odAgency", split_part(author_inst, ';', 1) as "ldAgency",
+ case when n % 20 = 0 then 'null' else strftime(o_orderdate, '%Y%m%d') end as "prdStart",
+ case when n % 10 = 0 then 'null' else strftime(o_orderdate, '%Y%m%d') end as "prdEnd", 'L' || n % 4 as "mscL", 'M' || n % 6 as "mscM",
+ 'S' || n % 8 as "mscS", case when n % 4 = 0 then '09' else '03' end as agent, 'University' as agent_name,
+ case when n % 2 = 0 then '서울' end as region, cast(cast(floor(o_totalprice) as bigint) as varchar) as "totalFund",
+ false as is_partial from src""")
 def p01(spark, d):
+    """All fields of the parser."""
     hits = files.read_xml(spark, ntis_folder(spark, d), "HIT", providers.NTIS_HIT)
     done = providers.accepted(providers.ntis_projects(hits))
-    return done.select("id", "koTitle", "enTitle", "mng", "mngId", "rsc", "rscId", "ldAgency", "prdEnd",
-                       F.col("perfAgent.code").alias("agent"), "totalFund", "enKeyword", "region")
+    return done.withColumns({"agent": F.col("perfAgent.code"), "agent_name": F.col("perfAgent.value")}).drop("perfAgent")
 
 
 # ---- DBPIA ------------------------------------------------------------------------------------------------------------
@@ -236,29 +248,36 @@ def scopus_folder(spark, d):
     return folder
 
 
-@query("s04_s05_p05_p07_scopus_papers", SRC + """
+SCOPUS_SQL = """
 select cast(n as varchar) as id, 'A "quoted" title' || chr(10) || 'of ' || n as title, replace(author, ';', '; ') as author, author_id,
  replace(author_inst, ';', '; ') as author_inst, case when n % 2 = 0 then author_inst else '' end as issue_inst,
  'Press ' || o_orderstatus as journal, strftime(o_orderdate, '%Y') as issue_year,
  case when n % 4 = 0 then 'Korean' else 'English' end as issue_lang,
  case when n % 3 = 0 then 0 else cast(n as bigint) end as start_page, 0 as end_page,
  case when n % 5 = 0 then 0 else cast(n % 50 as bigint) end as citation, o_orderstatus as paper_keyword,
- 'Grant ' || n || case when n % 4 = 0 then '|More' else '|' end as funding
-from src where n % 12 <> 0""")
+ o_orderstatus as source_title, 'https://example.org' as link, 'One, two; three' as abstract, '1234' as "ISSN",
+ 'Press ' || o_orderstatus as publisher, 'J.' as abbreviated_source_title, 'Article' as document_type, 'Final' as publication_stage,
+ 'Scopus' as source, '' as english_title, '' as english_abstract, cast(null as varchar) as index_keywords,
+ cast(null as varchar) as funding_details, cast(null as varchar) as correspondence_address, cast(null as varchar) as editors, """
+
+
+@query("s04_s05_p05_p07_scopus_papers", SRC + SCOPUS_SQL + """
+ 'Grant ' || n || case when n % 4 = 0 then '|More' else '|' end as funding from src where n % 12 <> 0""")
 def p05(spark, d):
-    parsed = providers.scopus_papers(files.read_export(spark, scopus_folder(spark, d)))
-    return providers.accepted(parsed).select(
-        "id", "title", "author", "author_id", "author_inst", "issue_inst", "journal", "issue_year", "issue_lang",
-        "start_page", "end_page", "citation", "paper_keyword", F.array_join("funding_text", "|").alias("funding"))
+    parsed = providers.scopus_papers(files.read_export(spark, scopus_folder(spark, d), providers.SCOPUS_COLUMNS))
+    return scopus_fields(providers.accepted(parsed))
+
+
+def scopus_fields(records):
+    """Every field of the parser, the funding texts as one text."""
+    return records.withColumn("funding", F.array_join("funding_text", "|")).drop("funding_text")
 
 
 # ---- WOS --------------------------------------------------------------------------------------------------------------
 
-MIXED = """select cast(n as varchar) as id, n % 4 as kind, author_id, journal, issue_year, start_page, citation, paper_keyword, funding
- from (select *, 'Press ' || o_orderstatus as journal, strftime(o_orderdate, '%Y') as issue_year,
-  case when n % 3 = 0 then 0 else n end as start_page, case when n % 5 = 0 then 0 else n % 50 end as citation,
-  o_orderstatus as paper_keyword, case n % 4 when 0 then '' when 1 then 'Grant ' || n when 2 then 'Grant ' || n || '|'
-   else 'Grant ' || n || '||Third' end as funding from src) where n % 12 <> 0"""
+MIXED = SCOPUS_SQL + """
+ case n % 4 when 0 then '' when 1 then 'Grant ' || n when 2 then 'Grant ' || n || '|' else 'Grant ' || n || '||Third' end as funding
+from src where n % 12 <> 0"""
 
 
 def mixed_scopus_folder(spark, d):
@@ -276,30 +295,37 @@ def mixed_scopus_folder(spark, d):
     return folder
 
 
-def mixed_fields(parsed):
-    return providers.accepted(parsed).select(
-        "id", (F.col("id").cast("long") % 4).alias("kind"), "author_id", "journal", "issue_year", "start_page", "citation",
-        "paper_keyword", F.array_join("funding_text", "|").alias("funding"))
-
-
 @query("s05_mixed_headers", SRC + MIXED)
 def s05_mixed(spark, d):
-    return mixed_fields(providers.scopus_papers(files.read_export(spark, f"{mixed_scopus_folder(spark, d)}/*")))
+    folder = f"{mixed_scopus_folder(spark, d)}/*"
+    return scopus_fields(providers.accepted(providers.scopus_papers(files.read_export(spark, folder, providers.SCOPUS_COLUMNS))))
 
 
-@query("s03_s05_landed_mixed_headers", SRC + MIXED)
-def s05_landed(spark, d):
-    """The same exports as they land, a few files at a time."""
+def landed_scopus(spark, d):
+    """The same exports as they land, a few files at a time: accepted and rejected records and their counts."""
     out = scratch_path(spark, "landed_mixed")
-
-    def each(rows, batch):
-        mixed_fields(providers.scopus_papers(rows)).write.mode("overwrite").parquet(f"{out}/batch={batch}")
-
-    run = files.landed_exports(spark, mixed_scopus_folder(spark, d), each, scratch_path(spark, "ck"), per_trigger=3)
+    rows = files.landed_exports(spark, mixed_scopus_folder(spark, d), providers.SCOPUS_COLUMNS, per_trigger=3)
+    run = jobs.land(providers.scopus_papers(rows), out, scratch_path(spark, "ck"))
     run.awaitTermination()
     if run.exception():
         raise run.exception()
-    return spark.read.parquet(out).drop("batch")
+    return out
+
+
+@query("s03_s05_landed_mixed_headers", SRC + MIXED)
+def s05_landed(spark, d):
+    return scopus_fields(spark.read.parquet(f"{landed_scopus(spark, d)}/records").drop("batch"))
+
+
+@query("s03_f16_a23_landed_rejects", SRC + """
+select cast(n as varchar) as id, 'no author' as reject_reason, count(*) over () as n_failed, (select count(*) from src) as n_read
+from src where n % 12 = 0""")
+def s03_rejects(spark, d):
+    """Records that a landed export loses are stored with the reason, and counted."""
+    out = landed_scopus(spark, d)
+    counts = spark.read.parquet(f"{out}/counts").agg(F.sum("n_read").alias("n_read"), F.sum("n_failed").alias("n_failed")).first()
+    lost = spark.read.parquet(f"{out}/rejected").select("id", "reject_reason")
+    return lost.withColumns({"n_read": F.lit(counts["n_read"]), "n_failed": F.lit(counts["n_failed"])})
 
 
 def wos_cells(spark, d):
@@ -401,33 +427,35 @@ def s02(spark, d):
 
 
 @query("s11_s13_stored_records", VIEWS + """
-select key_id, count(*) as n_records, count(distinct author_id) as n_lists from institutions group by 1""")
+select site, key_id, paper_id, author_id, author, author_inst from institutions, (values ('A'), ('B')) sites(site)
+where site = 'A' or paper_id % 3 = 0""")
 def s11(spark, d):
+    """Two providers store records of the same queries, in two appends."""
     path = scratch_path(spark, "rawdata")
-    rows = D.author_institutions(spark, d).withColumn("early", F.col("paper_id") % 2 == 0)
-    for half in (F.col("early"), ~F.col("early")):
-        tables.append_records(rows.where(half).drop("early"), path)
-    return tables.load(spark, path).groupBy("key_id").agg(
-        F.count("*").alias("n_records"), F.countDistinct("author_id").alias("n_lists"))
+    rows = D.author_institutions(spark, d)
+    both = rows.withColumn("site", F.lit("A")).union(rows.where("paper_id % 3 = 0").withColumn("site", F.lit("B")))
+    for half in (F.col("paper_id") % 2 == 0, F.col("paper_id") % 2 == 1):
+        tables.append_records(both.where(half), path)
+    return tables.load(spark, path)
 
 
-@query("s13_author_papers", with_views(AUTHOR_PAPER) + """
-select key_id, a_id, count(*) as n_papers, cast(sum(paper_id) as bigint) as checksum from author_paper group by 1, 2""")
+@query("s13_author_papers", with_views(AUTHOR_PAPER) + "select key_id, a_id, paper_id, pos, n_authors from author_paper")
 def s13(spark, d):
     path = scratch_path(spark, "author_paper")
     rows = D.author_paper(spark, d)
     for half in (F.col("paper_id") % 2 == 0, F.col("paper_id") % 2 == 1):
         tables.append_author_papers(rows.where(half), path)
-    return tables.load(spark, path).groupBy("key_id", "a_id").agg(
-        F.count("*").alias("n_papers"), F.sum("paper_id").alias("checksum"))
+    return tables.load(spark, path)
 
 
-@query("s12_stored_factors", with_views(AUTHOR_PAPER) + """
-select key_id, a_id, count(*) as productivity from author_paper group by 1, 2""")
+@query("s12_stored_factors", factor_sql() + f"""
+select 'A' as site, {NORMALISED} from ungated join tops using (key_id)
+union all select 'B', {NORMALISED} from ungated join tops using (key_id) where key_id < '3'""")
 def s12(spark, d):
-    """Stored twice: the second run of the same queries replaces the first."""
+    """Two providers store the factors of the same queries, one of them twice: that replaces its own rows only."""
     path = scratch_path(spark, "factors")
-    rows = D.author_paper(spark, d).groupBy("key_id", "a_id").agg(F.count("*").alias("productivity"))
-    tables.store_factors(rows, path)
-    tables.store_factors(rows, path)
-    return tables.load(spark, path).select("key_id", "a_id", "productivity")
+    rows = stored(normalised_papers(spark, d), "scored")
+    tables.store_factors(rows.withColumn("site", F.lit("A")), path)
+    tables.store_factors(rows.where("key_id < '3'").withColumn("site", F.lit("B")).withColumn("quality", F.lit(0.0)), path)
+    tables.store_factors(rows.where("key_id < '3'").withColumn("site", F.lit("B")), path)
+    return rounded(tables.load(spark, path))

@@ -82,6 +82,16 @@ def x10(spark, d):
     return s.select("o_orderkey", X.digits_only(F.col("a")).alias("n"), X.digits_only(F.col("b")).alias("none"))
 
 
+@query("x09_x10_digits_of_any_length", r"""select o_orderkey, ltrim(o_orderkey || '0000000000000000000012345', '0') as digits,
+ case when o_orderkey = 0 then 12345 end as n, cast(o_orderkey as bigint) as run, case when o_orderkey % 2 = 0 then 0 end as long_run from orders""")
+def x10_long(spark, d):
+    """Beyond a long the text survives, and the number is unknown instead of 0."""
+    s = order_strings(spark, d, a="concat('p', o_orderkey, '-00000000000000000000', '12345')",
+                      b="concat('p', o_orderkey, case when o_orderkey % 2 = 0 then '' else '-99999999999999999999' end)")
+    return s.select("o_orderkey", X.digits_of(F.col("a")).alias("digits"), X.digits_only(F.col("a")).alias("n"),
+                    X.digit_run(F.col("b"), 0).alias("run"), X.digit_run(F.col("b"), 1).alias("long_run"))
+
+
 @query("x11_record_ids", """select o_orderkey, 'NODE0' || o_orderkey as node, '85' || o_orderkey as eid,
  '000' || o_orderkey as ut from orders""")
 def x11(spark, d):

@@ -18,7 +18,7 @@ from laurel.operators.numbering import number_rows
 from laurel.operators.ranking import top_experts
 from laurel.plans import driver_tables as D
 from laurel.plans.scoring import expert_factors, paper_records, project_records
-from laurel.session import scratch_path
+from laurel.session import scratch_path, stored
 from laurel.sources import files, messages, providers, tables
 from laurel.streaming import jobs
 from laurel.streaming import progress as P
@@ -63,10 +63,9 @@ msg as (select *, case when fails then 'fail' when limits then 'api_limit' else
 def landed_messages(spark, d, source=event_messages):
     """Messages sent in order: every part holds a query's rows in one file."""
     folder = scratch_path(spark, "messages")
-    rows = source(spark, d).persist()
+    rows = stored(source(spark, d), "sent")
     for i in range(SENDS):
         messages.send(rows.where(F.col("send") == i).drop("send").repartition("key_id"), folder)
-    rows.unpersist()
     return folder
 
 
@@ -77,13 +76,14 @@ def run(query_):
 
 
 @query("s01_t01_t02_t04_routed_messages", with_views(EVENTS) + """
-select site, kind, count(*) as n from (select site, kind from msg union all
- select site, 'end' from msg where kind = 'data' and progress = 1) group by 1, 2""")
+select site, key_id, seq, kind, id, case when kind <> 'data' or progress <> 1 then round(progress, 6) end as progress from msg union all
+ select site, key_id, seq, 'end', null, 1.0 from msg where kind = 'data' and progress = 1""")
 def t02(spark, d):
+    """Every message with its kind; the last record of a query is followed by an end marker."""
     out = scratch_path(spark, "routed")
     stream = S.routed(messages.stream(spark, landed_messages(spark, d), per_trigger=4))
     run(jobs.to_table(stream, out, scratch_path(spark, "ck")))
-    return spark.read.parquet(out).groupBy("site", "kind").agg(F.count("*").alias("n"))
+    return spark.read.parquet(out).select("site", "key_id", "seq", "kind", "id", r6("progress").alias("progress"))
 
 
 @query("t03_stream_dedup", with_views(EVENTS) + "select distinct key_id, id from msg where kind = 'data'")

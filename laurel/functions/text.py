@@ -59,9 +59,15 @@ def number(c: Column) -> Column:
         c, F.lit("."), F.lit(1))).try_cast("long")))
 
 
+def digits_of(c: Column) -> Column:
+    """The digits of a string as text without leading zeros, of any length; nothing left gives `0`."""
+    digits = F.ltrim(F.regexp_replace(c, r"\D", ""), F.lit("0"))
+    return F.when(digits == "", "0").otherwise(digits)
+
+
 def digits_only(c: Column) -> Column:
-    """The digits of a string as a number; nothing left gives 0."""
-    return F.coalesce(F.regexp_replace(c, r"\D", "").try_cast("long"), F.lit(0).cast("long"))
+    """The digits of a string as a number; nothing left, or no string, gives 0, more than a long holds NULL (see `digits_of`)."""
+    return F.when(c.isNull(), F.lit(0).cast("long")).otherwise(digits_of(c).try_cast("long"))
 
 
 def page_number(c: Column) -> Column:
@@ -80,9 +86,8 @@ def page_range(c: Column) -> Column:
 
 
 def digit_run(c: Column, n: int) -> Column:
-    """The n-th run of digits (from 0) as a number, else 0."""
-    run = F.get(F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1)), F.lit(n))
-    return F.coalesce(run.try_cast("long"), F.lit(0).cast("long"))
+    """The n-th run of digits (from 0) as a number, else 0; more than a long holds is NULL."""
+    return digits_only(F.get(F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1)), F.lit(n)))
 
 
 def joined_digit_runs(c: Column) -> Column:

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from laurel.functions import multivalue as R
 from laurel.functions import text as X
 from laurel.operators.dedup import first_per_key
+from laurel.operators.graph import connected
 from laurel.operators.search import performed_by, real_name
+from laurel.session import stored
 
 
 def surrogate_id(name: Column, inst: Column) -> Column:
@@ -220,3 +222,32 @@ def same_author(author_paper: DataFrame, people: DataFrame) -> DataFrame:
     return (left.join(right, [*keys, F.col("l.a_id") < F.col("r.a_id")]).where(test)
             .select(F.col("l.key_id").alias("key_id"), F.col("l.a_id").alias("a_id"), F.col("r.a_id").alias("other_id"),
                     F.col("l.reason").alias("reason")).distinct())
+
+
+def persons(pairs: DataFrame, author_paper: DataFrame) -> DataFrame:
+    """(a_id, person): the least id among the ids that stand for one person, for every id in `pairs` (see `same_author`).
+
+    Ids are one person if pairs join them, but two ids on one record are two people. So a pair of ids that share a
+    record does not count. If a chain of the others still joins two ids of one record, that group falls back to its
+    pairs of ids that are each other's best candidate: by the number of queries and reasons that name the pair, then by
+    the lesser id. Only the records of ids in pairs are opened.
+    """
+    named = pairs.groupBy("a_id", "other_id").agg(F.count("*").alias("n"))
+    ids = named.select("a_id").union(named.select("other_id")).distinct()
+    listed = stored(author_paper.select("key_id", "paper_id", "a_id").distinct().join(ids, "a_id", "left_semi"), "listed")
+    second = listed.withColumnRenamed("a_id", "other_id")
+    together = (named.select("a_id", "other_id").join(listed, "a_id").join(second, ["other_id", "key_id", "paper_id"], "left_semi")
+                .select("a_id", "other_id").distinct())
+    links = stored(named.join(together, ["a_id", "other_id"], "left_anti"), "links")
+    groups = stored(connected(links.select(F.col("a_id").alias("a"), F.col("other_id").alias("b"))), "groups")
+    seen = groups.withColumnRenamed("node", "a_id").join(listed, "a_id").groupBy("root", "key_id", "paper_id").agg(F.count("*").alias("n"))
+    broken = seen.where("n > 1").select("root").distinct()
+    both = links.select("a_id", "other_id", "n").union(links.select("other_id", "a_id", "n"))
+    most = both.groupBy("a_id").agg(F.max("n").alias("n"))
+    best = both.join(most, ["a_id", "n"]).groupBy("a_id").agg(F.min("other_id").alias("other_id"))
+    mutual = best.join(best.select(F.col("a_id").alias("other_id"), F.col("other_id").alias("a_id")), ["a_id", "other_id"], "left_semi")
+    fallen = groups.join(broken, "root", "left_semi").withColumnRenamed("node", "a_id").join(mutual, "a_id", "left")
+    whole = groups.join(broken, "root", "left_anti").select(F.col("node").alias("a_id"), F.col("root").alias("person"))
+    split = fallen.select("a_id", F.least("a_id", "other_id").alias("person"))
+    alone = ids.join(groups.select(F.col("node").alias("a_id")), "a_id", "left_anti").select("a_id", F.col("a_id").alias("person"))
+    return whole.union(split).union(alone)

@@ -267,13 +267,14 @@ def paper_lists(author_paper: DataFrame, size: int = 1000) -> DataFrame:
     """
     rows = author_paper.select(*KEY, "seq", "paper_id")
     sized = rows.join(rows.groupBy(*KEY).agg(F.count("*").alias("_all")), KEY)
-    few = sized.where(F.col("_all") <= size).select(*KEY, "seq", "paper_id", F.lit(0).cast("long").alias("part"))
+    listed = F.sort_array(F.collect_list(F.struct("seq", "paper_id")))
+    grouped = [F.count("*").alias("n_papers"), listed["paper_id"].alias("papers")]
+    # Grouped before the union: the join has brought an author's rows together already.
+    few = sized.where(F.col("_all") <= size).groupBy(*KEY).agg(*grouped)
     many = number_rows(sized.where(F.col("_all") > size).select(*KEY, "seq", "paper_id"), KEY,
                        [F.col("seq"), F.col("paper_id")], "_rn")
-    many = many.select(*KEY, "seq", "paper_id", F.floor((F.col("_rn") - 1) / size).alias("part"))
-    listed = F.sort_array(F.collect_list(F.struct("seq", "paper_id")))
-    return few.union(many).groupBy(*KEY, "part").agg(
-        F.count("*").alias("n_papers"), listed["paper_id"].alias("papers"))
+    parts = many.withColumn("part", F.floor((F.col("_rn") - 1) / size)).groupBy(*KEY, "part").agg(*grouped)
+    return few.withColumn("part", F.lit(0).cast("long")).select(*parts.columns).union(parts)
 
 
 def query_counts(records: DataFrame, author_paper: DataFrame) -> DataFrame:

@@ -2,79 +2,57 @@
 
 from __future__ import annotations
 
-import csv
-from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-
-from laurel.session import stored
 
 FUNDING = "Funding Text "  # fixed value: header prefix of the funding columns
 CALLBACK = len("callback(")  # fixed value: characters before the JSON of a JSONP payload
-BINARY = "path string, modificationTime timestamp, length long, content binary"
+CELL_END, RECORD_END = "\x1f", "\x1e"  # stand for separators outside quotes while a file is cut
 XML = {"attributePrefix": "_", "valueTag": "_VALUE", "mode": "PERMISSIVE"}
 
 
-def _first_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(file, header): the first line of every file."""
-    whole = spark.read.text(paths, wholetext=True)
-    return whole.select(F.col("_metadata.file_path").alias("file"),
-                        F.regexp_replace(F.substring_index("value", "\n", 1), "\r$", "").alias("header"))
-
+def export_rows(whole: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Records of CSV exports from whole files (`value`), each by its own header: {field: header} and `funding_text`.
 
-def read_export(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """CSV exports with a header; quoted cells may hold line breaks. The first header is read as `Authors`.
-
-    Files of one folder differ in their headers (the number of funding columns varies), and a CSV read knows one. So
-    the files are read once per distinct header, each with its own, and put together by name; the funding columns of
-    a file become its array `funding_text`. An export file is read by one task; it holds at most 2,000 records, so many
-    small files keep tasks busy.
-    """
-    heads = stored(_first_lines(spark, paths), "headers")
-    parts = []
-    for row in heads.select("header").distinct().orderBy("header").collect():  # one row per kind of export
-        columns = ["Authors", *next(csv.reader([row.header]))[1:]]
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-        raw = spark.read.schema(schema).csv(paths, header=True, enforceSchema=True, multiLine=True, escape='"')
-        mine = heads.where(F.col("header") == row.header).select(F.col("file").alias("_file"))
-        own = raw.withColumn("_file", F.col("_metadata.file_path")).join(mine, "_file", "left_semi").drop("_file")
-        rest = [c for c in columns if not c.startswith(FUNDING)]
-        parts.append(own.select(*[F.col(f"`{c}`") for c in rest], funding_texts(columns).alias("funding_text")))
-    if not parts:
-        return spark.createDataFrame([], "Authors string, funding_text array<string>")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-
-def funding_texts(columns: Sequence[str]) -> Column:
-    """All `Funding Text n` columns as one array."""
-    names = [c for c in columns if c.startswith(FUNDING)]
-    return F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names]).cast("array<string>")
-
-
-def landed_exports(spark: SparkSession, folder: str, each: Callable[[DataFrame, int], None], checkpoint: str,
-                   suffix: str = "csv", per_trigger: int = 64) -> StreamingQuery:
-    """Exports with headers as they land: `each` gets the rows of the new files and the batch number.
-
-    Only the names of the new files are streamed (at most `per_trigger` of them); their contents are read like a folder.
+    Files differ in their headers (the number of funding columns varies), so cells are found by position in the file's
+    own header row, in the one pass that reads the file; the first header is read as `Authors`, and a header that a file
+    lacks gives NULL. Quoted cells may hold separators, line breaks and doubled quotes: cutting at the quotes leaves
+    quoted and unquoted stretches in turn, and only commas and line breaks of unquoted ones separate. An empty cell is
+    NULL. A file is one row until it is cut; an export holds at most 2,000 records.
     """
-    names = (spark.readStream.schema(BINARY).format("binaryFile").option("pathGlobFilter", f"*.{suffix}")
-             .option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_trigger).load(folder).select("path"))
-
-    def read(batch: DataFrame, number: int) -> None:
-        paths = [r.path for r in batch.collect()]
-        if paths:
-            each(read_export(spark, paths), number)
-
-    return names.writeStream.foreachBatch(read).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def by_name(df: DataFrame, names: Mapping[str, str]) -> list[Column]:
-    """Columns picked by header: {field: header}."""
-    return [F.col(f"`{header}`").alias(field) for field, header in names.items() if header in df.columns]
+    cut = F.split(F.translate("value", CELL_END + RECORD_END, "  "), '"')
+    inside, last = lambda i: i % 2 == 1, F.size("parts") - 1
+    plain = lambda x: F.translate(F.replace(x, F.lit("\r\n"), F.lit("\n")), ",\n", CELL_END + RECORD_END)
+    cells = F.transform("parts", lambda x, i: F.when(inside(i), x).when((x == "") & (i > 0) & (i < last), '"').otherwise(plain(x)))
+    records = whole.select(cut.alias("parts")).select(F.array_join(cells, "").alias("text")).select(
+        F.filter(F.split("text", RECORD_END), lambda r: r != "").alias("records"))
+    named = records.select("records", F.split(F.element_at(F.concat("records", F.array(F.lit(""))), 1), CELL_END).alias("header"))
+    first = F.array(F.lit("Authors"))
+    named = named.select("records", F.concat(first, F.slice("header", 2, F.greatest(F.size("header") - 1, F.lit(0)))).alias("header"))
+    places = named.select(
+        "records", F.array(*[F.array_position("header", h).cast("int") for h in columns.values()]).alias("places"),
+        F.filter(F.transform("header", lambda h, i: F.when(h.startswith(FUNDING), i + 1)), lambda i: i.isNotNull()).alias("funding"))
+    rows = places.select("places", "funding", F.explode(F.slice("records", 2, F.greatest(F.size("records") - 1, F.lit(0)))).alias("record"))
+    split = rows.select("places", "funding", F.split("record", CELL_END).alias("cells"))
+    cell = lambda at: F.nullif(F.get("cells", at - 1), F.lit(""))
+    return split.select(
+        *[cell(F.get("places", F.lit(k))).alias(field) for k, field in enumerate(columns)],
+        F.transform("funding", lambda at: F.coalesce(F.get("cells", at - 1), F.lit(""))).alias("funding_text"))
+
+
+def read_export(spark: SparkSession, paths: str | Sequence[str], columns: Mapping[str, str]) -> DataFrame:
+    """CSV exports, whatever their headers, in one scan: see `export_rows`."""
+    return export_rows(spark.read.text(paths, wholetext=True), columns)
+
+
+def landed_exports(spark: SparkSession, folder: str, columns: Mapping[str, str], suffix: str = "csv",
+                   per_trigger: int = 64) -> DataFrame:
+    """Stream of the records of exports as they land, at most `per_trigger` files in a micro-batch."""
+    whole = (spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", f"*.{suffix}")
+             .option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_trigger).load(folder))
+    return export_rows(whole, columns)
 
 
 def positional_schema(width: int) -> str:

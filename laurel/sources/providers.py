@@ -18,7 +18,7 @@ from laurel.operators.identifiers import with_aligned_ids
 from laurel.operators.numbering import number_rows
 from laurel.operators.search import every_term, known_author, no_term
 from laurel.schemas import PAPER
-from laurel.sources.files import by_name, parse_jsonp, parse_xml
+from laurel.sources.files import parse_jsonp, parse_xml
 
 # ---- fixed values: field maps of the providers ------------------------------------------------------------------------
 
@@ -249,8 +249,8 @@ def kci_papers(pages: DataFrame, payload: str = "payload", terms: Sequence[str]
 
 
 def scopus_papers(export: DataFrame) -> DataFrame:
-    """Named exports (see `read_export`) to paper records."""
-    raw = export.select(*by_name(export, SCOPUS_COLUMNS), "funding_text")
+    """Exports read by the headers of SCOPUS_COLUMNS (see `files.read_export`) to paper records."""
+    raw = export.select(*SCOPUS_COLUMNS, "funding_text")
     filled = {c: F.coalesce(F.col(c), F.lit("")) for c in ("author", "author_inst", "author_id", "issue_inst",
                                                           "paper_keyword")}
     author = R.comma_to_semicolon(filled["author"])

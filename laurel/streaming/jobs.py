@@ -22,6 +22,7 @@ from laurel.operators import ranking
 from laurel.operators.search import performed_by
 from laurel.schemas import PAPER, PROJECT, names
 from laurel.session import stored
+from laurel.sources.providers import accepted, reject_counts, rejected
 from laurel.sources.runs import Layout, Runs
 from laurel.streaming import progress as P
 from laurel.streaming import records as S
@@ -108,6 +109,17 @@ class Progress:
         return self.spark.read.schema(ddl).parquet(f"{self.folder}/{name}").drop("batch", "step")
 
 
+def land(parsed: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Parsed records of a stream: accepted ones to `folder`/records, the others with their reason to `folder`/rejected,
+    and what was read and rejected per batch to `folder`/counts. A repeated batch replaces its rows."""
+    def each(rows: DataFrame, batch: int) -> None:
+        rows = stored(rows, "parsed")
+        for name, part in (("records", accepted(rows)), ("rejected", rejected(rows)), ("counts", reject_counts(rows, []))):
+            part.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+
+    return in_batches(parsed, each, checkpoint)
+
+
 def track(stream: DataFrame, folder: str, checkpoint: str, slices: int | None = None) -> StreamingQuery:
     """Progress alone; the updates are in `folder`/updates."""
     return in_batches(S.routed(stream), Progress(stream.sparkSession, folder, slices).add, checkpoint)

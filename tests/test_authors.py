@@ -98,3 +98,22 @@ def test_topic_search_terms(spark):
     df = spark.createDataFrame([("1", "Fuel cell stack"), ("2", "fuel cell membrane"), ("3", "cell")], "id string, t string")
     got = df.where(search.topic_search([F.col("t")], ["fuel", '"cell"', "!membrane"]))
     assert [r.id for r in got.collect()] == ["1"]
+
+
+def test_persons_of_pairs(spark):
+    """Chains become one person; ids of one record do not, and a chain over such a pair falls back to best pairs."""
+    pairs = [("q", "a", "b"), ("q", "b", "c"), ("q", "d", "e"), ("q", "k", "l"), ("r", "k", "l"), ("q", "l", "m"), ("q", "m", "n"), ("q", "x", "y")]
+    df = spark.createDataFrame([(*p, "moved") for p in pairs], "key_id string, a_id string, other_id string, reason string")
+    records = [("q", "1", "d"), ("q", "1", "e"), ("q", "2", "k"), ("q", "2", "n"), ("q", "3", "a"), ("r", "3", "b"), ("q", "4", "z")]
+    listing = spark.createDataFrame(records, "key_id string, paper_id string, a_id string")
+    got = {r.a_id: r.person for r in J.persons(df, listing).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e", "k": "k", "l": "k", "m": "m", "n": "n", "x": "x", "y": "x"}
+
+
+def test_connected(spark):
+    from laurel.operators.graph import connected
+
+    pairs = [(i, i + 1) for i in range(50)] + [(80, 70), (75, 80), (90, 90), (None, 2), (100, 101)]
+    got = {r.node: r.root for r in connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(51), 0), 70: 70, 75: 70, 80: 70, 100: 100, 101: 100}
+    assert connected(spark.createDataFrame([], "a long, b long")).collect() == []

@@ -51,11 +51,25 @@ def test_scopus_number_of_funding_columns_varies(spark, tmp_path):
         line = ",".join(cells.get(c, "F" if c in extra else "") for c in columns).replace("", "", 1)
         path = tmp_path / f"export{len(extra)}.csv"
         path.write_text(",".join(columns) + "\n" + '"Kim, J."' + line + "\n")
-        (row,) = accepted(providers.scopus_papers(files.read_export(spark, str(path))))
+        (row,) = accepted(providers.scopus_papers(files.read_export(spark, str(path), providers.SCOPUS_COLUMNS)))
         assert (row.id, row.title, row.author, row.author_id, row.citation, row.start_page) == ("9", "Title", "Kim; J.", "1", 0, 5)
         assert row.funding_text == ["F"] * len(extra)
 
 
+def test_exports_of_unequal_headers_in_one_scan(spark, tmp_path):
+    """Quoted cells with separators, line breaks and quotes; short and long rows; blank lines; both line ends."""
+    (tmp_path / "a.csv").write_text('Name,EID,Title,Funding Text 1\n"x, y",1,"a ""b""\nc, d",F1\n\n,2,"",\n"""",3,"""q"""\n', newline="")
+    (tmp_path / "b.csv").write_text('?,Funding Text 1,Title,Funding Text 2,EID\r\nz,,"t,\r\nu",G2,4,more\r\nw,H1,plain,,5', newline="")
+    (tmp_path / "c.csv").write_text("Name,EID,Title\n")
+    (tmp_path / "d.csv").write_text("")
+    got = files.read_export(spark, f"{tmp_path}/*.csv", {"who": "Authors", "id": "EID", "title": "Title", "no": "Missing"})
+    rows = sorted((tuple(r) for r in got.collect()), key=lambda r: r[1])
+    assert rows == [("x, y", "1", 'a "b"\nc, d', None, ["F1"]), (None, "2", None, None, [""]), ('"', "3", '"q"', None, [""]),
+                    ("z", "4", "t,\r\nu", None, ["", "G2"]), ("w", "5", "plain", None, ["H1", ""])]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan text") == 1 and "Exchange" not in plan
+
+
 def test_wos_year_chain_and_defaults(spark):
     width = providers.WOS_WIDTH
     def line(**at):
