@@ -150,6 +150,21 @@ def test_pairs_of_one_person_by_brute_force(spark, capsys):
     assert meets and not any(c in line for line in meets for c in ("block#", "reason#", "key_id#"))
 
 
+def test_persons_take_pairs_once(spark):
+    """The pairs are evaluated once, and ids of very many records are not met record by record."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    pairs = spark.createDataFrame([("q", 1, 2, "moved"), ("q", 2, 3, "moved")], "key_id string, a_id long, other_id long, reason string")
+    listing = spark.createDataFrame([("q", 7, 1), ("q", 7, 3), ("q", 8, 2)], "key_id string, paper_id long, a_id long")
+    got = {r.a_id: r.person for r in J.persons(pairs.mapInArrow(seen, pairs.schema), listing).collect()}
+    assert got == {1: 1, 2: 1, 3: 3} and runs.value == 2
+
+
 def test_connected(spark):
     from laurel.operators.graph import connected
 
