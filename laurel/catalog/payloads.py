@@ -13,6 +13,7 @@ from laurel.streaming import jobs
 
 VIEWS = with_views(AUTHOR_PAPER, INSTITUTIONS)
 PAGE = 100  # records per provider page
+EXPORT = 2_000  # records per export, the provider's own limit
 
 
 def source_rows(spark, d):
@@ -244,7 +245,7 @@ def scopus_cells(spark, d):
 
 def scopus_folder(spark, d):
     folder = scratch_path(spark, "scopus")
-    scopus_cells(spark, d).drop("n").write.csv(folder, header=True, escape='"', emptyValue="")
+    scopus_cells(spark, d).drop("n").write.option("maxRecordsPerFile", EXPORT).csv(folder, header=True, escape='"', emptyValue="")
     return folder
 
 

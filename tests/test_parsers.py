@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from laurel.catalog import payloads
 from laurel.schemas import PAPER
 from laurel.sources import files, providers
 
@@ -96,3 +97,13 @@ def test_conform(spark):
 @pytest.mark.parametrize("site", ["NTIS", "DBPIA", "SCIENCEON", "KCI", "SCOPUS", "WOS"])
 def test_every_provider_has_a_parser(site):
     assert callable(providers.PARSERS[site])
+
+
+@pytest.mark.parametrize("bound,folder,start", [("EXPORT", "scopus_folder", '"2-s2.0-|,2-s2.0-')])
+def test_files_of_bounded_size(spark, data, monkeypatch, bound, folder, start):
+    """A file that one task reads whole holds a bounded number of records, however many a task writes."""
+    monkeypatch.setattr(payloads, bound, 7)
+    whole = spark.read.text(getattr(payloads, folder)(spark, data), wholetext=True)
+    sizes = [r.n for r in whole.select(F.size(F.split("value", start)).alias("n")).collect()]
+    rows = payloads.source_rows(spark, data).count()
+    assert max(sizes) <= 8 and sum(n - 1 for n in sizes) == rows > 70
