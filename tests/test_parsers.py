@@ -99,7 +99,7 @@ def test_every_provider_has_a_parser(site):
     assert callable(providers.PARSERS[site])
 
 
-@pytest.mark.parametrize("bound,folder,start", [("EXPORT", "scopus_folder", '"2-s2.0-|,2-s2.0-')])
+@pytest.mark.parametrize("bound,folder,start", [("EXPORT", "scopus_folder", '"2-s2.0-|,2-s2.0-'), ("DOCUMENT", "ntis_folder", "<HIT>")])
 def test_files_of_bounded_size(spark, data, monkeypatch, bound, folder, start):
     """A file that one task reads whole holds a bounded number of records, however many a task writes."""
     monkeypatch.setattr(payloads, bound, 7)
