@@ -285,7 +285,7 @@ from src where n % 12 <> 0"""
 def mixed_scopus_folder(spark, d):
     """Exports without, with one, two and three funding columns in one folder."""
     folder = scratch_path(spark, "mixed")
-    cells = scopus_cells(spark, d)
+    cells = stored(scopus_cells(spark, d), "cells")  # four writes read it
     base = [c for c in cells.columns if c not in ("n", "Funding Text 1", "Funding Text 2")]
     at = base.index("Funding Details") + 1
     extra = [F.lit("Third").alias("Funding Text 3")]
