@@ -1,5 +1,7 @@
 """The collecting job batch by batch: providers side by side, repeated batches, pending authors, landed exports."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,20 @@ def test_state_of_bounded_duplicates_falls(spark):
     held = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
     assert spark.read.parquet(out).count() == 800 and max(held) <= 500
     assert spark.conf.get(jobs.STATE_STORE).endswith("HDFSBackedStateStoreProvider")
+
+
+def test_records_of_a_batch_are_never_broadcast(spark, job, monkeypatch, capsys):
+    """Stored records are wide and mostly NULL: by their file size Catalyst takes any number of them for a small table."""
+    plans, stored = {}, jobs.stored
+
+    def seen(df, name):
+        capsys.readouterr()
+        df.explain()
+        plans.setdefault(name, capsys.readouterr().out)
+        return stored(df, name)
+
+    monkeypatch.setattr(jobs, "stored", seen)
+    job.add(batch(spark, FIRST), 0)
+    for name in ("listing", "new"):
+        joins = [line for line in plans[name].splitlines() if re.search(r"Join \[site#\d+, key_id#\d+, id#\d+\]", line)]
+        assert joins and all("SortMergeJoin" in line for line in joins)
