@@ -140,3 +140,19 @@ def test_relevance(spark, query, text, strict, score):
 
 def test_profiles_by_site():
     assert A.profile_of("NTIS").by_manager and not A.profile_of("KCI").by_manager
+
+
+def test_many_listings_are_dealt_to_tasks_by_their_number(spark, data, monkeypatch):
+    from laurel import session
+    from laurel.catalog.factors import a16
+
+    assert session.tasks_for(spark, 4 * session.TASK_ROWS) is None
+    assert session.tasks_for(spark, 100 * session.TASK_ROWS + 1) == 101
+    few = a16(spark, data)
+    want = few.collect()
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    many = a16(spark, data)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (few, many)]
+    # The lines once per reader, then both sides of the join of listings and records, each to a number of tasks.
+    assert "REPARTITION_BY_NUM" not in plans[0] and plans[1].count("REPARTITION_BY_NUM") >= 3
+    assert sorted(many.collect()) == sorted(want)
