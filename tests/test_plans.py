@@ -43,3 +43,11 @@ def test_scalar_queries_do_not_shuffle(spark, data):
 def test_cut_is_joined_to_the_records_not_the_records_ranked(spark, data):
     text = plan(spark, data, "f09_result_cap")
     assert "_cut_o_orderdate" in text and "Window" not in text.split("_cut_o_orderdate")[0]
+
+
+def test_many_lines_are_dealt_by_record_before_lists_are_built(spark, data, monkeypatch):
+    from laurel import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    text = plan(spark, data, "j06_j07_projects_with_author_ids")
+    assert re.search(r"hashpartitioning\(l_orderkey#\d+L, \d+\), REPARTITION_BY_NUM", text)
