@@ -16,6 +16,7 @@ from laurel.session import stored
 SPACE = "▁"
 LONG = 40  # characters; longer words are segmented one by one, as a fold over their many pieces is quadratic
 BLOCK_DOCS = 16_384  # documents that share one dictionary on the way back
+SET = 64  # blocks that a word names in one number
 
 
 @dataclass
@@ -61,20 +62,22 @@ def words_of(text: str) -> Column:
 
 
 def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """(word, edges): the pieces that occur in each word, with start, end, id, score. `words` are distinct.
+    """`words` with edges: the pieces that occur in each word, with start, end, id, score. The rows of `words` are
+    distinct; columns beside `word` are carried along.
 
     Substrings of bounded length are exploded and meet the piece table (a model's vocabulary, so of fixed size) in an
     equi-join; the grouping by word needs no further shuffle. Characters without a piece have an edge without id.
     """
+    of_word = words.columns
     begin = F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("begin")
-    spans = (words.select("word", begin)
-             .select("word", "begin", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("begin"))))
+    spans = (words.select("*", begin)
+             .select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("begin"))))
                      .alias("size"))
-             .select("word", "begin", "size", F.expr("substring(word, begin + 1, size)").alias("piece")))
+             .select("*", F.expr("substring(word, begin + 1, size)").alias("piece")))
     edges = (spans.join(F.broadcast(table), "piece", "left").where("id is not null or size = 1")
-             .select("word", F.struct(F.col("begin"), (F.col("begin") + F.col("size")).alias("end"), "id", "score")
+             .select(*of_word, F.struct(F.col("begin"), (F.col("begin") + F.col("size")).alias("end"), "id", "score")
                      .alias("edge")))
-    return edges.groupBy("word").agg(F.collect_list("edge").alias("edges"))
+    return edges.groupBy(*of_word).agg(F.collect_list("edge").alias("edges"))
 
 
 def _best_path() -> Column:
@@ -121,8 +124,9 @@ def _merged() -> Column:
 
 
 def segmented(lattices: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, ids): the lattice folded to the ids of the word's pieces; characters without piece become bytes."""
-    cuts = lattices.select("word", "edges", (_merged() if table.merges else _best_path()).alias("cuts"))
+    """The words with ids: the lattice folded to the ids of the word's pieces; characters without piece become bytes."""
+    of_word = [c for c in lattices.columns if c != "edges"]
+    cuts = lattices.select("*", (_merged() if table.merges else _best_path()).alias("cuts"))
 
     def ids(i: Column) -> Column:
         begin, end = F.element_at("cuts", i), F.element_at("cuts", i + 1)
@@ -132,7 +136,7 @@ def segmented(lattices: DataFrame, table: PieceTable) -> DataFrame:
                           lambda at: F.conv(F.substring(code, at, F.lit(2)), 16, 10).cast("int") + table.first_byte)
         return F.when(known.isNotNull(), F.array(known)).otherwise(raw)
 
-    return cuts.select("word", F.flatten(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), ids)).alias("ids"))
+    return cuts.select(*of_word, F.flatten(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), ids)).alias("ids"))
 
 
 def segment(word: str, table: dict[str, tuple[int, float]], first_byte: int) -> list[int]:
@@ -195,10 +199,21 @@ def best_segment(word: str, table: dict[str, tuple[int, float]], first_byte: int
     return out
 
 
+def asked_words(rows: DataFrame) -> DataFrame:
+    """(word, part, blocks): the distinct words of `rows` (block, body), each with the blocks that ask for it.
+
+    `blocks` has one bit for each of the SET blocks of a part, so a word's blocks are combined where the texts are read
+    and the word crosses the network once per part, however many of its blocks ask for it.
+    """
+    words = rows.select("block", F.explode(words_of("body")).alias("word")).where(F.length("word") <= LONG)
+    return words.groupBy("word", F.floor(F.col("block") / SET).cast("int").alias("part")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, block % {SET})")).alias("blocks"))
+
+
 def encode(docs: DataFrame, table: PieceTable, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, ids, as the model's own library gives them for the whole text, and text_sha256.
 
-    Distinct words are segmented once for the whole corpus. On the way back, documents meet the ids of their words in
+    Distinct words are segmented once per SET blocks, a million documents. On the way back, documents meet the ids of their words in
     blocks of about BLOCK_DOCS documents: a task holds the words of one block and streams its documents.
 
     Null and empty texts have no ids. Rows that share an id are encoded one by one; rows without id are, too. Further
@@ -207,12 +222,13 @@ def encode(docs: DataFrame, table: PieceTable, text: str = "text", doc_id: str =
     spark = docs.sparkSession
     blocks = max(1, -(-docs.count() // BLOCK_DOCS))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    asked = rows.select("block", F.explode(words_of("body")).alias("word")).where(F.length("word") <= LONG).distinct()
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     known = spark.createDataFrame(table.pieces, "piece string, id int, score double")
-    dictionary = segmented(lattice(asked.select("word").distinct(), known, table.longest), table)
-    answers = asked.join(dictionary, "word").select("block", F.lit(None).cast("long").alias("doc_id"),
-                                                    F.col("word").alias("body"), "ids")
+    dictionary = segmented(lattice(asked_words(rows), known, table.longest), table)
+    asking = F.filter(F.sequence(F.lit(0), F.lit(SET - 1)), lambda i: F.getbit("blocks", i) == 1)
+    answers = (dictionary.select("word", "ids", "part", F.explode(asking).alias("bit"))
+               .select((F.col("part") * SET + F.col("bit")).alias("block"), F.lit(None).cast("long").alias("doc_id"),
+                       F.col("word").alias("body"), "ids"))
     both = answers.union(rows.select("block", "doc_id", "body", F.lit(None).cast("array<int>")))
     scores = {piece: (i, score) for piece, i, score in table.pieces}
     merges, first_byte, longest = table.merges, table.first_byte, table.longest

@@ -278,6 +278,22 @@ def test_pieces_equal_the_library(messy, none):
     assert rows(pieces.encode(none, table)) == []
 
 
+def test_words_are_asked_for_once_whatever_blocks_they_are_in(spark, messy, monkeypatch):
+    import sentencepiece
+
+    texts = spark.createDataFrame([(0, "a b a"), (63, "b c"), (64, "b"), (130, "c  d")], "block int, body string")
+    asked = {(r.word.replace(pieces.SPACE, " "), r.part, r.blocks % (1 << 64)) for r in pieces.asked_words(texts).collect()}
+    assert asked == {(" a", 0, 1), (" b", 0, 1 + (1 << 63)), (" b", 1, 1), (" c", 0, 1 << 63), (" c", 2, 4), ("  d", 2, 4)}
+    monkeypatch.setattr(pieces, "BLOCK_DOCS", 1)
+    monkeypatch.setattr(pieces, "SET", 4)
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    encoded = pieces.encode(messy, pieces.PieceTable.load(PIECES))
+    same_rows([(r.doc_id, r.ids) for r in encoded.collect()], [(r.doc_id, library.encode(r.text or "")) for r in messy.collect()])
+    # The texts are cut into words once.
+    text = encoded._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert text.count("Generate explode(CASE WHEN") == 1
+
+
 def test_piece_query_decodes_every_document(spark, data):
     import sentencepiece
 
