@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from laurel.session import stored
 
@@ -17,6 +19,7 @@ SPACE = "▁"
 LONG = 40  # characters; longer words are segmented one by one, as a fold over their many pieces is quadratic
 BLOCK_DOCS = 16_384  # documents that share one dictionary on the way back
 SET = 64  # blocks that a word names in one number
+EDGES = 1 << 18  # edges of lattices that are folded at once
 
 
 @dataclass
@@ -61,82 +64,129 @@ def words_of(text: str) -> Column:
     return F.when(F.length(text) > 0, F.split(marked, f"(?<=[^{SPACE}])(?={SPACE})")).otherwise(F.array().cast("array<string>"))
 
 
+EDGE = ["_no", "begin", "end", "id", "score"]
+
+
 def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """`words` with edges: the pieces that occur in each word, with start, end, id, score. The rows of `words` are
-    distinct; columns beside `word` are carried along.
+    """The edges of `words`: one row per piece that occurs in a word, with begin, end, id, score. The rows of `words` are
+    distinct; their columns stand in the first row of each word, which `_no` names, and are null in its other rows.
 
     Substrings of bounded length are exploded and meet the piece table (a model's vocabulary, so of fixed size) in an
-    equi-join; the grouping by word needs no further shuffle. Characters without a piece have an edge without id.
+    equi-join that leaves the rows where they are, so a word's edges follow each other without a grouping. Characters
+    without a piece have an edge without id.
     """
-    of_word = words.columns
     begin = F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("begin")
-    spans = (words.select("*", begin)
+    spans = (words.select("*", F.monotonically_increasing_id().alias("_no"))
+             .select("*", begin)
              .select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("begin"))))
                      .alias("size"))
              .select("*", F.expr("substring(word, begin + 1, size)").alias("piece")))
-    edges = (spans.join(F.broadcast(table), "piece", "left").where("id is not null or size = 1")
-             .select(*of_word, F.struct(F.col("begin"), (F.col("begin") + F.col("size")).alias("end"), "id", "score")
-                     .alias("edge")))
-    return edges.groupBy(*of_word).agg(F.collect_list("edge").alias("edges"))
-
-
-def _best_path() -> Column:
-    """Viterbi: per place the best sum of scores and the start of the last piece; characters without piece cost most."""
-    n = F.length("word")
-    start = F.array(F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("back")))
-
-    def step(state: Column, place: Column) -> Column:
-        ways = F.transform(F.filter("edges", lambda e: e["end"] == place), lambda e: F.struct(
-            (F.element_at(state, e["begin"] + 1)["total"] + F.coalesce(e["score"], F.lit(-1e6))).alias("total"),
-            e["begin"].alias("back")))
-        return F.concat(state, F.array(F.array_max(ways)))
-
-    def trace(states: Column) -> Column:
-        walked = F.aggregate(F.sequence(F.lit(1), n), F.array(n), lambda path, _: F.when(
-            F.element_at(path, 1) > 0,
-            F.concat(F.array(F.element_at(states, F.element_at(path, 1) + 1)["back"]), path)).otherwise(path))
-        return walked
-
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, trace)
-
-
-def _merged() -> Column:
-    """Merging: from single characters on, the best-scored piece that spans exactly two neighbours joins them."""
-    n = F.length("word")
-    ranked = F.transform(F.array_sort(F.transform(
-        F.filter("edges", lambda e: e["end"] - e["begin"] > 1),
-        lambda e: F.struct((-e["score"]).alias("rank"), e["begin"].alias("begin"), e["end"].alias("end")))),
-        lambda e: F.struct(e["begin"].alias("begin"), e["end"].alias("end")))
-
-    def step(state: Column, _: Column) -> Column:
-        cuts, left = state["cuts"], state["left"]
+    first = (F.col("begin") == 0) & (F.col("size") == 1)
+    return (spans.join(F.broadcast(table), "piece", "left").where("id is not null or size = 1")
+            .select(*[F.when(first, F.col(c)).alias(c) for c in words.columns], "_no", "begin",
+                    (F.col("begin") + F.col("size")).alias("end"), "id", "score"))
+
+
+def _best_path(word: np.ndarray, begin: np.ndarray, end: np.ndarray, score: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Viterbi over many words, place by place: the cuts of the best sums of scores. Characters without piece cost most;
+    of equal sums the shortest last piece counts. Word `w` has the places start[w] to start[w + 1] - 1."""
+    total = np.zeros(start[-1])
+    back = np.zeros(start[-1], np.int64)
+    order = np.lexsort((begin, word, end))
+    word, begin, end, score = word[order], begin[order], end[order], np.nan_to_num(score[order], nan=-1e6)
+    bounds = np.flatnonzero(np.r_[True, end[1:] != end[:-1], True])
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        w, b = word[low:high], begin[low:high]
+        sums = total[start[w] + b] + score[low:high]
+        heads = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        best = np.maximum.reduceat(sums, heads)
+        total[start[w[heads]] + end[low]] = best
+        won = sums == np.repeat(best, np.diff(np.r_[heads, len(w)]))
+        back[start[w[won]] + end[low]] = b[won]  # begins rise, so the last one stays
+    cut = np.zeros(start[-1], bool)
+    first, at = start[:-1], start[1:] - 1
+    while len(at):
+        cut[at] = True
+        rest = at > first
+        first, at = first[rest], (first + back[at])[rest]
+    return cut
+
+
+def _merged(word: np.ndarray, begin: np.ndarray, end: np.ndarray, score: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Merging in many words at once: from single characters on, a word's best-scored piece that spans exactly two
+    neighbours joins them. Of equal scores the first counts. Places are numbered as in `_best_path`."""
+    cut = np.ones(start[-1], bool)
+    left = np.flatnonzero(end - begin > 1)
+    left = left[np.lexsort((end[left], begin[left], -score[left], word[left]))]
+    word, low, high = word[left], start[word[left]] + begin[left], start[word[left]] + end[left]
+    while len(word):
         # Only a piece whose ends are cuts can ever be joined; cuts never come back.
-        open_ = F.filter(left, lambda e: F.array_contains(cuts, e["begin"]) & F.array_contains(cuts, e["end"]))
-        fits = F.filter(open_, lambda e: F.array_position(cuts, e["end"]) == F.array_position(cuts, e["begin"]) + 2)
-        first = F.get(fits, 0)
-        return F.when(F.size(fits) == 0, F.struct(cuts.alias("cuts"), F.slice(left, 1, 0).alias("left"))).otherwise(
-            F.struct(F.filter(cuts, lambda c: (c <= first["begin"]) | (c >= first["end"])).alias("cuts"),
-                     open_.alias("left")))
-
-    begin = F.struct(F.sequence(F.lit(0), n).alias("cuts"), ranked.alias("left"))
-    return F.aggregate(F.sequence(F.lit(1), n), begin,
-                       lambda s, i: F.when(F.size(s["left"]) == 0, s).otherwise(step(s, i)), lambda s: s["cuts"])
+        open_ = cut[low] & cut[high]
+        word, low, high = word[open_], low[open_], high[open_]
+        rank = np.cumsum(cut)
+        fits = np.flatnonzero(rank[high] - rank[low] == 2)
+        fits = fits[np.r_[True, word[fits][1:] != word[fits][:-1]]] if len(fits) else fits
+        cut[np.flatnonzero(cut)[rank[low[fits]]]] = False  # the one cut between the two neighbours
+        going = np.zeros(len(start), bool)
+        going[word[fits]] = True
+        word, low, high = (a[going[word]] for a in (word, low, high))
+    return cut
+
+
+def _fold(edges: pa.Table, of_word: list[str], table: PieceTable) -> pa.RecordBatch:
+    """The words of whole lattices with the ids of their pieces."""
+    no, begin, end, ids = (edges[c].combine_chunks().fill_null(-1).to_numpy() for c in EDGE[:4])
+    score = edges["score"].combine_chunks().to_numpy(zero_copy_only=False)
+    if np.any(no[1:] < no[:-1]):
+        raise ValueError("the edges of a word must follow each other")
+    heads = np.flatnonzero(np.r_[True, no[1:] != no[:-1]])
+    word = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(no)]))
+    start = np.r_[0, np.cumsum(np.maximum.reduceat(end, heads) + 1)]
+    cut = (_merged if table.merges else _best_path)(word, begin, end, score, start)
+    rank = np.cumsum(cut)
+    low, high = start[word] + begin, start[word] + end
+    chosen = np.flatnonzero(cut[low] & cut[high] & (rank[high] - rank[low] == 1))
+    chosen = chosen[np.argsort(low[chosen], kind="stable")]
+    chosen = chosen[np.r_[True, low[chosen][1:] != low[chosen][:-1]]]
+    rows = edges.select(of_word).take(pa.array(heads))
+    values, sizes = ids[chosen], np.ones(len(chosen), np.int64)
+    raw = np.flatnonzero(values < 0)
+    if len(raw):
+        texts = rows["word"].to_pylist()
+        codes = [texts[word[e]][begin[e]:end[e]].encode() for e in chosen[raw]]
+        sizes[raw] = [len(code) for code in codes]
+        at = np.repeat(values < 0, sizes)
+        values = np.repeat(values, sizes)
+        values[at] = np.frombuffer(b"".join(codes), np.uint8).astype(values.dtype) + table.first_byte
+    counts = np.bincount(word[chosen], weights=sizes, minlength=len(heads)).astype(np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(values, pa.int32()))
+    return pa.RecordBatch.from_arrays([*(rows[c].combine_chunks() for c in of_word), lists], [*of_word, "ids"])
 
 
 def segmented(lattices: DataFrame, table: PieceTable) -> DataFrame:
-    """The words with ids: the lattice folded to the ids of the word's pieces; characters without piece become bytes."""
-    of_word = [c for c in lattices.columns if c != "edges"]
-    cuts = lattices.select("*", (_merged() if table.merges else _best_path()).alias("cuts"))
-
-    def ids(i: Column) -> Column:
-        begin, end = F.element_at("cuts", i), F.element_at("cuts", i + 1)
-        known = F.get(F.filter("edges", lambda e: (e["begin"] == begin) & (e["end"] == end)), 0)["id"]
-        code = F.hex(F.encode(F.substring(F.col("word"), begin + 1, end - begin), "utf-8"))
-        raw = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)),
-                          lambda at: F.conv(F.substring(code, at, F.lit(2)), 16, 10).cast("int") + table.first_byte)
-        return F.when(known.isNotNull(), F.array(known)).otherwise(raw)
-
-    return cuts.select(*of_word, F.flatten(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), ids)).alias("ids"))
+    """The words with ids: the lattice folded to the ids of the word's pieces; characters without piece become bytes.
+
+    Some EDGES edges are folded at once, whole words each.
+    """
+    of_word = [c for c in lattices.columns if c not in EDGE]
+    fields = [*(f for f in lattices.schema.fields if f.name in of_word), StructField("ids", ArrayType(IntegerType()))]
+    rule = replace(table, pieces=[], texts=[])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= EDGES:
+                edges = pa.Table.from_batches(held)
+                no = edges["_no"].to_numpy()
+                whole = int(np.searchsorted(no, no[-1]))  # the last word may go on in the next batch
+                if whole:
+                    yield _fold(edges.slice(0, whole), of_word, rule)
+                held = edges.slice(whole).to_batches()
+        if sum(b.num_rows for b in held):
+            yield _fold(pa.Table.from_batches(held), of_word, rule)
+
+    return lattices.mapInArrow(fold, StructType(fields))
 
 
 def segment(word: str, table: dict[str, tuple[int, float]], first_byte: int) -> list[int]:

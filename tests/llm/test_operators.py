@@ -294,6 +294,28 @@ def test_words_are_asked_for_once_whatever_blocks_they_are_in(spark, messy, monk
     assert text.count("Generate explode(CASE WHEN") == 1
 
 
+def test_lattices_are_folded_many_at_once_and_whole(spark, monkeypatch):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    table = pieces.PieceTable.load(PIECES)
+    words = sorted({w for t in ("the quick brown foxes jumped", "누군가의 안녕 \U0001f40d\x07 naïve", "a a b  1999-12-31") for w in pieces._split(t)})
+    known = spark.createDataFrame(table.pieces, "piece string, id int, score double")
+    frame = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, part int").coalesce(1)
+    monkeypatch.setattr(pieces, "EDGES", 7)  # words go on from one Arrow batch to the next
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "5")
+    try:
+        folded = pieces.segmented(pieces.lattice(frame, known, table.longest), table)
+        got = {(r.word, r.part): r.ids for r in folded.collect()}
+    finally:
+        spark.conf.set(size, before)
+    assert got == {(w, i): library.encode(w.replace(pieces.SPACE, " ")[1:]) for i, w in enumerate(words)}
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "aggregate(" not in plan  # no lists of edges, no fold row by row
+
+
 def test_piece_query_decodes_every_document(spark, data):
     import sentencepiece
 
