@@ -136,3 +136,14 @@ def test_records_of_a_batch_are_never_broadcast(spark, job, monkeypatch, capsys)
     for name in ("listing", "new"):
         joins = [line for line in plans[name].splitlines() if re.search(r"Join \[site#\d+, key_id#\d+, id#\d+\]", line)]
         assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_copies_within_a_batch_keep_the_first_and_no_wide_aggregation(spark, job):
+    rows = [("A", "q", "1", 5, 0.5, "Park", None, "MIT"), ("A", "q", "1", 1, 0.5, "Kim", None, "MIT"), ("A", "q", "1", 1, 0.5, "Kim", None, "MIT"),
+            ("A", "q", None, 3, 0.5, "Lee", None, "MIT"), ("A", "q", "2", 2, 0.5, "Lee", None, "MIT"), ("B", "q", "1", 4, 0.5, "Cho", None, "MIT")]
+    job.add(batch(spark, [("A", "q", "2", 1, 0.2, "Lee", None, "MIT")]), 0)
+    job.tables.begin(1)
+    new = job._new(S.data_rows(batch(spark, rows)))
+    assert sorted((r.site, r.id, r.seq, r.author) for r in new.collect()) == [("A", "1", 1, "Kim"), ("B", "1", 4, "Cho")]
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan.split("== Initial Plan ==")[-1]
