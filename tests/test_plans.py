@@ -51,3 +51,23 @@ def test_many_lines_are_dealt_by_record_before_lists_are_built(spark, data, monk
     monkeypatch.setattr(session, "TASK_ROWS", 500)
     text = plan(spark, data, "j06_j07_projects_with_author_ids")
     assert re.search(r"hashpartitioning\(l_orderkey#\d+L, \d+\), REPARTITION_BY_NUM", text)
+
+
+def test_many_names_are_dealt_before_lists_are_built_and_joined(spark, data, monkeypatch):
+    from laurel import session
+    from laurel.plans import driver_tables as D
+
+    lists = ["author", "author_inst", "author_id"]
+    built = [lambda: D.records(spark, data, lists), lambda: D.author_institutions(spark, data)]
+    whole = [sorted(map(str, make().collect())) for make in built]
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    for make, want in zip(built, whole, strict=True):
+        df = make()
+        assert sorted(map(str, df.collect())) == want
+        dealt = re.findall(r"hashpartitioning\(([a-z_]+)#\d+L?(?:, paper_id#\d+L)?, \d+\), REPARTITION_BY_NUM",
+                           df._jdf.queryExecution().optimizedPlan().toString() + plan_of(df))
+        assert dealt.count("l_suppkey") >= 1 and len(set(dealt)) >= 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
