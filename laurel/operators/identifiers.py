@@ -1,7 +1,7 @@
 """Similarity matching of `Name/ID` entries to the authors of the same record.
 
 One record holds its authors and its entries, so everything happens in its row: no explode, no shuffle. The Jaro
-sums run in an Arrow UDF, the conflict rule and the alignment are expressions.
+sums and the conflict rule run in an Arrow UDF, a batch of records at once; the alignment is an expression.
 """
 
 from __future__ import annotations
@@ -19,21 +19,23 @@ def entry_names(entries: Column) -> Column:
                     lambda e: F.trim(F.split_part(e, F.lit("/"), F.lit(1))) != "")
 
 
-def with_best_author(df: DataFrame, author: str, entries: str, cut: float = fuzzy.MIN_SIMILARITY) -> DataFrame:
-    """Adds `people` (tokens per author), `entry_id` and `best` (author position per entry, -1 for none)."""
-    people = F.transform(F.filter(F.split(author, ";"), lambda a: F.trim(a) != ""), fuzzy.name_tokens)
-    listed = entry_names(F.col(entries))
-    names = F.transform(listed, lambda e: fuzzy.name_tokens(F.split_part(e, F.lit("/"), F.lit(1))))
-    ids = F.transform(listed, lambda e: F.trim(F.replace(F.split_part(e, F.lit("/"), F.lit(2)), F.lit(","), F.lit(""))))
+def with_best_author(df: DataFrame, author: str, entries: str, cut: float = fuzzy.MIN_SIMILARITY,
+                     conflicts: bool = True) -> DataFrame:
+    """Adds `people` (names), `entry_id` and `best` (author position per entry, -1 for none).
+
+    Without `conflicts`, entries that void each other have no author.
+    """
+    people = F.filter(F.split(author, ";"), lambda a: F.trim(a) != "")
+    ids = F.transform(entry_names(F.col(entries)),
+                      lambda e: F.trim(F.replace(F.split_part(e, F.lit("/"), F.lit(2)), F.lit(","), F.lit(""))))
     return (
         df.withColumn("people", people).withColumn("entry_id", ids)
-        .withColumn("best", fuzzy.best_author(names, F.col("people"), cut))
+        .withColumn("best", fuzzy.best_author(F.col(entries), F.col(author), cut, conflicts))
     )
 
 
 def with_aligned_ids(df: DataFrame, author: str, entries: str, name: str) -> DataFrame:
     """Adds `name`: the ids as a `;` list aligned to the authors, blank where there is none."""
-    matched = with_best_author(df, author, entries)
-    ids = let(fuzzy.without_conflicts(F.col("best")), lambda chosen: fuzzy.ids_by_position(
-        chosen, F.col("people"), F.col("entry_id")))
+    matched = with_best_author(df, author, entries, conflicts=False)
+    ids = let(F.col("entry_id"), lambda entry_id: fuzzy.ids_by_position(F.col("best"), F.col("people"), entry_id))
     return matched.withColumn(name, ids).drop("people", "entry_id", "best")

@@ -3,13 +3,15 @@
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from laurel.functions import fuzzy
 from laurel.functions import multivalue as R
 from laurel.functions import text as X
-from laurel.operators.identifiers import with_aligned_ids
+from laurel.operators.identifiers import with_aligned_ids, with_best_author
 
 
 def value(spark, c):
@@ -80,6 +82,57 @@ def test_length_and_letter_bound_never_drops_a_match():
             assert fuzzy.can_reach(a, b, frozenset(a), frozenset(b), 0.9)
 
 
+def _names(rng, most):
+    words = ["Kim", "Kím", "Min", "Minho", "Minhoo", "Soora", "Sora", "김철수", "Anderson", "Andersen", "a", "", ",", "-"]
+    return [rng.choice([" ", "-", ", "]).join(rng.choice(words) for _ in range(rng.randrange(4))) for _ in range(rng.randrange(most))]
+
+
+def _tokens(name):
+    return [t for t in name.replace(",", "").replace("-", " ").split(" ") if t]
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 18])
+def test_batch_of_records_is_matched_like_each_record(monkeypatch, pairs):
+    monkeypatch.setattr(fuzzy, "PAIRS", pairs)
+    met = []
+    bounded = fuzzy._similar_pairs
+    monkeypatch.setattr(fuzzy, "_similar_pairs", lambda left, *more: met.append(len(left)) or bounded(left, *more))
+    rng = random.Random(17)
+    for _ in range(60):
+        records = [(_names(rng, 6), _names(rng, 6)) for _ in range(rng.randrange(8))]
+        lists = [pa.array([None if not x else ";".join(x) for x in side], pa.string()) for side in (
+            [[f"{n}/ID{i}" for i, n in enumerate(e)] for e, _ in records], [a for _, a in records])]
+        best, starts = fuzzy.best_of_batch(*lists, 0.9)
+        want = [fuzzy.best_positions(*[[_tokens(n) for n in side if n.strip(" ")] for side in r], 0.9) for r in records]
+        assert [best[i:j].tolist() for i, j in zip(starts, starts[1:])] == want
+    assert max(met) <= max(pairs, 4 * 6)  # an entry token meets at least the tokens of one record
+
+
+def test_conflicts_of_a_batch_are_those_of_each_record():
+    rng = random.Random(3)
+    rows = [[rng.randrange(-1, 3) for _ in range(rng.randrange(8))] for _ in range(200)]
+    want = []
+    for row in rows:
+        taken = []
+        for p in row:
+            void = p >= 0 and p in taken
+            taken = [-1 if void and t == p else t for t in taken] + [-1 if void else p]
+        want += taken
+    starts = np.cumsum([0] + [len(r) for r in rows])
+    assert fuzzy.without_conflicts(np.array(sum(rows, []), np.int32), starts).tolist() == want
+
+
+def test_ids_are_matched_once_and_parsed_once_per_record(spark):
+    df = spark.createDataFrame([(1, "Kim, Min Ho; Lee, Sora", "Lee, Sora/B"), (2, "Park, K.", None)], "n long, author string, entries string")
+    from laurel.catalog import authors
+
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    best = authors.by_entry(with_best_author(df, "author", "entries"), "n")
+    assert best.collect() == [(1, 0, 1)] and plan(best).count("run(") == 1
+    aligned = plan(with_aligned_ids(df, "author", "entries", "ids"))
+    assert "[(cast(array_position" in aligned and ")[(cast(array_position" not in aligned  # the ids are a variable there
+
+
 @pytest.mark.parametrize("entries,want", [
     ("Kim, Min-Ho/A", "A;;"), ("Lee, Sora/B; Kim, Min Ho/A", "A;B;"), ("Choi, Xyz/C", ";;"), ("", ";;"), (None, ";;"),
     ("Kim, Min Ho/A; Kim, Minho/B", ";;"), ("Kim, Min Ho/A; Kim, Min Ho/B; Kim, Min Ho/C", "C;;"), ("/Z; Park, K./P", ";;P"),
