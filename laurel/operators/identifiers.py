@@ -6,6 +6,8 @@ sums and the conflict rule run in an Arrow UDF, a batch of records at once; the
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,23 +21,30 @@ def entry_names(entries: Column) -> Column:
                     lambda e: F.trim(F.split_part(e, F.lit("/"), F.lit(1))) != "")
 
 
-def with_best_author(df: DataFrame, author: str, entries: str, cut: float = fuzzy.MIN_SIMILARITY,
-                     conflicts: bool = True) -> DataFrame:
-    """Adds `people` (names), `entry_id` and `best` (author position per entry, -1 for none).
+def _people(author: str) -> Column:
+    return F.filter(F.split(author, ";"), lambda a: F.trim(a) != "")
+
+
+def _entry_ids(entries: str) -> Column:
+    return F.transform(entry_names(F.col(entries)),
+                       lambda e: F.trim(F.replace(F.split_part(e, F.lit("/"), F.lit(2)), F.lit(","), F.lit(""))))
 
-    Without `conflicts`, entries that void each other have no author.
-    """
-    people = F.filter(F.split(author, ";"), lambda a: F.trim(a) != "")
-    ids = F.transform(entry_names(F.col(entries)),
-                      lambda e: F.trim(F.replace(F.split_part(e, F.lit("/"), F.lit(2)), F.lit(","), F.lit(""))))
-    return (
-        df.withColumn("people", people).withColumn("entry_id", ids)
-        .withColumn("best", fuzzy.best_author(F.col(entries), F.col(author), cut, conflicts))
-    )
+
+def with_best_author(df: DataFrame, author: str, entries: str, cut: float = fuzzy.MIN_SIMILARITY) -> DataFrame:
+    """Adds `people` (names), `entry_id` and `best` (author position per entry, -1 for none)."""
+    return df.withColumns({"people": _people(author), "entry_id": _entry_ids(entries),
+                           "best": fuzzy.best_author(F.col(entries), F.col(author), cut)})
 
 
 def with_aligned_ids(df: DataFrame, author: str, entries: str, name: str) -> DataFrame:
     """Adds `name`: the ids as a `;` list aligned to the authors, blank where there is none."""
-    matched = with_best_author(df, author, entries, conflicts=False)
-    ids = let(F.col("entry_id"), lambda entry_id: fuzzy.ids_by_position(F.col("best"), F.col("people"), entry_id))
-    return matched.withColumn(name, ids).drop("people", "entry_id", "best")
+    return with_all_aligned_ids(df, author, {name: entries})
+
+
+def with_all_aligned_ids(df: DataFrame, author: str, lists: Mapping[str, str]) -> DataFrame:
+    """`with_aligned_ids` for several lists {name: entries}; between the UDFs nothing but their results is added to the rows."""
+    matched = df.withColumns({f"_best_{name}": fuzzy.best_author(
+        F.col(entries), F.col(author), conflicts=False) for name, entries in lists.items()})
+    placed = lambda name: lambda entry_id: fuzzy.ids_by_position(F.col(f"_best_{name}"), _people(author), entry_id)
+    ids = {name: let(_entry_ids(entries), placed(name)) for name, entries in lists.items()}
+    return matched.withColumns(ids).drop(*[f"_best_{name}" for name in lists])

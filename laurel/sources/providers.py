@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from laurel.functions import multivalue as R
 from laurel.functions import text as X
-from laurel.operators.identifiers import with_aligned_ids
+from laurel.operators.identifiers import with_all_aligned_ids
 from laurel.operators.numbering import number_rows
 from laurel.operators.search import every_term, known_author, no_term
 from laurel.schemas import PAPER
@@ -277,8 +277,8 @@ def wos_papers(export: DataFrame) -> DataFrame:
     """A positional export to paper records with ids aligned to the authors."""
     raw = export.select(*[F.col(f"c{i}").alias(f) for f, i in WOS_POSITIONS.items()])
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    matched = with_aligned_ids(raw.withColumn("author", blank("author")), "author", "researcher_ids", "r_id")
-    matched = with_aligned_ids(matched, "author", "orcids", "o_id").withColumn(
+    matched = with_all_aligned_ids(raw.withColumn("author", blank("author")), "author", {
+        "r_id": "researcher_ids", "o_id": "orcids"}).withColumn(
         "insts", R.bracketed_institutions(F.col("author"), blank("address")))
     usage = X.whole_number(F.col("usage"), 1)
     return matched.select(
@@ -295,7 +295,8 @@ def wos_papers(export: DataFrame) -> DataFrame:
         reject(
             ("malformed", F.col("id").isNotNull()),
             ("author and institution counts differ",
-             R.same_size(F.split("author", ";"), F.col("insts")) & ~F.exists("insts", lambda i: i.isNull())),
+             R.let(F.col("insts"), lambda insts: R.same_size(F.split("author", ";"), insts) & ~F.exists(
+                 insts, lambda i: i.isNull()))),
             ("no year", X.export_year(F.col("year"), F.col("early_access")).isNotNull()),
         ).alias("reject_reason"),
     )

@@ -107,3 +107,13 @@ def test_files_of_bounded_size(spark, data, monkeypatch, bound, folder, start):
     sizes = [r.n for r in whole.select(F.size(F.split("value", start)).alias("n")).collect()]
     rows = payloads.source_rows(spark, data).count()
     assert max(sizes) <= 8 and sum(n - 1 for n in sizes) == rows > 70
+
+
+def test_wos_institutions_are_worked_out_once_for_the_check(spark):
+    """The addresses are read once for the check and once for the field."""
+    cells = {5: "Kim, A; Lee, B", 22: "[Kim, A; Lee, B] Seoul", 25: "Lee, B/R-1", 26: "Kim, A/O-2", 44: "2001", 61: "WOS:1"}
+    export = spark.createDataFrame([[cells.get(i, "") for i in range(providers.WOS_WIDTH)]], files.positional_schema(providers.WOS_WIDTH))
+    done = providers.accepted(providers.wos_papers(export))
+    row = done.first()
+    assert (row.author_inst, row.r_id, row.o_id) == ("Seoul;Seoul", ";R-1", "O-2;")
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("Contains(") == 2
