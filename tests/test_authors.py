@@ -150,6 +150,39 @@ def test_pairs_of_one_person_by_brute_force(spark, capsys):
     assert meets and not any(c in line for line in meets for c in ("block#", "reason#", "key_id#"))
 
 
+def test_pairs_met_under_many_co_authors_leave_a_cell_once():
+    """Two marks that share very many co-authors are one pair; blocks and ids of another type are kept apart."""
+    import pyarrow as pa
+
+    from laurel.operators.namesakes import meet
+
+    lists = [(f"c{i}", ["x", "y", "z", "none"]) for i in range(300)] * 2 + [("x", ["y"])]
+    marks = [("x", 7, 1), ("y", 7, 2), ("z", 7, 1), ("x", 9, 1), ("z", 9, 2), ("z", 9, 3), ("w", 9, 4)]
+    got = meet(pa.table({"q": pa.array([5] * 601), "co": [c for c, _ in lists], "ids": [i for _, i in lists]}),
+               pa.table({"q": pa.array([5] * 7), "a_id": [a for a, _, _ in marks], "b": [b for _, b, _ in marks], "v": [v for _, _, v in marks]}))
+    assert sorted(zip(*(got[c].to_pylist() for c in ("q", "b", "a_id", "other_id")))) == [
+        (5, 7, "x", "y"), (5, 7, "y", "z"), (5, 9, "x", "z"), (5, 9, "x", "z")]
+
+
+@pytest.mark.parametrize("cell,hub,table", [(40, 50_000, 1 << 26), (10_000, 25, 7), (30, 20, 64)])
+def test_cells_and_hubs_change_no_pairs(spark, monkeypatch, cell, hub, table):
+    """Cells of few co-authors, hubs apart, and pairs in strips give what one cell gives."""
+    from laurel.operators import namesakes
+
+    rng = random.Random(8)
+    names = ["Kim, Min Ho", "Kim, M.", "Kim, So Ra", "Lee, Min Ho", "Lee, M", "Park, Mi Na"]
+    people = spark.createDataFrame([(f"p{i}", rng.choice(names), rng.choice("AB")) for i in range(40)], "a_id string, name string, inst string")
+    listing = spark.createDataFrame(sorted({(rng.choice("qr"), rng.randrange(60), f"p{rng.choice([0, 1, *range(40)])}") for _ in range(300)}),
+                                    "key_id string, paper_id long, a_id string")
+    want = sorted(map(tuple, J.same_author(listing, people).collect()))
+    monkeypatch.setattr(J, "CELL", cell)
+    monkeypatch.setattr(J, "HUB", hub)
+    monkeypatch.setattr(namesakes, "TABLE", table)
+    monkeypatch.setattr(namesakes, "MARKS", 5)
+    monkeypatch.setattr(namesakes, "MET", 4)
+    assert sorted(map(tuple, J.same_author(listing, people, J.author_lists(listing)).collect())) == want and len(want) > 50
+
+
 def test_persons_take_pairs_once(spark):
     """The pairs are evaluated once, and ids of very many records are not met record by record."""
     runs = spark.sparkContext.accumulator(0)
