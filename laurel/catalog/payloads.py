@@ -49,7 +49,7 @@ def pages(rows, item, separator=""):
 # ---- NTIS -------------------------------------------------------------------------------------------------------------
 
 def ntis_folder(spark, d):
-    """XML files of HIT elements, one document of a bounded number of elements per file."""
+    """XML files of HIT elements, one packed document of a bounded number of elements per file."""
     n = F.col("n")
     day = F.date_format("o_orderdate", "yyyyMMdd")
     first = lambda c: F.split_part(c, F.lit(";"), F.lit(1))
@@ -74,7 +74,7 @@ def ntis_folder(spark, d):
         F.struct(F.when(n % 4 == 0, "09").otherwise("03").alias("_code"), F.lit("University").alias("_VALUE"))
         .alias("PerformAgent"),
         F.floor("o_totalprice").cast("string").alias("TotalFunds"),
-    ).write.format("xml").options(rootTag="RESULTSET", rowTag="HIT", maxRecordsPerFile=DOCUMENT, **files.XML).save(folder)
+    ).write.format("xml").options(rootTag="RESULTSET", rowTag="HIT", maxRecordsPerFile=DOCUMENT, compression="gzip", **files.XML).save(folder)
     return folder
 
 

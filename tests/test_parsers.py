@@ -117,3 +117,18 @@ def test_wos_institutions_are_worked_out_once_for_the_check(spark):
     row = done.first()
     assert (row.author_inst, row.r_id, row.o_id) == ("Seoul;Seoul", ";R-1", "O-2;")
     assert done._jdf.queryExecution().optimizedPlan().toString().count("Contains(") == 2
+
+
+def test_documents_are_packed_and_read_whole(spark, data):
+    """Tags repeat in every element: a packed document is a fraction of its text, and all of its elements are read."""
+    from pathlib import Path
+
+    from laurel.catalog import payloads
+    from laurel.sources import files, providers
+
+    folder = payloads.ntis_folder(spark, data)
+    parts = list(Path(folder.removeprefix("file:")).glob("part-*"))
+    assert parts and all(p.name.endswith(".gz") for p in parts)
+    text = spark.read.text(folder).agg(F.sum(F.octet_length("value"))).first()[0]
+    assert sum(p.stat().st_size for p in parts) * 5 < text
+    assert files.read_xml(spark, folder, "HIT", providers.NTIS_HIT).count() == payloads.source_rows(spark, data).count()
