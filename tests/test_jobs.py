@@ -147,3 +147,46 @@ def test_copies_within_a_batch_keep_the_first_and_no_wide_aggregation(spark, job
     assert sorted((r.site, r.id, r.seq, r.author) for r in new.collect()) == [("A", "1", 1, "Kim"), ("B", "1", 4, "Cho")]
     plan = new._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan.split("== Initial Plan ==")[-1]
+
+
+def test_a_batch_leaves_no_scratch_tables(spark, job, monkeypatch):
+    """What a batch stores for itself is gone once it is committed, and what it reports can still be read."""
+    from pathlib import Path
+
+    from laurel import session
+
+    made, path_of = [], session.scratch_path
+    monkeypatch.setattr(session, "scratch_path", lambda spark, name: made.append(path_of(spark, name)) or made[-1])
+    job.add(batch(spark, FIRST), 0)
+    assert len(made) > 5 and not any(Path(p.removeprefix("file:")).exists() for p in made)
+    assert state(spark, job)[1] == [("A", "q", 2, 2, 2, 0)]
+
+
+def test_papers_and_progress_go_side_by_side(spark, job, monkeypatch):
+    """Progress is reported while the records are stored: neither waits for the other to end."""
+    from threading import Barrier
+
+    both = Barrier(2, timeout=120)
+    for name in ("_add_papers", "report"):
+        monkeypatch.setattr(job, name, lambda *a, step=getattr(job, name): (both.wait(), step(*a))[1])
+    job.add(batch(spark, FIRST), 0)
+    assert state(spark, job)[1] == [("A", "q", 2, 2, 2, 0)]
+
+
+def test_landed_messages_are_packed_in_order(spark, data, monkeypatch):
+    """A query's rows of a send lie in one file; the tables that the messages were made from are gone."""
+    from pathlib import Path
+
+    from laurel.catalog import streams
+    from laurel.sources import messages
+
+    made = []
+    monkeypatch.setattr(streams, "stored", lambda df, name, put=streams.stored: made.append(put(df, name)) or made[-1])
+    folder = streams.landed_messages(spark, data, streams.sent_projects)
+    files = list(Path(folder.removeprefix("file:")).glob("part-*"))
+    assert files and all(f.name.endswith(".json.gz") for f in files)
+    placed = spark.read.json(folder).select("keyId", F.input_file_name().alias("file")).distinct()
+    assert placed.count() == placed.select("keyId").distinct().count()
+    assert made and not any(Path(f.removeprefix("file://")).exists() for df in made for f in df.inputFiles())
+    assert spark.read.json(folder).count() == streams.sent_projects(spark, data).count()
+    assert messages.stream(spark, folder).isStreaming
